@@ -358,6 +358,20 @@ def _by_hash():
 _scorers: dict[int, Scorer] = {}
 
 
+def _scorer(model: Model) -> Scorer:
+    """One scorer per worker process, kept between tasks."""
+    key = hash(model.p["gram"].tobytes())
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
+
+
+def _scores(model: Model, column: pa.Array) -> np.ndarray:
+    scorer, texts = _scorer(model), [t or "" for t in column.to_pylist()]
+    return np.concatenate([np.empty(0), *(scorer.scores(part) for part in groups(texts))])
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` for every row of ``docs``, from the whole text alone.
 
@@ -370,14 +384,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value.p["gram"].tobytes())
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [scorer.scores(part) for part in groups(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all columns and
+    without a shuffle; rows count as in ``score``."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

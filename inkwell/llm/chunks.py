@@ -14,10 +14,10 @@ from .common import checkpointed, groups, prepare
 
 #: A cut where the top CUT_BITS of the rolling hash are zero: 2**CUT_BITS bytes
 #: on average. The hash spans the last 32 bytes, so cuts depend on nothing else.
-CUT_BITS = 6
-LEAST, MOST = 16, 4096
+CUT_BITS = 5
+LEAST, MOST = 8, 4096
 #: Words of a run of repeated chunks that make a passage.
-PASSAGE_WORDS = 25
+PASSAGE_WORDS = 20
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -33,6 +33,16 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def compact(data: bytes) -> tuple[bytes, np.ndarray]:
+    """``data`` with every run of ASCII white space as one blank, and where each
+    of its bytes, and its end, lies in ``data``."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    kept = np.flatnonzero(~(blank[1:] & blank[:-1]))
+    kept = np.r_[0, kept + 1] if len(raw) else kept
+    return np.where(blank, np.uint8(32), raw)[kept].tobytes(), np.r_[kept, len(raw)]
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of ``data``, the last at its end. A cut falls before
     the first byte of a character, at least LEAST and at most MOST bytes (and
@@ -68,18 +78,18 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in groups([t or "" for t in batch.column(1).to_pylist()]):
                 own, starts, stops, words, digests = [], [], [], [], []
                 for i, text in enumerate(part):
-                    data = text.encode()
+                    data, at = compact(text.encode())
                     ends = cuts(data)
-                    begins = [0, *ends[:-1]] if ends else []
+                    if not ends:
+                        continue
+                    begins = [0, *ends[:-1]]
                     own += [done + i] * len(ends)
-                    starts += begins
-                    stops += ends
                     digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begins, ends, strict=True)]
-                    if ends:
-                        raw = np.frombuffer(data, np.uint8)
-                        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-                        first = ~blank & np.r_[True, blank[:-1]]
-                        words += np.add.reduceat(first, begins, dtype=np.int32).tolist()
+                    real = at[ends].tolist()
+                    starts += [0, *real[:-1]]
+                    stops += real
+                    blank = np.frombuffer(data, np.uint8) == 32
+                    words += np.add.reduceat(~blank & np.r_[True, blank[:-1]], begins, dtype=np.int32).tolist()
                 done += len(part)
                 arrays = [ids.take(pa.array(own, pa.int32())), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(words, pa.int32()), pa.array(digests, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "stop", "words", "digest"])
@@ -87,12 +97,14 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that occur more than once in the corpus.
+def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Passages that occur in more than one document.
 
-    Texts are cut by content, chunks with equal digests are the same chunk, and
+    Texts are cut by content, white space counting as single blanks; chunks with
+    equal digests are the same chunk, and
     a run of neighbouring chunks that occur elsewhere too is a passage if
-    ``least_words`` words begin in it. Returns ``doc_id, start, stop, n_words,
+    ``least_words`` words begin in it. With ``within``, what one document repeats
+    counts too. Returns ``doc_id, start, stop, n_words,
     n_chunks, first_doc_id, removed`` per passage: byte offsets into the UTF-8
     text, the smallest doc_id that holds one of its chunks, and whether the
     dedup removes it (every chunk occurs before, in an earlier document or
@@ -105,15 +117,11 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     chunks = chunk_table(rows)
-    place = F.struct("doc_id", "start")
-    many = checkpointed(
-        chunks.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .filter("first <> last")
-    )
-    shared = chunks.join(many, "digest").select(
-        "doc_id", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"), (F.col("first") == place).alias("new")
-    )
+    # Across documents the ids alone say what is shared and who has it first.
+    place = F.struct("doc_id", "start") if within else F.col("doc_id")
+    many = checkpointed(chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last"))
+    first = F.col("first.doc_id") if within else F.col("first")
+    shared = chunks.join(many, "digest").select("doc_id", "start", "stop", "words", first.alias("first_doc_id"), (F.col("first") == place).alias("new"))
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     runs = shared.distinct().withColumn("gap", F.coalesce((F.lag("stop").over(w) < F.col("start")).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))

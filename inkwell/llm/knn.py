@@ -24,7 +24,7 @@ from .common import checkpointed
 #: Pivots, and rows from which they are drawn, at most.
 PIVOTS, PIVOT_ROWS = 64, 4096
 #: Queries of one group, vectors of one block at most (on average, by hash).
-GROUP_QUERIES, BLOCK_ROWS = 2048, 8192
+GROUP_QUERIES, BLOCK_ROWS, LEAST_BLOCK = 2048, 8192, 1024
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -137,7 +137,10 @@ def _top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     wide = {g: max(splits[c] for c in group_of if group_of[c] == g) for g in set(group_of.values())}
     least = {g: np.min([bounds[c] for c in group_of if group_of[c] == g], axis=0) for g in wide}
     spark = rows.sparkSession
-    blocks = max(-(-n // BLOCK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, sum(wide.values())), 1)
+    # enough blocks for the cluster, none of them so small that the k best of
+    # every block outnumber its rows
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, sum(wide.values()))
+    blocks = max(-(-n // BLOCK_ROWS), min(spread, -(-n // LEAST_BLOCK)), 1)
 
     schema = "team string, block int, vec_id long, v array<long>"
     shared = spark.sparkContext.broadcast((group_of, wide, least))

@@ -26,6 +26,11 @@ GRAMS = (3, 5)
 #: Labelled rows that are fitted to at most, and gradient steps whatever their
 #: number.
 TRAIN_ROWS, STEPS, BATCH = 6000, 320, 256
+#: Against learning texts by heart: share of words hidden from a gradient step,
+#: and shrinkage of the weights relative to the rate.
+DROP, DECAY = 0.15, 0.1
+#: One in so many labelled texts of each class is not fitted, but calibrates.
+ASIDE = 10
 #: Characters of labelled text gathered to the driver at most.
 TRAIN_CHARS = 12_000_000
 CACHE_WORDS = 200_000
@@ -249,7 +254,8 @@ def _step(model: Model, words: list[str], index: np.ndarray, y: np.ndarray, weig
 def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 0) -> Model:
     """Fits a model to labelled texts: windows first take their text's label,
     later steps take the worst window of a toxic text and any window of the
-    others; then the score is calibrated on whole texts."""
+    others; then the score is calibrated on whole texts that were set aside (on
+    the fitted ones where a class has too few to set one aside)."""
     model, rng = Model.fresh(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     if not len(texts) or y.min() == y.max():
@@ -259,7 +265,9 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 0
     same: dict[str, str] = {}
     words = [[same.setdefault(w, w) for w in words_of(t.lower())] for t in texts]
     spans = [list(windows(len(w))) for w in words]
-    groups = [np.flatnonzero(y == k) for k in (0, 1)]
+    shuffled = [rng.permutation(np.flatnonzero(y == k)) for k in (0, 1)]
+    aside = [g[: len(g) // ASIDE] for g in shuffled]
+    groups = [g[len(g) // ASIDE :] for g in shuffled]
     focus = [None] * len(texts)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -286,6 +294,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 0
         index = np.zeros((len(parts), WINDOW), np.int64)
         for i, x in enumerate(parts):
             index[i, : len(x)] = [rows[w] for w in x]
+        index[rng.random(index.shape) < DROP] = 0
         g = _step(model, own, index, y[picks], np.full(len(picks), 1 / len(picks), np.float32))
         rate = 0.02 * (1 - 0.9 * step / steps)
         for k, v in g.items():
@@ -296,26 +305,35 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 0
                 touched = np.flatnonzero(np.abs(v).sum(1))
                 first[k][touched] = 0.9 * first[k][touched] + 0.1 * v[touched]
                 second[k][touched] = 0.99 * second[k][touched] + 0.01 * v[touched] ** 2
-                model.p[k][touched] -= rate * first[k][touched] / (np.sqrt(second[k][touched]) + 1e-6) + rate * 1e-3 * model.p[k][touched]
+                model.p[k][touched] -= rate * first[k][touched] / (np.sqrt(second[k][touched]) + 1e-6) + rate * DECAY * model.p[k][touched]
             else:
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v**2
-                model.p[k] = (model.p[k] - rate * first[k] / (np.sqrt(second[k]) + 1e-6)).astype(np.float32)
-    _calibrate(model, texts, y, rng)
+                shrink = rate * DECAY if k[0] in "wu" else 0
+                model.p[k] = ((1 - shrink) * model.p[k] - rate * first[k] / (np.sqrt(second[k]) + 1e-6)).astype(np.float32)
+    seen = np.concatenate(aside if all(map(len, aside)) else groups)
+    _calibrate(model, [texts[i] for i in seen], y[seen])
     return model
 
 
-def _calibrate(model: Model, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> None:
-    """Logistic fit of the label to the worst window and the number of windows
-    over at most 1200 of the texts."""
-    chosen = rng.permutation(len(texts))[:1200]
-    worst, counts = Scorer(model).worst([texts[i] for i in chosen])
-    x = np.stack([worst, np.log1p(counts), np.ones(len(chosen))], 1).astype(float)
-    w, target = np.array([1.0, 0.0, 0.0]), y[chosen]
-    for _ in range(30):
+def _calibrate(model: Model, texts: list[str], target: np.ndarray) -> None:
+    """Logistic fit of the label to the worst window and the number of windows."""
+    worst, counts = Scorer(model).worst(texts)
+    x = np.stack([worst, np.log1p(counts), np.ones(len(texts))], 1).astype(float)
+    prior = np.array([1.0, 0.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.025 * ((w - prior) ** 2).sum())
+
+    w = prior
+    for _ in range(50):
         p = sigmoid(x @ w)
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        w -= np.linalg.solve(h, x.T @ (p - target) + 0.05 * (w - [1, 0, 0]))
+        move = np.linalg.solve(h, x.T @ (p - target) + 0.05 * (w - prior))
+        while loss(w - move) > loss(w) and np.abs(move).max() > 1e-9:  # a whole Newton step can overshoot
+            move = move / 2
+        w = w - move
     model.scale = w
 
 

@@ -216,6 +216,14 @@ def test_toxicity(spark):
     assert all(r.score < 0.3 for r in toxicity.score(edge, flat).collect())
 
 
+def test_toxicity_calibration():
+    model = toxicity.Model.fresh(1)
+    texts = [prose(n % 90) for n in range(200)]
+    toxicity._calibrate(model, texts, np.array([n % 5 == 0 for n in range(200)], float))
+    assert np.abs(model.scale).max() < 100
+    assert abs(toxicity.Scorer(model).scores(texts).mean() - 0.2) < 0.02
+
+
 def test_toxicity_gradient():
     model, words = toxicity.Model.fresh(1), ["ab", "cde", "f"]
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
@@ -272,8 +280,7 @@ def test_pipeline(spark, tmp_path):
     codec = bpe.Codec(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     assert codec.decode(np.array(out[1].ids, "<u4").tobytes()).decode() == texts[1]
     assert "555-5742" not in codec.decode(np.array(out[5003].ids, "<u4").tobytes()).decode()
-    if (kept := len(set(clean) & out.keys())) < 0.98 * len(clean):
-        pytest.xfail(f"open: the toxicity stage keeps {kept} of {len(clean)} clean documents here; 98 of 100 are wanted")
+    assert len(set(clean) & out.keys()) >= 0.98 * len(clean)
 
 
 @pytest.mark.parametrize("name", ["op3_bpe"])

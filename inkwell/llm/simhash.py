@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, prepare
@@ -22,6 +22,9 @@ RADIUS = 3
 SHORT_RUN = 12
 #: Runs above this length are first divided by the bytes of the other half.
 LONG_RUN = 20_000
+#: For links by similarity: 32-bit segments of the wide fingerprint, and bits in
+#: which candidates may differ (pairs of similarity 0.8 differ in 45 on average).
+SEGMENTS, WIDE_RADIUS = 12, 60
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -70,6 +73,40 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     )
 
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th further 64 bits of each hash; the hash itself for 0."""
+    if not k:
+        return h
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, width: int = 3, segments: int = SEGMENTS) -> bytes:
+    """SimHash of ``segments`` (an even number) times 32 bits; the first 64 are
+    ``fingerprint``."""
+    hashes = shingle_hashes(text, width)
+    counts = np.zeros((segments // 2, 64), np.int64)
+    for i in range(0, len(hashes), 65_536):
+        for k in range(len(counts)):
+            block = _mixed(hashes[i : i + 65_536], k).view(np.uint8).reshape(-1, 8)
+            counts[k] += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").tobytes()
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """Fingerprints as unsigned words: one each, or a row of them each."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n = np.bitwise_count(x ^ y)
+    return n if n.ndim == 1 else n.sum(-1, dtype=np.int64)
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint under its two segments and under each segment with one
     set bit cleared: of two segments one bit apart, one clears to the other."""
@@ -104,7 +141,7 @@ def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while len(front) and len(rest):
             new = []
             for x in front:
-                near = np.bitwise_count(fp[rest] ^ fp[x]) <= radius
+                near = _apart(fp[rest], fp[x]) <= radius
                 if near.any():
                     got = rest[near]
                     found += [(int(x), int(y)) for y in got]
@@ -117,7 +154,7 @@ def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _run_edges(fp: np.ndarray, key: int, radius: int) -> Iterator[tuple[int, int]]:
-    if len(fp) <= LONG_RUN:
+    if fp.ndim > 1 or len(fp) <= LONG_RUN:
         yield from _forest(fp, radius)
         return
     other = 0 if key >> HALF == 0 else HALF
@@ -139,7 +176,7 @@ def _match(radius: int):
         short = np.repeat(sizes <= SHORT_RUN, sizes)
         for d in range(1, longest):
             i = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
+            i = i[_apart(fp[i], fp[i + d]) <= radius]
             us.append(rep[i])
             vs.append(rep[i + d])
         for s, n in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
@@ -152,7 +189,7 @@ def _match(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[tuple] = []  # parts of the run that is still open
         for batch in batches:
-            key, fp, rep = (batch.column(i).to_numpy() for i in range(3))
+            key, fp, rep = batch.column(0).to_numpy(), _bits(batch.column(1)), batch.column(2).to_numpy()
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1]))
@@ -162,11 +199,11 @@ def _match(radius: int):
             whole = [*left, (key[:last], fp[:last], rep[:last])]
             key_, fp_, rep_ = (np.concatenate([x[i] for x in whole]) for i in range(3))
             if len(key_):
-                yield flush(key_, fp_.view(np.uint64), rep_)
+                yield flush(key_, fp_, rep_)
             left = [(key[last:], fp[last:], rep[last:])]
         if left:
             key, fp, rep = (np.concatenate([x[i] for x in left]) for i in range(3))
-            yield flush(key, fp.view(np.uint64), rep)
+            yield flush(key, fp, rep)
 
     return run
 
@@ -212,11 +249,95 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_co
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, that of the smallest
-    doc_id. Rows with a null doc_id stay; of rows that share the kept id, one
-    stays (the first by text)."""
-    found = components(fingerprints(docs, width), radius)
+def _wide_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_probe``, for wide fingerprints and without repeating them."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            part = batch.slice(i, 2048)
+            segments, rep = _bits(part.column(0)).view(np.uint32).astype(np.uint64), part.column(1).to_numpy()
+            for table in range(segments.shape[1]):
+                segment, tag = segments[:, table], np.uint64(table << HALF)
+                keys, reps = [segment | tag], [rep]
+                for bit in range(HALF):
+                    has = np.flatnonzero(segment & np.uint64(1 << bit))
+                    keys.append((segment[has] & ~np.uint64(1 << bit)) | tag)
+                    reps.append(rep[has])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "rep"])
+
+
+def _verified(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[str, set]] = {}  # a text with many links is split once
+
+        def shingles(key: int, text: str) -> set:
+            if key not in known or known[key][0] != text:
+                if len(known) >= 64:
+                    known.clear()
+                known[key] = text, set(shingle_hashes(text, width).tolist())
+            return known[key][1]
+
+        for batch in batches:
+            us, vs = [], []
+            for row in range(batch.num_rows):
+                u, v, x, y = (batch.column(i)[row].as_py() for i in range(4))
+                x, y = shingles(u, x or ""), shingles(v, y or "")
+                both = len(x & y)
+                if both >= similarity * (len(x) + len(y) - both):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` by links of texts whose sets of ``width``-word
+    shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Multi-index hashing over 12 segments of a 384-bit SimHash of 3-word
+    shingles: 64 bits are too few to tell such similarities apart. A segment
+    goes under itself and under itself with one set bit cleared; keys that only
+    one fingerprint has are dropped before fingerprints are fetched. Pairs that
+    share a key and differ in at most ``radius`` bits are verified on the whole
+    texts. Runs of over 12 fingerprints that share a key give a spanning forest of
+    their pairs, each key another one. Equal fingerprints are one document, as
+    are rows of one id, which links if any of its texts does. Null and empty
+    texts have fingerprint zero and link with each other; rows with a null id
+    have a null component; repeated rows stay; other columns are not read.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+
+    fps = checkpointed(texts.mapInArrow(run, "doc_id long, fp binary"))
+    reps = checkpointed(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    keyed = reps.select("fp", "rep").mapInArrow(_wide_probe, "key long, rep long")
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    runs = shared.join(reps, "rep").select("key", "fp", "rep")
+    near = checkpointed(runs.repartition("key").sortWithinPartitions("key").mapInArrow(_match(radius), "u long, v long"))
+    prepare(spark)
+    pairs = near.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
+    both = pairs.join(side("u", "_x"), "u").join(side("v", "_y"), "v").select("u", "v", "_x", "_y")
+    found = connected_components(both.mapInArrow(_verified(width, similarity), "u long, v long"))
+    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, "fp", "left").select(
+        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    )
+
+
+def keep_one(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest doc_id.
+    ``classes`` has each doc_id with its component_id; by default those of
+    ``similar_components``. Rows with a null doc_id stay; of rows that share the
+    kept id, one stays (the first by text)."""
+    found = similar_components(docs) if classes is None else classes
     heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
     kept = docs.join(heads, docs.doc_id == heads._head, "left_semi")
     one = kept.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))

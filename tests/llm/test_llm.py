@@ -123,13 +123,41 @@ def test_simhash(spark):
     rows += [(300, None), (301, ""), (299, "  "), (302, base[0].upper()), (302, base[0].upper())]
     df = docs_of(spark, rows)
     assert rows_of(simhash.near_duplicates(df)) == brute_simhash(rows)
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df, simhash.components(simhash.fingerprints(df)))
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_simhash(rows)})
     assert simhash.near_duplicates(df.filter("doc_id < 0")).count() == 0
     assert simhash.near_duplicates(docs_of(spark, [(None, "a b")])).first().component_id is None
 
 
+def test_similar(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng.choice([60, 150, 400]), rng)) for i in range(120)]
+    for k in range(90):  # edited copies, some of them too far
+        w = rows[k % 30][1].split()
+        for _ in range(rng.randrange(1, max(2, len(w) // 30))):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((1000 + k, " ".join(w)))
+    rows += [(2000, None), (2001, ""), (2002, rows[0][1].upper()), (1000, rows[120][1])]
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    group = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        x, y = sets[i], sets[j]
+        if len(x & y) >= 0.8 * len(x | y):
+            a, b = sorted((group[i], group[j]))
+            group = {k: a if g == b else g for k, g in group.items()}
+    df = docs_of(spark, rows)
+    found = simhash.similar_components(df).select("doc_id", "component_id")
+    got = dict(map(tuple, found.collect()))
+    assert found.count() == len(rows)
+    assert sum(got[i] != group[i] for i in group) <= 0.03 * len(group)
+    assert all(group[i] == group[got[i]] for i in got)  # and no wrong link
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    assert simhash.similar_components(df.filter("doc_id < 0")).count() == 0
+    assert simhash.similar_components(docs_of(spark, [(None, "a b")])).first().component_id is None
+
+
 def test_simhash_runs():
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 1 << 63, 300).astype(np.uint64)

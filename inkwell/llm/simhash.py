@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, prepare
@@ -22,9 +22,9 @@ RADIUS = 3
 SHORT_RUN = 12
 #: Runs above this length are first divided by the bytes of the other half.
 LONG_RUN = 20_000
-#: For links by similarity: 32-bit segments of the wide fingerprint, and bits in
-#: which candidates may differ (pairs of similarity 0.8 differ in 45 on average).
-SEGMENTS, WIDE_RADIUS = 12, 60
+#: For links by similarity: bands of minima that make a candidate if equal. A
+#: pair of similarity 0.8 is missed in 1 of 350 cases (1 - 0.8**ROWS)**BANDS.
+BANDS, ROWS = 32, 8
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -73,38 +73,25 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     )
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th further 64 bits of each hash; the hash itself for 0."""
-    if not k:
-        return h
-    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of ``text``, sorted."""
+    return np.unique(shingle_hashes(text, width))
 
 
-def wide_fingerprint(text: str | None, width: int = 3, segments: int = SEGMENTS) -> bytes:
-    """SimHash of ``segments`` (an even number) times 32 bits; the first 64 are
-    ``fingerprint``."""
-    hashes = shingle_hashes(text, width)
-    counts = np.zeros((segments // 2, 64), np.int64)
-    for i in range(0, len(hashes), 65_536):
-        for k in range(len(counts)):
-            block = _mixed(hashes[i : i + 65_536], k).view(np.uint8).reshape(-1, 8)
-            counts[k] += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").tobytes()
-
-
-def _bits(column: pa.Array) -> np.ndarray:
-    """Fingerprints as unsigned words: one each, or a row of them each."""
-    if pa.types.is_integer(column.type):
-        return column.to_numpy().view(np.uint64)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of the band and of the minima of its ROWS
+    hash functions over ``shingles``; no shingles are one set like any other."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+    a |= np.uint64(1)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[i : i + 1024] * a + b).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    n = np.bitwise_count(x ^ y)
-    return n if n.ndim == 1 else n.sum(-1, dtype=np.int64)
+    return np.bitwise_count(x ^ y)
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +141,7 @@ def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _run_edges(fp: np.ndarray, key: int, radius: int) -> Iterator[tuple[int, int]]:
-    if fp.ndim > 1 or len(fp) <= LONG_RUN:
+    if len(fp) <= LONG_RUN:
         yield from _forest(fp, radius)
         return
     other = 0 if key >> HALF == 0 else HALF
@@ -189,7 +176,7 @@ def _match(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[tuple] = []  # parts of the run that is still open
         for batch in batches:
-            key, fp, rep = batch.column(0).to_numpy(), _bits(batch.column(1)), batch.column(2).to_numpy()
+            key, fp, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1]))
@@ -249,83 +236,119 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_co
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _wide_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``_probe``, for wide fingerprints and without repeating them."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            part = batch.slice(i, 2048)
-            segments, rep = _bits(part.column(0)).view(np.uint32).astype(np.uint64), part.column(1).to_numpy()
-            for table in range(segments.shape[1]):
-                segment, tag = segments[:, table], np.uint64(table << HALF)
-                keys, reps = [segment | tag], [rep]
-                for bit in range(HALF):
-                    has = np.flatnonzero(segment & np.uint64(1 << bit))
-                    keys.append((segment[has] & ~np.uint64(1 << bit)) | tag)
-                    reps.append(rep[has])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "rep"])
+def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the graph of the pairs of ``sets``
+    (sorted hashes) of a Jaccard similarity of ``similarity`` or more. A set
+    leaves the rest by such a link only. Sets are counted through the lists of
+    those that hold a shingle, so what shares none costs nothing."""
+    sizes = np.array([len(x) for x in sets])
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(values, kind="stable")
+    holder = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+    bounds = np.searchsorted(values[order], np.arange(values.max(initial=-1) + 2))
+    starts = np.r_[0, np.cumsum(sizes)]
+    rest, found, left = np.ones(len(sets), bool), [], len(sets)
+
+    def linked(x: int) -> np.ndarray:
+        if not sizes[x]:
+            return np.flatnonzero(rest & (sizes == 0))
+        both = np.zeros(len(sets), np.int64)
+        for i in range(starts[x], starts[x + 1], 256):
+            own = values[i : min(i + 256, starts[x + 1])]
+            runs = bounds[own + 1] - bounds[own]
+            at = np.arange(runs.sum()) + np.repeat(bounds[own] - np.cumsum(runs) + runs, runs)
+            both += np.bincount(holder[at], minlength=len(sets))
+        return np.flatnonzero(rest & (both >= similarity * (sizes + sizes[x] - both)))
+
+    for first in range(len(sets)):
+        if not rest[first]:
+            continue
+        rest[first], left, front = False, left - 1, [first]
+        while front and left:
+            got = linked(x := front.pop())
+            rest[got] = False
+            left -= len(got)
+            found += [(x, int(y)) for y in got]
+            front += got.tolist()
+    return found
 
 
-def _verified(width: int, similarity: float):
+def _set_batches(width: int):
+    """``doc_id, fp`` of every row, fp being a digest of its shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), width).tobytes()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+
+    return run
+
+
+def _band_batches(width: int):
+    """``key, rep`` for every band of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[str, set]] = {}  # a text with many links is split once
+        for batch in batches:
+            keys = [band_keys(shingle_set(t.as_py(), width)) for t in batch.column(1)]
+            if keys:
+                reps = np.repeat(batch.column(0).to_numpy(), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(reps)], ["key", "rep"])
+
+    return run
+
+
+def _verified(width: int, similarity: float):
+    """Links within the groups of candidates of a partition sorted by group."""
 
-        def shingles(key: int, text: str) -> set:
-            if key not in known or known[key][0] != text:
-                if len(known) >= 64:
-                    known.clear()
-                known[key] = text, set(shingle_hashes(text, width).tolist())
-            return known[key][1]
+    def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.array(set_links(sets, similarity), np.int64).reshape(-1, 2)
+        own = np.array(ids, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets = None, [], []
         for batch in batches:
-            us, vs = [], []
-            for row in range(batch.num_rows):
-                u, v, x, y = (batch.column(i)[row].as_py() for i in range(4))
-                x, y = shingles(u, x or ""), shingles(v, y or "")
-                both = len(x & y)
-                if both >= similarity * (len(x) + len(y) - both):
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+            for k, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if k != group and ids:
+                    yield links(ids, sets)
+                    ids, sets = [], []
+                group = k
+                ids.append(i)
+                sets.append(shingle_set(text.as_py(), width))
+        if ids:
+            yield links(ids, sets)
 
     return run
 
 
-def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` by links of texts whose sets of ``width``-word
-    shingles have a Jaccard similarity of ``similarity`` or more.
-
-    Multi-index hashing over 12 segments of a 384-bit SimHash of 3-word
-    shingles: 64 bits are too few to tell such similarities apart. A segment
-    goes under itself and under itself with one set bit cleared; keys that only
-    one fingerprint has are dropped before fingerprints are fetched. Pairs that
-    share a key and differ in at most ``radius`` bits are verified on the whole
-    texts. Runs of over 12 fingerprints that share a key give a spanning forest of
-    their pairs, each key another one. Equal fingerprints are one document, as
-    are rows of one id, which links if any of its texts does. Null and empty
-    texts have fingerprint zero and link with each other; rows with a null id
-    have a null component; repeated rows stay; other columns are not read.
+    shingles have a Jaccard similarity of ``similarity`` or more; ``fp`` is a
+    digest of the set.
+
+    Candidates come from MinHash over those sets, in 32 bands of 8 minima; texts
+    that share a band belong to one group of candidates, and in each group links
+    are searched for on the whole sets, whatever band they share. Texts of equal
+    sets are one document, as are rows of one id, which links if any of its texts
+    does. Null and empty texts have the empty set and link with each other; rows
+    with a null id have a null component; repeated rows stay; other columns are
+    not read. A group of candidates is worked on by one task, in memory: about 40
+    bytes a shingle.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
-
-    fps = checkpointed(texts.mapInArrow(run, "doc_id long, fp binary"))
+    fps = checkpointed(texts.mapInArrow(_set_batches(width), "doc_id long, fp binary"))
     reps = checkpointed(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    keyed = reps.select("fp", "rep").mapInArrow(_wide_probe, "key long, rep long")
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    runs = shared.join(reps, "rep").select("key", "fp", "rep")
-    near = checkpointed(runs.repartition("key").sortWithinPartitions("key").mapInArrow(_match(radius), "u long, v long"))
+    only = texts.join(reps.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    keyed = checkpointed(only.mapInArrow(_band_batches(width), "key long, rep long"))
+    lowest = keyed.groupBy("key").agg(F.min("rep").alias("u"), F.max("rep").alias("_last")).filter("u <> _last").select("key", "u")
+    near = connected_components(keyed.join(lowest, "key").select("u", F.col("rep").alias("v")))
+    groups = checkpointed(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
+    members = texts.join(groups, F.col("doc_id") == F.col("node")).select("component", "doc_id", "text")
     prepare(spark)
-    pairs = near.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
-    both = pairs.join(side("u", "_x"), "u").join(side("v", "_y"), "v").select("u", "v", "_x", "_y")
-    found = connected_components(both.mapInArrow(_verified(width, similarity), "u long, v long"))
+    sorted_ = members.repartition("component").sortWithinPartitions("component", "doc_id")
+    found = connected_components(sorted_.mapInArrow(_verified(width, similarity), "u long, v long"))
     classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")

@@ -158,6 +158,30 @@ def test_similar(spark):
     assert simhash.similar_components(docs_of(spark, [(None, "a b")])).first().component_id is None
 
 
+def edited(text, n, rng):
+    """With ``n`` words replaced, far enough apart not to share shingles."""
+    w = text.split()
+    step = len(w) // n
+    for k in range(n):
+        w[k * step + rng.randrange(step - 5)] = "x" + rng.choice(WORDS)
+    return " ".join(w)
+
+
+def test_similar_star(spark):
+    rng = random.Random(4)
+    original = " ".join(f"w{k}" for k in range(300))
+    rows = [(5000, original)] + [(k, edited(original, 5, rng)) for k in range(1000)]
+    assert len({c for _, c in simhash.similar_components(docs_of(spark, rows)).select("doc_id", "component_id").collect()}) == 1
+
+
+def test_set_links():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(150)]
+    pairs = {(i, j) for i in range(150) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
+    parts = lambda found: sorted(map(sorted, _classes(150, found)))
+    assert parts(simhash.set_links(sets, 0.5)) == parts(pairs)
+
+
 def test_simhash_runs():
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 1 << 63, 300).astype(np.uint64)

@@ -174,6 +174,14 @@ def test_similar_star(spark):
     assert len({c for _, c in simhash.similar_components(docs_of(spark, rows)).select("doc_id", "component_id").collect()}) == 1
 
 
+def test_similar_frequent_lines(spark):
+    line, many = "one line of nine words that comes very often\n", lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    rows = [(1, line * 150 + many("a", 100)), (2, line * 150 + many("b", 100)), (3, f"{many('c', 200)}\n{line}"), (4, f"{many('c', 200)}\n{line * 6}")]
+    rows += [(7, many("d", 150)), (8, many("d", 150) + " end")]
+    found = simhash.similar_components(docs_of(spark, rows)).select("doc_id", "component_id")
+    assert dict(map(tuple, found.collect())) == {1: 1, 2: 2, 3: 3, 4: 3, 7: 7, 8: 7}
+
+
 def test_set_links():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(150)]

@@ -102,13 +102,14 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within:
 
     Texts are cut by content, white space counting as single blanks; chunks with
     equal digests are the same chunk, and
-    a run of neighbouring chunks that occur elsewhere too is a passage if
-    ``least_words`` words begin in it. With ``within``, what one document repeats
-    counts too. Returns ``doc_id, start, stop, n_words,
+    a run of neighbouring chunks that occur elsewhere too counts if
+    ``least_words`` words begin in it; it is broken into passages where chunks
+    that occur before meet chunks that occur here first. With ``within``, what one
+    document repeats counts too. Returns ``doc_id, start, stop, n_words,
     n_chunks, first_doc_id, removed`` per passage: byte offsets into the UTF-8
     text, the smallest doc_id that holds one of its chunks, and whether the
     dedup removes it (every chunk occurs before, in an earlier document or
-    earlier in this one; a partly new passage counts by its first chunk).
+    earlier in this one), so that the first occurrence of every chunk stays.
 
     Repeated rows with one doc_id are one document read twice and so repeat
     nothing. Rows with a null id, null and empty texts have no passage. Digests
@@ -124,20 +125,19 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within:
     shared = chunks.join(many, "digest").select("doc_id", "start", "stop", "words", first.alias("first_doc_id"), (F.col("first") == place).alias("new"))
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     runs = shared.distinct().withColumn("gap", F.coalesce((F.lag("stop").over(w) < F.col("start")).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        runs.groupBy("doc_id", "run")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("stop").alias("stop"),
-            F.sum("words").alias("n_words"),
-            F.count("*").alias("n_chunks"),
-            F.min("first_doc_id").alias("first_doc_id"),
-            (~F.min_by("new", "start")).alias("removed"),
-        )
-        .filter(F.col("n_words") >= least_words)
-        .drop("run")
+    turn = F.greatest("gap", (F.lag("new").over(w) != F.col("new")).cast("int"))
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("run", F.sum("gap").over(up_to)).withColumn("turn", turn).withColumn("part", F.sum("turn").over(up_to))
+    parts = runs.groupBy("doc_id", "run", "part").agg(
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        F.sum("words").alias("n_words"),
+        F.count("*").alias("n_chunks"),
+        F.min("first_doc_id").alias("first_doc_id"),
+        (~F.first("new")).alias("removed"),
     )
+    words = F.sum("n_words").over(Window.partitionBy("doc_id", "run"))
+    return parts.withColumn("_words", words).filter(F.col("_words") >= least_words).drop("run", "part", "_words")
 
 
 def without_repeats(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:

@@ -322,6 +322,21 @@ def test_chunks(spark):
     assert chunks.cuts(b"") == []
 
 
+def test_chunks_first_stays(spark):
+    header, passage = prose(60), prose(90)
+    rows = [(1, f"{header} {prose(30)}"), (2, f"{prose(20)} {header} {passage} {prose(20)}"), (3, f"{prose(25)} {header} {passage} {prose(15)}"), (4, f"{passage} {header}")]
+    docs = docs_of(spark, rows)
+    digests = lambda df: {bytes(r.digest) for r in chunks.chunk_table(df).collect()}
+    held = [r for r in chunks.repeated_passages(docs).collect() if r.removed]
+    spans = {}
+    for r in held:
+        spans.setdefault(r.doc_id, []).append((r.start, r.stop))
+    left = {bytes(r.digest) for r in chunks.chunk_table(docs).collect() if not any(a <= r.start and r.stop <= b for a, b in spans.get(r.doc_id, []))}
+    assert left == digests(docs) and {2, 3, 4} <= spans.keys()
+    clean = {r.doc_id: r.text for r in chunks.without_repeats(docs).collect()}
+    assert passage[60:-60] in clean[2] and passage[60:-60] not in clean[3] and header[60:-60] not in clean[2]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

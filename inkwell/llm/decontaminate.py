@@ -124,9 +124,10 @@ class Index:
             sieve[(hashes >> np.uint64(20)) & np.uint64((1 << 20) - 1)] = True
             self.tables[key] = hashes, np.array([x[1:] for x in rows]), sieve
 
-    def matches(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in ``data`` an item's beginning would lie, and which item's."""
-        places, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def matches(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in ``data`` an item's beginning would lie, which item's, and
+        where the window was found."""
+        places, items, hits = ([np.empty(0, np.int64)] for _ in range(3))
         for i in range(0, len(starts), STARTS_AT_ONCE):
             part = starts[i : i + STARTS_AT_ONCE]
             hashed = self.walk.hashes(data, part)
@@ -137,7 +138,8 @@ class Index:
                 for at, a, b in zip(part[hit], low, high, strict=True):
                     places.append(at - rows[a:b, 1])
                     items.append(rows[a:b, 0])
-        return np.concatenate(places), np.concatenate(items)
+                    hits.append(np.full(b - a, at))
+        return np.concatenate(places), np.concatenate(items), np.concatenate(hits)
 
     def leaks(self, texts: list[str], similarity: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(index of the text, item id, distance, start, end) of every item that
@@ -151,19 +153,16 @@ class Index:
             bounds.append(at)
             at += len(x) + gap
         starts = np.flatnonzero((data[1:] != 0) & ((data[:-1] == 0) | (data[:-1] == 32))) + 1
-        places, items = self.matches(data, starts)
-        bounds_ = np.array(bounds)
-        owner = np.searchsorted(bounds_, places + gap // 2, "right") - 1
+        places, items, hits = self.matches(data, starts)
+        owner = np.searchsorted(np.array(bounds), hits, "right") - 1  # an item may lack its beginning
         tried: dict[tuple[int, int], list[int]] = defaultdict(list)
         for place, item, own in sorted(set(zip(places.tolist(), items.tolist(), owner.tolist(), strict=True))):
-            if own < 0:
-                own = 0
             tried[own, item].append(place - bounds[own])
         best: dict[tuple[int, int], tuple] = {}
         for (own, k), spots in tried.items():
             ident, item = self.items[k]
             limit = int((1 - similarity) * len(item) + 1e-9)
-            done = -1
+            done = -len(item)  # a beginning may lie before the text
             for spot in spots:
                 if spot < done:  # that stretch has been aligned
                     continue

@@ -248,6 +248,14 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs_of(spark, rows), none).count() == 0
 
 
+def test_decontaminate_cut_front():
+    item = prose(50)
+    cut = item[item.index(" ", 25) + 1 :]
+    assert len(item) - len(cut) <= 0.2 * len(item)
+    for texts in ([cut], [prose(40), f"{cut} {prose(30)}"], ["", cut]):
+        assert [x[:2] for x in decontaminate.Index([(7, item)]).leaks(texts, 0.8)] == [(len(texts) - 1, 7)]
+
+
 def test_edit_distance():
     for _ in range(200):
         a, b = ("".join(RNG.choices("ab", k=RNG.randint(1, 12))) for _ in range(2))

@@ -1,14 +1,18 @@
 """Benchmark passages in documents: CGK embedding, bit-sampling LSH, exact edit
 verification.
 
-The CGK random walk reads a window symbol by symbol; at every step it writes the
+The CGK random walk reads a string symbol by symbol; at every step it writes the
 current symbol and a random bit, drawn for the step and the symbol, says whether
 to move on. Strings at a small edit distance are thereby mapped to strings at a
-small Hamming distance, of which samples of positions are hashed. Windows begin
-at every word of every document and at every word of every item, so that any
-stretch of an item that is left alone, wherever it lies, has a window beginning
-in it; a match places the whole item-sized window in the document, and the edit
-distance to it is then computed exactly.
+small Hamming distance, of which samples of positions are hashed.
+
+An item-sized window is embedded by walks that begin anew at each of its words,
+so that an insertion disturbs the walks around it and no others. Each repetition
+is one word's walk under one of WALKS draws of moves and sampled positions: a
+window of n words has n * WALKS repetitions, spread over the whole of it. Two
+windows that agree in enough repetitions on one diagonal are a candidate; of the
+candidates those stay that some block of the item allows, and of these the edit
+distance is computed exactly.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,14 +30,22 @@ from .common import groups, prepare
 
 #: Similarity (1 - edit distance / item length) that makes a leak.
 SIMILARITY = 0.8
-#: Walk steps by item length: an item shorter than the second number takes the
-#: next tier. The shortest are found by their whole text.
-TIERS = ((40, 64), (20, 32), (10, 16))
-#: Sampled positions of each repetition (share of the steps).
-REPETITIONS, SHARE = 2, 0.6
+#: Least item length and walk steps of each tier: the shorter an item, the fewer
+#: repetitions it has, and the likelier each must be to agree. Items shorter than
+#: the last are found by their whole text. The target is a recall of 0.9 at the
+#: least similarity for items of 40 characters or more (the tests hold to it).
+TIERS = ((96, 26), (40, 14), (16, 10))
+#: Draws of moves and positions, and the share of the steps that is sampled.
+WALKS, SHARE = 3, 0.7
+#: Repetitions that must agree, by the number of words of the item: as many as
+#: leave the recall over its target at the least similarity.
+AGREE = ((32, 2), (0, 1))
 #: Characters of benchmark text in one broadcast; larger tables go in slices.
 SLICE_CHARS = 16_000_000
 STARTS_AT_ONCE = 32_768
+BLOCK = 64
+#: Code points from here on are written without blanks: each begins a walk.
+NO_BLANKS = 0x2E80
 
 
 def normalise(text: str | None) -> str:
@@ -40,46 +53,45 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def symbols(text: str) -> np.ndarray:
-    """Code points folded to a byte each."""
+def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points folded to a byte each, and where walks begin."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return (points ^ (points >> 8)).astype(np.uint8)
+    data = (points ^ (points >> 8)).astype(np.uint8)
+    begins = (points == 32) | (points == 0)
+    begins = np.r_[True, begins[:-1]] | (points >= NO_BLANKS)
+    return data, np.flatnonzero(begins & (points != 0) & (points != 32))
 
 
 class Walk:
-    """One random walk with sampled positions, the same everywhere."""
+    """One draw of moves and sampled positions, the same everywhere."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        steps = TIERS[0][0]
+        steps = TIERS[0][1]
+        weights = rng.integers(1, 1 << 62, (steps, 256)).astype(np.uint64) | np.uint64(1)
+        taken = rng.random(steps) < SHARE
+        taken[0] = True
         self.moves = rng.integers(0, 2, (steps, 256)).astype(np.int32)
-        weights = rng.integers(1, 1 << 62, (REPETITIONS, steps, 256)).astype(np.uint64) | np.uint64(1)
-        taken = rng.random((REPETITIONS, steps)) < SHARE
-        taken[:, 0] = True
-        self.weights = np.where(taken[:, :, None], weights, np.uint64(0))
-        self.taken = taken
-
-    def hashes(self, data: np.ndarray, starts: np.ndarray) -> list[list[np.ndarray]]:
-        """Hash of every start by tier (in the order of TIERS, the shortest walk
-        being a prefix of the longest) and repetition."""
-        at = starts.astype(np.int32)
-        sums = [np.zeros(len(at), np.uint64) for _ in range(REPETITIONS)]
-        marks = {tier[0]: i for i, tier in enumerate(TIERS)}
-        out: list = [None] * len(TIERS)
-        for t in range(TIERS[0][0]):
-            c = data.take(at)
-            for k in range(REPETITIONS):
-                if self.taken[k, t]:
-                    sums[k] += self.weights[k, t].take(c)
-            at += self.moves[t].take(c)
-            if t + 1 in marks:
-                out[marks[t + 1]] = [s.copy() for s in sums]
+        self.weights = [w if t else None for w, t in zip(weights, taken, strict=True)]
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, steps: set[int]) -> dict[int, np.ndarray]:
+        """Hash of the walk from every start after each number of ``steps``."""
+        at, out = starts.astype(np.int32), {}
+        total = np.zeros(len(at), np.uint64)
+        for t in range(max(steps)):
+            c = data.take(at, mode="clip")
+            if self.weights[t] is not None:
+                total += self.weights[t].take(c, mode="clip")
+            at += self.moves[t].take(c, mode="clip")
+            if t + 1 in steps:
+                out[t + 1] = total.copy()
         return out
 
 
-def edit_within(item: str, text: str, limit: int) -> tuple[int, int] | None:
+def edit_within(item: str, text: str, limit: int, anchored: bool = False) -> tuple[int, int] | None:
     """Least edit distance of ``item`` to any part of ``text`` and the end of
-    that part, or None if over ``limit`` (bit-parallel, exact)."""
+    that part, the first such, or None if over ``limit`` (bit-parallel, exact).
+    Of ``anchored`` parts only those at the beginning of ``text`` count."""
     m = len(item)
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(item):
@@ -92,7 +104,7 @@ def edit_within(item: str, text: str, limit: int) -> tuple[int, int] | None:
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv) & full, pv & xh
         score += bool(ph & top) - bool(mh & top)
-        ph, mh = ph << 1 & full, mh << 1 & full
+        ph, mh = (ph << 1 | anchored) & full, mh << 1 & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
         if score < best[0]:
             best = (score, j)
@@ -100,87 +112,188 @@ def edit_within(item: str, text: str, limit: int) -> tuple[int, int] | None:
 
 
 class Index:
-    """Hashes of the windows of the items, and a filter over them."""
+    """Hashes of the walks of the items, and masks of their blocks."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.walk = Walk()
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
+        self.similarity = similarity
+        self.walks = [Walk(seed) for seed in range(1, WALKS + 1)]
         self.items = [(i, x) for i, t in items if (x := normalise(t))]
-        self.tiny = [k for k, (_, x) in enumerate(self.items) if len(x) < TIERS[-1][1]]
-        found: dict[tuple[int, int], list] = defaultdict(list)
+        self.limits = np.array([int((1 - similarity) * len(x) + 1e-9) for _, x in self.items], np.int64)
+        self.agree = np.ones(len(self.items), np.int64)
+        self.tiny = ahocorasick.Automaton()
         for k, (_, x) in enumerate(self.items):
-            tier = next((i for i, (_, n) in enumerate(TIERS) if len(x) >= n), None)
-            if tier is None:
+            if len(x) < TIERS[-1][0]:
+                self.tiny.add_word(f" {x} ", [*self.tiny.get(f" {x} ", []), k])
+        if len(self.tiny):
+            self.tiny.make_automaton()
+        self.tables = []
+        longest = TIERS[0][1]
+        for low, high in zip(TIERS, [(1 << 40, 0), *TIERS], strict=False):
+            some = [k for k, (_, x) in enumerate(self.items) if low[0] <= len(x) < high[0]]
+            if not some:
                 continue
-            data = np.r_[symbols(x), np.zeros(TIERS[0][0], np.uint8)]
-            starts = np.r_[0, np.flatnonzero(data[: len(x)] == 32) + 1]
-            starts = starts[starts <= len(x) - TIERS[tier][0]]
-            for r, h in enumerate(self.walk.hashes(data, starts)[tier]):
-                found[tier, r] += [(int(a), k, int(s)) for a, s in zip(h, starts, strict=True)]
-        self.tables = {}
-        for key, rows in found.items():
-            rows.sort()
-            hashes = np.array([x[0] for x in rows], np.uint64)
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(hashes >> np.uint64(20)) & np.uint64((1 << 20) - 1)] = True
-            self.tables[key] = hashes, np.array([x[1:] for x in rows]), sieve
+            data, starts = symbols(("\0" * longest).join([*(self.items[k][1] for k in some), ""]))
+            sizes = np.array([len(self.items[k][1]) for k in some])
+            begins = np.r_[0, np.cumsum(sizes + longest)[:-1]]
+            own = np.searchsorted(begins, starts, "right") - 1
+            words = np.bincount(own, minlength=len(some))
+            self.agree[some] = [next(a for n, a in AGREE if w >= n) for w in words]
+            rows = np.stack([np.array(some)[own], starts - begins[own]], 1)
+            for r, walk in enumerate(self.walks):
+                found = walk.hashes(data, starts, {low[1]})[low[1]]
+                order = np.argsort(found, kind="stable")
+                bits = max(16, (8 * len(found)).bit_length())
+                sieve = np.zeros(1 << bits, bool)
+                sieve[(found >> np.uint64(20)) & np.uint64((1 << bits) - 1)] = True
+                self.tables.append((r, low[1], found[order], rows[order], sieve, np.uint64((1 << bits) - 1)))
+        self.steps = {t[1] for t in self.tables}
+        # masks of the blocks of every item, over symbols folded to 5 bits
+        counts = np.array([-(-len(x) // BLOCK) for _, x in self.items], np.int64)
+        self.first = np.r_[0, np.cumsum(counts)]
+        self.block_at, self.block_size = (np.zeros(self.first[-1], np.int64) for _ in range(2))
+        self.masks = np.zeros((self.first[-1], 32), np.uint64)
+        for k, (_, x) in enumerate(self.items):
+            data, n = symbols(x)[0] & 31, counts[k]
+            edges = np.arange(n + 1) * len(x) // n
+            for j in range(n):
+                b, part = self.first[k] + j, data[edges[j] : edges[j + 1]]
+                self.block_at[b], self.block_size[b] = edges[j], len(part)
+                np.bitwise_or.at(self.masks[b], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
 
     def matches(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where in ``data`` an item's beginning would lie, which item's, and
-        where the window was found."""
-        places, items, hits = ([np.empty(0, np.int64)] for _ in range(3))
-        for i in range(0, len(starts), STARTS_AT_ONCE):
+        """Walks that agree: where in ``data``, which item's, and how far from
+        the item's beginning."""
+        hits, rows = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
+        for i in range(0, len(starts) if self.tables else 0, STARTS_AT_ONCE):
             part = starts[i : i + STARTS_AT_ONCE]
-            hashed = self.walk.hashes(data, part)
-            for (tier, r), (hashes, rows, sieve) in self.tables.items():
-                h = hashed[tier][r]
-                hit = np.flatnonzero(sieve[(h >> np.uint64(20)) & np.uint64((1 << 20) - 1)])
+            hashed = [walk.hashes(data, part, self.steps) for walk in self.walks]
+            for r, steps, hashes, own, sieve, mask in self.tables:
+                h = hashed[r][steps]
+                hit = np.flatnonzero(sieve.take((h >> np.uint64(20)) & mask))
                 low, high = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
-                for at, a, b in zip(part[hit], low, high, strict=True):
-                    places.append(at - rows[a:b, 1])
-                    items.append(rows[a:b, 0])
-                    hits.append(np.full(b - a, at))
-        return np.concatenate(places), np.concatenate(items), np.concatenate(hits)
-
-    def leaks(self, texts: list[str], similarity: float) -> Iterator[tuple[int, int, int, int, int]]:
-        """(index of the text, item id, distance, start, end) of every item that
-        a text holds; positions are in the normalised text and the end is that
-        of the best part."""
-        gap = TIERS[0][0]
+                n = high - low
+                which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hits.append(np.repeat(part[hit], n))
+                rows.append(own[which])
+        rows = np.concatenate(rows)
+        return np.concatenate(hits), rows[:, 0], rows[:, 1]
+
+    def candidates(self, hits: np.ndarray, item: np.ndarray, far: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Rows (text, item, bucket) of diagonals on which enough walks agree.
+        Buckets are as wide as an item's limit and overlap by half."""
+        half = np.maximum(self.limits[item] // 2, 4)
+        bucket = (hits - far) // half
+        # a hit falls into the bucket that begins at its half and the one before;
+        # where one hit is enough, into the former only
+        rows = np.stack([owner, item, bucket, far], 1)
+        rows = np.concatenate([rows, (rows - [0, 0, 1, 0])[self.agree[item] > 1]])
+        if not len(rows):
+            return rows[:, :3]
+        # a text lies at one place of the data, so item and bucket tell the rest
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        new = np.r_[True, (rows[1:] != rows[:-1]).any(1)]
+        rows = rows[new]
+        begins = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)])
+        count = np.diff(np.r_[begins, len(rows)])
+        found = rows[begins, :3]
+        return found[count >= self.agree[found[:, 1]]]
+
+    def windows(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What part of ``data`` the item may cover, if it lies on the bucket's
+        diagonals, within its text (from ``low`` to ``high``)."""
+        item = rows[:, 1]
+        limit, size = self.limits[item], np.array([len(x) for _, x in self.items])[item]
+        half = np.maximum(limit // 2, 4)
+        begin = rows[:, 2] * half - limit
+        return np.maximum(begin, low), np.minimum(begin + 2 * half + size + 2 * limit + 1, high)
+
+    def possible(self, data: np.ndarray, rows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which candidates some block allows: if the item is within its limit,
+        one of its n blocks is within a share of it (no candidate is lost)."""
+        item = rows[:, 1]
+        n = self.first[item + 1] - self.first[item]
+        row = np.repeat(np.arange(len(item)), n)
+        block = np.repeat(self.first[item] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        share = (self.limits[item] // n)[row]
+        out = np.zeros(len(item), bool)
+        folded = data & 31
+        limit, half = self.limits[item], np.maximum(self.limits[item] // 2, 4)
+        low = np.maximum(begin[row], (rows[:, 2] * half - limit)[row] + self.block_at[block])
+        high = np.minimum(end[row], low + self.block_size[block] + (2 * half + 2 * limit)[row] + 1)
+        order = np.argsort(high - low, kind="stable")
+        for i in range(0, len(order), 16_384):
+            at = order[i : i + 16_384]
+            ok = self._block_distance(folded, low[at], high[at], block[at]) <= share[at]
+            out[row[at[ok]]] = True
+        return out
+
+    def _block_distance(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Least edit distance of each block to any part of its stretch of data,
+        all blocks in step, each in one word."""
+        one = np.uint64(1)
+        flat, base = self.masks.reshape(-1), block * 32
+        last = (self.block_size[block] - 1).astype(np.uint64)
+        pv, mv = np.full(len(low), ~np.uint64(0)), np.zeros(len(low), np.uint64)
+        score = self.block_size[block].copy()
+        best = score.copy()
+        for t in range(int((high - low).max(initial=0))):
+            at = low + t
+            eq = flat.take(base + data.take(at, mode="clip"))
+            eq[at >= high] = 0  # past the end nothing matches, which adds nothing
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            score += ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
+            ph, mh = ph << one, mh << one
+            pv, mv = mh | ~(xv | ph), ph & xv
+            np.minimum(best, score, out=best)
+        return best
+
+    def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(index of the text, item id, distance, start, stop) of every item that
+        a text holds; positions are those of the best part, in the normalised
+        text."""
+        gap = TIERS[0][1] + 1
         clean = [normalise(t) for t in texts]
-        data = symbols(("\0" * gap).join(["", *clean, ""]))
-        bounds, at = [], gap
-        for x in clean:
-            bounds.append(at)
-            at += len(x) + gap
-        starts = np.flatnonzero((data[1:] != 0) & ((data[:-1] == 0) | (data[:-1] == 32))) + 1
-        places, items, hits = self.matches(data, starts)
-        owner = np.searchsorted(np.array(bounds), hits, "right") - 1  # an item may lack its beginning
-        tried: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for place, item, own in sorted(set(zip(places.tolist(), items.tolist(), owner.tolist(), strict=True))):
-            tried[own, item].append(place - bounds[own])
+        data, starts = symbols(("\0" * gap).join(["", *clean, ""]))
+        sizes = np.array([len(x) for x in clean], np.int64)
+        bounds = gap + np.r_[0, np.cumsum(sizes + gap)][:-1]
+        hits, item, far = self.matches(data, starts)
+        owner = np.searchsorted(bounds, hits, "right") - 1  # an item may lack its beginning
+        rows = self.candidates(hits, item, far, owner)
+        begin, end = self.windows(rows, bounds[rows[:, 0]], (bounds + sizes)[rows[:, 0]])
+        good = self.possible(data, rows, begin, end)
         best: dict[tuple[int, int], tuple] = {}
-        for (own, k), spots in tried.items():
-            ident, item = self.items[k]
-            limit = int((1 - similarity) * len(item) + 1e-9)
-            done = -len(item)  # a beginning may lie before the text
-            for spot in spots:
-                if spot < done:  # that stretch has been aligned
-                    continue
-                begin = max(0, spot - 2 * limit - 8)
-                done = spot + limit
-                end = done + len(item) + 2 * limit + 8
-                got = edit_within(item, clean[own][begin:end], limit)
-                if got and (got[0], begin) < best.get((own, ident), ((1 << 60),))[:2]:
-                    stop = begin + got[1]
-                    best[own, ident] = (got[0], begin, max(0, stop - len(item)), stop)
-        for k in self.tiny:
-            ident, item = self.items[k]
-            for own, text in enumerate(clean):
-                if (own, ident) not in best and f" {item} " in f" {text} ":
-                    stop = f" {text} ".index(f" {item} ") + len(item)
-                    best[own, ident] = (0, 0, stop - len(item), stop)
-        for (own, ident), (distance, _, start, stop) in sorted(best.items()):
-            yield own, ident, distance, start, stop
+        for (own, k, _), a, b in zip(rows[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True):
+            ident, text = self.items[k]
+            a, b = a - bounds[own], b - bounds[own]
+            got = edit_within(text, clean[own][a:b], int(self.limits[k]))
+            if got:
+                stop = int(a + got[1])
+                back = clean[own][max(0, stop - len(text) - int(self.limits[k])) : stop][::-1]
+                start = stop - edit_within(text[::-1], back, len(text), anchored=True)[1]
+                best[own, ident] = min(best.get((own, ident), (1 << 60,)), (got[0], start, stop))
+        for own, text in enumerate(clean) if len(self.tiny) else ():
+            for at, ks in self.tiny.iter(f" {text} "):
+                for k in ks:
+                    ident, x = self.items[k]
+                    best[own, ident] = min(best.get((own, ident), (1 << 60,)), (0, at - len(x) - 1, at - 1))
+        for (own, ident), found in sorted(best.items()):
+            yield own, ident, *found
+
+
+def _indexes(benchmark: DataFrame, similarity: float) -> Iterator[Index]:
+    """Indexes of slices of the items, each of bounded size."""
+    items = (
+        benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+        .filter("item_id IS NOT NULL AND text IS NOT NULL")
+        .distinct()
+    )
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices = -(-total // SLICE_CHARS)
+    for k in range(slices):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).toArrow()
+        yield Index(sorted(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), similarity)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,42 +302,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     One row for each document row and item of which some part of the document
     is at an edit distance of at most ``(1 - similarity) * length``, over lower
     case with single spaces: ``doc_id, item_id, distance, start, stop`` (of the
-    best part found, in that text). Items shorter than 16 characters must occur
-    as whole words. The items are gathered and broadcast in slices of bounded
-    size, each slice being held against all documents. Null and empty texts,
-    null item texts and rows with a null item id give no link; repeated document
-    rows give their links again, repeated items one link; either table may be
-    empty; other columns are not read.
+    best part found, in that text, by characters). Items shorter than 16
+    characters must occur as whole words. The items are gathered and broadcast in
+    slices of bounded size, each slice being held against all documents. Null and
+    empty texts, null item texts and rows with a null item id give no link;
+    repeated document rows give their links again, repeated items one link, and
+    of items with one id the best counts; either table may be empty; other
+    columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
-    items = (
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-        .filter("item_id IS NOT NULL AND text IS NOT NULL")
-        .distinct()
-    )
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = -(-total // SLICE_CHARS)
     schema = "doc_id long, item_id long, distance int, start int, stop int"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for k in range(slices):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).toArrow()
-        index = Index(sorted(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)))
-        found = rows.mapInArrow(_finder(spark.sparkContext.broadcast(index), similarity), schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    found = [rows.mapInArrow(_finder(spark.sparkContext.broadcast(x)), schema) for x in _indexes(benchmark, similarity)]
+    if not found:
         return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id", "distance", "start", "stop").agg(F.count("*").alias("_n")).drop("_n") if slices > 1 else out
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def _finder(shared, similarity: float):
+def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             ids, texts, done = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
             for part in groups(texts):
-                found = list(zip(*index.leaks(part, similarity), strict=True))
+                found = list(zip(*index.leaks(part), strict=True))
                 if found:
                     owner = pa.array([done + i for i in found[0]])
                     rest = [pa.array(found[1], pa.int64()), *(pa.array(x, pa.int32()) for x in found[2:])]
@@ -234,9 +339,26 @@ def _finder(shared, similarity: float):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. Rows with a
-    null doc_id are judged by the same rule through their own text only if the
-    id is known; without one they stay."""
-    leaked = find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaked, docs.doc_id == leaked._leak, "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, by the rule
+    of ``find_leaks``, in one pass without a shuffle. Each row is judged by its
+    own text, whatever its id; rows with a null text stay; all columns stay."""
+    spark = docs.sparkSession
+    prepare(spark)
+    at = docs.columns.index(text_col)
+    for index in _indexes(benchmark, similarity):
+        docs = docs.mapInArrow(_keeper(spark.sparkContext.broadcast(index), at), docs.schema)
+    return docs
+
+
+def _keeper(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            good, done = np.ones(batch.num_rows, bool), 0
+            for part in groups([t or "" for t in batch.column(at).to_pylist()]):
+                good[[done + x[0] for x in index.leaks(part)]] = False
+                done += len(part)
+            yield batch.filter(pa.array(good))
+
+    return run

@@ -253,7 +253,7 @@ def test_decontaminate_cut_front():
     cut = item[item.index(" ", 25) + 1 :]
     assert len(item) - len(cut) <= 0.2 * len(item)
     for texts in ([cut], [prose(40), f"{cut} {prose(30)}"], ["", cut]):
-        assert [x[:2] for x in decontaminate.Index([(7, item)]).leaks(texts, 0.8)] == [(len(texts) - 1, 7)]
+        assert [x[:2] for x in decontaminate.Index([(7, item)], 0.8).leaks(texts)] == [(len(texts) - 1, 7)]
 
 
 def test_edit_distance():

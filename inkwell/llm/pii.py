@@ -19,8 +19,8 @@ FIRST_DAY, DATE_SIDES = "1900-01-01", (229, 319)
 SSN_SIDES = (898, 99, 9999)
 
 # The formats.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
-CREDENTIAL = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b[\"']?\s?[=:]\s?[\"']?)[A-Za-z0-9_+/-]{16,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}(?<!-)\.){1,8}[A-Za-z]{2,63}"
+CREDENTIAL = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b[\"']?\s?[=:]\s?[\"']?)[A-Za-z0-9_+/-]{16,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-]|\.\d)"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
@@ -32,6 +32,10 @@ KINDS = ("email", "credential", "iban", "date", "ip", "ssn", "phone", "card")
 #: No match without this.
 CHEAP = r"[@]|\d\d|\d\.\d|(?i:token|secret|passw|key)"
 
+# The calling codes of two digits.
+CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+CODES = ", ".join(f"'{x}'" for x in CODES.split())
+
 DIGITS = "0123456789"
 SYMBOLS = DIGITS + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -42,16 +46,16 @@ def _sql(column: str) -> str:
 
 def feistel(symbols: str, moduli: str, key: str, kind: str) -> str:
     """SQL: the array ``symbols``, each entry below its entry of ``moduli``,
-    permuted under ``key``. Each round adds, modulo, a keyed digest of one half
-    to the other, so it can be undone whatever the digest."""
-    mix = "cast(conv(substr(sha2(concat_ws('|', {key}, '{kind}', r, i, array_join({other}, ',')), 256), 1, 12), 16, 10) as bigint)"
-    left = mix.format(key=key, kind=kind, other="a.right")
-    right = mix.format(key=key, kind=kind, other="a.left")
+    permuted under ``key``. Each round adds, modulo, numbers drawn from a keyed
+    digest of one half to the other, so it can be undone whatever the digest; the
+    work grows with the length."""
+    digest = "sha2(concat_ws('|', {key}, '{kind}', r, array_join({other}, ',')), 256)"
+    mix = "cast(conv(substr(sha2(concat(h, '|', i), 256), 1, 12), 16, 10) as bigint)"
+    left = _let("h", digest.format(key=key, kind=kind, other="a.right"), f"transform(a.left, (x, i) -> (x + {mix}) % element_at(fm, i + 1))")
+    right = _let("h", digest.format(key=key, kind=kind, other="a.left"), f"transform(a.right, (x, i) -> (x + {mix}) % element_at(fm, fh + i + 1))")
     rounds = f"""aggregate(sequence(0, {ROUNDS - 1}),
         struct(slice(fs, 1, fh) as left, slice(fs, fh + 1, size(fs)) as right),
-        (a, r) -> struct(
-            if(r % 2 = 0, transform(a.left, (x, i) -> (x + {left}) % element_at(fm, i + 1)), a.left) as left,
-            if(r % 2 = 1, transform(a.right, (x, i) -> (x + {right}) % element_at(fm, fh + i + 1)), a.right) as right),
+        (a, r) -> struct(if(r % 2 = 0, {left}, a.left) as left, if(r % 2 = 1, {right}, a.right) as right),
         a -> concat(a.left, a.right))"""
     return _let("fs", symbols, _let("fm", moduli, _let("fh", "cast(size(fs) div 2 as int)", rounds)))
 
@@ -85,9 +89,10 @@ def _luhn(digits: str, parity: int) -> str:
         2 * element_at({digits}, i + 1) - if(element_at({digits}, i + 1) > 4, 9, 0), element_at({digits}, i + 1)))"""
 
 
-def _refill(m: str, digits: str) -> str:
-    """SQL: ``m`` with its digits replaced, in order, by those of ``digits``."""
-    return f"""aggregate(split({m}, ''), struct('' as t, 0 as n), (a, c) -> if(c between '0' and '9',
+def _refill(m: str, digits: str, slots: str = "c between '0' and '9'") -> str:
+    """SQL: ``m`` with its digits (or the ``slots``) replaced, in order, by the
+    entries of ``digits``."""
+    return f"""aggregate(split({m}, ''), struct('' as t, 0 as n), (a, c) -> if({slots},
         struct(concat(a.t, cast(element_at({digits}, a.n + 1) as string)) as t, a.n + 1 as n), struct(concat(a.t, c) as t, a.n as n)), a -> a.t)"""
 
 
@@ -106,11 +111,13 @@ def _mod97(text: str) -> str:
 
 
 def _iban(m: str, key: str) -> tuple[str, str]:
-    plain = f"replace({m}, ' ', '')"
-    valid = _let("b", plain, f"{_mod97('concat(substr(b, 5), substr(b, 1, 4))')} = 1 and length(b) between 15 and 34")
-    moved = _permuted(m, key, "iban", "i < 4")
-    check = f"lpad(cast(98 - {_mod97("concat(substr(replace(n, ' ', ''), 5), substr(n, 1, 2), '00')")} as string), 2, '0')"
-    return valid, _let("n", moved, f"concat(substr(n, 1, 2), {check}, substr(n, 5))")
+    """The number without blanks is permuted, then set in the same layout."""
+    bare = f"replace({m}, ' ', '')"
+    valid = _let("b", bare, f"{_mod97('concat(substr(b, 5), substr(b, 1, 4))')} = 1 and length(b) between 15 and 34")
+    moved = _permuted("b", key, "iban", "i < 4")
+    check = f"lpad(cast(98 - {_mod97("concat(substr(n, 5), substr(n, 1, 2), '00')")} as string), 2, '0')"
+    whole = _let("n", moved, f"split(concat(substr(n, 1, 2), {check}, substr(n, 5)), '')")
+    return valid, _let("b", bare, _let("q", whole, _refill(m, "q", "c <> ' '")))
 
 
 def _date(m: str, key: str) -> tuple[str, str]:
@@ -146,8 +153,14 @@ def _ip(m: str, key: str) -> tuple[str, str]:
 
 
 def _phone(m: str, key: str) -> tuple[str, str]:
-    prefix = f"length(regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0))"
-    return f"length(regexp_replace({m}, '[^0-9]', '')) between 7 and 15", _let("k", prefix, _permuted(m, key, "phone", "i < k"))
+    """The bare digits are permuted, whatever the layout; of a number with a
+    plus sign the country calling code stays (one to three digits, by the first
+    ones, as calling codes are free of prefixes)."""
+    code = f"if(startswith({m}, '+'), case when substr(b, 1, 1) in ('1', '7') then 1 when substr(b, 1, 2) in ({CODES}) then 2 else 3 end, 0)"
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    moved = _permuted("substr(b, k + 1)", key, "phone")
+    whole = _let("k", code, f"split(concat(substr(b, 1, k), {moved}), '')")
+    return f"length({digits}) between 7 and 15", _let("b", digits, _let("q", whole, _refill(m, "q")))
 
 
 def _email(m: str, key: str) -> tuple[str, str]:
@@ -181,7 +194,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with personal data in ``text_col`` replaced, and ``pii_kinds``,
     the array of the kinds replaced in page order.
 
-    A match that fails its validation stays. Whole texts are read; a null text
+    A value has one pseudonym in whatever layout it is written: blanks, hyphens,
+    brackets and the case of addresses are kept, and what stands between them is
+    permuted. A match that fails its validation stays. Whole texts are read; a null text
     stays null with no kinds, an empty one empty; all other columns and rows
     stay as they are, clashing ``pii_kinds`` being replaced. No Python runs on
     the executors and nothing is shuffled. The key is a literal of the plan: keep
@@ -189,23 +204,32 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     if not key:
         raise ValueError("a key is needed")
+    matches, new = (_unused(docs, x) for x in ("found", "new"))
     text = F.col(f"`{text_col}`")
     pattern = F.lit(PATTERN)
     some = text.rlike(CHEAP)
     found = F.when(some, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    replace = F.expr(f"transform(_found, m -> {_replacement(_sql(key))})")
+    replace = F.expr(f"transform({matches}, m -> {_replacement(_sql(key))})")
     joined = F.array_join(
-        F.flatten(F.zip_with(F.split(text, PATTERN, -1), "_new", lambda p, n: F.array(p, F.coalesce(n["value"], F.lit(""))))), ""
+        F.flatten(F.zip_with(F.split(text, PATTERN, -1), F.col(new), lambda p, n: F.array(p, F.coalesce(n["value"], F.lit(""))))), ""
     )
     return (
-        docs.withColumn("_found", found)
-        .withColumn("_new", F.when(F.size("_found") > 0, replace))
-        .withColumn("pii_kinds", F.expr("coalesce(filter(transform(_new, x -> x.kind), x -> x is not null), cast(array() as array<string>))"))
+        docs.withColumn(matches, found)
+        .withColumn(new, F.when(F.size(matches) > 0, replace))
+        .withColumn("pii_kinds", F.expr(f"coalesce(filter(transform({new}, x -> x.kind), x -> x is not null), cast(array() as array<string>))"))
         .withColumn(text_col, F.when(F.size("pii_kinds") > 0, joined).otherwise(text))
-        .drop("_found", "_new")
+        .drop(matches, new)
     )
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def digits_of(column: str | Column) -> Column:
     """The digits of a string column."""
     return F.regexp_replace(column, "[^0-9]", "")

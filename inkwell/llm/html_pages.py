@@ -54,11 +54,36 @@ def _noise(rng: random.Random) -> dict[str, list[str]]:
     }
 
 
+def _untold(rng: random.Random) -> dict[str, list[str]]:
+    """The same kinds of parts, with markup that names none of them."""
+    w = lambda a, b: _words(rng, a, b)
+    links = lambda a, b, item="li": _links(rng, rng.randint(a, b), item)
+    name = lambda: rng.choice(["c", "x", "box-", "g"]) + str(rng.randint(1, 99))
+    remarks = lambda: "".join(f'<div class="{name()}"><b>{w(1, 2)}</b> {w(1, 3)}<p>{w(3, 30)}</p></div>' for _ in range(rng.randint(1, 5)))
+    return {
+        "top": [
+            f'<div class="{name()}"><ul>{links(3, 9)}</ul></div>',
+            f'<div class="{name()}">{links(3, 8, "span")}</div>',
+            f'<div class="{name()}"><div>{w(1, 3)}</div><ul>{links(4, 8)}</ul><p>{w(4, 16)}</p></div>',
+            f"<table><tr><td>{links(3, 6, 'div')}</td></tr></table>",
+            f'<div class="{name()}"><p>{w(5, 14)} <a href="/x">{w(1, 3)}</a></p></div>',
+        ],
+        "end": [
+            f'<div class="{name()}"><h3>{w(1, 3)}</h3>{remarks()}</div>',
+            f'<div class="{name()}"><h3>{w(1, 3)}</h3><ul>{links(3, 8)}</ul></div>',
+            f'<div class="{name()}"><p>{w(5, 20)} <a href="/p">{w(2, 4)}</a></p>{links(2, 5, "p")}</div>',
+            f'<div class="{name()}">{w(3, 14)} {links(1, 4, "span")}</div>',
+            f"<table><tr><td><p>{w(5, 20)}</p></td><td>{links(2, 5, 'div')}</td></tr></table>",
+        ],
+    }
+
+
 def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
-    """One page in parts, in page order."""
-    noise = _noise(rng)
+    """One page in parts, in page order. On four of ten pages the markup names no
+    part; of these half have no article element either."""
+    noise, plain = _noise(rng), rng.random() < 0.4
     body: list[tuple[str, bool]] = [(f"<h1>{_words(rng, 3, 9)}</h1>", True)] if rng.random() < 0.85 else []
-    for _ in range(rng.randint(1, 9)):
+    for _ in range(rng.randint(3 if plain else 1, 9)):
         kind = rng.random()
         link = f' <a href="/x">{_words(rng, 1, 4)}</a> ' if rng.random() < 0.3 else " "
         text = f"{_words(rng, 4, 60)}{link}{_words(rng, 1, 30)}" if rng.random() < 0.8 else _words(rng, 1, 4)
@@ -76,14 +101,18 @@ def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
         )
         if rng.random() < 0.2:
             body.append((rng.choice(noise["middle"]), False))
-    shell = rng.choice(["<article>", "<main>", '<div class="post-content">', '<div id="content">', "<div>", '<main><article>'])
+    if plain:
+        noise = _untold(rng)
+    shells = ['<div class="a1">', "<div>", "<article>", "<main>"] if plain else ["<article>", "<main>", '<div class="post-content">', '<div id="content">', "<div>", "<main><article>"]
+    shell = rng.choice(shells)
     names = [x.split()[0].strip("<>") for x in shell.replace("><", "> <").split("> ")]
     end = "".join(f"</{x}>" for x in reversed(names))
     top = [(x, False) for x in rng.sample(noise["top"], rng.randint(1, 4))]
     last = [(x, False) for x in rng.sample(noise["end"], rng.randint(1, 4))]
-    inside = last.pop(0) if rng.random() < 0.2 else None
+    inside = last.pop(0) if rng.random() < 0.2 and not plain else None
     body = [(shell, False), *body, *([inside] if inside else []), (end, False)]
-    head = f"<!DOCTYPE html><html><head><title>{_words(rng, 3, 8)}</title><script>var a='<p>';</script></head><body>"
+    frame = rng.choice(["", "", ' class="single has-sidebar"', ' class="sidebar-right page"'])
+    head = f"<!DOCTYPE html><html><head><title>{_words(rng, 3, 8)}</title><script>var a='<p>';</script></head><body{frame}>"
     return [(head, False), *top, *body, *last, ("</body></html>", False)]
 
 

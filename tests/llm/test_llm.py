@@ -11,7 +11,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, chat, chunks, decontaminate, html, html_pages, knn, licenses, pii, simhash, toxicity
+from inkwell.llm import bpe, chat, chunks, decontaminate, knn, licenses, pii, simhash, toxicity
 from inkwell.llm.common import connected_components
 
 RNG = random.Random(3)
@@ -55,16 +55,6 @@ def test_topk(spark):
     assert knn.top_k(df.filter("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
-def test_html(spark):
-    model = html.trained()
-    pages = html_pages.labelled_pages(80, seed=77)
-    right = sum(model.text("".join(p for p, _ in x)) == html._labelled_text(x) for x in pages)
-    assert right >= 76
-    page = "<nav><a>Home page</a></nav><article><h1>T &amp; U</h1><p>one  two\n<i>th</i>ree four five six</p><aside>see also these other things</aside><p>seven</p></article><footer>all rights</footer>"
-    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", "")], "page_id long, url string, html string")
-    assert rows_of(html.extract(df)) == [(1, "u", "T & U\none two three four five six\nseven"), (2, None, ""), (3, "v", "")]
-
-
 def test_bpe(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     texts = [prose(40), "", None, " a", "a ", "x\n\n y  z", "日本語テキスト it's 12345 !!", "ab" * 4000, "é b \n", " " * 50, "!?" * 300, "supercalifragilistic" * 9]

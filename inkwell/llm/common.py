@@ -9,22 +9,20 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: whole texts are read, so batches stay small.
-BATCH_ROWS = 512
 #: Characters that are worked on at once.
 BATCH_CHARS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder where none is configured.
-
-    On a cluster the shared folder comes from ``spark.checkpoint.dir``; the
-    temporary one is for local sessions, such as tests.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Sees to a checkpoint folder. On a cluster it must be a shared one, named
+    in ``spark.checkpoint.dir``; without one a temporary folder serves where
+    driver and executors are one machine, and anything else raises. No session
+    setting is changed: Arrow batches are bounded in bytes by Spark itself."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir", None)
+        shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 

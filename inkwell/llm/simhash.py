@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,19 @@ HALF = 32
 RADIUS = 3
 #: Runs up to this length are compared by offsets, all runs at once.
 SHORT_RUN = 12
-#: Runs above this length are first divided by the bytes of the other half.
+#: A key with more fingerprints is divided before it is dealt out.
+HOT_KEY = 4096
+#: Runs above this length are divided by bytes within their task.
 LONG_RUN = 20_000
+#: Masks of 3 of the 6 parts of a half: of two halves within RADIUS bits, at
+#: least 3 parts are equal.
+PARTS = [0x3F << 26, 0x3F << 20, 0x1F << 15, 0x1F << 10, 0x1F << 5, 0x1F]
+MASKS = [a | b | c for a, b, c in combinations(PARTS, 3)]
 #: For links by similarity: bands of minima that make a candidate if equal. A
 #: pair of similarity 0.8 is missed in 1 of 350 cases (1 - 0.8**ROWS)**BANDS.
 BANDS, ROWS = 32, 8
+#: Shingles of the sets that one task compares at a time.
+TASK_SHINGLES = 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -140,13 +148,13 @@ def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return found
 
 
-def _run_edges(fp: np.ndarray, key: int, radius: int) -> Iterator[tuple[int, int]]:
+def _run_edges(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     if len(fp) <= LONG_RUN:
         yield from _forest(fp, radius)
         return
-    other = 0 if key >> HALF == 0 else HALF
-    for byte in range(4):  # within 3 bits, one of the four bytes is equal
-        part = (fp >> np.uint64(other + 8 * byte)) & np.uint64(255)
+    # 3 bits spoil 3 bytes at most, so of any four bytes one is equal
+    parts = [(fp >> np.uint64(8 * k)) & np.uint64(255) for k in range(8)]
+    for part in sorted(parts, key=lambda x: -len(np.unique(x)))[:4]:
         order = np.argsort(part, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             yield from ((int(group[a]), int(group[b])) for a, b in _forest(fp[group], radius))
@@ -167,7 +175,7 @@ def _match(radius: int):
             us.append(rep[i])
             vs.append(rep[i + d])
         for s, n in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-            pairs = np.array(list(_run_edges(fp[s : s + n], int(key[s]), radius)), np.int64).reshape(-1, 2)
+            pairs = np.array(list(_run_edges(fp[s : s + n], radius)), np.int64).reshape(-1, 2)
             us.append(rep[s + pairs[:, 0]])
             vs.append(rep[s + pairs[:, 1]])
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
@@ -195,12 +203,25 @@ def _match(radius: int):
     return run
 
 
+def _without_hot_keys(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with the keys of more than HOT_KEY fingerprints divided by parts
+    of the other half; what shares a hot key and is near shares one of these."""
+    hot = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_KEY).select("key", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        return keyed
+    other = F.expr(f"if(shiftright(key, {HALF}) & 1 = 0, fp & {(1 << HALF) - 1}L, shiftrightunsigned(fp, {HALF}))")
+    finer = F.array(*[F.xxhash64("key", F.lit(m), other.bitwiseAND(F.lit(m).cast("long"))) for m in MASKS])
+    keys = F.when(F.col("hot"), finer).otherwise(F.array("key"))
+    return keyed.join(hot, "key", "left").select(F.explode(keys).alias("key"), "fp", "rep")
+
+
 def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for ``fps(doc_id, fp)``.
 
     Equal fingerprints are pre-aggregated to their smallest doc_id, so copies
     never meet in a pair. Every distinct fingerprint is put under each 32-bit
-    segment and the segment's radius-1 ball; what shares a key is compared
+    segment and the segment's radius-1 ball; a segment that very many share is
+    divided further by parts of the other one. What shares a key is compared
     over all 64 bits, and each run of keys yields a spanning forest, not all
     its pairs. ``component_id`` is the smallest doc_id reachable over links of
     at most ``radius`` (3 at most) differing bits.
@@ -209,11 +230,8 @@ def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("two segments with one-bit balls cover 3 differing bits at most")
     fps = checkpointed(fps)
     reps = checkpointed(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    keyed = reps.mapInArrow(_probe, "key long, fp long, rep long")
-    spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    edges = checkpointed(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_match(radius), "u long, v long"))
-    prepare(spark)
+    keyed = _without_hot_keys(reps.mapInArrow(_probe, "key long, fp long, rep long"))
+    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_match(radius), "u long, v long")
     found = connected_components(edges)
     classes = (
         reps.join(found, reps.rep == found.node, "left")
@@ -273,32 +291,38 @@ def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return found
 
 
-def _set_batches(width: int):
-    """``doc_id, fp`` of every row, fp being a digest of its shingle set."""
+def _signatures(width: int):
+    """``doc_id, fp, size, keys`` of every row: a digest of its shingle set, the
+    set's size and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), width).tobytes()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            fps = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            sizes = [len(x) for x in sets]
+            keys = [band_keys(x).view(np.int64) for x in sets]
+            arrays = [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "size", "keys"])
 
     return run
 
 
-def _band_batches(width: int):
-    """``key, rep`` for every band of every text."""
+def _sets(width: int):
+    """``rep, fp, s``: the shingle set of every text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(shingle_set(t.as_py(), width)) for t in batch.column(1)]
-            if keys:
-                reps = np.repeat(batch.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(reps)], ["key", "rep"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column(1)]
+                fps = [xxhash.xxh3_128_digest(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["rep", "fp", "s"])
 
     return run
 
 
-def _verified(width: int, similarity: float):
-    """Links within the groups of candidates of a partition sorted by group."""
+def _verified(similarity: float):
+    """Links within the groups of ``key, rep, s`` of a partition sorted by key."""
 
     def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.array(set_links(sets, similarity), np.int64).reshape(-1, 2)
@@ -308,62 +332,110 @@ def _verified(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sets = None, [], []
         for batch in batches:
-            for k, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for k, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if k != group and ids:
                     yield links(ids, sets)
                     ids, sets = [], []
                 group = k
                 ids.append(i)
-                sets.append(shingle_set(text.as_py(), width))
+                sets.append(np.frombuffer(s.as_py(), np.uint64))
         if ids:
             yield links(ids, sets)
 
     return run
 
 
+def _led(similarity: float):
+    """Links of ``rep, s`` to ``leader, ls`` of the same row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for s, ls in zip(batch.column(1), batch.column(3), strict=True):
+                x, y = (np.frombuffer(b.as_py(), np.uint64) for b in (s, ls))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            part = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], ["u", "v"])
+
+    return run
+
+
+def _large_groups(members: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """Further links within the groups ``members(key, blocks, rep, s)`` that are
+    too large for a task: ``u, v``, which with ``edges`` connect all that the
+    groups' similar pairs connect.
+
+    First every member is held against its group's smallest, then against the
+    member that the first round linked most often, which is the original where
+    all are copies of one. Groups that are of one class by then are done; of the
+    others every two blocks are compared, each pair of blocks in a task.
+    """
+    members = checkpointed(members)
+    for order in (F.lit(0), F.coalesce("links", F.lit(0))):
+        links = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        first = members.join(links, "rep", "left").groupBy("key").agg(F.max_by(F.struct("rep", "s"), F.struct(order.alias("o"), -F.col("rep"))).alias("l"))
+        led = members.join(first, "key").select("rep", "s", F.col("l.rep").alias("leader"), F.col("l.s").alias("ls")).filter("rep <> leader")
+        edges = checkpointed(edges.unionByName(led.mapInArrow(_led(similarity), "u long, v long")))
+    found = connected_components(edges)
+    own = members.select("key", "blocks", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    open_ = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    rest = members.join(open_, "key", "left_semi").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pairs = F.expr("transform(sequence(0, cast(blocks as int) - 1), j -> xxhash64(key, least(i, j), greatest(i, j)))")
+    paired = rest.select(F.explode(pairs).alias("key"), "rep", "s").repartition("key").sortWithinPartitions("key")
+    return edges.unionByName(paired.mapInArrow(_verified(similarity), "u long, v long"))
+
+
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` by links of texts whose sets of ``width``-word
     shingles have a Jaccard similarity of ``similarity`` or more; ``fp`` is a
     digest of the set.
 
-    Candidates come from MinHash over those sets, in 32 bands of 8 minima; texts
-    that share a band belong to one group of candidates, and in each group links
-    are searched for on the whole sets, whatever band they share. Texts of equal
-    sets are one document, as are rows of one id, which links if any of its texts
-    does. Null and empty texts have the empty set and link with each other; rows
-    with a null id have a null component; repeated rows stay; other columns are
-    not read. A group of candidates is worked on by one task, in memory: about 40
-    bytes a shingle.
+    Candidates come from MinHash over those sets, in 32 bands of 8 minima. What
+    shares a band is a group, in which links are searched for on the whole sets;
+    groups with the same members are one, and a group of more than TASK_SHINGLES
+    is worked on in blocks by many tasks. Texts of equal sets are one document, as
+    are rows of one id, which links if any of its texts does. Null and empty
+    texts have the empty set and link with each other; rows with a null id have a
+    null component; repeated rows stay; other columns are not read.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = checkpointed(texts.mapInArrow(_set_batches(width), "doc_id long, fp binary"))
-    reps = checkpointed(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    only = texts.join(reps.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    keyed = checkpointed(only.mapInArrow(_band_batches(width), "key long, rep long"))
-    lowest = keyed.groupBy("key").agg(F.min("rep").alias("u"), F.max("rep").alias("_last")).filter("u <> _last").select("key", "u")
-    near = connected_components(keyed.join(lowest, "key").select("u", F.col("rep").alias("v")))
-    groups = checkpointed(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
-    members = texts.join(groups, F.col("doc_id") == F.col("node")).select("component", "doc_id", "text")
-    prepare(spark)
-    sorted_ = members.repartition("component").sortWithinPartitions("component", "doc_id")
-    found = connected_components(sorted_.mapInArrow(_verified(width, similarity), "u long, v long"))
+    signed = checkpointed(texts.mapInArrow(_signatures(width), "doc_id long, fp binary, size int, keys array<long>"))
+    fps = signed.select("doc_id", "fp")
+    # equal sets have equal sizes and keys
+    reps = checkpointed(signed.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keyed = reps.select(F.explode("keys").alias("key"), "rep", "fp", "size")
+    groups = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp", "rep")).alias("h"), F.min("rep").alias("low"), F.sum("size").alias("shingles")
+    )
+    groups = checkpointed(
+        groups.filter("n > 1").groupBy("n", "h", "low", "shingles").agg(F.min("key").alias("key"))
+        .select("key", F.ceil((F.col("shingles") + F.col("n")) / TASK_SHINGLES).alias("blocks"))
+    )
+    members = keyed.join(groups, "key").select("key", "blocks", "rep", "fp")
+    wanted = members.select("rep", "fp").distinct()
+    sets = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, fp binary, s binary")
+    members = members.join(sets.dropDuplicates(["rep", "fp"]), ["rep", "fp"]).select("key", "blocks", "rep", "s")
+    small = members.filter("blocks = 1").select("key", "rep", "s").repartition("key").sortWithinPartitions("key")
+    edges = checkpointed(small.mapInArrow(_verified(similarity), "u long, v long"))
+    if not groups.filter("blocks > 1").isEmpty():
+        edges = _large_groups(members.filter("blocks > 1"), edges, similarity)
+    found = connected_components(edges)
     classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, classes: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that of the smallest doc_id.
     ``classes`` has each doc_id with its component_id; by default those of
     ``similar_components``. Rows with a null doc_id stay; of rows that share the
-    kept id, one stays (the first by text)."""
+    kept id, the first by text stays (of equal texts, one of them). Columns may
+    be of any type and name."""
     found = similar_components(docs) if classes is None else classes
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs.doc_id == heads._head, "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-    rest = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "doc_id"]
-    one = one.select("doc_id", *rest).select(*docs.columns)
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    kept = docs.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    order = F.struct(*[c for c in (text_col,) if c in docs.columns], F.lit(0).alias("z"))
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("kept"))
+    return one.select(*[F.col("kept")[c].alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))

@@ -229,8 +229,9 @@ class _Source:
         return self.shared.value
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, blanks_lead: bool = False) -> DataFrame:
-    """Token ids of every whole text: ``doc_id, n_tokens, ids``.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, blanks_lead: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Token ids of every whole text: ``doc_id, n_tokens, ids``, and the columns
+    of ``docs`` that ``keep`` names.
 
     Each match of ``pattern`` is encoded by itself with the ranks in
     ``ranks_path`` (read on the driver and broadcast: a vocabulary has a fixed
@@ -255,12 +256,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("i4"))
                 column = pa.ListArray.from_arrays(offsets, flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, column], ["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, column, *batch.columns[2:]], ["doc_id", "n_tokens", "ids", *keep])
 
-    kind = "binary" if packed else "array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id long, n_tokens long, ids {kind}"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in keep])
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids {'binary' if packed else 'array<int>'}{kept}")
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -7,35 +7,49 @@ what a model is to learn. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Speakers that set the scene and take no part.
 SCENE = ("system",)
-#: Turn numbers that one rendered segment spans at most.
-SEGMENT_TURNS = 256
+#: Turn numbers that one rendered segment spans, and rows that it holds, at most.
+SEGMENT_TURNS, SEGMENT_ROWS = 256, 1024
 END = "<|end|>\n"
 
 
-def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
+def escaped(text: Column) -> Column:
+    """``text`` with a backslash put into all that looks like a marker's begin or
+    end. A run of backslashes there grows by one, so it can be undone."""
+    text = F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+    return F.regexp_replace(text, r"\|(\\*)>", r"|\\$1>")
+
+
+def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Every dialogue of ``turns(conv_id, turn, role, text)`` from the view of
     each of its participants.
 
-    Returns one row per conversation, participant and segment: ``conv_id,
-    assistant, segment, n_turns, text, mask``. A turn is shown as
-    ``<|role|>`` (``system``, ``assistant``, or ``user name=NAME``), a line
-    feed, its text, ``<|end|>`` and a line feed; ``mask`` is the array of
-    ``struct(start, stop)``, in characters of ``text``, of the assistant's texts
-    with their end marks. Participants are all roles but ``system``.
+    Returns rows of ``conv_id, assistant, segment, n_turns, text, mask, part``; the
+    rendering of a dialogue for a participant is the concatenation of its texts
+    in the order of segment and part. A turn is shown as ``<|role|>``
+    (``system``, ``assistant``, or ``user name=NAME``), a line feed, its text,
+    ``<|end|>`` and a line feed; in names and texts markers are ``escaped``.
+    ``mask`` is the array of ``struct(start, stop)``, in characters of ``text``,
+    of the assistant's texts with their end marks. Participants are all roles
+    but ``system``.
 
-    A dialogue whose turn numbers span ``segment_turns`` or fewer is one
-    segment; a longer one is divided at multiples of that number, counted from
-    its first turn, so no task holds a whole long conversation. Participants and
-    first turns are pre-aggregated. Order is by turn, then role, then text (null
-    first); repeated rows are turns each. A null role is the participant
-    ``unknown``, a null text is empty, a null turn counts as the first; rows
-    with a null conv_id form one conversation. A conversation with a system turn
-    only gives no row; neither does an empty table; other columns are not read.
+    So that no row or task holds a whole long conversation, its rendering is cut
+    between turns: at multiples of ``segment_turns`` turn numbers, counted from
+    its first turn, and a segment of more than ``segment_rows`` rows (one turn
+    number may have any number of rows) into parts. Nothing is left out and the
+    concatenation has every turn. Order is by turn, then role, then text; where
+    a segment is cut into parts, the rows of one turn number go by a hash of
+    role and text first, and those repeated very often last. Repeated rows are
+    turns each. A null role is the participant ``unknown``, a null text is empty,
+    a null turn counts as number 0; rows with a null conv_id form one
+    conversation. A conversation with a system turn only
+    gives no row; neither does an empty table; other columns are not read.
     """
     rows = turns.select(
         "conv_id",
@@ -47,11 +61,17 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFr
         F.min("turn").alias("_first"), F.array_sort(F.collect_set(F.when(~F.col("role").isin(*SCENE), F.col("role")))).alias("_cast")
     )
     placed = rows.join(casts, rows.conv_id.eqNullSafe(casts._c)).withColumn("segment", F.expr(f"(turn - _first) div {int(segment_turns)}"))
-    segments = placed.groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.first("_cast").alias("_cast")
-    )
-    one = segments.select("conv_id", "segment", "turns", F.explode("_cast").alias("assistant"))
-    role = "case when t.role = assistant then 'assistant' when t.role in ({}) then t.role else concat('user name=', t.role) end".format(
+    placed = placed.select("conv_id", "segment", "turn", "role", "text", "_cast")
+    segments = _gathered(placed.withColumns({"part": F.lit(0), "times": F.lit(1)}))
+    sizes = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+    sizes = sizes.join(casts, sizes.conv_id.eqNullSafe(casts._c)).groupBy("conv_id", F.expr(f"(turn - _first) div {int(segment_turns)}").alias("segment"))
+    large = checkpointed(sizes.agg(F.sum("n").alias("n")).filter(F.col("n") > segment_rows).select(F.col("conv_id").alias("_l"), F.col("segment").alias("_s")))
+    if not large.isEmpty():
+        here = placed.conv_id.eqNullSafe(large._l) & (placed.segment == large._s)
+        few = placed.join(large, here, "left_anti").withColumns({"part": F.lit(0), "times": F.lit(1)})
+        segments = _gathered(few.unionByName(_parts(placed.join(large, here, "left_semi"), segment_rows)))
+    one = segments.select("conv_id", "segment", "part", "turns", F.explode("_cast").alias("assistant"))
+    role = "case when t.role = assistant then 'assistant' when t.role in ({}) then t.role else concat('user name=', t.name) end".format(
         ", ".join(f"'{x}'" for x in SCENE)
     )
     shown = one.withColumn(
@@ -68,4 +88,36 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFr
         F.size("turns").cast("long").alias("n_turns"),
         F.expr("array_join(transform(_parts, p -> concat(p.head, p.body)), '')").alias("text"),
         F.expr(mask).alias("mask"),
+        "part",
+    )
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """One row per conversation, segment and part, its turns in order."""
+    turn = F.struct("turn", "role", F.col("text").alias("plain"), escaped(F.col("text")).alias("text"), escaped(F.col("role")).alias("name"), "times")
+    found = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.first("_cast").alias("_cast"))
+    return found.withColumn("turns", F.expr("flatten(transform(turns, t -> array_repeat(t, t.times)))"))
+
+
+def _parts(rows: DataFrame, segment_rows: int) -> DataFrame:
+    """``rows`` of large segments with the part that each belongs to. Equal rows
+    are counted before they are dealt out, and a count above ``segment_rows`` is
+    divided, so that no part is larger however the rows repeat."""
+    counted = rows.groupBy("conv_id", "segment", "turn", "role", "text").agg(F.count("*").alias("n"), F.first("_cast").alias("_cast"))
+    many = F.col("n") > segment_rows // 16
+    light = F.sum(F.when(many, 0).otherwise(F.col("n")))
+    per_turn = counted.groupBy(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), F.col("turn").alias("_t")).agg(F.ceil(2 * light / segment_rows).alias("_ranges"))
+    here = counted.conv_id.eqNullSafe(per_turn._c) & (counted.segment == per_turn._s) & (counted.turn == per_turn._t)
+    spread = F.pmod(F.xxhash64("role", "text"), F.greatest(F.col("_ranges"), F.lit(1)))
+    dealt = counted.join(per_turn, here).select(
+        *counted.columns,
+        F.explode(F.expr(f"sequence(0, cast((n - 1) div {int(segment_rows)} as int))")).alias("chunk"),
+        F.when(many, F.struct(F.lit(1).alias("k"), F.xxhash64("role", "text").alias("h"))).otherwise(F.struct(F.lit(0).alias("k"), spread.alias("h"))).alias("range"),
     )
+    dealt = dealt.withColumn("range", F.struct("turn", "range", F.when(many, F.struct("role", "text")).alias("own"), "chunk"))
+    dealt = dealt.withColumn("times", F.least(F.lit(segment_rows), F.col("n") - F.col("chunk") * segment_rows).cast("int"))
+    order = Window.partitionBy("_c", "_s").orderBy("_r")
+    names = dealt.select(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), F.col("range").alias("_r")).distinct()
+    names = names.withColumn("part", F.row_number().over(order) - 1)
+    here = dealt.conv_id.eqNullSafe(names._c) & (dealt.segment == names._s) & (dealt["range"] == names._r)
+    return dealt.join(names, here).select("conv_id", "segment", "turn", "role", "text", "_cast", "part", "times")

@@ -1,15 +1,17 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
-The greatest inner products are the nearest neighbours once every vector of the
-data has one more component, sqrt(M - |v|^2) with M the greatest |v|^2, and
-every query a zero there. Data and queries are grouped by their nearest pivot;
-summaries of the groups bound how far each group's neighbours can be; a vector
-goes only to those query groups whose bound it can meet; each is solved locally.
+Queries are grouped by their nearest pivot. What a vector x can score with the
+queries of a cell lies within radius * |x| of what it scores with the pivot, by
+Cauchy and Schwarz; so the k-th greatest of the least scores, a summary of all
+vectors, bounds from below what the k best of every query of the cell reach. A
+vector goes only to the cells whose bound it can meet; each is solved locally.
+(In distances: with one more component, sqrt(M - |x|^2), the greatest products
+are the nearest neighbours, and the bounds are those of the balls around the
+pivots.)
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,175 +23,230 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Pivots, and rows from which they are drawn, at most.
-PIVOTS, PIVOT_ROWS = 64, 4096
-#: Queries of one group, vectors of one block at most (on average, by hash).
-GROUP_QUERIES, BLOCK_ROWS, LEAST_BLOCK = 2048, 8192, 1024
+#: Pivots at most; there are as many as queries up to that number.
+PIVOTS = 1024
+#: Queries of one group and vectors of one block at most (on average, by hash).
+GROUP_QUERIES, BLOCK_ROWS = 2048, 8192
+#: Rows that are scored at once.
+ROWS_AT_ONCE = 4096
+#: Relative error allowed for in bounds, which are computed in doubles.
+SLACK = 1e-9
+LONGEST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of each component x, x as a double.
-    Vectors that are null, or hold null or non-finite components, are left out,
-    as are empty ones."""
+    """``vec_id, v``: floor(scale * x) of each component x, whole numbers held as
+    doubles (exact, and without the bounds of a long). Vectors that are null, or
+    hold null or non-finite components, are left out, as are empty ones."""
     x = F.col("e")
-    good = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    good = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
-    return rows.filter(F.coalesce(good, F.lit(False))).select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    down = lambda c: F.when(F.abs(c * scale) < 2.0**53, F.floor(F.when(F.abs(c * scale) < 2.0**53, c * scale)).cast("double")).otherwise(c * scale)
+    return rows.filter(F.coalesce(good, F.lit(False))).select("vec_id", F.transform(x, down).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
-def _distances(x: np.ndarray, tail: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Of lengthened vectors (x, tail) to lengthened pivots."""
-    square = (x * x).sum(1) + tail * tail
-    return np.sqrt(np.maximum(square[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots[:, :-1].T + tail[:, None] * pivots[:, -1]), 0))
-
-
-def _assigned(rows: DataFrame, pivots: np.ndarray, most: float | None) -> DataFrame:
-    """``rows`` with the nearest pivot and the distance to it; queries (``most``
-    None) get a zero as their further component."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            tail = np.zeros(len(x)) if most is None else np.sqrt(np.maximum(most - (x * x).sum(1), 0))
-            d = _distances(x, tail, shared.value)
-            cell = d.argmin(1)
-            arrays = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
-            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "v", "cell", "dist"])
-
-    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, cell int, dist double")
-
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
+def scores_of(asked: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole-number vectors, held at the ends of the
+    range of a long: in doubles where no sum can leave their exact range, in
+    Python's integers for the rows where one could."""
+    out = np.empty((len(asked), len(x)), np.int64)
+    big_q, big_x = (np.abs(m).max(1, initial=0) for m in (asked, x))
+    least = max(1.0, big_x.max(initial=0))
+    plain = big_q * least * max(1, x.shape[1]) < 2.0**53
+    with np.errstate(over="ignore", invalid="ignore"):
+        out[plain] = (asked[plain] @ x.T).astype(np.int64)
+    for i in np.flatnonzero(~plain):
+        fine = big_q[i] * big_x * x.shape[1] < 2.0**53
+        out[i, fine] = (x[fine] @ asked[i]).astype(np.int64)
+        own = [int(c) for c in asked[i]]
+        for j in np.flatnonzero(~fine):
+            total = sum(a * int(b) for a, b in zip(own, x[j], strict=True))
+            out[i, j] = max(-LONGEST, min(LONGEST, total))
+    return out
+
+
+class Cells:
+    """Pivots with the greatest distance of their queries, and what bounds them."""
+
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray):
+        self.pivots, self.radius = pivots, radius
+        self.size = np.sqrt((pivots * pivots).sum(1))
+
+    def range(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest score of each row with any query of each cell."""
+        norm = np.sqrt((x * x).sum(1))[:, None]
+        middle = x @ self.pivots.T
+        spread = norm * self.radius + SLACK * (1 + norm * (self.size + self.radius))
+        return middle - spread, middle + spread
+
+
+def _best(ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k greatest values of different ids."""
+    order = np.argsort(-values, axis=1, kind="stable")
+    ids, values = (np.take_along_axis(a, order, 1) for a in (ids, values))
+    order = np.argsort(ids, axis=1, kind="stable")
+    ids, values = (np.take_along_axis(a, order, 1) for a in (ids, values))
+    values[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    order = np.argsort(-values, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(values, order, 1)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """The ``k`` greatest integer inner products of each query with every other
-    row of ``vectors(vec_id long, v array<long>)``; ties go to the smaller
-    vec_id. Returns ``query_id, rank, vec_id, score``.
+    row of ``vectors(vec_id long, v array<double>)`` of whole numbers; ties go to
+    the smaller vec_id. Returns ``query_id, rank, vec_id, score``.
 
     ``is_query`` says which rows are queries. A query's own rows are those with
     its vec_id; rows with a null id take no part; repeated rows of the data are
-    rows each, repeated queries are one. Vectors of another length than most
-    take no part with the rest: lengths are solved apart. Fewer rows than k
-    give all of them; an empty table gives none. Pivots are the first of a
-    bounded sample by hash, and only the pace depends on them. What is broadcast
-    or gathered has a size set by PIVOTS and k.
+    rows each, repeated queries are one. Scores are exact; one beyond the range
+    of a long is held at its end, where it ties. Vectors of another length than
+    most take no part with the rest: lengths are solved apart. Fewer rows than k
+    give all of them; an empty table gives none. Other columns are not read.
+    Pivots are a sample of the queries by hash, and only the pace depends on
+    them. What is broadcast or gathered has a size set by PIVOTS, k and the
+    number of blocks.
     """
-    vectors = checkpointed(vectors.filter("vec_id IS NOT NULL").withColumn("_n", F.size("v")))
-    sizes = [r[0] for r in vectors.groupBy("_n").agg(F.max(is_query.cast("int")).alias("q")).filter("q = 1").select("_n").sort("_n").collect()]
+    rows = vectors.filter("vec_id IS NOT NULL").withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    rows = checkpointed(rows.select("vec_id", "v", "asks", F.size("v").alias("_n")))
+    sizes = [r[0] for r in rows.filter("asks").select("_n").distinct().sort("_n").collect()]
     schema = "query_id long, rank int, vec_id long, score long"
-    parts = [_top_k(vectors.filter(F.col("_n") == n).drop("_n"), is_query, k) for n in sizes]
+    parts = [_top_k(rows.filter(F.col("_n") == n).drop("_n"), k) for n in sizes]
     return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
 
 
-def _top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
-    queries = rows.filter(is_query).distinct()
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
-    most, n = rows.agg(F.max(norm), F.count("*")).first()
-    asked, own = (
-        rows.filter(is_query).groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
-    )
-    sample = np.array([r[0] for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()], float)
-    pivots = np.c_[sample, np.sqrt(np.maximum(most - (sample * sample).sum(1), 0))]
-    data = checkpointed(_assigned(rows, pivots, float(most)))
-    asking = checkpointed(_assigned(queries, pivots, None))
-
-    # summaries: per cell of the data the rows' least and greatest distance to
-    # the pivot and the k (and the query's own) least; per cell of the queries
-    # the greatest distance
-    need = k + own
-    nearest = (
-        data.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("dist")))
-        .filter(F.col("r") <= need)
-        .groupBy("cell")
-        .agg(F.array_sort(F.collect_list("dist")).alias("near"))
-    )
-    radius = np.full(len(pivots), -1.0)
-    for cell, far in asking.groupBy("cell").agg(F.max("dist")).collect():
-        radius[cell] = far
-    near = {r.cell: np.array(r.near) for r in nearest.collect()}
-    between = _distances(pivots[:, :-1], pivots[:, -1], pivots)
-    bounds = np.full((len(pivots), len(pivots)), np.inf)  # least pivot distance a vector of cell j needs for queries of cell i
-    for i in np.flatnonzero(radius >= 0):
-        upper = np.sort(np.concatenate([radius[i] + between[i, j] + d for j, d in near.items()]))
-        reach = upper[need - 1] if len(upper) >= need else np.inf
-        slack = 1e-6 * (1 + np.sqrt(float(most)) + abs(reach if np.isfinite(reach) else 0))
-        for j in near:
-            bounds[i, j] = between[i, j] - radius[i] - reach - slack
-
-    # query cells are put together, or divided, to groups of about one size
-    counts = dict(asking.groupBy("cell").count().collect())
-    group_of, splits, load, group = {}, {}, 0, 0
-    for cell in sorted(counts, key=lambda c: between[0, c]):
-        if load and load + counts[cell] > GROUP_QUERIES:
-            group, load = group + 1, 0
-        splits[cell] = -(-counts[cell] // GROUP_QUERIES)
-        group_of[cell] = group
-        load += counts[cell]
-        if splits[cell] > 1:
-            group += 1
-            load = 0
-    wide = {g: max(splits[c] for c in group_of if group_of[c] == g) for g in set(group_of.values())}
-    least = {g: np.min([bounds[c] for c in group_of if group_of[c] == g], axis=0) for g in wide}
+def _top_k(rows: DataFrame, k: int) -> DataFrame:
     spark = rows.sparkSession
-    # enough blocks for the cluster, none of them so small that the k best of
-    # every block outnumber its rows
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, sum(wide.values()))
-    blocks = max(-(-n // BLOCK_ROWS), min(spread, -(-n // LEAST_BLOCK)), 1)
-
-    schema = "team string, block int, vec_id long, v array<long>"
-    shared = spark.sparkContext.broadcast((group_of, wide, least))
-    salt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)).cast("long").alias("salt")
+    share = spark.sparkContext.broadcast
+    queries = rows.filter("asks").select("vec_id", "v").distinct().withColumn("mark", F.xxhash64("v"))
+    mixed = F.xxhash64("vec_id", "v")
+    n_queries = rows.filter("asks").count()
+    likely = F.pmod(mixed, F.lit(1 << 30)) <= F.lit(int(min(1, 4 * PIVOTS / n_queries) * (1 << 30)))
+    drawn = rows.filter("asks").filter(likely).select("v").orderBy(mixed).limit(PIVOTS).collect()
+    pivots = np.unique(np.array([r[0] for r in drawn], float), axis=0)
+    at_pivots = share(Cells(pivots, np.zeros(len(pivots))))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, size = at_pivots.value.pivots, at_pivots.value.size
+        for batch in _blocks(batches):
+            x = _matrix(batch.column(1))
+            cell = ((size * size)[None, :] - 2 * (x @ p.T)).argmin(1)
+            far = np.sqrt(((x - p[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["vec_id", "v", "mark", "cell", "far"])
+
+    asking = checkpointed(queries.mapInArrow(assign, "vec_id long, v array<double>, mark long, cell int, far double"))
+    radius, asked = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for cell, far, n in asking.groupBy("cell").agg(F.max("far"), F.count("*")).collect():
+        radius[cell], asked[cell] = far, n
+    used = np.flatnonzero(asked)
+    cells = share(Cells(pivots[used], radius[used] * (1 + SLACK)))
+    number = {int(c): i for i, c in enumerate(used)}
+
+    # Summary: of every cell the k + 1 greatest least scores of different ids, so
+    # that k of them are no query's own.
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(cells.value.pivots)
+        ids, values = np.zeros((n, 0), np.int64), np.zeros((n, 0))
+        for batch in _blocks(batches):
+            low, _ = cells.value.range(_matrix(batch.column(1)))
+            own, low = batch.column(0).to_numpy(), low.T
+            if len(np.unique(own)) == len(own) and len(own) > 2 * k + 2:
+                top = np.argpartition(-low, k, axis=1)[:, : k + 1]
+                new, low = own[top], np.take_along_axis(low, top, 1)
+            else:
+                new = np.broadcast_to(own, low.shape)
+            ids, values = _best(np.concatenate([ids, new], 1), np.concatenate([values, low], 1), k + 1)
+        good = values > -np.inf
+        cell = np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], values.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(a[good]) for a in (cell, ids, values)], ["cell", "vec_id", "low"])
+
+    data = rows.select("vec_id", "v", mixed.alias("mixed"))
+    lows = data.mapInArrow(summarise, "cell int, vec_id long, low double").groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
+    lows = lows.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("low"), asc=False), 1, k + 1).alias("low")).filter(F.size("low") > k)
+    reach = np.full(len(used), -np.inf)
+    for cell, low in lows.select("cell", F.element_at("low", k + 1)).collect():
+        reach[cell] = low
+    # scores that are held at an end of the long range tie there
+    reach = share(np.where(reach > -0.99 * LONGEST, np.minimum(reach, 0.99 * LONGEST), -np.inf))
+
+    def needed(x: np.ndarray) -> np.ndarray:
+        return cells.value.range(x)[1] >= reach.value
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(reach.value), np.int64)
+        for batch in _blocks(batches):
+            total += needed(_matrix(batch.column(1))).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["cell", "n"])
+
+    sent = np.zeros(len(used), np.int64)
+    for cell, n in data.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        sent[cell] = n
+    # Each cell's data go in blocks, once for every group of its queries; blocks
+    # are put together to teams of about BLOCK_ROWS.
+    groups = -(-asked[used] // GROUP_QUERIES)
+    blocks = np.maximum(1, -(-sent // BLOCK_ROWS))
+    first = np.r_[0, np.cumsum(groups * blocks)]
+    load = np.repeat(np.maximum(sent // blocks, 1), groups * blocks)
+    teams = share(((np.cumsum(load) - load) // BLOCK_ROWS).astype(np.int32))
 
     def send_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, wide, least = shared.value
-        for batch in batches:
-            cell, dist, mixed = (batch.column(i).to_numpy() for i in (2, 3, 4))
-            for g in sorted(wide):
-                at = np.flatnonzero(dist >= least[g][cell])
-                block = (mixed[at] % blocks).astype(np.int32)
-                for s in range(wide[g]):
-                    names = pa.array([f"{g}:{s}"] * len(at), pa.string())
-                    take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([names, pa.array(block), batch.column(0).take(take), batch.column(1).take(take)], ["team", "block", "vec_id", "v"])
+        for batch in _blocks(batches):
+            row, cell = np.nonzero(needed(_matrix(batch.column(1))))
+            block = batch.column(2).to_numpy()[row] % blocks[cell]
+            for g in range(int(groups[cell].max(initial=0))):
+                at = np.flatnonzero(groups[cell] > g)
+                chunk = first[cell[at]] + g * blocks[cell[at]] + block[at]
+                take = pa.array(row[at])
+                arrays = [pa.array(teams.value[chunk]), pa.array((cell[at] * (1 << 32) + g).astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take)]
+                yield pa.RecordBatch.from_arrays(arrays, ["team", "group", "vec_id", "v"])
 
     def send_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_of, wide, _ = shared.value
-        for batch in batches:
-            cell, mixed = (batch.column(i).to_numpy() for i in (2, 4))
-            names = [f"{group_of[c]}:{m % wide[group_of[c]]}" for c, m in zip(cell.tolist(), mixed.tolist(), strict=True)]
-            for b in range(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.full(len(names), b, np.int32)), *batch.columns[:2]], ["team", "block", "vec_id", "v"])
+        for batch in _blocks(batches):
+            cell = np.array([number[c] for c in batch.column(3).to_pylist()], np.int64)
+            g = batch.column(2).to_numpy() % groups[cell]
+            begin = first[cell] + g * blocks[cell]
+            # the teams of a group's blocks are neighbours
+            low, high = teams.value[begin], teams.value[begin + blocks[cell] - 1]
+            n = high - low + 1
+            row = np.repeat(np.arange(len(n)), n)
+            team = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            take = pa.array(row)
+            arrays = [pa.array(team.astype(np.int32)), pa.array((cell * (1 << 32) + g)[row]), *(batch.column(i).take(take) for i in (0, 1, 2))]
+            yield pa.RecordBatch.from_arrays(arrays, ["team", "group", "vec_id", "v", "mark"])
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("vec_id", kind="stable")
+        out = [pd.DataFrame({"query_id": [], "mark": [], "vec_id": [], "score": []}).astype("int64")]
+        data = dict(tuple(right.groupby("group", sort=False)))
+        for group, some in left.groupby("group", sort=False):
+            if group not in data:
+                continue
+            right = data[group].sort_values("vec_id", kind="stable")
             x, ids = np.stack(right["v"].to_numpy()).astype(np.float64), right["vec_id"].to_numpy()
-            for i in range(0, len(left), 512):
-                part = left.iloc[i : i + 512]
-                asked = part["vec_id"].to_numpy()
-                scores = np.stack(part["v"].to_numpy()).astype(np.float64) @ x.T
-                scores[asked[:, None] == ids[None, :]] = -np.inf
+            for i in range(0, len(some), 512):
+                part = some.iloc[i : i + 512]
+                asked, marks = part["vec_id"].to_numpy(), part["mark"].to_numpy()
+                scores = scores_of(np.stack(part["v"].to_numpy()).astype(np.float64), x)
+                scores[asked[:, None] == ids[None, :]] = -LONGEST - 1  # which no score is
                 take = min(k, len(ids))
-                if take < len(ids):  # everything at least as good as the k-th, so that ties are seen
-                    floor = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
-                else:
-                    floor = np.full(len(part), -np.inf)
+                # everything at least as good as the k-th, so that ties are seen
+                floor = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
                 for q, (row, low) in enumerate(zip(scores, floor, strict=True)):
-                    at = np.flatnonzero((row >= low) & (row > -np.inf))
+                    at = np.flatnonzero((row >= low) & (row > -LONGEST - 1))
                     at = at[np.argsort(-row[at], kind="stable")][:k]
-                    out.append(pd.DataFrame({"query_id": asked[q], "mark": zlib.crc32(part["v"].iloc[q].tobytes()), "vec_id": ids[at], "score": row[at].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "mark": [], "vec_id": [], "score": []}).astype("int64")
+                    out.append(pd.DataFrame({"query_id": asked[q], "mark": marks[q], "vec_id": ids[at], "score": row[at]}))
+        return pd.concat(out)
 
-    keyed = asking.select("vec_id", "v", "cell", "dist", salt).mapInArrow(send_queries, schema).groupBy("team", "block")
-    found = keyed.cogroup(data.select("vec_id", "v", "cell", "dist", salt).mapInArrow(send_data, schema).groupBy("team", "block")).applyInPandas(
-        solve, "query_id long, mark long, vec_id long, score long"
-    )
+    schema = "team int, group long, vec_id long, v array<double>"
+    keyed = asking.select("vec_id", "v", "mark", "cell").mapInArrow(send_queries, f"{schema}, mark long").groupBy("team")
+    found = keyed.cogroup(data.mapInArrow(send_data, schema).groupBy("team")).applyInPandas(solve, "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

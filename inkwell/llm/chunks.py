@@ -10,12 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, groups, prepare
+from .common import checkpointed, prepare, text_slices
 
 #: A cut where the top CUT_BITS of the rolling hash are zero: 2**CUT_BITS bytes
 #: on average. The hash spans the last 32 bytes, so cuts depend on nothing else.
 CUT_BITS = 5
 LEAST, MOST = 8, 4096
+#: Where no cut falls for so many bytes (a run of one word may have none at all),
+#: fewer bits are enough for one, by and by.
+GAP, FEWER_BITS = 160, (3, 1)
 #: Words of a run of repeated chunks that make a passage.
 PASSAGE_WORDS = 20
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -43,6 +46,19 @@ def compact(data: bytes) -> tuple[bytes, np.ndarray]:
     return np.where(blank, np.uint8(32), raw)[kept].tobytes(), np.r_[kept, len(raw)]
 
 
+def _places(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Ends of the bytes where a cut may fall."""
+    found = np.flatnonzero((h >> np.uint32(32 - CUT_BITS) == 0) & whole) + 1
+    for bits in FEWER_BITS:
+        edges = np.r_[0, found, len(h)]
+        wide = np.flatnonzero(np.diff(edges) > GAP)
+        if not len(wide):
+            break
+        more = [np.flatnonzero((h[a:b] >> np.uint32(32 - bits) == 0) & whole[a:b]) + a + 1 for a, b in zip(edges[wide], edges[wide + 1], strict=True)]
+        found = np.union1d(found, np.concatenate(more))
+    return found
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of ``data``, the last at its end. A cut falls before
     the first byte of a character, at least LEAST and at most MOST bytes (and
@@ -52,9 +68,8 @@ def cuts(data: bytes) -> list[int]:
         return []
     raw = np.frombuffer(data, np.uint8)
     whole = np.r_[(raw[1:] & 0xC0) != 0x80, True]
-    found = (np.flatnonzero((gear(raw) >> np.uint32(32 - CUT_BITS) == 0) & whole) + 1).tolist()
     out, last = [], 0
-    for end in [*found, n]:
+    for end in [*_places(gear(raw), whole).tolist(), n]:
         while end - last > MOST:
             last += MOST
             while not whole[last - 1]:
@@ -67,15 +82,15 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, stop, words, digest`` of every chunk of every text:
-    byte offsets into its UTF-8, words that begin in it, 128-bit digest."""
+    """``doc_id, text_key, start, stop, words, digest`` of every chunk of every
+    text: the text's hash, byte offsets into its UTF-8, words that begin in it,
+    128-bit digest."""
     prepare(docs.sparkSession)
-    schema = "doc_id long, start long, stop long, words int, digest binary"
+    schema = "doc_id long, text_key long, start long, stop long, words int, digest binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, done = batch.column(0), 0
-            for part in groups([t or "" for t in batch.column(1).to_pylist()]):
+            for done, part in text_slices(batch.column(2)):
                 own, starts, stops, words, digests = [], [], [], [], []
                 for i, text in enumerate(part):
                     data, at = compact(text.encode())
@@ -90,11 +105,11 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     stops += real
                     blank = np.frombuffer(data, np.uint8) == 32
                     words += np.add.reduceat(~blank & np.r_[True, blank[:-1]], begins, dtype=np.int32).tolist()
-                done += len(part)
-                arrays = [ids.take(pa.array(own, pa.int32())), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(words, pa.int32()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "stop", "words", "digest"])
+                take = pa.array(own, pa.int32())
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(words, pa.int32()), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "start", "stop", "words", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,10 +124,12 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within:
     n_chunks, first_doc_id, removed`` per passage: byte offsets into the UTF-8
     text, the smallest doc_id that holds one of its chunks, and whether the
     dedup removes it (every chunk occurs before, in an earlier document or
-    earlier in this one), so that the first occurrence of every chunk stays.
+    earlier in this one), so that the first occurrence of every chunk stays; and
+    ``text_key``, by which the texts of one doc_id are told apart.
 
-    Repeated rows with one doc_id are one document read twice and so repeat
-    nothing. Rows with a null id, null and empty texts have no passage. Digests
+    Repeated rows with one doc_id are one document read twice, and rows of one
+    doc_id with different texts are parts of one document: neither repeats
+    anything. Rows with a null id, null and empty texts have no passage. Digests
     are pre-aggregated before the shuffle, and the join back to the chunks is
     one that AQE splits where a chunk is very frequent; no group is gathered.
     """
@@ -122,13 +139,13 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within:
     place = F.struct("doc_id", "start") if within else F.col("doc_id")
     many = checkpointed(chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last"))
     first = F.col("first.doc_id") if within else F.col("first")
-    shared = chunks.join(many, "digest").select("doc_id", "start", "stop", "words", first.alias("first_doc_id"), (F.col("first") == place).alias("new"))
-    w = Window.partitionBy("doc_id").orderBy("start", "stop")
+    shared = chunks.join(many, "digest").select("doc_id", "text_key", "start", "stop", "words", first.alias("first_doc_id"), (F.col("first") == place).alias("new"))
+    w = Window.partitionBy("doc_id", "text_key").orderBy("start", "stop")
     runs = shared.distinct().withColumn("gap", F.coalesce((F.lag("stop").over(w) < F.col("start")).cast("int"), F.lit(1)))
     turn = F.greatest("gap", (F.lag("new").over(w) != F.col("new")).cast("int"))
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("run", F.sum("gap").over(up_to)).withColumn("turn", turn).withColumn("part", F.sum("turn").over(up_to))
-    parts = runs.groupBy("doc_id", "run", "part").agg(
+    parts = runs.groupBy("doc_id", "text_key", "run", "part").agg(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
         F.sum("words").alias("n_words"),
@@ -136,25 +153,28 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within:
         F.min("first_doc_id").alias("first_doc_id"),
         (~F.first("new")).alias("removed"),
     )
-    words = F.sum("n_words").over(Window.partitionBy("doc_id", "run"))
+    words = F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "run"))
     return parts.withColumn("_words", words).filter(F.col("_words") >= least_words).drop("run", "part", "_words")
 
 
-def without_repeats(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
-    """``docs`` with ``text`` cleared of the passages that the dedup removes;
-    other columns stay. Spans are cut from the UTF-8 bytes by built-in
-    functions."""
+def without_repeats(docs: DataFrame, least_words: int = PASSAGE_WORDS, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text_col`` cleared of the passages that the dedup removes;
+    other columns and rows stay, whatever their names. Each text is cut by its
+    own passages, from its UTF-8 bytes, by built-in functions."""
     spans = (
-        repeated_passages(docs, least_words)
+        repeated_passages(docs, least_words, text_col=text_col)
         .filter("removed")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-        .withColumnRenamed("doc_id", "_id")
+        .groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"))
+        .select(F.struct("i", "k").alias("own"), "s")
     )
     kept = F.expr(
-        """decode(aggregate(_spans, struct(cast('' as binary) as t, 0L as p),
-             (a, s) -> struct(concat(a.t, substring(encode(text, 'UTF-8'), cast(a.p + 1 as int), cast(s.start - a.p as int))) as t, s.stop as p),
-             a -> concat(a.t, substring(encode(text, 'UTF-8'), cast(a.p + 1 as int)))), 'UTF-8')"""
+        """array_join(transform(sequence(0, size(s)), n -> decode(substring(b,
+             cast(if(n = 0, 0, s[greatest(n - 1, 0)].stop) as int) + 1,
+             cast(if(n = size(s), length(b), s[least(n, size(s) - 1)].start) - if(n = 0, 0, s[greatest(n - 1, 0)].stop) as int)), 'UTF-8')), '')"""
     )
-    joined = docs.join(spans, docs.doc_id == spans._id, "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    text = F.col(f"d.`{text_col}`")
+    whole = docs.select(F.struct("*").alias("d"))
+    joined = whole.join(spans, (F.col("d.doc_id").cast("long") == F.col("own.i")) & (F.xxhash64(text) == F.col("own.k")), "left")
+    cut = joined.withColumn("b", F.encode(text, "UTF-8")).withColumn("t", F.when(F.col("s").isNull(), text).otherwise(kept))
+    return cut.select(*[F.col("t").alias(c) if c == text_col else F.col(f"d.`{c}`").alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, prepare
+from .common import prepare, text_slices
 
 #: Pieces longer than this, or too few of one size, are merged one at a time.
 LOCKSTEP_SIZE = 64
@@ -248,15 +248,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(source, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [x for part in groups(texts) for x in codec.encode_batch(part, blanks_lead)]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            column = pa.array(ids, pa.binary())
-            if not packed:
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("i4"))
-                column = pa.ListArray.from_arrays(offsets, flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, column, *batch.columns[2:]], ["doc_id", "n_tokens", "ids", *keep])
+            for start, texts in text_slices(batch.column(1)):
+                part, ids = batch.slice(start, len(texts)), codec.encode_batch(texts, blanks_lead)
+                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                column = pa.array(ids, pa.binary())
+                if not packed:
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("i4"))
+                    column = pa.ListArray.from_arrays(offsets, flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), counts, column, *part.columns[2:]], ["doc_id", "n_tokens", "ids", *keep])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in keep])
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])

@@ -6,6 +6,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +35,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def groups(texts: list[str], size: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """``texts`` in order, in lists of about ``size`` characters."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= size:
-            yield texts[start : i + 1]
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
+def text_slices(column: pa.Array, size: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow column in order, in lists of about ``size`` bytes,
+    each with the number of its first row, so that a batch of long texts is not
+    held twice; null counts as empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield start, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

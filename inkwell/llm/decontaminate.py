@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, prepare
+from .common import prepare, text_slices
 
 #: Similarity (1 - edit distance / item length) that makes a leak.
 SIMILARITY = 0.8
@@ -327,14 +327,12 @@ def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            ids, texts, done = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
-            for part in groups(texts):
+            for done, part in text_slices(batch.column(1)):
                 found = list(zip(*index.leaks(part), strict=True))
                 if found:
                     owner = pa.array([done + i for i in found[0]])
                     rest = [pa.array(found[1], pa.int64()), *(pa.array(x, pa.int32()) for x in found[2:])]
-                    yield pa.RecordBatch.from_arrays([ids.take(owner), *rest], ["doc_id", "item_id", "distance", "start", "stop"])
-                done += len(part)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *rest], ["doc_id", "item_id", "distance", "start", "stop"])
 
     return run
 
@@ -355,10 +353,9 @@ def _keeper(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            good, done = np.ones(batch.num_rows, bool), 0
-            for part in groups([t or "" for t in batch.column(at).to_pylist()]):
+            good = np.ones(batch.num_rows, bool)
+            for done, part in text_slices(batch.column(at)):
                 good[[done + x[0] for x in index.leaks(part)]] = False
-                done += len(part)
             yield batch.filter(pa.array(good))
 
     return run

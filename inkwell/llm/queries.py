@@ -70,7 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+    return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +96,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 20
 """
 
-OP7_SQL = """
+def _escaped(column: str) -> str:
+    return rf"regexp_replace(regexp_replace({column}, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')"
+
+
+OP7_SQL = f"""
 WITH t AS (
-  SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS plain, {_escaped("coalesce(text, '')")} AS text
   FROM conversations
 ), c AS (
   SELECT conv_id, min(turn) AS first FROM t GROUP BY conv_id
@@ -106,14 +110,14 @@ WITH t AS (
   SELECT DISTINCT conv_id, role AS assistant FROM t WHERE role <> 'system'
 ), s AS (
   SELECT t.conv_id, p.assistant, (t.turn - c.first) // 256 AS segment, t.role = p.assistant AS own,
-    '<|' || CASE WHEN t.role = p.assistant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || '|>' || chr(10) AS head,
+    '<|' || CASE WHEN t.role = p.assistant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || {_escaped('t.role')} END || '|>' || chr(10) AS head,
     t.text || '<|end|>' || chr(10) AS body,
-    row_number() OVER (PARTITION BY t.conv_id, p.assistant, (t.turn - c.first) // 256 ORDER BY t.turn, t.role, t.text) AS n
+    row_number() OVER (PARTITION BY t.conv_id, p.assistant, (t.turn - c.first) // 256 ORDER BY t.turn, t.role, t.plain) AS n
   FROM t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), o AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, assistant, segment ORDER BY n) AS stop FROM s
 )
-SELECT conv_id, assistant, segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
+SELECT conv_id, assistant, segment, 0 AS part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
   coalesce(string_agg(CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE own), '') AS mask
 FROM o GROUP BY conv_id, assistant, segment
 """

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, prepare
+from .common import prepare, text_slices
 
 WINDOW, STRIDE = 40, 32
 HIDDEN, DIM = 8, 12
@@ -342,7 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, fold: int =
 
     Learns from the rows whose crc32(doc_id as text) mod 4 is not ``fold``: at
     most ``rows`` of them, the first by a hash of their id, and of those as many
-    whole texts as fit ``TRAIN_CHARS`` on the driver. Rows with a null id, text
+    whole texts as fit ``TRAIN_CHARS`` on the driver; of an id with several texts
+    the first. Rows with a null id, text
     or label and labels other than 0 and 1 are not used; no usable label, or
     one class only, gives a constant score.
     """
@@ -354,25 +355,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, fold: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    size = F.sum(F.length("text")).over(_by_hash())
+    # one text of each id, so that what is ordered has ``rows`` rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
+    texts = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    by_hash = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        texts.join(F.broadcast(marked), "doc_id")
-        .withColumn("_size", size)
+        texts.withColumn("_size", F.sum(F.length("text")).over(by_hash))
         .filter(F.col("_size") <= TRAIN_CHARS)
         .select("doc_id", "text", "toxic")
         .toArrow()
-        .sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        .sort_by([("doc_id", "ascending")])
     )
     return train(found.column("text").to_pylist(), found.column("toxic").to_pylist())
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-
-
 _scorers: dict[int, Scorer] = {}
 
 
@@ -386,8 +382,8 @@ def _scorer(model: Model) -> Scorer:
 
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
-    scorer, texts = _scorer(model), [t or "" for t in column.to_pylist()]
-    return np.concatenate([np.empty(0), *(scorer.scores(part) for part in groups(texts))])
+    scorer = _scorer(model)
+    return np.concatenate([np.empty(0), *(scorer.scores(part) for _, part in text_slices(column))])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -24,6 +25,55 @@ def gap_gain(h_adv: Column, m_adv: Column, h_clean: Column, m_clean: Column) ->
     return (h_adv - m_adv) - (h_clean - m_clean)
 
 
+def gap_floor(h_adv: Column, m_adv: Column, least: float) -> Column:
+    """MTH1: whether the gap is under its floor."""
+    return h_adv - m_adv < least
+
+
+def unscaled(budget: Column, low: float, high: float) -> Column:
+    """MTH13: the score that a budget stands for, held to 0..1."""
+    return clamp((budget - low) / (high - low) if high - low > 1e-9 else budget, 0.0, 1.0)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """CHK2: infinite where the denominator is zero."""
+    return F.when(b == 0, float("inf")).otherwise(a / F.when(b != 0, b))
+
+
+def under(value: Column, bounds: list[tuple[float, str]], otherwise: str) -> Column:
+    """CHK2: the name of the first bound that the value stays under."""
+    out = reduce(lambda c, b: c.when(value < b[0], b[1]), bounds[1:], F.when(value < bounds[0][0], bounds[0][1]))
+    return out.otherwise(otherwise)
+
+
+def first_position(words: Column, preferred: Column) -> Column:
+    """CHK5: ``struct(position, word)`` of the first of the preferred words, or
+    else of the capitalised words in order, that is in ``words``; position 0 with
+    the first word if there is none."""
+    wanted = F.concat(F.array(preferred), F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+    there = F.try_element_at(F.filter(wanted, lambda w: F.array_contains(words, w)), F.lit(1))
+    word = F.coalesce(there, F.try_element_at(words, F.lit(1)))
+    at = F.when(there.isNull(), 0).otherwise(F.array_position(words, there) - 1).cast("int")
+    return F.struct(at.alias("position"), word.alias("word"))
+
+
+def shape_cost(a: Column, b: Column, width: int, height: int, boxes: list[tuple[int, int, int, int]]) -> Column:
+    """MTH18: mean difference within each box of two rasters (arrays by row),
+    averaged over all boxes, those that are empty counting as 0; without boxes
+    that of the whole raster."""
+    pairs = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    whole = boxes or [(0, 0, width, height)]
+
+    def mean(gaps: Column, box: tuple[int, int, int, int]) -> Column:
+        x0, y0, x1, y1 = max(0, box[0]), max(0, box[1]), min(width, box[2]), min(height, box[3])
+        at = [y * width + x + 1 for y in range(y0, y1) for x in range(x0, x1)]
+        if not at:
+            return F.lit(0.0)
+        return F.aggregate(F.array(*map(F.lit, at)), F.lit(0.0), lambda s, i: s + F.element_at(gaps, i)) / len(at)
+
+    return bound(pairs, lambda g: reduce(lambda s, x: s + x, [mean(g, box) for box in whole]) / len(whole))
+
+
 def penalty(mu: Column, loss: Column, kappa: Column | float) -> Column:
     """MTH3."""
     return mu * F.pow(F.greatest(F.lit(0.0), loss - kappa), 2)
@@ -65,11 +115,20 @@ def entropy(p: Column, k: int) -> Column:
     return total / F.ln(F.lit(float(k)))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once for a row, not once for
+    each element that a function within ``body`` runs over."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_softmax(v: Column) -> Column:
     """MTH14: of an array of doubles."""
-    top = F.array_max(v)
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(v, lambda x: x - top - F.ln(total))
+
+    def shifted(top: Column) -> Column:
+        total = F.ln(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+        return bound(total, lambda z: F.transform(v, lambda x: x - top - z))
+
+    return bound(F.array_max(v), shifted)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -93,7 +152,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def project_l2(v: Column, radius: float) -> Column:
     """MTH6: onto the ball of a radius."""
-    return F.transform(v, lambda x: x * F.least(F.lit(1.0), F.lit(radius) / F.greatest(l2(v), F.lit(1e-12))))
+    share = F.least(F.lit(1.0), F.lit(radius) / F.greatest(l2(v), F.lit(1e-12)))
+    return bound(share, lambda k: F.transform(v, lambda x: x * k))
 
 
 def visual_kl(before: Column, after: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import forward_spans, token_distance, wrapped  # noqa: F401
+
 # Words that label a field, and characters that are easily taken
 # for one another.
 LABEL_WORDS = (
-    "account holder name date description transaction history balance type reference "
-    "details information address phone email amount total from to subject"
-).split()
+    "account", "holder", "name", "date", "description", "transaction", "history", "balance", "type", "reference",
+    "details", "information", "address", "phone", "email", "amount", "total", "from", "to", "subject",
+)
 LABEL_ENDS = ":：#-"
 AMBIGUOUS = "O0I1l"
 # Fixed value: the prompt that a model may repeat before its answer.
@@ -43,22 +45,6 @@ def cer(hyp: Column, ref: Column) -> Column:
     return _rate(F.levenshtein(h, r), F.char_length(r), F.char_length(h))
 
 
-def token_distance(h: Column, r: Column) -> Column:
-    """Edit distance of two arrays, row by row of the usual table. Quadratic:
-    for short arrays; long ones go through an Arrow function."""
-    start = F.transform(F.sequence(F.lit(0), F.size(r)), lambda i: i)
-
-    def row(prev: Column, w: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            same = F.when(F.element_at(r, j) == w, 0).otherwise(1)
-            best = F.least(F.element_at(prev, j + 1) + 1, F.element_at(acc, -1) + 1, F.element_at(prev, j) + same)
-            return F.concat(acc, F.array(best))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(r)), F.array(F.element_at(prev, 1) + 1), cell)
-
-    return F.when(F.size(r) == 0, F.size(h)).otherwise(F.element_at(F.aggregate(h, start, row), -1))
-
-
 def wer(hyp: Column, ref: Column) -> Column:
     """STR3: the same rate over words."""
     h, r = words(normalise(hyp)), words(normalise(ref))
@@ -88,6 +74,7 @@ def clean_prediction(s: Column) -> Column:
 
 def strip_preamble(s: Column) -> Column:
     """STR10: without an announcement of the text, and without quotes around."""
+    # Fixed value: how such announcements read.
     bare = F.regexp_replace(
         F.trim(s), r"(?i)^the (?:text (?:in the image )?(?:reads|is|says)|image (?:shows|contains|displays|reads))[\s:\"']*", ""
     )
@@ -116,6 +103,7 @@ def slug(s: Column) -> Column:
 def repair_json(s: Column) -> Column:
     """STR14: a note in brackets after a string is dropped; a note naming a
     telephone system replaces the string by that system's messenger."""
+    # The systems' names and their messengers.
     tail = r'\)(?=\s*[,\n\]}])'
     s = F.regexp_replace(s, r'"[^"]+"\s+\((?i:[^)]*ios[^)]*)' + tail, '"iMessage"')
     s = F.regexp_replace(s, r'"[^"]+"\s+\((?i:[^)]*android[^)]*)' + tail, '"Android Messages"')
@@ -179,31 +167,3 @@ def amount_sign(amount: Column, strip_plus: bool = False) -> Column:
     """STR28: "debit" for amounts with a minus."""
     bare = F.regexp_replace(amount, r"^\++", "") if strip_plus else amount
     return F.when(F.startswith(bare, F.lit("-")), "debit").otherwise("credit")
-
-
-def wrapped(tokens: Column, width: int) -> Column:
-    """STR20: lines of at most ``width`` characters, filled greedily; a longer
-    word stands alone, cut into pieces of that width."""
-    pieces = F.flatten(F.transform(tokens, lambda w: F.when(F.char_length(w) <= width, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))))
-
-    def step(lines: Column, w: Column) -> Column:
-        last = F.element_at(lines, -1)
-        joined = F.concat(last, F.lit(" "), w)
-        return F.when(F.size(lines) == 0, F.array(w)).when(
-            F.char_length(joined) <= width, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(joined))
-        ).otherwise(F.concat(lines, F.array(w)))
-
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
-
-
-def forward_spans(tokens: Column, s: Column) -> Column:
-    """WIN13: where each token lies in ``s``, each searched for from the end of
-    the one before; null if one is not found."""
-
-    def step(acc: Column, w: Column) -> Column:
-        at = F.position(w, s, acc["at"])
-        found = F.struct(F.concat(acc["spans"], F.array(F.struct((at - 1).alias("start"), (at - 1 + F.char_length(w)).alias("stop")))).alias("spans"), (at + F.char_length(w)).alias("at"), (acc["ok"] & (at > 0)).alias("ok"))
-        return found
-
-    start = F.struct(F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.lit(1).alias("at"), F.lit(True).alias("ok"))
-    return F.aggregate(tokens, start, step, lambda a: F.when(a["ok"], a["spans"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,14 +22,17 @@ def moved(v: Column, scale: Column, offset: Column) -> Column:
 
 def words_with_boxes(lines: DataFrame, keys: list[str], char_px: int = 8, height: int = 12, pitch: int = 20) -> DataFrame:
     """WIN5, WIN6, JN4, ARR1: a box for every word of ``lines(keys, line,
-    words)``: widths by characters, words one blank apart, lines one pitch apart."""
-    step = F.expr(
-        f"""transform(words, (w, i) -> struct(cast(i as int) as pos, w as word,
-            cast({char_px} * aggregate(slice(words, 1, i), 0, (a, x) -> a + length(x) + 1) as int) as x0))"""
+    words)``: widths by characters, words one blank apart, lines one pitch apart.
+    One pass over a line's words gives where each begins."""
+    begins = F.aggregate(
+        "words",
+        F.struct(F.array().cast("array<int>").alias("xs"), F.lit(0).alias("at")),
+        lambda a, w: F.struct(F.concat(a["xs"], F.array(a["at"])).alias("xs"), (a["at"] + char_px * (F.char_length(w) + 1)).alias("at")),
+        lambda a: a["xs"],
     )
-    rows = lines.select(*keys, "line", F.explode(step).alias("b"))
+    rows = lines.select(*keys, "line", F.posexplode(F.arrays_zip(F.col("words").alias("word"), begins.alias("x0"))).alias("pos", "b"))
     return rows.select(
-        *keys, "line", "b.pos", "b.word", "b.x0", (F.col("line") * pitch).cast("int").alias("y0"),
+        *keys, "line", "pos", F.col("b.word").alias("word"), F.col("b.x0").alias("x0"), (F.col("line") * pitch).cast("int").alias("y0"),
         (F.col("b.x0") + char_px * F.char_length("b.word")).cast("int").alias("x1"), (F.col("line") * pitch + height).cast("int").alias("y1"),
     )
 
@@ -43,17 +47,48 @@ def centre_distance(a: str, b: str) -> Column:
     return F.expr(f"sqrt(pow(({a}.x0 + {a}.x1) / 2.0 - ({b}.x0 + {b}.x1) / 2.0, 2) + pow(({a}.y0 + {a}.y1) / 2.0 - ({b}.y0 + {b}.y1) / 2.0, 2))")
 
 
-def near_pairs(boxes: DataFrame, key: str, radius: int, cell: int | None = None) -> DataFrame:
+def same_row(a: str, b: str) -> Column:
+    """GEO4: centres less than one and a half heights apart, by the higher box."""
+    return F.expr(f"abs(({a}.y0 + {a}.y1) / 2.0 - ({b}.y0 + {b}.y1) / 2.0) < 1.5 * greatest({a}.y1 - {a}.y0, {b}.y1 - {b}.y0, 1)")
+
+
+def near_pairs(boxes: DataFrame, key: str, radius: int) -> DataFrame:
     """JN7: pairs of boxes of one image whose centres are within ``radius``, each
-    with itself. Boxes meet only in their own and neighbouring grid cells, so a
-    large image is not paired in full."""
-    cell = cell or radius
-    grid = boxes.withColumn("gx", F.floor((F.col("x0") + F.col("x1")) / 2 / cell)).withColumn("gy", F.floor((F.col("y0") + F.col("y1")) / 2 / cell))
-    around = grid.withColumn("d", F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))")))
-    around = around.withColumn("gx", F.col("gx") + F.col("d.i")).withColumn("gy", F.col("gy") + F.col("d.j")).drop("d")
-    a, b = around.alias("a"), grid.alias("b")
+    with itself. Boxes meet in cells of twice the radius: a box looks into those
+    that its circle touches, four at most, so a large image is not paired in
+    full."""
+    cell = 2 * radius
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    at = lambda v: F.floor(v / cell)
+    reach = lambda v: F.sequence(at(v - radius), at(v + radius))
+    a = boxes.withColumn("gx", F.explode(reach(x))).withColumn("gy", F.explode(reach(y))).alias("a")
+    b = boxes.withColumn("gx", at(x)).withColumn("gy", at(y)).alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "gx", "gy")]
-    return a.join(b, on).filter(centre_distance("a", "b") <= radius)
+    dx, dy = (F.expr(f"a.{v}0 + a.{v}1 - b.{v}0 - b.{v}1") for v in "xy")  # twice the distance
+    return a.join(b, on).filter(dx * dx + dy * dy <= 4 * radius * radius)
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], low: str, high: str, cell: int) -> DataFrame:
+    """JN6, JN8: pairs of intervals ``low`` to ``high`` (half open) of aliases a
+    and b with equal ``keys`` that overlap, each once. Intervals meet in the cells
+    they touch; a pair counts in the first cell that both touch."""
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        cells = F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(high) - 1) / cell))
+        return df.filter(F.col(low) < F.col(high)).withColumn("_cell", F.explode(cells)).alias(name)
+
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "_cell")]
+    meet = (F.col(f"a.{low}") < F.col(f"b.{high}")) & (F.col(f"b.{low}") < F.col(f"a.{high}"))
+    first = F.floor(F.greatest(F.col(f"a.{low}"), F.col(f"b.{low}")) / cell) == F.col("a._cell")
+    return dealt(a, "a").join(dealt(b, "b"), on).filter(meet & first)
+
+
+def section_boundaries(words: DataFrame, key: str, is_header: Column, is_other: Column) -> DataFrame:
+    """STR18: the rows of ``words`` that are headers with no other kind of word
+    on their row (``is_other`` says what breaks a header). Of what breaks
+    headers each height counts once, so a row of words is one row here."""
+    a, b = words.filter(is_header).alias("a"), words.filter(is_other).select(key, "y0", "y1").distinct().alias("b")
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & same_row("a", "b"), "left_anti")
 
 
 def clipped(boxes: DataFrame, width: int, height: int, grow: int = 0) -> DataFrame:
@@ -74,27 +109,29 @@ def pixels(boxes: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def greedy_groups(boxes: DataFrame, key: str, radius: float | None = None) -> DataFrame:
-    """WIN15, WIN16: first-fit groups of boxes that do not overlap (and, with a
-    radius, whose centres are further apart), in order of ``pos``. One image's
-    boxes are bounded, so each image is one call."""
+def first_fit(boxes: np.ndarray, radius: float | None = None) -> np.ndarray:
+    """Group of each of ``boxes(x0, y0, x1, y1)`` in order: the first group with
+    no box that overlaps (or, with a radius, whose centre is within it)."""
+    centre = (boxes[:, :2] + boxes[:, 2:]) / 2
+    group = np.zeros(len(boxes), np.int64)
+    for i, (x0, y0, x1, y1) in enumerate(boxes):
+        o = boxes[:i]
+        clash = (x0 < o[:, 2]) & (x1 > o[:, 0]) & (y0 < o[:, 3]) & (y1 > o[:, 1])
+        if radius is not None:
+            clash |= ((centre[:i] - centre[i]) ** 2).sum(1) <= radius * radius
+        taken = np.unique(group[:i][clash])
+        free = np.flatnonzero(taken != np.arange(len(taken)))
+        group[i] = free[0] if len(free) else len(taken)
+    return group
+
+
+def greedy_groups(boxes: DataFrame, key: str, radius: float | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """WIN15, WIN16: ``first_fit`` groups of each image's boxes in ``order``. One
+    image's boxes are bounded, so each image is one call."""
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        open_groups: list[list[tuple]] = []
-        out = []
-        for x0, y0, x1, y1 in rows[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            def clash(o, x0=x0, y0=y0, x1=x1, y1=y1):
-                if x0 < o[2] and x1 > o[0] and y0 < o[3] and y1 > o[1]:
-                    return True
-                return radius is not None and (((x0 + x1 - o[0] - o[2]) / 2) ** 2 + ((y0 + y1 - o[1] - o[3]) / 2) ** 2) ** 0.5 <= radius
-
-            g = next((i for i, members in enumerate(open_groups) if not any(map(clash, members))), len(open_groups))
-            if g == len(open_groups):
-                open_groups.append([])
-            open_groups[g].append((x0, y0, x1, y1))
-            out.append(g)
-        return pd.DataFrame({key: rows[key], "pos": rows["pos"], "group_id": out})
-
-    kind = dict(boxes.dtypes)[key]
-    return boxes.groupBy(key).applyInPandas(assign, f"{key} {kind}, pos int, group_id int")
+        rows = rows.sort_values(list(order), kind="stable")
+        return rows[[key, *order]].assign(group_id=first_fit(rows[["x0", "y0", "x1", "y1"]].to_numpy(float), radius))
+
+    kinds = dict(boxes.dtypes)
+    return boxes.groupBy(key).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in (key, *order)) + ", group_id long")

@@ -3,6 +3,7 @@ once per task and freed after it. Only the contract is here, and a fake."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import closing
 from typing import Protocol
@@ -11,12 +12,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_prediction
+from ..functions.text import clean_prediction, repair_json, unfence
 
 
 class Reader(Protocol):
+    """What a model that reads pictures must offer (2.13): transcripts, the mean
+    loss of a text, how far a picture's features lie from another's, and the log
+    probabilities of a text's tokens with, on request, the greatest of each
+    position."""
+
     def transcribe(self, images: list[str]) -> list[str]: ...
-    def token_logprobs(self, images: list[str], texts: list[str]) -> list[list[float]]: ...
+    def ce_loss(self, images: list[str], texts: list[str]) -> list[float]: ...
+    def align_loss(self, images: list[str], references: list[str]) -> list[float]: ...
+    def token_logprobs(self, images: list[str], texts: list[str], top_k: int = 0) -> list[tuple[list[float], list[list[float]]]]: ...
     def close(self) -> None: ...
 
 
@@ -26,13 +34,41 @@ class EchoReader:
     def transcribe(self, images: list[str]) -> list[str]:
         return ["assistant " + (x or "").replace("l", "1") for x in images]
 
-    def token_logprobs(self, images: list[str], texts: list[str]) -> list[list[float]]:
-        return [[-float(len(w)) / 10 for w in (t or "").split()] for t in texts]
+    def ce_loss(self, images: list[str], texts: list[str]) -> list[float]:
+        return [-sum(lp) / max(len(lp), 1) for lp, _ in self.token_logprobs(images, texts)]
+
+    def align_loss(self, images: list[str], references: list[str]) -> list[float]:
+        return [-float((a or "") == (b or "")) for a, b in zip(images, references, strict=True)]
+
+    def token_logprobs(self, images: list[str], texts: list[str], top_k: int = 0) -> list[tuple[list[float], list[list[float]]]]:
+        found = [[-float(len(w)) / 10 for w in (t or "").split()] for t in texts]
+        return [(lp, [[x - 0.5 * k for k in range(top_k)] for x in lp]) for lp in found]
 
     def close(self) -> None:
         pass
 
 
+class Generator(Protocol):
+    """SRC10: what a model that writes content items must offer: so many items of
+    a category, each a JSON object, as one text (STR14 and STR15 read it)."""
+
+    def generate(self, category: str, n: int) -> str: ...
+    def close(self) -> None: ...
+
+
+class EchoGenerator:
+    """Deterministic stand-in, with the fences that such answers have."""
+
+    def generate(self, category: str, n: int) -> str:
+        return "```json\n" + json.dumps([{"title": f"{category} {k}"} for k in range(n)]) + "\n```" if category != "none" else "I can't."
+
+    def close(self) -> None:
+        pass
+
+
+GENERATORS: dict[str, Callable[[], Generator]] = {"echo": EchoGenerator}
+
+
 REGISTRY: dict[str, Callable[[], Reader]] = {"echo": EchoReader}
 
 
@@ -57,13 +93,46 @@ def transcribe(rows: DataFrame, model: str, image: str = "image", key: str = "im
     return out.select(key, F.lit(model).alias("model_name"), clean_prediction(F.col("transcript")).alias("transcript"))
 
 
-def token_logprobs(rows: DataFrame, model: str, image: str = "image", text: str = "text", key: str = "image_id") -> DataFrame:
-    """``key, lp``: log probabilities of the text's tokens."""
+def token_logprobs(rows: DataFrame, model: str, image: str = "image", text: str = "text", key: str = "image_id", top_k: int = 0) -> DataFrame:
+    """``key, lp, top``: log probabilities of the text's tokens, and the ``top_k``
+    greatest of each position (empty arrays without)."""
     make = reader(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with closing(make()) as r:
             for part in parts:
-                yield pd.DataFrame({key: part[key], "lp": r.token_logprobs(part[image].tolist(), part[text].tolist())})
+                found = r.token_logprobs(part[image].tolist(), part[text].tolist(), top_k)
+                yield pd.DataFrame({key: part[key], "lp": [x[0] for x in found], "top": [x[1] for x in found]})
+
+    return rows.select(key, image, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, lp array<double>, top array<array<double>>")
+
+
+def losses(rows: DataFrame, model: str, image: str = "image", text: str = "text", reference: str = "reference", key: str = "image_id") -> DataFrame:
+    """``key, ce, align``: loss of the text, and of the picture's features against
+    those of the reference."""
+    make = reader(model)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with closing(make()) as r:
+            for part in parts:
+                images = part[image].tolist()
+                yield pd.DataFrame({key: part[key], "ce": r.ce_loss(images, part[text].tolist()), "align": r.align_loss(images, part[reference].tolist())})
+
+    return rows.select(key, image, text, reference).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, ce double, align double")
+
+
+def generated(requests: DataFrame, generator: str, item: str) -> DataFrame:
+    """SRC10, STR15: items (a struct of schema ``item``) for ``requests(category,
+    n)``; an answer that is no list of items gives none."""
+    if generator not in GENERATORS:
+        raise KeyError(f"no generator {generator!r}; there are {sorted(GENERATORS)}")
+    make = GENERATORS[generator]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with closing(make()) as g:
+            for part in parts:
+                yield pd.DataFrame({"category": part["category"], "answer": [g.generate(c, int(n)) for c, n in zip(part["category"], part["n"], strict=True)]})
 
-    return rows.select(key, image, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, lp array<double>")
+    answers = requests.select("category", "n").mapInPandas(run, "category string, answer string")
+    items = F.from_json(unfence(repair_json(F.col("answer"))), f"array<struct<{item}>>")
+    return answers.select("category", F.explode(F.coalesce(items, F.array().cast(f"array<struct<{item}>>"))).alias("item"))

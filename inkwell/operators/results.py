@@ -21,7 +21,8 @@ def any_and_all(cells: DataFrame, config: list[str], sample: str, model: str, fl
     passes. All models are those of the whole table unless their number is
     given; an absent record is a failure. The model count joins as one row."""
     per_sample = cells.groupBy(*config, sample).agg(F.count_if(flag).alias("_k"))
-    models = cells.agg(F.countDistinct(model).alias("_m")) if n_models is None else None
+    # the flag is counted too, so that both aggregates read the same exchange
+    models = cells.agg(F.countDistinct(model).alias("_m"), F.count_if(flag).alias("_p")).select(F.when(F.col("_p") >= 0, F.col("_m")).alias("_m")) if n_models is None else None
     joined = per_sample.crossJoin(F.broadcast(models)) if models is not None else per_sample.withColumn("_m", F.lit(n_models))
     return joined.groupBy(*config).agg(
         F.count("*").alias("n"), F.count_if(F.col("_k") > 0).alias("n_any"), F.count_if(F.col("_k") == F.col("_m")).alias("n_all")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import content as C
 from ..functions import text as T
 from ..registry import query
 
@@ -53,18 +55,138 @@ def map_entries(t):
     return t.part.select("p_partkey", F.array_join(shown, "; ").alias("shown"))
 
 
+def bank(t):
+    """A content bank from customers and their orders: seven categories by key,
+    some fields empty, blank or absent."""
+    o = F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))))
+    orders = t.orders.groupBy("o_custkey").agg(o.alias("o"))
+    rows = t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    key = lambda x: x["o_orderkey"].cast("string")
+    lists = {"transactions": ("date description amount running_balance".split()), "lab_results": "test value reference_range flag".split(), "parties": ["role", "name"], "clauses": ["number", "heading", "text"], "signature_block": ["role", "name", "date_signed"], "participants": ["role", "name"], "messages": ["sender", "text"]}
+    made = {}
+    for parts in C.FIELDS.values():
+        for part in parts:
+            for name in C._names(part):
+                made[name] = F.when(F.lit(len(name)) % 3 == F.col("c_custkey") % 3, F.concat(F.lit(f" {name} "), "c_name")).otherwise(F.when(F.col("c_custkey") % 2 == 0, F.lit("  ")))
+
+
+    def structs(fields: list[str]):
+        return F.transform("o", lambda x: F.struct(*[c.alias(n) for n, c in zip(fields, [key(x), x["s"], x["p"], F.lit("")], strict=False)]))
+
+    made |= {name: structs(fields) for name, fields in lists.items()}
+    for name in ("medications", "body_paragraphs", "security_features"):
+        made[name] = F.transform("o", lambda x: F.concat_ws(" ", key(x), x["p"]))
+    made["additional_fields"] = F.create_map(F.lit("height_cm"), F.col("c_nationkey").cast("string"), F.lit("empty"), F.lit(""), F.lit("mrz_line"), F.col("c_mktsegment"))
+    category = F.element_at(F.array(*map(F.lit, C.FIELDS)), (F.col("c_custkey") % 7 + 1).cast("int"))
+    return rows.select("c_custkey", category.alias("category"), "o", *[v.alias(n) for n, v in made.items()])
+
+
+def _bank_sql() -> str:
+    """The text of each category, spelt out from the same list of fields."""
+    field = lambda n: f"CASE WHEN {len(n)} % 3 = c_custkey % 3 THEN '{n} ' || c_name ELSE '' END"
+    spaced = lambda n: f"CASE WHEN {len(n)} % 3 = c_custkey % 3 THEN ' {n} ' || c_name WHEN c_custkey % 2 = 0 THEN '  ' ELSE '' END"
+    each = lambda x: f"list_transform(o, lambda x: {x})"
+    cols = ["CAST(x.k AS VARCHAR)", "x.s", "x.p", "''"]
+    out = []
+    for k, parts in enumerate(C.FIELDS.values()):
+        lists = []
+        for part in parts:
+            if isinstance(part, str) and "{" in part:
+                lists.append(f"[trim('Opening: ' || {spaced('opening_balance')} || ' Closing: ' || {spaced('closing_balance')})]")
+            elif isinstance(part, str):
+                lists.append(f"[trim({field(part)})]")
+            elif part[1] is dict:
+                lists.append("[CAST(c_nationkey AS VARCHAR), c_mktsegment]")
+            elif part[1] is None:
+                lists.append(each("CAST(x.k AS VARCHAR) || ' ' || x.p"))
+            else:
+                lists.append(each("trim(" + " || ' ' || ".join(cols[: len(part[1])]) + ")"))
+        whole = lists[0]
+        for x in lists[1:]:
+            whole = f"list_concat({whole}, {x})"
+        out.append(f"WHEN {k} THEN {whole}")
+    return f"""WITH g AS (SELECT o_custkey, list({{'k': o_orderkey, 's': o_orderstatus, 'p': o_orderpriority}} ORDER BY o_orderkey) AS o FROM orders GROUP BY ALL),
+r AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, coalesce(o, []) AS o FROM customer LEFT JOIN g ON o_custkey = c_custkey)
+SELECT c_custkey, array_to_string(list_filter(CASE c_custkey % 7 {' '.join(out)} END, lambda x: x <> ''), chr(10)) AS full_text FROM r"""
+
+
+@query(_bank_sql())
+def bank_ground_truth(t):
+    """STR16: the seven categories of a content bank."""
+    return bank(t).select("c_custkey", C.ground_truth(F.col, F.col("category")).alias("full_text"))
+
+
+@query("""WITH g AS (SELECT o_custkey, list({'k': CAST(o_orderkey AS VARCHAR), 's': o_orderstatus, 'p': o_orderpriority} ORDER BY o_orderkey) AS o FROM orders GROUP BY ALL)
+SELECT c_custkey, array_to_string(list_transform(o, lambda x: '<tr><td>' || x.k || '</td><td>' || x.s || '</td><td class="credit">' || x.p || '</td><td></td></tr>'), '') AS transactions,
+array_to_string(list_transform(o, lambda x: '<tr><td>' || x.k || '</td><td>' || x.s || '</td><td>' || x.p || '</td><td class="normal"></td></tr>'), '') AS labs, array_to_string(list_transform(o, lambda x: '<li>' || x.k || ' ' || x.p || '</li>'), '') AS items,
+array_to_string(list_transform(o, lambda x: '<h3>' || x.k || ' ' || x.s || '</h3><p>' || x.p || '</p>'), '') AS clauses, array_to_string(list_transform(o, lambda x: '<div><span class="role">' || x.k || '</span><span class="name">' || x.s || '</span></div>'), '') AS parties,
+array_to_string(list_transform(o, lambda x: '<div class="' || CASE WHEN x.k = o[1].k THEN 'own' ELSE 'other' END || '"><b>' || x.k || '</b><p>' || x.s || '</p></div>'), '') AS bubbles, '<tr><th>Height Cm</th><td>' || c_nationkey || '</td></tr><tr><th>Mrz Line</th><td>' || c_mktsegment || '</td></tr>' AS fields
+FROM customer JOIN g ON o_custkey = c_custkey""")
+def page_fragments(t):
+    """STR23, STR28, JN14: the fragments that pages of the categories are made of."""
+    rows = bank(t).filter("o IS NOT NULL")
+    return rows.select(
+        "c_custkey", C.transaction_rows(F.col("transactions")).alias("transactions"), C.lab_rows(F.col("lab_results")).alias("labs"), C.list_items(F.col("medications")).alias("items"), C.clause_blocks(F.col("clauses")).alias("clauses"),
+        C.party_lines(F.col("parties")).alias("parties"), C.bubbles(F.col("messages"), F.col("messages")[0]["sender"]).alias("bubbles"), C.field_rows(F.col("additional_fields")).alias("fields"),
+    )
+
+
+# Patterns by category: %w a word, %c a code, %d a digit, %n a number of four digits.
+PATTERNS = {
+    "short_structured": ["%c%n", "%c-%n", "%c %n", "%d%d%d-%n", "%c%d%d-%c%n", "#%n", "Room %d%d%d", "Gate %c%d", "Seat %d%dA", "Bay %c-%d", "Lot %n", "Unit %d%d/%n", "Ref. %c%n", "No. %n-%d", "Pin %n", "Row %d, %c"],
+    "name_entity": ["%w %w", "Dr. %w %w", "%w & %w Ltd", "%w %c. %w", "%w Street %d%d", "%w Holdings", "Prof. %w %w", "%w and Sons", "Mt. %w", "The %w Hotel"],
+    "natural_phrase": ["Please return the %w by noon.", "The %w is closed on %w days.", "Keep the %w dry.", "Mind the %w.", "Open the %w slowly.", "No %w beyond this point.", "Ask for the %w at the desk.", "All %w must be signed."],
+    "semi_structured": ["Invoice %c-%n", "Invoice %n: %w", "Room %d%d / %n", "Order %n (%w)", "Ref %c %n, %w", "Ticket %c%n for %w", "Total: %n.%d%d", "Due: 20%d%d-0%d-1%d", "Tel. %n %n", "Status: %w/%c", "Batch %c, item %d%d", "Case %n, page %d"],
+}
+WORDS = ["Harbour", "Lantern", "Meadow", "Quartz", "Rowan", "Saffron", "Timber", "Willow", "Ember", "Cobalt"]
+CODES = ["AX", "QR", "ZT", "LM", "PK"]
+KEYS = ["Name", "ID", "Date", "Ref", "Status", "Code", "Order", "Ticket"]  # Fixed value: keys of a key and value layout.
+
+
+def composed(seed: int, key: str, slot: str, category: str):
+    """STR24: one of the category's patterns, each of its marks filled by a hash."""
+    shown = pick(seed, key, f"{slot}/{category}", PATTERNS[category])
+    marks = {"%w": lambda i: pick(seed, key, f"{slot}/w{i}", WORDS), "%c": lambda i: pick(seed, key, f"{slot}/c{i}", CODES), "%d": lambda i: number(seed, key, f"{slot}/d{i}", 0, 9).cast("string"), "%n": lambda i: F.lpad(number(seed, key, f"{slot}/n{i}", 1, 9999).cast("string"), 4, "0")}
+    for mark, fill in marks.items():
+        pieces = F.split(shown, mark)
+        shown = F.array_join(F.flatten(F.zip_with(pieces, F.concat(F.array(F.lit("")), F.array(*[fill(i) for i in range(5)])), lambda p, f: F.when(p.isNotNull(), F.array(f, p)).otherwise(F.array().cast("array<string>")))), "")
+    return shown
+
+
+def plain_lines(seed: int, key: str):
+    """STR25, AGG24: two or three lines of drawn categories, and the one that
+    most of them have (the first drawn, if all differ)."""
+    kinds = ["natural_phrase", "semi_structured", "short_structured"]
+    drawn = F.slice(F.array(*[pick(seed, key, f"kind{i}", kinds) for i in range(3)]), F.lit(1), number(seed, key, "lines", 2, 3).cast("int"))
+    line = lambda k, i: F.coalesce(*[F.when(k == c, composed(seed, key, f"line{i}", c)) for c in kinds])
+    lines = F.filter(F.array(*[line(F.try_element_at(drawn, F.lit(i + 1)), i) for i in range(3)]), lambda x: x.isNotNull())
+    most = F.filter(drawn, lambda k: F.size(F.filter(drawn, lambda x: x == k)) > 1)
+    return lines, F.coalesce(F.try_element_at(most, F.lit(1)), drawn[0])
+
+
+def key_value_lines(seed: int, key: str):
+    """STR25: two or three different keys, each with a value of a drawn category."""
+    kinds = ["name_entity", "short_structured", "semi_structured"]
+    shuffled = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.col(key), F.lit(k)).alias("h"), F.lit(k).alias("k")) for k in KEYS]))
+    value = lambda i: F.coalesce(*[F.when(pick(seed, key, f"value{i}", kinds) == c, composed(seed, key, f"kv{i}", c)) for c in kinds])
+    lines = F.array(*[F.concat(shuffled[i]["k"], F.lit(": "), value(i)) for i in range(3)])
+    return F.slice(lines, F.lit(1), number(seed, key, "pairs", 2, 3).cast("int"))
+
+
 @query()
 def gen_text(t):
-    """STR24, STR25: seeded sentences from a few patterns."""
+    """STR24, STR25: seeded texts of every category, and texts of several lines."""
     k = "c_custkey"
-    pattern = pick(7, k, "pattern", ["Invoice %s-%04d", "Room %s / %04d", "Ref %s %04d", "%s%04d"])
-    made = F.format_string("%s", F.replace(F.replace(pattern, F.lit("%s"), pick(7, k, "code", ["AX", "QR", "ZT"])), F.lit("%04d"), F.lpad(number(7, k, "n", 1, 9999).cast("string"), 4, "0")))
-    return t.customer.select(k, made.alias("text"), T.is_ambiguous(made).alias("ambiguous"))
+    lines, most = plain_lines(7, k)
+    one = [composed(7, k, "one", c).alias(c) for c in PATTERNS]
+    rows = t.customer.select(k, *one, lines.alias("lines"), most.alias("dominant"), key_value_lines(7, k).alias("pairs"))
+    return rows.withColumn("ambiguous", T.is_ambiguous(F.array_join("lines", "")))
 
 
 @query()
 def gen_ids(t):
     """STR26: identifiers by hash."""
+    # The forms of account and patient numbers.
     k = "c_custkey"
     account = F.format_string("%03d-%03d  %04d %04d %02d", number(3, k, "bank", 10, 799), number(3, k, "branch", 0, 999), number(3, k, "a", 1000, 9999), number(3, k, "b", 1000, 9999), number(3, k, "c", 10, 99))
     patient = F.concat_ws("-", pick(3, k, "style", ["P", "MR", "PT", "HC"]), number(3, k, "p", 100000, 9999999).cast("string"))
@@ -73,11 +195,54 @@ def gen_ids(t):
 
 @query()
 def layout_mix(t):
-    """SMP1-5: sampled specifications of a sample's look."""
+    """SMP1, SMP3, SMP4: sampled specifications of a sample's look."""
     k = "c_custkey"
     share = number(5, k, "layout", 0, 99)
     layout = F.when(share < 60, "single_line").when(share < 80, "multi_line").otherwise("key_value")
     return t.customer.select(
-        k, layout.alias("layout"), pick(5, k, "family", ["sans", "serif", "mono"]).alias("family"), pick(5, k, "size", [18, 26, 36]).alias("size"), (number(5, k, "bold", 0, 99) < 35).alias("bold"),
-        pick(5, k, "palette", list(range(7))).alias("palette"), F.when(number(5, k, "ground", 0, 2) < 2, "plain").otherwise("noisy").alias("background"), pick(5, k, "view", [1280, 1366, 1440, 1920]).alias("width"),
+        k, layout.alias("layout"), pick(5, k, "category", list(PATTERNS)).alias("category"), pick(5, k, "family", ["sans", "serif", "mono"]).alias("family"), pick(5, k, "size", [18, 26, 36]).alias("size"), (number(5, k, "bold", 0, 99) < 35).alias("bold"),
+        pick(5, k, "palette", list(range(7))).alias("palette"), F.when(number(5, k, "ground", 0, 2) < 2, "plain").otherwise("noisy").alias("background"),
+        pick(5, k, "width", [1280, 1366, 1440, 1920]).alias("width"), pick(5, k, "height", [720, 768, 900, 1080]).alias("height"),
     )
+
+
+# What a page's layout is drawn from.
+LAYOUT = {
+    "width": [1024, 1152, 1280, 1440], "height": [800, 900, 1024, 1100], "margin_left": [24, 32, 40, 48, 56], "margin_right": [24, 32, 40, 48], "header_h": [44, 52, 60, 68],
+    "body_size": [12, 13, 14, 15, 16], "line_spacing": [1.30, 1.40, 1.50, 1.60, 1.75], "para_gap": [8, 10, 12, 16, 20], "font_family": ["sans", "serif", "mono"], "palette": [0, 1, 2, 3],
+}
+GREY, LABEL_GREY = (15, 35), (90, 130)
+GOOD, BAD = ((25, 50), (120, 160), (60, 100)), ((160, 210), (30, 60), (20, 50))
+
+
+@query()
+def layout_spec(t):
+    """SMP2: ten uniform choices and colours within ranges, by category and key."""
+    k = "c_custkey"
+    colour = lambda name, ranges: F.array(*[number(9, k, f"{name}{i}", *r).cast("int") for i, r in enumerate(ranges)]).alias(name)
+    grey = lambda name, r: F.array_repeat(number(9, k, name, *r).cast("int"), 3).alias(name)
+    return t.customer.select(k, *[pick(9, k, n, v).alias(n) for n, v in LAYOUT.items()], grey("text_color", GREY), grey("label_color", LABEL_GREY), colour("good_color", GOOD), colour("bad_color", BAD))
+
+
+def font_of(paths: Column, family: Column, bold: Column, seed: int, key: str) -> Column:
+    """SMP5: of ``paths`` (a map of family to files) a bold file of the family if
+    wanted and there, else any of the family, else any of the first family that
+    has one, else "default"."""
+    own = F.coalesce(F.try_element_at(paths, family), F.array().cast("array<string>"))
+    heavy = F.filter(own, lambda p: F.contains(F.lower(F.regexp_extract(p, r"([^/]*)$", 1)), F.lit("bold")))
+    some = F.when(bold & (F.size(heavy) > 0), heavy).otherwise(own)
+    for name in ("sans", "serif", "mono"):
+        some = F.when(F.size(some) > 0, some).otherwise(F.coalesce(F.try_element_at(paths, F.lit(name)), some))
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit("font")), F.greatest(F.size(some), F.lit(1)))
+    return F.coalesce(F.try_element_at(some, (at + 1).cast("int")), F.lit("default"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_nationkey < 9 THEN 'a/Sans-Bold.ttf' ELSE 'sans' END WHEN 1 THEN 'a/Serif.ttf' WHEN 2 THEN 'sans' ELSE 'sans' END AS font FROM customer""")
+def font_pick(t):
+    """SMP5; where two files would do, their family is shown."""
+    paths = F.create_map(F.lit("sans"), F.array(F.lit("a/Sans.ttf"), F.lit("a/Sans-Bold.ttf")), F.lit("serif"), F.array(F.lit("a/Serif.ttf")))
+    family = F.element_at(F.array(*map(F.lit, ("sans", "serif", "mono", "script"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    bold = F.col("c_nationkey") < 9
+    font = font_of(paths, family, bold, 3, "c_custkey")
+    either = F.startswith(font, F.lit("a/Sans")) & ~(bold & (family == "sans"))
+    return t.customer.select("c_custkey", F.when(either, "sans").otherwise(font).alias("font"))

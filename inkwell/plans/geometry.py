@@ -1,27 +1,28 @@
-"""Box geometry. Boxes come from the words of the first lines of documents, 8
-pixels a character, lines 20 pixels apart."""
+"""Box geometry. Boxes come from all words of all lines of documents, 8 pixels a
+character, lines 20 pixels apart."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions import text as T
 from ..operators import boxes as B
 from ..registry import query
 
-LINES_SQL = """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, list_slice(list_filter(regexp_split_to_array(l, '\\s+'), lambda x: x <> ''), 1, 8) AS words
-FROM (SELECT doc_id, unnest(list_slice(string_split(text, chr(10)), 1, 3)) AS l, generate_subscripts(list_slice(string_split(text, chr(10)), 1, 3), 1) AS i FROM documents)"""
-BOXES_SQL = f"""SELECT doc_id, line, CAST(p - 1 AS INTEGER) AS pos, words[p] AS word, CAST(8 * coalesce(list_sum(list_transform(list_slice(words, 1, p - 1), lambda x: length(x) + 1)), 0) AS INTEGER) AS x0,
-line * 20 AS y0, CAST(8 * coalesce(list_sum(list_transform(list_slice(words, 1, p - 1), lambda x: length(x) + 1)), 0) + 8 * length(words[p]) AS INTEGER) AS x1, line * 20 + 12 AS y1
-FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM ({LINES_SQL}))"""
+LINES_SQL = """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, list_filter(regexp_split_to_array(l, '\\s+'), lambda x: x <> '') AS words
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"""
+BOXES_SQL = f"""SELECT doc_id, line, CAST(p - 1 AS INTEGER) AS pos, word, CAST(8 * before AS INTEGER) AS x0, line * 20 AS y0, CAST(8 * before + 8 * length(word) AS INTEGER) AS x1, line * 20 + 12 AS y1
+FROM (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM (SELECT doc_id, line, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM ({LINES_SQL})))"""
 #: A 64 x 64 picture of the boxes, an eighth of the size.
 SMALL_SQL = f"SELECT doc_id, line, pos, x0 // 8 AS x0, y0 // 8 AS y0, x1 // 8 AS x1, y1 // 8 + 1 AS y1 FROM ({BOXES_SQL})"
+SIDE = 64
 
 
 def boxes(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("line", "l"))
-    words = F.expr(r"slice(filter(split(l, '\\s+'), x -> x <> ''), 1, 8)")
-    return B.words_with_boxes(lines.select("doc_id", "line", words.alias("words")), ["doc_id"])
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    return B.words_with_boxes(lines.select("doc_id", "line", F.expr(r"filter(split(l, '\\s+'), x -> x <> '')").alias("words")), ["doc_id"])
 
 
 def small(t):
@@ -36,53 +37,110 @@ def word_boxes(t):
 @query(f"""WITH b AS (SELECT *, x0 + (doc_id * 7 + pos * 13) % 40 AS jx FROM ({BOXES_SQL})) SELECT a.doc_id, a.line, a.pos, count(*) AS n FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.line = c.line AND a.pos <> c.pos AND a.jx < c.jx + c.x1 - c.x0 AND a.jx + a.x1 - a.x0 > c.jx GROUP BY ALL""")
 def box_overlap(t):
     shifted = boxes(t).withColumn("w", F.col("x1") - F.col("x0")).withColumn("x0", F.expr("cast(x0 + (doc_id * 7 + pos * 13) % 40 as int)")).withColumn("x1", F.col("x0") + F.col("w"))
-    a, b = shifted.alias("a"), shifted.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.pos") != F.col("b.pos"))
-    return a.join(b, on & B.overlap("a", "b")).groupBy("a.doc_id", "a.line", "a.pos").agg(F.count("*").alias("n"))
+    shifted = shifted.select("doc_id", "line", "pos", "x0", "x1")
+    pairs = B.overlapping(shifted, shifted, ["doc_id", "line"], "x0", "x1", 128).filter("a.pos <> b.pos")
+    return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH b AS ({BOXES_SQL}) SELECT a.doc_id, a.line, a.pos, list_sort(list(c.line * 100 + c.pos)) AS near FROM b a JOIN b c ON a.doc_id = c.doc_id AND sqrt(pow((a.x0 + a.x1) / 2 - (c.x0 + c.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (c.y0 + c.y1) / 2, 2)) <= 60 GROUP BY ALL""")
+NEAR_SQL = f"""SELECT a.doc_id, a.line, a.pos, list_sort(list(c.line * 100000 + c.pos)) AS near FROM b a JOIN b c ON a.doc_id = c.doc_id AND c.line BETWEEN a.line - 3 AND a.line + 3 AND c.x0 < a.x1 + 120 AND a.x0 < c.x1 + 120
+AND sqrt(pow((a.x0 + a.x1) / 2 - (c.x0 + c.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (c.y0 + c.y1) / 2, 2)) <= 60 GROUP BY ALL"""
+
+
+def near(t):
+    rows = boxes(t).drop("word")
+    pairs = B.near_pairs(rows, "doc_id", 60)
+    return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.sort_array(F.collect_list(F.expr("b.line * 100000 + b.pos"))).alias("near"))
+
+
+@query(f"WITH b AS ({BOXES_SQL}) {NEAR_SQL}")
 def box_context(t):
-    pairs = B.near_pairs(boxes(t), "doc_id", 60)
-    return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.sort_array(F.collect_list(F.expr("b.line * 100 + b.pos"))).alias("near"))
+    return near(t)
+
+
+@query(f"WITH b AS ({BOXES_SQL}), n AS ({NEAR_SQL}) SELECT doc_id, line, list_sort(list_distinct(flatten(list(near)))) AS context FROM n WHERE pos % 4 = 0 GROUP BY ALL")
+def context_union(t):
+    """SET5: the union of what lies near the words of a group (every fourth word
+    of a line)."""
+    groups = near(t).filter("pos % 4 = 0").groupBy("doc_id", "line")
+    return groups.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))).alias("context"))
 
 
-@query(f"""WITH b AS ({BOXES_SQL}), tok AS (SELECT doc_id, line, CAST(j AS INTEGER) AS tok FROM (SELECT doc_id, line, max(x1) // 8 AS n FROM b GROUP BY ALL), range(0, 200) r(j) WHERE j * 4 < n)
-SELECT b.doc_id, b.line, b.pos, min(tok) AS first, max(tok) AS last FROM b JOIN tok ON b.doc_id = tok.doc_id AND b.line = tok.line AND b.x1 // 8 > tok * 4 AND b.x0 // 8 < tok * 4 + 4 GROUP BY ALL""")
+@query(f"""WITH b AS ({BOXES_SQL}), tok AS (SELECT doc_id, line, unnest(range(0, (n + 3) // 4)) AS tok FROM (SELECT doc_id, line, max(x1) // 8 AS n FROM b GROUP BY ALL))
+SELECT b.doc_id, b.line, b.pos, CAST(min(tok) AS INTEGER) AS first, CAST(max(tok) AS INTEGER) AS last FROM b JOIN tok ON b.doc_id = tok.doc_id AND b.line = tok.line AND b.x1 // 8 > tok * 4 AND b.x0 // 8 < tok * 4 + 4 GROUP BY ALL""")
 def token_spans(t):
     """JN8: tokens are pieces of four characters; each word's first and last."""
-    b = boxes(t)
-    tok = b.groupBy("doc_id", "line").agg(F.expr("cast(max(x1) div 8 as int)").alias("n")).select("doc_id", "line", F.explode(F.expr("sequence(0, greatest(0, cast((n - 1) div 4 as int)))")).alias("tok"))
-    meet = F.expr("x1 div 8 > tok * 4 AND x0 div 8 < tok * 4 + 4")
-    return b.join(tok, ["doc_id", "line"]).filter(meet).groupBy("doc_id", "line", "pos").agg(F.min("tok").alias("first"), F.max("tok").alias("last"))
+    b = boxes(t).select("doc_id", "line", "pos", F.expr("cast(x0 div 8 as int)").alias("low"), F.expr("cast(x1 div 8 as int)").alias("high"))
+    tok = b.groupBy("doc_id", "line").agg(F.max("high").alias("n")).select("doc_id", "line", F.explode(F.expr("sequence(0, cast((n - 1) div 4 as int))")).alias("tok"))
+    tok = tok.select("doc_id", "line", "tok", (F.col("tok") * 4).alias("low"), (F.col("tok") * 4 + 4).alias("high"))
+    pairs = B.overlapping(b, tok, ["doc_id", "line"], "low", "high", 64)
+    return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.min("b.tok").alias("first"), F.max("b.tok").alias("last"))
 
 
-MASK_SQL = f"""SELECT doc_id, pos, line, greatest(0, greatest(0, x0) - 1) AS x0, greatest(0, greatest(0, y0) - 1) AS y0, least(64, least(64, x1) + 1) AS x1, least(64, least(64, y1) + 1) AS y1 FROM ({SMALL_SQL}) WHERE greatest(0, x0) < least(64, x1) AND greatest(0, y0) < least(64, y1) AND doc_id % 10 = 0"""
+MASK_SQL = f"""SELECT doc_id, pos, line, greatest(0, greatest(0, x0) - 1) AS x0, greatest(0, greatest(0, y0) - 1) AS y0, least(64, least(64, x1) + 1) AS x1, least(64, least(64, y1) + 1) AS y1 FROM ({SMALL_SQL}) WHERE greatest(0, x0) < least(64, x1) AND greatest(0, y0) < least(64, y1)"""
 PIXELS_SQL = f"SELECT doc_id, pos, line, x, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM ({MASK_SQL}))"
 
 
 def mask(t):
-    """GEO3 on every tenth picture: a raster is the demonstration here."""
-    return B.pixels(B.clipped(small(t).filter("doc_id % 10 = 0"), 64, 64, 1), "doc_id", "pos", "line")
+    """GEO3, JN9: the pixels of every box within the picture."""
+    return B.pixels(B.clipped(small(t), SIDE, SIDE, 1), "doc_id", "pos", "line")
+
+
+def painted(t):
+    """AGG22: overlapping boxes take the greatest score."""
+    return mask(t).groupBy("doc_id", "x", "y").agg(F.max((F.col("pos") + 1) / 8).alias("s"))
 
 
 @query(f"SELECT doc_id, count(*) AS area FROM (SELECT DISTINCT doc_id, x, y FROM ({PIXELS_SQL})) GROUP BY ALL")
 def mask_area(t):
-    return mask(t).select("doc_id", "x", "y").distinct().groupBy("doc_id").agg(F.count("*").alias("area"))
+    """A picture has a bounded number of pixels, so they are counted in a set."""
+    return mask(t).groupBy("doc_id").agg(F.size(F.collect_set(F.col("y") * SIDE + F.col("x"))).cast("bigint").alias("area"))
 
 
-@query(f"""SELECT doc_id, count(*) AS n, round(sum(s), 6) AS total, round(avg(0.01 + (0.06 - 0.01) * s), 6) AS budget FROM (SELECT doc_id, x, y, max((pos + 1) / 8) AS s FROM ({PIXELS_SQL}) GROUP BY ALL) GROUP BY ALL""")
+@query(f"""SELECT doc_id, count(*) AS n, round(sum(s), 6) AS total, round(avg(0.01 + (0.06 - 0.01) * s) + 1e-9, 6) AS budget FROM (SELECT doc_id, x, y, max((pos + 1) / 8) AS s FROM ({PIXELS_SQL}) GROUP BY ALL) GROUP BY ALL""")
 def paint_max(t):
-    """AGG22, MTH7: overlapping boxes take the greatest score; the budget in text."""
-    painted = mask(t).groupBy("doc_id", "x", "y").agg(F.max((F.col("pos") + 1) / 8).alias("s"))
-    return painted.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("s"), 6).alias("total"), F.round(F.avg(S.budget(F.col("s"), F.lit(True), 0.01, 0.06, 0.02)), 6).alias("budget"))
+    """AGG22, MTH7: the painted scores; the budget in text (moved off rounding
+    ties, which sums in another order would split)."""
+    b = S.budget(F.col("s"), F.lit(True), 0.01, 0.06, 0.02)
+    return painted(t).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("s"), 6).alias("total"), F.round(F.avg(b) + 1e-9, 6).alias("budget"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, x, y, max(least((pos + 1) / 8, 1)) AS s FROM ({PIXELS_SQL}) GROUP BY ALL), e AS (SELECT doc_id, true AS is_text, 0.01 + (0.06 - 0.01) * s AS e, 1 AS n FROM s
+UNION ALL SELECT doc_id, false, 0.02, 4096 - coalesce(n, 0) FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL) USING (doc_id))
+SELECT doc_id, is_text, CAST(sum(n) AS BIGINT) AS n, round(min(e), 6) AS low, round(sum(e * n) / sum(n) + 1e-9, 6) AS mean, round(max(e), 6) AS high FROM e WHERE n > 0 GROUP BY ALL""")
+def budget_map(t):
+    """MTH7, AGG28: the budget in text and in the background, which is one value
+    and so one row with the number of its pixels."""
+    text = painted(t).select("doc_id", F.lit(True).alias("is_text"), F.least("s", F.lit(1.0)).alias("s"), F.lit(1).cast("bigint").alias("n"))
+    covered = text.groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("c"))
+    rest = t.documents.select("doc_id").join(covered, F.col("doc_id") == F.col("d"), "left")
+    ground = rest.select("doc_id", F.lit(False).alias("is_text"), F.lit(0.0).alias("s"), (SIDE * SIDE - F.coalesce("c", F.lit(0))).alias("n")).filter("n > 0")
+    e = text.unionByName(ground).withColumn("e", S.budget(F.col("s"), F.col("is_text"), 0.01, 0.06, 0.02))
+    return e.groupBy("doc_id", "is_text").agg(
+        F.sum("n").alias("n"), F.round(F.min("e"), 6).alias("low"), F.round(F.sum(F.col("e") * F.col("n")) / F.sum("n") + 1e-9, 6).alias("mean"), F.round(F.max("e"), 6).alias("high")
+    )
+
+
+@query(f"""WITH p AS ({PIXELS_SQL}), s AS (SELECT doc_id, x, y, max((pos + 1) / 8) AS s FROM p GROUP BY ALL) SELECT p.doc_id, p.line, p.pos, round(avg(s.s) + 1e-9, 6) AS mean FROM p JOIN s USING (doc_id, x, y) GROUP BY ALL""")
+def region_mean(t):
+    """AGG25: of the painted picture, over each box."""
+    top = F.max((F.col("pos") + 1) / 8).over(S.over("doc_id", "x", "y"))
+    return mask(t).withColumn("s", top).groupBy("doc_id", "line", "pos").agg(F.round(F.avg("s") + 1e-9, 6).alias("mean"))
 
 
-@query(f"""WITH p AS ({PIXELS_SQL}), s AS (SELECT doc_id, x, y, max((pos + 1) / 8) AS s FROM p GROUP BY ALL) SELECT p.doc_id, p.line, p.pos, round(avg(s.s), 6) AS mean FROM p JOIN s USING (doc_id, x, y) GROUP BY ALL""")
-def region_mean(t):
-    p = mask(t)
-    painted = p.groupBy("doc_id", "x", "y").agg(F.max((F.col("pos") + 1) / 8).alias("s"))
-    return p.join(painted, ["doc_id", "x", "y"]).groupBy("doc_id", "line", "pos").agg(F.round(F.avg("s"), 6).alias("mean"))
+CAPS_SQL = f"""SELECT doc_id, line, pos, CASE WHEN (doc_id + line) % 4 = 0 OR pos % 9 = 0 THEN upper(word) ELSE word END AS word FROM ({BOXES_SQL}) WHERE NOT contains(word, 'ß')"""
+
+
+@query(f"""WITH w AS (SELECT *, trim(regexp_replace(trim(word), '[:：.\\-_#]+$', '')) AS core FROM ({CAPS_SQL})), o AS (SELECT DISTINCT doc_id, line FROM w WHERE core <> '' AND NOT (upper(core) = core AND lower(core) <> core))
+SELECT doc_id, line, pos, core FROM w WHERE length(core) >= 2 AND regexp_full_match(core, '\\p{{L}}+') AND upper(core) = core AND lower(core) <> core AND NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = w.doc_id AND o.line = w.line)""")
+def section_headers(t):
+    """STR18, WIN2: words in capitals on rows with nothing else; lines of some
+    rows are put to capitals. (The two engines differ in the capital of one
+    letter, whose words are left out.)"""
+    caps = (F.col("doc_id") + F.col("line")) % 4 == 0
+    words = boxes(t).filter(~F.contains("word", F.lit("ß"))).withColumn("word", F.when(caps | (F.col("pos") % 9 == 0), F.upper("word")).otherwise(F.col("word")))
+    words = words.withColumn("core", T.header_core(F.col("word")))
+    found = B.section_boundaries(words, "doc_id", T.is_header_word(F.col("word")), (F.col("core") != "") & ~T.is_upper(F.col("core")))
+    return found.select("doc_id", "line", "pos", "core")
 
 
 @query("""WITH p AS (SELECT p_partkey, 100 + p_partkey % 700 AS w, 50 + p_size * 7 AS h, least(768 / (100 + p_partkey % 700), 192 / (50 + p_size * 7)) AS s FROM part)
@@ -95,4 +153,4 @@ def letterbox(t):
 
 @query()
 def greedy_groups(t):
-    return B.greedy_groups(boxes(t).filter("line = 0").select("doc_id", "pos", "x0", "y0", "x1", "y1"), "doc_id", 60.0)
+    return B.greedy_groups(boxes(t).select("doc_id", "line", "pos", "x0", "y0", "x1", "y1"), "doc_id", 60.0, ("line", "pos"))

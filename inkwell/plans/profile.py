@@ -107,14 +107,34 @@ def lookup_default(t):
 @query("""WITH p AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS p FROM conversations GROUP BY conv_id)
 SELECT conv_id, coalesce(list_filter(p, lambda x: x.role = 'assistant')[1].text, 'Me') AS own, coalesce(list_filter(p, lambda x: x.role <> 'assistant')[1].text, p[1].text) AS other, len(list_filter(p, lambda x: x.role = 'assistant')) AS n_own FROM p""")
 def first_match(t):
-    g = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("p"))
-    first = "try_element_at(filter(p, x -> x.role {} 'assistant'), 1).text"
-    return g.select(
-        "conv_id", F.coalesce(F.expr(first.format("=")), F.lit("Me")).alias("own"), F.coalesce(F.expr(first.format("<>")), F.expr("p[0].text")).alias("other"),
-        F.expr("cast(size(filter(p, x -> x.role = 'assistant')) as bigint)").alias("n_own"),
+    own, order = F.col("role") == "assistant", F.struct("turn", "role", "text")
+    first = lambda c: F.min_by("text", F.when(c, order))
+    return t.conversations.groupBy("conv_id").agg(
+        F.coalesce(first(own), F.lit("Me")).alias("own"), F.coalesce(first(~own), F.min_by("text", order)).alias("other"), F.count_if(own).alias("n_own")
     )
 
 
+@query("SELECT conv_id, turn, role = 'assistant' AS is_own, text = first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS opens FROM conversations")
+def own_messages(t):
+    """JN14: which messages are the speaker's own, and which repeat the first."""
+    first = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.select("conv_id", "turn", (F.col("role") == "assistant").alias("is_own"), (F.col("text") == first).alias("opens"))
+
+
+def by_index(rows, wanted: list[int], key: str):
+    """JN15: the rows that a list names; what is not there is dropped silently,
+    and where nothing is there, all rows stay."""
+    found = rows.filter(F.col(key).isin(wanted))
+    none = found.limit(1).agg((F.count("*") == 0).alias("_none"))
+    return rows.crossJoin(F.broadcast(none)).filter(F.col(key).isin(wanted) | F.col("_none")).drop("_none")
+
+
+@query("SELECT 'some' AS list, count(*) AS n FROM documents WHERE doc_id IN (3, 5, 99999999) UNION ALL SELECT 'none', count(*) FROM documents")
+def semi_join_fallback(t):
+    some, none = (by_index(t.documents, x, "doc_id").agg(F.count("*").alias("n")) for x in ([3, 5, 99999999], [99999999]))
+    return some.select(F.lit("some").alias("list"), "n").unionByName(none.select(F.lit("none").alias("list"), "n"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5, 8, 99999999)")
 def semi_join_indices(t):
     wanted = t.spark.createDataFrame([(3,), (5,), (8,), (99999999,)], "doc_id long")

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import ordered as O
 from ..operators import results as R
 from ..registry import query
 
@@ -104,9 +105,11 @@ def probe_eligible_rate(t):
 
 @query("""SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS mid, count(*) FILTER (WHERE l_discount > 0.05) AS n_over, count(*) AS n FROM lineitem GROUP BY ALL""")
 def threshold_stats(t):
-    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.avg("l_quantity"), 6).alias("mean"), F.median("l_quantity").alias("mid"), F.count_if(F.col("l_discount") > 0.05).alias("n_over"), F.count("*").alias("n")
-    )
+    """AGG15, AGG16."""
+    keys = ["l_returnflag", "l_linestatus"]
+    mids = O.exact_percentiles(t.lineitem.select(*keys, "l_quantity"), keys, "l_quantity", {"mid": 0.5}).select(*keys, "mid")
+    g = t.lineitem.groupBy(*keys).agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.count_if(F.col("l_discount") > 0.05).alias("n_over"), F.count("*").alias("n"))
+    return g.join(mids, keys)
 
 
 @query("""SELECT event_type, CASE WHEN avg(value) > 255 AND count(*) > 150 THEN 'STRONG' WHEN avg(value) > 248 THEN 'PASS' WHEN max(value) > 480 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict,
@@ -117,6 +120,25 @@ def verdict(t):
     return g.select("event_type", gates.alias("verdict"), S.tiers(F.col("m"), [(300, "high"), (200, "middle")], "low").alias("tier"))
 
 
+RESULT_SQL = """SELECT l_orderkey AS image, l_returnflag AS model, round_even(l_discount, 6) AS eps, round_even(l_tax, 4) AS kappa,
+coalesce(l_linestatus = 'O', false) AND coalesce(CASE WHEN l_quantity <> 13 THEN l_quantity - 20 END, 0) > 0 AS pass, {'a': l_shipdate, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey, 'e': l_extendedprice} AS o FROM lineitem"""
+
+
+@query(f"""SELECT image, eps, kappa, bool_or(p) FILTER (WHERE model = 'A') AS pass_a, bool_or(p) FILTER (WHERE model = 'N') AS pass_n, bool_or(p) FILTER (WHERE model = 'R') AS pass_r
+FROM (SELECT image, model, eps, kappa, max_by(pass, o) AS p FROM ({RESULT_SQL}) GROUP BY ALL) GROUP BY ALL""")
+def pass_matrix(t):
+    """AGG5, FIL5: results by rounded configuration and image, a column for each
+    model; of several records the last counts, a missing value fails."""
+    delta = F.when(F.col("l_quantity") != 13, F.col("l_quantity") - 20)
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("model"), F.bround("l_discount", 6).alias("eps"), F.bround("l_tax", 4).alias("kappa"),
+        R.passed(F.col("l_linestatus") == "O", delta).alias("pass"), "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+    )
+    last = R.last_wins(rows, ["image", "model", "eps", "kappa"], "pass", F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    wide = last.groupBy("image", "eps", "kappa").pivot("model", ["A", "N", "R"]).agg(F.bool_or("pass"))
+    return wide.select("image", "eps", "kappa", *[F.col(m).alias(f"pass_{m.lower()}") for m in "ANR"])
+
+
 @query("SELECT list_sort(list(DISTINCT event_type)) AS types, count(DISTINCT CAST(ts AS DATE)) AS n_days FROM events")
 def distinct_sorted(t):
     return t.events.agg(F.sort_array(F.collect_set("event_type")).alias("types"), F.countDistinct(F.to_date("ts")).alias("n_days"))
@@ -134,6 +156,8 @@ def step_projection(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 250).alias("n_over"), F.round(F.avg("value") * 250 / 60, 6).alias("minutes"))
 
 
-@query("SELECT lang, source, count(*) AS planned, count(*) FILTER (WHERE n_chars < 50) AS skipped FROM documents GROUP BY ALL")
+@query("SELECT lang, source, count(*) AS planned, count(*) FILTER (WHERE n_chars < 50) AS skipped, count(*) FILTER (WHERE n_chars >= 50) AS processed FROM documents GROUP BY ALL")
 def render_plan_counts(t):
-    return t.documents.groupBy("lang", "source").agg(F.count("*").alias("planned"), F.count_if(F.col("n_chars") < 50).alias("skipped"))
+    """AGG4, AGG31."""
+    short = F.col("n_chars") < 50
+    return t.documents.groupBy("lang", "source").agg(F.count("*").alias("planned"), F.count_if(short).alias("skipped"), F.count_if(~short).alias("processed"))

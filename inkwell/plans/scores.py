@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import ordered as O
 from ..registry import query
 
 @query("""SELECT user_id, round(sum(CASE event_type WHEN 'click' THEN 0.4 WHEN 'view' THEN 0.3 WHEN 'purchase' THEN 0.2 ELSE 0.1 END * value), 4) AS s FROM events GROUP BY ALL""")
@@ -24,14 +25,14 @@ def weight_renorm(t):
 @query("""WITH p AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.99) AS p99, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, round(least(l_extendedprice, p99) / (p99 + 1e-8), 6) AS clipped, round(CASE WHEN hi - lo < 1e-9 THEN 0 ELSE (l_extendedprice - lo) / (hi - lo) END, 6) AS scaled FROM lineitem JOIN p USING (l_returnflag)""")
 def p99_scale(t):
-    stats = t.lineitem.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.99).alias("p99"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    stats = O.exact_percentiles(t.lineitem.select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {"p99": 0.99}).withColumnsRenamed({"low": "lo", "high": "hi"})
     x = F.col("l_extendedprice")
     scaled = F.when(F.expr("hi - lo < 1e-9"), 0.0).otherwise((x - F.col("lo")) / F.greatest(F.expr("hi - lo"), F.lit(1e-9)))
     return t.lineitem.join(stats, "l_returnflag").select("l_orderkey", "l_linenumber", F.round(S.clip_p99(x, F.col("p99")), 6).alias("clipped"), F.round(scaled, 6).alias("scaled"))
 
 
 @query("""WITH a AS (SELECT *, l_discount * l_tax AS p, min(l_discount * l_tax) OVER w AS lo, max(l_discount * l_tax) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)),
-b AS (SELECT *, greatest(CASE WHEN hi - lo < 1e-9 THEN 0 ELSE (p - lo) / (hi - lo) END, 0.15 * l_quantity / 50) AS m FROM a),
+b AS (SELECT *, greatest(CASE WHEN hi - lo < 1e-9 THEN 0 ELSE (p - lo) / (hi - lo) END, 0.15 * (l_quantity / 50)) AS m FROM a),
 c AS (SELECT *, min(m) OVER w AS lo2, max(m) OVER w AS hi2 FROM b WINDOW w AS (PARTITION BY l_orderkey))
 SELECT l_orderkey, l_linenumber, round(CASE WHEN hi2 - lo2 < 1e-9 THEN 0 ELSE (m - lo2) / (hi2 - lo2) END, 3) AS score FROM c""")
 def importance_combo(t):
@@ -105,14 +106,16 @@ def span_reduce(t):
 @query("""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents), a AS (SELECT doc_id, avg(length(w)) FILTER (WHERE regexp_matches(w, '[.,]$')) AS l, avg(length(w)) FILTER (WHERE NOT regexp_matches(w, '[.,]$')) AS v, min(length(w)) AS lo, max(length(w)) AS hi, round(avg(length(w)), 6) AS mean FROM w GROUP BY ALL)
 SELECT doc_id, round(coalesce(v, 0) / (coalesce(l, 0) + 1e-9), 4) AS ratio, coalesce(v, 0) / (coalesce(l, 0) + 1e-9) > 2 AS strong, lo, hi, mean FROM a WHERE l IS NOT NULL""")
 def label_value_ratio(t):
+    """AGG26, AGG27: one row is one document, so nothing is shuffled."""
     from ..functions.text import words
 
-    w = t.documents.select("doc_id", F.explode(words(F.col("text"))).alias("w")).select("doc_id", F.char_length("w").cast("long").alias("n"), F.col("w").rlike("[.,]$").alias("label"))
-    g = w.groupBy("doc_id").agg(
-        F.avg(F.when(F.col("label"), F.col("n"))).alias("l"), F.avg(F.when(~F.col("label"), F.col("n"))).alias("v"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 6).alias("mean")
-    )
-    ratio = F.coalesce("v", F.lit(0.0)) / (F.coalesce("l", F.lit(0.0)) + 1e-9)
-    return g.filter("l IS NOT NULL").select("doc_id", F.round(ratio, 4).alias("ratio"), (ratio > 2).alias("strong"), "lo", "hi", "mean")
+    rows = t.documents.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.transform("w", F.char_length).alias("n"), F.transform(F.filter("w", lambda x: x.rlike("[.,]$")), F.char_length).alias("l"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    rows = rows.select("doc_id", F.size("n").alias("k"), total("n").alias("s"), F.size("l").alias("kl"), total("l").alias("sl"), F.array_min("n").cast("bigint").alias("lo"), F.array_max("n").cast("bigint").alias("hi"))
+    rows = rows.filter("kl > 0")
+    value = F.when(F.col("k") > F.col("kl"), (F.col("s") - F.col("sl")) / F.when(F.col("k") > F.col("kl"), F.col("k") - F.col("kl"))).otherwise(0.0)
+    ratio = value / (F.col("sl") / F.col("kl") + 1e-9)
+    return rows.select("doc_id", F.round(ratio, 4).alias("ratio"), (ratio > 2).alias("strong"), "lo", "hi", F.round(F.col("s") / F.col("k"), 6).alias("mean"))
 
 
 @query(f"""WITH e AS ({EXP_SQL}), p AS (SELECT a.vec_id, a.v AS x, b.v AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)

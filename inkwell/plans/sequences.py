@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import ordered as O
 from ..registry import query
 
 
 @query("""SELECT o_orderkey, CAST(sum(1 + o_orderkey % 3) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS page,
 o_orderpriority || '_' || printf('%04d', 7 + row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)) AS name FROM orders""")
 def running_page_counter(t):
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    page = F.sum(1 + F.col("o_orderkey") % 3).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.orders.select("o_orderkey", page.alias("page"), F.format_string("%s_%04d", "o_orderpriority", 7 + F.row_number().over(w)).alias("name"))
+    rows = O.running(
+        t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate"), ["o_orderpriority"], ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate"),
+        page=1 + F.col("o_orderkey") % 3, place=F.lit(1),
+    )
+    return rows.select("o_orderkey", "page", F.format_string("%s_%04d", "o_orderpriority", 7 + F.col("place")).alias("name"))
 
 
 @query("""SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS section
@@ -31,14 +36,19 @@ SELECT e.user_id, e.event_id, e.ts, e.i, CASE WHEN e.ts - f.anchor > INTERVAL 3
 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT user_id, event_id, gid FROM f""")
 def anchored_groups(t):
     """WIN4: a new group where a row lies more than a gap after the first row
-    of its group; a fold over each user's rows in order."""
-    rows = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("r"))
-    fold = """aggregate(r, struct(cast(null as timestamp_ntz) as anchor, 0 as gid, cast(array() as array<struct<event_id:bigint,gid:int>>) as out),
-        (a, x) -> named_struct('anchor', if(a.anchor is null or x.ts - a.anchor > interval 3 days, x.ts, a.anchor),
-            'gid', if(a.anchor is null or x.ts - a.anchor > interval 3 days, a.gid + 1, a.gid),
-            'out', concat(a.out, array(named_struct('event_id', x.event_id, 'gid', if(a.anchor is null or x.ts - a.anchor > interval 3 days, a.gid + 1, a.gid))))),
-        a -> a.out)"""
-    return rows.select("user_id", F.explode(F.expr(fold)).alias("o")).select("user_id", "o.event_id", "o.gid")
+    of its group."""
+    return O.anchored_groups(t.events, "user_id", "ts", "event_id", timedelta(days=3)).select("user_id", "event_id", "gid")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (
+SELECT user_id, event_id, value, i, ts AS anchor, 1 AS gid FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.value, e.i, CASE WHEN e.ts - f.anchor > INTERVAL 3 DAY THEN e.ts ELSE f.anchor END, f.gid + CASE WHEN e.ts - f.anchor > INTERVAL 3 DAY THEN 1 ELSE 0 END
+FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT user_id, gid, event_id, CAST(row_number() OVER (PARTITION BY user_id, gid ORDER BY value, event_id) AS INTEGER) AS place FROM f""")
+def reading_order(t):
+    """TOP5: lines by their first row (top), and within a line by value (left)."""
+    lines = O.anchored_groups(t.events, "user_id", "ts", "event_id", timedelta(days=3)).select("event_id", "gid")
+    rows = t.events.select("user_id", "event_id", "value").join(lines, "event_id")
+    return rows.select("user_id", "gid", "event_id", F.row_number().over(Window.partitionBy("user_id", "gid").orderBy("value", "event_id")).alias("place"))
 
 
 @query("SELECT event_type, min_by(event_id, {'t': ts, 'e': event_id}) AS first_id, max_by(value, {'t': ts, 'e': event_id}) AS last_value FROM events GROUP BY ALL")
@@ -70,11 +80,11 @@ def empty_streaks(t):
     return rows.filter("empty").groupBy("user_id", "g").agg(F.min("event_id").alias("any_id"), F.count("*").alias("streak")).filter("streak >= 3").drop("g")
 
 
-@query("""WITH w AS (SELECT doc_id, least(len(regexp_split_to_array(text, '\\s+')), 12) AS n FROM documents), i AS (SELECT doc_id, n, unnest(range(0, n)) AS i FROM w)
+@query("""WITH w AS (SELECT doc_id, len(regexp_split_to_array(text, '\\s+')) AS n FROM documents), i AS (SELECT doc_id, n, unnest(range(0, n)) AS i FROM w)
 SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(i * 50 // n AS INTEGER) AS start, CAST(greatest(i * 50 // n + 1, (i + 1) * 50 // n) AS INTEGER) AS stop FROM i""")
 def proportional_spans(t):
     """WIN14: token spans shared out in proportion."""
-    n = F.least(F.size(F.split("text", r"\s+")), F.lit(12))
+    n = F.size(F.split("text", r"\s+"))
     rows = t.documents.select("doc_id", n.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     return rows.select("doc_id", "i", F.expr("cast(i * 50 div n as int)").alias("start"), F.expr("cast(greatest(i * 50 div n + 1, (i + 1) * 50 div n) as int)").alias("stop"))
 

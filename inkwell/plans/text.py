@@ -9,22 +9,43 @@ from ..functions import text as T
 from ..registry import query
 
 def pairs(t):
-    """Each turn as the reference of the next one's beginning: a stand-in for
-    transcripts, whose length bounds the quadratic distance."""
+    """Each turn as the reference of the next one: a stand-in for transcripts."""
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", F.substring("text", 1, 60).alias("r"), F.substring(nxt, 1, 60).alias("h")).filter("h IS NOT NULL")
+    return t.conversations.select("conv_id", "turn", F.col("text").alias("r"), nxt.alias("h")).filter("h IS NOT NULL")
 
 
-@query()
+# The edit distance of SQL counts bytes: letters that need two are first put to
+# characters of one. These are all there are in the conversations.
+TWO_BYTES = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+ONE_BYTE = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 27)])
+NORM_SQL = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+
+
+def bytes_sql(column: str) -> str:
+    return f"translate({column}, '{TWO_BYTES}', {ONE_BYTE})"
+
+
+PAIRS_SQL = "SELECT conv_id, turn, text AS r, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations"
+
+
+def cer_sql(h: str, r: str) -> str:
+    h, r = NORM_SQL.format(h), NORM_SQL.format(r)
+    distance = f"levenshtein({bytes_sql(h)}, {bytes_sql(r)})"
+    return f"CASE WHEN length({r}) > 0 THEN {distance} / length({r}) WHEN length({h}) > 0 THEN 1 ELSE 0 END"
+
+
+RAW_SQL = f"round(levenshtein({bytes_sql('h')}, {bytes_sql('r')}) / greatest(length(r), 1), 6)"
+
+
+@query(f"SELECT conv_id, turn, round({cer_sql('h', 'r')}, 6) AS rate, {RAW_SQL} AS raw FROM ({PAIRS_SQL}) WHERE h IS NOT NULL")
 def cer_pairs(t):
     return pairs(t).select("conv_id", "turn", F.round(T.cer(F.col("h"), F.col("r")), 6).alias("rate"), F.round(T.raw_cer(F.col("h"), F.col("r")), 6).alias("raw"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, substr(text, 1, 60) AS r, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 60) AS h FROM conversations)
-SELECT conv_id, turn, round(levenshtein(h, r) / greatest(length(r), 1), 6) AS raw FROM p WHERE h IS NOT NULL AND regexp_full_match(h || r, '[ -~\\n]*')""")
+@query(f"SELECT conv_id, turn, {RAW_SQL} AS raw FROM ({PAIRS_SQL}) WHERE h IS NOT NULL")
 def cer_raw(t):
-    """STR7 where a byte is a character, as the edit distance of SQL counts."""
-    return pairs(t).filter(F.concat("h", "r").rlike(r"^[ -~\n]*$")).select("conv_id", "turn", F.round(T.raw_cer(F.col("h"), F.col("r")), 6).alias("raw"))
+    """STR7."""
+    return pairs(t).select("conv_id", "turn", F.round(T.raw_cer(F.col("h"), F.col("r")), 6).alias("raw"))
 
 
 @query()
@@ -32,6 +53,32 @@ def wer_pairs(t):
     return pairs(t).select("conv_id", "turn", F.round(T.wer(F.col("h"), F.col("r")), 6).alias("rate"))
 
 
+@query("""WITH r AS (SELECT doc_id, m.model, m.kind, m.reading FROM documents, LATERAL (VALUES ('m1', 'clean', text), ('m1', 'adv', translate(text, 'ae', 'ea')), ('m2', 'clean', lower(text)), ('m2', 'adv', text)) m(model, kind, reading))
+SELECT c.doc_id, c.model, length(c.reading) AS n, c.reading = a.reading AS same, len(list_filter(string_split(c.reading, ' '), lambda w: w <> '')) AS n_clean, a.reading <> c.reading AND lower(a.reading) = lower(c.reading) AS case_only
+FROM r c JOIN r a ON a.doc_id = c.doc_id AND a.model = c.model WHERE c.kind = 'clean' AND a.kind = 'adv'""")
+def paired_readings(t):
+    """JN1: clean and perturbed readings of an image by a model, matched by both."""
+    text = F.col("text")
+    kinds = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("kind"), x.alias("reading")) for m, k, x in (("m1", "clean", text), ("m1", "adv", F.translate(text, "ae", "ea")), ("m2", "clean", F.lower(text)), ("m2", "adv", text))])
+    readings = t.documents.select("doc_id", F.inline(kinds))
+    clean, adv = (readings.filter(F.col("kind") == k).select("doc_id", "model", F.col("reading").alias(k)) for k in ("clean", "adv"))
+    a, c = F.col("adv"), F.col("clean")
+    return clean.join(adv, ["doc_id", "model"]).select(
+        "doc_id", "model", F.char_length(c).cast("bigint").alias("n"), (a == c).alias("same"), F.size(F.filter(F.split(c, " "), lambda w: w != "")).cast("bigint").alias("n_clean"),
+        ((a != c) & (F.lower(a) == F.lower(c))).alias("case_only"),
+    )
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(r, '\\s+'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(h, '\\s+'), lambda x: x <> '') AS b FROM ({PAIRS_SQL}) WHERE h IS NOT NULL)
+SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word, b[i] AS partner FROM (SELECT *, unnest(range(1, least(len(w), len(b)) + 1)) AS i FROM p)""")
+def zipped_words(t):
+    """JN5: two lists by position, as far as the shorter one goes."""
+    rows = pairs(t).select("conv_id", "turn", T.words(F.col("r")).alias("w"), T.words(F.col("h")).alias("b"))
+    n = F.least(F.size("w"), F.size("b"))
+    both = F.arrays_zip(F.slice("w", F.lit(1), n).alias("w"), F.slice("b", F.lit(1), n).alias("b"))
+    return rows.select("conv_id", "turn", F.posexplode(both).alias("pos", "x")).select("conv_id", "turn", "pos", F.col("x.w").alias("word"), F.col("x.b").alias("partner"))
+
+
 @query("""WITH p AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
 SELECT conv_id, turn, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) = lower(regexp_replace(trim(nxt), '\\s+', ' ', 'g')) AS same, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS norm FROM p WHERE nxt IS NOT NULL""")
 def exact_match(t):
@@ -42,9 +89,10 @@ def exact_match(t):
 
 @query()
 def metrics_delta(t):
-    """STR6: clean and perturbed readings of the beginning of each turn; the
-    perturbed one reads o for 0, e for a."""
-    ref, clean = F.substring("text", 1, 80), F.substring("text", 1, 78)
+    """STR6: clean and perturbed readings of each turn; the clean one lacks the
+    end, the perturbed one reads a for e and e for a besides."""
+    ref = F.col("text")
+    clean = F.left(ref, F.char_length(ref) - 2)
     adv = F.translate(clean, "ae", "ea")
     m = [("cer", T.cer), ("wer", T.wer)]
     cols = [F.round(f(x, ref), 6).alias(f"{n}_{k}") for n, f in m for k, x in (("clean", clean), ("adv", adv))]
@@ -63,16 +111,16 @@ LABELS = ", ".join(f"'{w}'" for w in T.LABEL_WORDS)
 @query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents)
 SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE regexp_matches(w, '[:：#-]$') OR lower(regexp_replace(w, '[:：]+$', '')) IN ({LABELS})) AS n_labels FROM w GROUP BY doc_id""")
 def label_words(t):
-    w = t.documents.select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
-    return w.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(T.is_label(F.col("w"))).alias("n_labels"))
+    """One row is one document, so nothing is shuffled."""
+    rows = t.documents.select("doc_id", T.words(F.col("text")).alias("w"))
+    return rows.filter(F.size("w") > 0).select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.size(F.filter("w", T.is_label)).cast("bigint").alias("n_labels"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE upper(line) = line AND lower(line) <> line AND length(line) < 60 AND NOT contains(line, 'ß') AND NOT contains(line, 'SS')) AS n_slug FROM l GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE upper(line) = line AND lower(line) <> line AND length(line) < 60 AND NOT contains(line, 'ß')) AS n_slug FROM l GROUP BY doc_id""")
 def slug_lines(t):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    plain = ~F.contains("line", F.lit("ß")) & ~F.contains("line", F.lit("SS"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_slug_line(F.col("line")) & plain).alias("n_slug"))
+    rows = t.documents.select("doc_id", F.split("text", "\n").alias("l"))
+    return rows.select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.size(F.filter("l", T.is_slug_line)).cast("bigint").alias("n_slug"))
 
 
 @query("""SELECT conv_id, turn, trim(text) AS answer, trim(text) AS said, trim(text) AS thought FROM conversations""")
@@ -110,16 +158,17 @@ def paragraphs(t):
     return t.documents.select("doc_id", (F.size(spaced) - 1).cast("long").alias("n_parts"), F.size(T.words(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query()
+@query("""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n, CASE WHEN regexp_matches(text, '\\S') THEN length(regexp_replace(text, '\\s+$', '')) END AS last FROM documents""")
 def forward_search(t):
-    s = F.substring("text", 1, 300)
-    spans = T.forward_spans(T.words(s), s)
-    return t.documents.select("doc_id", F.size(spans).alias("n"), F.element_at(spans, -1)["stop"].alias("last"))
+    """Nothing but white space lies between the words of a text, so each is found
+    where it stands."""
+    rows = t.documents.select("doc_id", T.forward_spans(T.words(F.col("text")), F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").cast("bigint").alias("n"), F.try_element_at("s", F.lit(-1))["stop"].cast("bigint").alias("last"))
 
 
 @query()
 def word_wrap(t):
-    return t.documents.select("doc_id", F.explode(T.wrapped(F.slice(T.words(F.col("text")), 1, 60), 40)).alias("line"))
+    return t.documents.select("doc_id", F.explode(T.wrapped(T.words(F.col("text")), 40)).alias("line"))
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents)
@@ -129,7 +178,6 @@ def first_capitalised(t):
     return t.documents.select("doc_id", F.split("text", r"\s+").alias("w")).select("doc_id", good.alias("word"))
 
 
-@query("SELECT p_partkey, upper(p_type[1]) || lower(p_type[2:]) AS title FROM part WHERE NOT contains(p_type, ' ')")
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM part")
 def key_title(t):
-    rows = t.part.filter(~F.contains("p_type", F.lit(" ")))
-    return rows.select("p_partkey", T.key_title(F.col("p_type")).alias("title"))
+    return t.part.select("p_partkey", T.key_title(F.col("p_type")).alias("title"))

@@ -86,6 +86,10 @@ def test_models(spark):
     df = spark.createDataFrame([("i", "hello all", "a bb")], "image_id string, image string, text string")
     assert models.transcribe(df, "echo").first().transcript == "he11o a11"
     assert models.token_logprobs(df, "echo").first().lp == [-0.1, -0.2]
+    assert models.token_logprobs(df, "echo", top_k=2).first().top == [[-0.1, -0.6], [-0.2, -0.7]]
+    assert [round(x, 6) for x in models.losses(df.withColumn("reference", F.col("image")), "echo").first()[1:]] == [0.15, -1.0]
+    asked = spark.createDataFrame([("news", 2), ("none", 3)], "category string, n int")
+    assert sorted(r.item.title for r in models.generated(asked, "echo", "title:string").collect()) == ["news 0", "news 1"]
 
 
 def test_rolling_rates(spark, tmp_path):

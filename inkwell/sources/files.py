@@ -3,6 +3,9 @@ inferred, so a scan is one pass and columns are pruned."""
 
 from __future__ import annotations
 
+from functools import cache, reduce
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +25,29 @@ DEFAULTS = {"num_lines": 1, "num_chars": 0, "font_family": "unknown", "text_cate
 MONO, SERIF = "mono|courier|consol|inconsolata|hack|jetbrains", "serif|georgia|times|garamond|merriweather|playfair"
 
 
-def labels(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    """SRC1, PRJ2: ``labels.jsonl`` (or ``labels_{suffix}.jsonl``) with defaults
-    and ``ord``, the line's place in the file by Spark's row order. Malformed
-    lines raise; both forms of word boxes give ``box``."""
+def labels(spark: SparkSession, folder: str, suffix: str = "", more: str | None = None, cap: int | None = None, **equal) -> DataFrame:
+    """SRC1, PRJ2: ``labels.jsonl`` (or ``labels_{suffix}.jsonl``), and those of a
+    further folder after them, with defaults and ``ord``, the line's place: which
+    folder, file, block of the file, and row within the block. Malformed lines and
+    a missing file raise, blank lines are skipped; both forms of word boxes give
+    ``box``. ``equal`` are filters by column (FIL1: an empty one is off, a list
+    means any of its values, null never equals), ``cap`` keeps the first rows by
+    ``ord`` after them (TOP1)."""
     name = f"labels_{suffix}.jsonl" if suffix else "labels.jsonl"
-    rows = spark.read.schema(LABELS).option("mode", "FAILFAST").json(f"{folder}/{name}")
+    parts = []
+    for k, place in enumerate([folder, more] if more else [folder]):
+        rows = spark.read.schema(LABELS).option("mode", "FAILFAST").json(f"{place}/{name}")
+        order = F.struct(F.lit(k).alias("folder"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        parts.append(rows.withColumn("ord", order))
+    rows = reduce(DataFrame.unionByName, parts)
     box = lambda w: F.struct(w["word"].alias("word"), F.coalesce(w["box"], F.array(w["left"], w["top"], w["right"], w["bottom"])).alias("box"))
     rows = rows.withColumn("word_boxes", F.transform("word_boxes", lambda ws: F.transform(ws, box)))
     rows = rows.withColumn("lines", F.coalesce("lines", F.array("full_text")))
-    return rows.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items()}).withColumn("ord", F.monotonically_increasing_id())
+    rows = rows.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items()})
+    for column, value in equal.items():
+        if value:
+            rows = rows.filter(F.col(column).isin(value) if isinstance(value, list) else F.col(column) == value)
+    return rows.orderBy("ord").limit(cap) if cap else rows
 
 
 def flat_words(rows: DataFrame) -> DataFrame:
@@ -54,13 +70,17 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 def content_bank(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC4, SRC5: a list of items, or the older ``{"items": [{data, category,
     content_id}]}``; ``schema`` is that of an item. Anything else raises."""
-    legacy = f"items array<struct<data:struct<{_colon(schema)}>,category:string,content_id:string>>"
+    begin = F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1)
+    kinds = {r[0] for r in spark.read.option("wholetext", True).text(path).select(begin).distinct().collect()}
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    old = reader.schema(legacy).json(path).filter("items IS NOT NULL")
-    if old.limit(1).count():
-        one = old.select(F.explode("items").alias("i"))
-        return one.select("i.data.*", F.col("i.category").alias("_category"), F.col("i.content_id").alias("_content_id"))
-    return reader.schema(f"{schema}, _category string, _content_id string").json(path)
+    if kinds <= {"["}:
+        return reader.schema(f"{schema}, _category string, _content_id string").json(path)
+    legacy = f"items array<struct<data:struct<{_colon(schema)}>,category:string,content_id:string>>"
+    old = reader.schema(legacy).json(path)
+    if kinds != {"{"} or old.filter("items IS NULL").limit(1).count():
+        raise ValueError(f"{path} is neither a list of items nor has one")
+    one = old.select(F.explode("items").alias("i"))
+    return one.select("i.data.*", F.col("i.category").alias("_category"), F.col("i.content_id").alias("_content_id"))
 
 
 def _colon(schema: str) -> str:
@@ -87,9 +107,17 @@ def fonts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.when(stem.rlike(MONO), "mono").when(stem.rlike(SERIF), "serif").otherwise("sans").alias("family"))
 
 
-def first_existing(names: list[str], there: set[str], default: str | None = None) -> str | None:
-    """SRC9: the first of the candidates that exists."""
-    return next((n for n in names if n in there), default)
+@cache
+def listed(folder: str) -> frozenset[str]:
+    """The paths of a local folder, looked up once."""
+    return frozenset(map(str, Path(folder).rglob("*")))
+
+
+@cache
+def first_existing(names: tuple[str, ...], folder: str, default: str | None = None) -> str | None:
+    """SRC9: the first of the candidates that exists below the folder, kept for
+    the next time it is asked for."""
+    return next((n for n in names if str(Path(folder) / n) in listed(folder)), default)
 
 
 def config(path: str, kinds: dict | None = None) -> dict:

@@ -3,20 +3,44 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from enum import Enum
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_lines_and_array(rows: DataFrame, folder: str, mode: str = "labels") -> None:
-    """SNK1, SNK2: JSON lines, and the same rows as JSON arrays, one per
-    partition, so that no task gathers the table."""
-    rows.write.mode("overwrite").json(f"{folder}/{mode}.jsonl")
-    arrays = rows.select(F.to_json(F.struct("*")).alias("j")).withColumn("p", F.spark_partition_id())
-    text = arrays.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
-    text.select("value").write.mode("overwrite").text(f"{folder}/{mode}.json")
+def write_lines_and_array(rows: DataFrame, folder: str, mode: str = "labels", by: str | None = None) -> None:
+    """SNK1, SNK2: JSON lines, and the same rows as JSON arrays, one per file,
+    written as they stream by; ``by`` gives each of its values a folder."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, open_ = object(), False
+        for batch in batches:
+            keys, out = batch.column(0).to_pylist(), []
+            for k, line in zip(keys, batch.column(1).to_pylist(), strict=True):
+                if open_ and k != own:
+                    out.append((own, "]"))
+                    open_ = False
+                out.append((k, ("," if open_ else "[") + line))
+                own, open_ = k, True
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["key", "value"])
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.string()), pa.array(["]"])], ["key", "value"])
+
+    lines = rows.write.mode("overwrite")
+    (lines.partitionBy(by) if by else lines).json(f"{folder}/{mode}.jsonl")
+    key = F.col(by).cast("string") if by else F.lit("all")
+    arrays = rows.select(key.alias("key"), F.to_json(F.struct("*")).alias("value"))
+    if by:
+        arrays = arrays.sortWithinPartitions("key")
+    text = arrays.mapInArrow(bracketed, "key string, value string")
+    if by:
+        text.withColumnRenamed("key", by).write.mode("overwrite").partitionBy(by).text(f"{folder}/{mode}.json")
+    else:
+        text.select("value").write.mode("overwrite").text(f"{folder}/{mode}.json")
 
 
 def append_results(rows: DataFrame, path: str) -> None:

@@ -37,6 +37,17 @@ def words_with_boxes(lines: DataFrame, keys: list[str], char_px: int = 8, height
     )
 
 
+def columns(texts: list[Column], weights: list[float], width: int, left: int, char_px: int = 8) -> Column:
+    """GEO7: ``struct(text, x)`` of each column of a table row: widths in
+    proportion, truncated; what equals the last column's text, if that is not
+    empty, stands at the right."""
+    px = [int(width * w / sum(weights)) for w in weights]
+    begins = [left + sum(px[:i]) for i in range(len(px))]
+    right = lambda t, i: F.lit(begins[i] + px[i] - 4) - char_px * F.char_length(t)
+    x = [F.when((t == texts[-1]) & (t != ""), right(t, i)).otherwise(begins[i]).cast("int") for i, t in enumerate(texts)]
+    return F.array(*[F.struct(t.alias("text"), at.alias("x")) for t, at in zip(texts, x, strict=True)])
+
+
 def overlap(a: str, b: str) -> Column:
     """JN6: boxes of aliases a and b share a pixel."""
     return F.expr(f"{a}.x0 < {b}.x1 AND {a}.x1 > {b}.x0 AND {a}.y0 < {b}.y1 AND {a}.y1 > {b}.y0")

@@ -51,6 +51,16 @@ def anchored_groups(rows: DataFrame, key: str, at: str, then: str, gap: timedelt
     return sorted_.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (key, at, then)) + ", gid int")
 
 
+def until(rows: DataFrame, keys: list[str], order: list[str], good: Column, wanted: int, retries: int) -> DataFrame:
+    """FIL10: of each group the first ``wanted`` rows that are good, in columns
+    ``attempt`` and ``place`` which row of the group and which good one each is;
+    only the first ``wanted * retries`` rows are tried. The limit on a row number
+    is one that Spark takes before it shuffles, so groups are not gathered."""
+    tried = rows.withColumn("attempt", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("attempt") <= wanted * retries)
+    placed = tried.filter(good).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("attempt")))
+    return placed.filter(F.col("place") <= wanted)
+
+
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
     """AGG15, AGG20: ``keys``, the least and greatest value as ``low`` and
     ``high``, and for each name its share's percentile, interpolated between

@@ -154,3 +154,12 @@ def letterbox(t):
 @query()
 def greedy_groups(t):
     return B.greedy_groups(boxes(t).select("doc_id", "line", "pos", "x0", "y0", "x1", "y1"), "doc_id", 60.0, ("line", "pos"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, [o_orderpriority, o_orderstatus, CAST(o_custkey AS VARCHAR), CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END] AS c, [24, 179, 412, 489] AS b, [155, 233, 77, 233] AS px FROM orders)
+SELECT o_orderkey, CAST(i - 1 AS INTEGER) AS pos, c[i] AS text, CAST(CASE WHEN c[i] = c[4] AND c[i] <> '' THEN b[i] + px[i] - 4 - 8 * length(c[i]) ELSE b[i] END AS INTEGER) AS x FROM (SELECT *, unnest(range(1, 5)) AS i FROM r)""")
+def columns_px(t):
+    """GEO7."""
+    last = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).otherwise(F.floor("o_totalprice").cast("string"))
+    row = B.columns([F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_custkey").cast("string"), last], [2, 3, 1, 3], 700, 24)
+    return t.orders.select("o_orderkey", F.posexplode(row).alias("pos", "c")).select("o_orderkey", "pos", "c.text", "c.x")

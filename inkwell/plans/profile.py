@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ordered as O
 from ..registry import query
 
 
@@ -60,6 +61,26 @@ def min_length_reject(t):
     return t.documents.filter(F.char_length("text") >= 8).select("lang", "doc_id", F.row_number().over(w).alias("rn")).filter("rn <= 5")
 
 
+@query("""SELECT lang, doc_id, CAST(attempt AS INTEGER) AS attempt, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY attempt) AS place FROM
+(SELECT lang, doc_id, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS attempt FROM documents) WHERE attempt <= 24 AND n >= 900) WHERE place <= 8""")
+def retry_until(t):
+    """FIL8, FIL10: eight texts of each language that are long enough, within
+    three times as many attempts."""
+    rows = t.documents.select("lang", "doc_id", F.char_length("text").alias("n"))
+    return O.until(rows, ["lang"], ["doc_id"], F.col("n") >= 900, 8, 3).drop("n")
+
+
+@query("""SELECT printf('%04d', doc_id) AS image_id, 'images/' || printf('%04d', doc_id) || '.png' AS image_path, trim(text) AS full_text, 'ui_web' AS domain, source AS category, 'browser' AS render_mode, doc_id * 31 % 1009 AS render_seed,
+'train' AS split, false AS has_ambiguous_chars, 'web_portal' AS layout_type, source AS text_category FROM documents""")
+def annotations(t):
+    """PRJ3: the annotation of a rendered item, with its fixed values."""
+    image = F.format_string("%04d", "doc_id")
+    return t.documents.select(
+        image.alias("image_id"), F.concat(F.lit("images/"), image, F.lit(".png")).alias("image_path"), F.trim("text").alias("full_text"), F.lit("ui_web").alias("domain"), F.col("source").alias("category"),
+        F.lit("browser").alias("render_mode"), (F.col("doc_id") * 31 % 1009).alias("render_seed"), F.lit("train").alias("split"), F.lit(False).alias("has_ambiguous_chars"), F.lit("web_portal").alias("layout_type"), F.col("source").alias("text_category"),
+    )
+
+
 @query("""WITH h AS (SELECT c_mktsegment AS seg, count(*) AS have FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL), w AS (SELECT c_mktsegment AS seg, 120 AS want FROM customer GROUP BY ALL)
 SELECT seg, coalesce(have, 0) AS have, greatest(0, want - coalesce(have, 0)) AS need FROM w LEFT JOIN h USING (seg)""")
 def resume_need(t):

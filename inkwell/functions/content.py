@@ -146,3 +146,27 @@ def bubbles(items: Column, own: Column) -> Column:
     """JN14: messages, those of ``own`` marked."""
     side = lambda x: F.when(x["sender"] == own, "own").otherwise("other")
     return _each(items, lambda x: F.concat(F.lit('<div class="'), side(x), F.lit('">'), _cell(x["sender"], "b"), _cell(x["text"], "p"), F.lit("</div>")))
+
+
+def page(item, category: Column) -> Column:
+    """STR23: an item as a page of its category: a heading, then its fragments;
+    null for an unknown category. ``item`` gives the column of a field."""
+    table = lambda rows: F.concat(F.lit("<table>"), rows, F.lit("</table>"))
+    group = lambda name, rows: F.concat(F.lit(f"<{name}>"), rows, F.lit(f"</{name}>"))
+    line = lambda *names: F.concat(*[_cell(item(n), "p") for n in names])
+    own = F.coalesce(F.try_element_at(F.filter(item("participants"), lambda p: p["role"] == "self"), F.lit(1))["name"], F.try_element_at(item("participants"), F.lit(1))["name"])
+    made = {
+        "banking": ("bank_name", [line("account_holder", "account_number", "statement_period"), table(transaction_rows(item("transactions"))), line("summary_note")]),
+        "medical": ("hospital_name", [line("patient_name", "patient_id", "diagnosis"), group("ul", list_items(item("medications"))), table(lab_rows(item("lab_results"))), line("clinical_notes")]),
+        "news": ("headline", [line("byline", "dateline", "lead_paragraph"), paragraph_blocks(item("body_paragraphs")), _cell(item("pull_quote"), "blockquote")]),
+        "copyright": ("title", [line("author", "publisher", "copyright_line"), _cell(item("chapter_or_scene"), "h2"), line("content")]),
+        "legal": ("title", [line("document_type", "jurisdiction", "case_or_ref_number"), party_lines(item("parties")), clause_blocks(item("clauses")), line("notary_note")]),
+        "identity": ("document_type", [line("issuing_authority", "surname", "given_names", "document_number"), table(field_rows(item("additional_fields"))), group("ul", list_items(item("security_features")))]),
+        "communications": ("platform", [line("subject", "timestamp"), party_lines(item("participants")), bubbles(item("messages"), own)]),
+    }
+
+    def whole(category: str) -> Column:
+        title, parts = made[category]
+        return F.concat(F.lit(f'<article class="{category}">'), _cell(item(title), "h1"), *parts, F.lit("</article>"))
+
+    return reduce(lambda c, k: c.when(category == k, whole(k)), list(made)[1:], F.when(category == "banking", whole("banking")))

@@ -49,3 +49,9 @@ def complementarity(cells: DataFrame, config: list[str], sample: str, model: str
 def sweep(spark, eps: list[float], kappa: list[float]) -> DataFrame:
     """SRC12, JN3: the grid of two parameter lists (driver-side constants)."""
     return spark.createDataFrame([(e, k) for e in eps for k in kappa], "eps double, kappa double")
+
+
+def series(steps: DataFrame, keys: list[str], x: str, values: list[str]) -> DataFrame:
+    """SNK11: what a plot of trajectories needs: ``keys, x, series, y``, a row for
+    each step and value; missing values have none."""
+    return steps.unpivot([*keys, x], values, "series", "y").filter("y IS NOT NULL")

@@ -161,3 +161,9 @@ def render_plan_counts(t):
     """AGG4, AGG31."""
     short = F.col("n_chars") < 50
     return t.documents.groupBy("lang", "source").agg(F.count("*").alias("planned"), F.count_if(short).alias("skipped"), F.count_if(~short).alias("processed"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'l_discount' AS series, l_discount AS y FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem""")
+def plot_series(t):
+    """SNK11: an order as a run, its lines as steps."""
+    return R.series(t.lineitem, ["l_orderkey"], "l_linenumber", ["l_discount", "l_tax"])

@@ -140,6 +140,9 @@ def test_ground_truth(spark):
     ]
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in items], "category string, j string").select("category", F.from_json("j", schema).alias("i")).select("category", "i.*")
     got = {r.category: r.t for r in df.select("category", C.ground_truth(F.col, F.col("category")).alias("t")).collect()}
+    pages = {r.category: r.t for r in df.select("category", C.page(F.col, F.col("category")).alias("t")).collect()}
+    assert pages["banking"].startswith('<article class="banking"><h1> B </h1>') and '<td class="debit">-2</td>' in pages["banking"] and pages["other"] is None
+    assert "<tr><th>A</th><td>1</td></tr></table>" in pages["identity"] and '<div class="other"><b>p</b><p>hi</p></div>' in pages["communications"]
     assert got == {"banking": "B\nOpening: 1 Closing:\nd x -2", "identity": "S\n1\nf", "communications": "sms\np hi", "other": None}
 
 

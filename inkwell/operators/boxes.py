@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,22 +64,70 @@ def same_row(a: str, b: str) -> Column:
     return F.expr(f"abs(({a}.y0 + {a}.y1) / 2.0 - ({b}.y0 + {b}.y1) / 2.0) < 1.5 * greatest({a}.y1 - {a}.y0, {b}.y1 - {b}.y0, 1)")
 
 
-def near_pairs(boxes: DataFrame, key: str, radius: int) -> DataFrame:
+def near_pairs(boxes: DataFrame, key: str, radius: int, of: Column | None = None) -> DataFrame:
     """JN7: pairs of boxes of one image whose centres are within ``radius``, each
-    with itself. Boxes meet in cells of twice the radius: a box looks into those
+    with itself; with ``of`` the first of a pair is one of those boxes. Boxes meet in cells of twice the radius: a box looks into those
     that its circle touches, four at most, so a large image is not paired in
     full."""
     cell = 2 * radius
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     at = lambda v: F.floor(v / cell)
     reach = lambda v: F.sequence(at(v - radius), at(v + radius))
-    a = boxes.withColumn("gx", F.explode(reach(x))).withColumn("gy", F.explode(reach(y))).alias("a")
+    a = boxes if of is None else boxes.filter(of)
+    a = a.withColumn("gx", F.explode(reach(x))).withColumn("gy", F.explode(reach(y))).alias("a")
     b = boxes.withColumn("gx", at(x)).withColumn("gy", at(y)).alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "gx", "gy")]
     dx, dy = (F.expr(f"a.{v}0 + a.{v}1 - b.{v}0 - b.{v}1") for v in "xy")  # twice the distance
     return a.join(b, on).filter(dx * dx + dy * dy <= 4 * radius * radius)
 
 
+def near_index(centres: np.ndarray, radius: float, at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the centres within ``radius``, each with itself, by the
+    first. Centres are sorted by cells as wide as the radius; the neighbours of
+    a cell in one row of cells are one stretch, found by bisection."""
+    cell = np.floor(centres / radius).astype(np.int64)
+    cell -= cell.min(0, initial=0)
+    width = cell[:, 0].max(initial=0) + 3
+    key = cell[:, 1] * width + cell[:, 0]
+    order = np.argsort(key, kind="stable")
+    ranked, out = key[order], [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for i in range(0, len(key), at_once):
+        rows, cols = [], []
+        for up in (-width, 0, width):
+            low, high = np.searchsorted(ranked, key[i : i + at_once] + up - 1, "left"), np.searchsorted(ranked, key[i : i + at_once] + up + 1, "right")
+            n = high - low
+            row = np.repeat(np.arange(len(n)), n)
+            col = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            good = ((centres[row + i] - centres[col]) ** 2).sum(1) <= radius * radius
+            rows.append(row[good] + i)
+            cols.append(col[good])
+        row, col = np.concatenate(rows), np.concatenate(cols)
+        sort = np.lexsort((col, row))
+        out.append((row[sort], col[sort]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def context_lists(boxes: DataFrame, key: str, radius: float, ident: str, keep: tuple[str, ...]) -> DataFrame:
+    """GEO5: ``key, keep, near``: of each box the sorted ``ident`` (a long) of all
+    boxes of its image whose centres are within ``radius``, its own included.
+    One image's boxes are bounded, so each image is one call and boxes are
+    shuffled once; ``near_pairs`` is the same as a join."""
+    kinds = dict(boxes.dtypes)
+    corners = ("x0", "y0", "x1", "y1")
+
+    def near(table: pa.Table) -> pa.Table:
+        x0, y0, x1, y1 = (table.column(c).to_numpy().astype(float) for c in corners)
+        own = table.column(ident).to_numpy()
+        row, col = near_index(np.stack([(x0 + x1) / 2, (y0 + y1) / 2], 1), radius)
+        found = own[col]
+        found = found[np.lexsort((found, row))]
+        offsets = np.searchsorted(row, np.arange(len(own) + 1)).astype(np.int32)
+        return pa.table([*(table.column(c) for c in (key, *keep)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found))], names=[key, *keep, "near"])
+
+    rows = boxes.select(*dict.fromkeys((key, *keep, ident, *corners)))
+    return rows.groupBy(key).applyInArrow(near, ", ".join(f"{c} {kinds[c]}" for c in (key, *keep)) + ", near array<long>")
+
+
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], low: str, high: str, cell: int) -> DataFrame:
     """JN6, JN8: pairs of intervals ``low`` to ``high`` (half open) of aliases a
     and b with equal ``keys`` that overlap, each once. Intervals meet in the cells

@@ -46,23 +46,20 @@ NEAR_SQL = f"""SELECT a.doc_id, a.line, a.pos, list_sort(list(c.line * 100000 +
 AND sqrt(pow((a.x0 + a.x1) / 2 - (c.x0 + c.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (c.y0 + c.y1) / 2, 2)) <= 60 GROUP BY ALL"""
 
 
-def near(t):
-    rows = boxes(t).drop("word")
-    pairs = B.near_pairs(rows, "doc_id", 60)
-    return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.sort_array(F.collect_list(F.expr("b.line * 100000 + b.pos"))).alias("near"))
-
-
 @query(f"WITH b AS ({BOXES_SQL}) {NEAR_SQL}")
 def box_context(t):
-    return near(t)
+    """GEO5."""
+    rows = boxes(t).drop("word").withColumn("id", F.expr("cast(line * 100000 + pos as bigint)"))
+    return B.context_lists(rows, "doc_id", 60, "id", ("line", "pos"))
 
 
 @query(f"WITH b AS ({BOXES_SQL}), n AS ({NEAR_SQL}) SELECT doc_id, line, list_sort(list_distinct(flatten(list(near)))) AS context FROM n WHERE pos % 4 = 0 GROUP BY ALL")
 def context_union(t):
-    """SET5: the union of what lies near the words of a group (every fourth word
-    of a line)."""
-    groups = near(t).filter("pos % 4 = 0").groupBy("doc_id", "line")
-    return groups.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))).alias("context"))
+    """JN7, SET5: the union of what lies near the words of a group (every fourth
+    word of a line)."""
+    rows = boxes(t).drop("word")
+    pairs = B.near_pairs(rows, "doc_id", 60, F.col("pos") % 4 == 0)
+    return pairs.groupBy("a.doc_id", "a.line").agg(F.sort_array(F.collect_set(F.expr("b.line * 100000 + b.pos"))).alias("context"))
 
 
 @query(f"""WITH b AS ({BOXES_SQL}), tok AS (SELECT doc_id, line, unnest(range(0, (n + 3) // 4)) AS tok FROM (SELECT doc_id, line, max(x1) // 8 AS n FROM b GROUP BY ALL))

@@ -81,6 +81,8 @@ def test_near_and_overlap(spark):
     got = {tuple(r) for r in B.near_pairs(df, "image", 40).select("a.pos", "b.pos").collect()}
     centre = lambda r: ((r[2] + r[4]) / 2, (r[3] + r[5]) / 2)
     assert got == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and math.dist(centre(a), centre(b)) <= 40}
+    lists = {r.pos: r.near for r in B.context_lists(df.withColumn("id", F.col("pos").cast("long")), "image", 40, "id", ("pos",)).collect()}
+    assert lists == {a[1]: sorted(b for x, b in got if x == a[1]) for a in rows}
     pairs = [tuple(r) for r in B.overlapping(df, df, ["image"], "x0", "x1", 32).select("a.pos", "b.pos").collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[4] and b[2] < a[4]}
 

@@ -271,8 +271,10 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(source, pattern)
         for batch in batches:
-            decoded = pa.array([codec.decode(x.as_py() or b"") for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                decoded = pa.array([codec.decode(x.as_py() or b"") for x in part.column(2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(
         run, "doc_id long, n_tokens long, ids binary, decoded binary"

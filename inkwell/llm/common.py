@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,22 @@ from pyspark.sql import functions as F
 
 #: Characters that are worked on at once.
 BATCH_CHARS = 1_000_000
+#: The setting for rows of an Arrow batch, its default, and what whole texts need:
+#: batches are held by Spark's writer and reader and by Python at a time.
+ARROW_ROWS, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sees to a checkpoint folder. On a cluster it must be a shared one, named
-    in ``spark.checkpoint.dir``; without one a temporary folder serves where
-    driver and executors are one machine, and anything else raises. No session
-    setting is changed: Arrow batches are bounded in bytes by Spark itself."""
+    """Sees to small Arrow batches and a checkpoint folder.
+
+    Where the session has Spark's default of 10,000 rows a batch, that is put to
+    512, the only session setting that is changed; any other number is the
+    user's own and stays. On a cluster the folder must be a shared one, named in
+    ``spark.checkpoint.dir``; without one a temporary folder serves where driver
+    and executors are one machine, and anything else raises.
+    """
+    if spark.conf.get(ARROW_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +39,17 @@ def prepare(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another number of rows a batch for the actions within."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, lineage cut."""
     prepare(df.sparkSession)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, prepare
+from .common import batch_rows, checkpointed, connected_components, prepare
 
 SEED = 42
 #: Segment width: two segments of 32 bits, so that a pair within RADIUS bits
@@ -232,6 +232,8 @@ def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     reps = checkpointed(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     keyed = _without_hot_keys(reps.mapInArrow(_probe, "key long, fp long, rep long"))
     edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_match(radius), "u long, v long")
+    with batch_rows(fps.sparkSession, 65_536):  # rows of three numbers
+        edges = checkpointed(edges)
     found = connected_components(edges)
     classes = (
         reps.join(found, reps.rep == found.node, "left")

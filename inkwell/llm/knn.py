@@ -3,8 +3,8 @@
 Queries are grouped by their nearest pivot. What a vector x can score with the
 queries of a cell lies within radius * |x| of what it scores with the pivot, by
 Cauchy and Schwarz; so the k-th greatest of the least scores, a summary of all
-vectors, bounds from below what the k best of every query of the cell reach. A
-vector goes only to the cells whose bound it can meet; each is solved locally.
+vectors, bounds from below what the k best of every query of the cell reach. Neighbouring cells make up teams, and a vector goes, once, to each team with a
+cell whose bound it can meet; each team is solved locally, in blocks of vectors.
 (In distances: with one more component, sqrt(M - |x|^2), the greatest products
 are the nearest neighbours, and the bounds are those of the balls around the
 pivots.)
@@ -25,10 +25,11 @@ from .common import checkpointed
 
 #: Pivots at most; there are as many as queries up to that number.
 PIVOTS = 1024
-#: Queries of one group and vectors of one block at most (on average, by hash).
-GROUP_QUERIES, BLOCK_ROWS = 2048, 8192
-#: Rows that are scored at once.
-ROWS_AT_ONCE = 4096
+#: Queries of one team and vectors of one block at most (on average, by hash);
+#: blocks of fewer rows are not made for the sake of more tasks.
+TEAM_QUERIES, BLOCK_ROWS, LEAST_BLOCK = 2048, 32_768, 1024
+#: Vectors that are bounded, and queries that are scored, at once.
+ROWS_AT_ONCE, QUERIES_AT_ONCE = 4096, 128
 #: Relative error allowed for in bounds, which are computed in doubles.
 SLACK = 1e-9
 LONGEST = (1 << 63) - 1
@@ -113,8 +114,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     most take no part with the rest: lengths are solved apart. Fewer rows than k
     give all of them; an empty table gives none. Other columns are not read.
     Pivots are a sample of the queries by hash, and only the pace depends on
-    them. What is broadcast or gathered has a size set by PIVOTS, k and the
-    number of blocks.
+    them. What is broadcast or gathered has a size set by PIVOTS and k.
     """
     rows = vectors.filter("vec_id IS NOT NULL").withColumn("asks", F.coalesce(is_query, F.lit(False)))
     rows = checkpointed(rows.select("vec_id", "v", "asks", F.size("v").alias("_n")))
@@ -131,7 +131,8 @@ def _top_k(rows: DataFrame, k: int) -> DataFrame:
     mixed = F.xxhash64("vec_id", "v")
     n_queries = rows.filter("asks").count()
     likely = F.pmod(mixed, F.lit(1 << 30)) <= F.lit(int(min(1, 4 * PIVOTS / n_queries) * (1 << 30)))
-    drawn = rows.filter("asks").filter(likely).select("v").orderBy(mixed).limit(PIVOTS).collect()
+    askers = rows.filter("asks").select("v", "vec_id")
+    drawn = askers.filter(likely).orderBy(mixed).limit(PIVOTS).collect() or askers.limit(1).collect()
     pivots = np.unique(np.array([r[0] for r in drawn], float), axis=0)
     at_pivots = share(Cells(pivots, np.zeros(len(pivots))))
 
@@ -178,61 +179,60 @@ def _top_k(rows: DataFrame, k: int) -> DataFrame:
     # scores that are held at an end of the long range tie there
     reach = share(np.where(reach > -0.99 * LONGEST, np.minimum(reach, 0.99 * LONGEST), -np.inf))
 
+    # Cells next to each other, seen from the first, make up a team.
+    away = np.argsort(((pivots[used] - pivots[used[0]]) ** 2).sum(1), kind="stable")
+    team_of, load, splits = np.zeros(len(used), np.int64), 0, []
+    for c in away:
+        n = int(asked[used[c]])
+        if not splits or load + n > TEAM_QUERIES:
+            load, splits = 0, [*splits, 1]
+        load += n
+        splits[-1] = max(splits[-1], -(-n // TEAM_QUERIES))
+        team_of[c] = len(splits) - 1
+    starts = np.searchsorted(team_of[away], np.arange(len(splits)))
+    splits = np.array(splits)
+
     def needed(x: np.ndarray) -> np.ndarray:
-        return cells.value.range(x)[1] >= reach.value
+        """Which teams need which rows."""
+        return np.logical_or.reduceat((cells.value.range(x)[1] >= reach.value)[:, away], starts, axis=1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(reach.value), np.int64)
+        total = np.zeros(len(splits), np.int64)
         for batch in _blocks(batches):
             total += needed(_matrix(batch.column(1))).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["cell", "n"])
-
-    sent = np.zeros(len(used), np.int64)
-    for cell, n in data.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
-        sent[cell] = n
-    # Each cell's data go in blocks, once for every group of its queries; blocks
-    # are put together to teams of about BLOCK_ROWS.
-    groups = -(-asked[used] // GROUP_QUERIES)
-    blocks = np.maximum(1, -(-sent // BLOCK_ROWS))
-    first = np.r_[0, np.cumsum(groups * blocks)]
-    load = np.repeat(np.maximum(sent // blocks, 1), groups * blocks)
-    teams = share(((np.cumsum(load) - load) // BLOCK_ROWS).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["team", "n"])
+
+    sent = np.zeros(len(splits), np.int64)
+    for team, n in data.mapInArrow(count, "team int, n long").groupBy("team").agg(F.sum("n")).collect():
+        sent[team] = n
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions")) // int(splits.sum())
+    blocks = np.maximum(np.maximum(1, -(-sent // BLOCK_ROWS)), np.minimum(spread, sent // LEAST_BLOCK))
+    first = np.r_[0, np.cumsum(splits * blocks)]
 
     def send_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
-            row, cell = np.nonzero(needed(_matrix(batch.column(1))))
-            block = batch.column(2).to_numpy()[row] % blocks[cell]
-            for g in range(int(groups[cell].max(initial=0))):
-                at = np.flatnonzero(groups[cell] > g)
-                chunk = first[cell[at]] + g * blocks[cell[at]] + block[at]
+            row, team = np.nonzero(needed(_matrix(batch.column(1))))
+            chunk = first[team] + batch.column(2).to_numpy()[row] % blocks[team]
+            for g in range(int(splits[team].max(initial=0))):
+                at = splits[team] > g
                 take = pa.array(row[at])
-                arrays = [pa.array(teams.value[chunk]), pa.array((cell[at] * (1 << 32) + g).astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take)]
-                yield pa.RecordBatch.from_arrays(arrays, ["team", "group", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array((chunk + g * blocks[team])[at]), batch.column(0).take(take), batch.column(1).take(take)], ["chunk", "vec_id", "v"])
 
     def send_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
-            cell = np.array([number[c] for c in batch.column(3).to_pylist()], np.int64)
-            g = batch.column(2).to_numpy() % groups[cell]
-            begin = first[cell] + g * blocks[cell]
-            # the teams of a group's blocks are neighbours
-            low, high = teams.value[begin], teams.value[begin + blocks[cell] - 1]
-            n = high - low + 1
-            row = np.repeat(np.arange(len(n)), n)
-            team = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            take = pa.array(row)
-            arrays = [pa.array(team.astype(np.int32)), pa.array((cell * (1 << 32) + g)[row]), *(batch.column(i).take(take) for i in (0, 1, 2))]
-            yield pa.RecordBatch.from_arrays(arrays, ["team", "group", "vec_id", "v", "mark"])
+            team = team_of[[number[c] for c in batch.column(3).to_pylist()]]
+            begin, n = first[team] + batch.column(2).to_numpy() % splits[team] * blocks[team], blocks[team]
+            chunk = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), *(batch.column(i).take(take) for i in (0, 1, 2))], ["chunk", "vec_id", "v", "mark"])
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "mark": [], "vec_id": [], "score": []}).astype("int64")]
-        data = dict(tuple(right.groupby("group", sort=False)))
-        for group, some in left.groupby("group", sort=False):
-            if group not in data:
-                continue
-            right = data[group].sort_values("vec_id", kind="stable")
+        if len(left) and len(right):
+            right = right.sort_values("vec_id", kind="stable")
             x, ids = np.stack(right["v"].to_numpy()).astype(np.float64), right["vec_id"].to_numpy()
-            for i in range(0, len(some), 512):
-                part = some.iloc[i : i + 512]
+            for i in range(0, len(left), QUERIES_AT_ONCE):
+                part = left.iloc[i : i + QUERIES_AT_ONCE]
                 asked, marks = part["vec_id"].to_numpy(), part["mark"].to_numpy()
                 scores = scores_of(np.stack(part["v"].to_numpy()).astype(np.float64), x)
                 scores[asked[:, None] == ids[None, :]] = -LONGEST - 1  # which no score is
@@ -245,8 +245,8 @@ def _top_k(rows: DataFrame, k: int) -> DataFrame:
                     out.append(pd.DataFrame({"query_id": asked[q], "mark": marks[q], "vec_id": ids[at], "score": row[at]}))
         return pd.concat(out)
 
-    schema = "team int, group long, vec_id long, v array<double>"
-    keyed = asking.select("vec_id", "v", "mark", "cell").mapInArrow(send_queries, f"{schema}, mark long").groupBy("team")
-    found = keyed.cogroup(data.mapInArrow(send_data, schema).groupBy("team")).applyInPandas(solve, "query_id long, mark long, vec_id long, score long")
+    schema = "chunk long, vec_id long, v array<double>"
+    keyed = asking.select("vec_id", "v", "mark", "cell").mapInArrow(send_queries, f"{schema}, mark long").groupBy("chunk")
+    found = keyed.cogroup(data.mapInArrow(send_data, schema).groupBy("chunk")).applyInPandas(solve, "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

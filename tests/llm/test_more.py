@@ -41,7 +41,7 @@ def test_topk(spark, monkeypatch, shape):
         rows += [(20, np.floor(640 * rng.normal(0, 1, 6)).tolist()) for _ in range(200)]
     elif shape == "many queries":
         monkeypatch.setattr(knn, "PIVOTS", 3)
-        monkeypatch.setattr(knn, "GROUP_QUERIES", 7)
+        monkeypatch.setattr(knn, "TEAM_QUERIES", 7)
         monkeypatch.setattr(knn, "BLOCK_ROWS", 50)
     every = 2 if shape == "many queries" else 20
     df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, prepare, text_slices
@@ -85,8 +85,20 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, text_key, start, stop, words, digest`` of every chunk of every
     text: the text's hash, byte offsets into its UTF-8, words that begin in it,
     128-bit digest."""
+    return _packed(docs, id_col, text_col).select("doc_id", "text_key", "start", *_extent(), "digest")
+
+
+def _extent() -> tuple[Column, Column]:
+    """A chunk's stop and words from its start and extent."""
+    return (F.col("start") + F.shiftrightunsigned("extent", 13)).alias("stop"), F.col("extent").bitwiseAND(8191).cast("int").alias("words")
+
+
+def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_key, start, extent, digest``, which is what is shuffled:
+    the extent is the length in bytes (white space makes it any) times 8192 and
+    the words (which a chunk of MOST bytes has fewer of)."""
     prepare(docs.sparkSession)
-    schema = "doc_id long, text_key long, start long, stop long, words int, digest binary"
+    schema = "doc_id long, text_key long, start long, extent long, digest binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +118,10 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     blank = np.frombuffer(data, np.uint8) == 32
                     words += np.add.reduceat(~blank & np.r_[True, blank[:-1]], begins, dtype=np.int32).tolist()
                 take = pa.array(own, pa.int32())
-                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(words, pa.int32()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "start", "stop", "words", "digest"])
+                start = np.array(starts, np.int64)
+                extent = (np.array(stops, np.int64) - start) * 8192 + np.array(words, np.int64)
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(extent), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "start", "extent", "digest"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -134,12 +148,12 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, within:
     one that AQE splits where a chunk is very frequent; no group is gathered.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    chunks = chunk_table(rows)
+    chunks = _packed(rows, "doc_id", "text")
     # Across documents the ids alone say what is shared and who has it first.
     place = F.struct("doc_id", "start") if within else F.col("doc_id")
     many = checkpointed(chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last"))
     first = F.col("first.doc_id") if within else F.col("first")
-    shared = chunks.join(many, "digest").select("doc_id", "text_key", "start", "stop", "words", first.alias("first_doc_id"), (F.col("first") == place).alias("new"))
+    shared = chunks.join(many, "digest").select("doc_id", "text_key", "start", *_extent(), first.alias("first_doc_id"), (F.col("first") == place).alias("new"))
     w = Window.partitionBy("doc_id", "text_key").orderBy("start", "stop")
     runs = shared.distinct().withColumn("gap", F.coalesce((F.lag("stop").over(w) < F.col("start")).cast("int"), F.lit(1)))
     turn = F.greatest("gap", (F.lag("new").over(w) != F.col("new")).cast("int"))

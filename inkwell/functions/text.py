@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrow import forward_spans, token_distance, wrapped  # noqa: F401
+from .arrow import char_distance, forward_spans, token_distance, wrapped  # noqa: F401
 
 # Words that label a field, and characters that are easily taken
 # for one another.
@@ -31,7 +31,7 @@ def words(s: Column) -> Column:
 
 def raw_cer(hyp: Column, ref: Column) -> Column:
     """STR7: edit distance over the reference's length (1 at least)."""
-    return F.levenshtein(hyp, ref) / F.greatest(F.char_length(ref), F.lit(1))
+    return char_distance(hyp, ref) / F.greatest(F.char_length(ref), F.lit(1))
 
 
 def _rate(distance: Column, size: Column, hyp_size: Column) -> Column:
@@ -42,7 +42,7 @@ def cer(hyp: Column, ref: Column) -> Column:
     """STR2: character error rate of normalised strings; may exceed 1. An empty
     reference gives 0 against nothing and 1 against anything."""
     h, r = normalise(hyp), normalise(ref)
-    return _rate(F.levenshtein(h, r), F.char_length(r), F.char_length(h))
+    return _rate(char_distance(h, r), F.char_length(r), F.char_length(h))
 
 
 def wer(hyp: Column, ref: Column) -> Column:

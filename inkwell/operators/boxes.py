@@ -162,10 +162,13 @@ def clipped(boxes: DataFrame, width: int, height: int, grow: int = 0) -> DataFra
     )
 
 
-def pixels(boxes: DataFrame, *keep: str) -> DataFrame:
-    """JN9: a row for every pixel of every box."""
-    return boxes.select(*keep, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1").select(
-        *keep, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x")
+def pixels(boxes: DataFrame, image: str, *keep: str) -> DataFrame:
+    """JN9: a row for every pixel of every box. Boxes are dealt by image before
+    they are spread out, so that what follows by image, pixel or box shuffles no
+    pixels."""
+    boxes = boxes.select(image, *keep, "x0", "y0", "x1", "y1").repartition(image)
+    return boxes.select(image, *keep, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1").select(
+        image, *keep, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x")
     )
 
 

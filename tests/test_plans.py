@@ -35,3 +35,9 @@ def test_one_scan_of_cells(spark):
     df = catalog.queries()["pass_rates_by_config"](spark, SF)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["mask_area", "paint_max", "region_mean"])
+def test_pixels_stay(spark, name):
+    """Boxes are shuffled, once; their pixels are not."""
+    assert plan(spark, name).count("Exchange hashpartitioning") == 1

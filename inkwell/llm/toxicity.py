@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -369,20 +370,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, fold: int =
     return train(found.column("text").to_pylist(), found.column("toxic").to_pylist())
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[bytes, Scorer] = {}
 
 
-def _scorer(model: Model) -> Scorer:
+def _digest(model: Model) -> bytes:
+    """Of all that a score depends on."""
+    parts = [model.p[k].tobytes() for k in sorted(model.p)]
+    return xxhash.xxh3_128_digest(b"".join([*parts, model.scale.tobytes()]))
+
+
+def _scorer(key: bytes, model: Model) -> Scorer:
     """One scorer per worker process, kept between tasks."""
-    key = hash(model.p["gram"].tobytes())
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)
     return _scorers[key]
 
 
-def _scores(model: Model, column: pa.Array) -> np.ndarray:
-    scorer = _scorer(model)
+def _scores(key: bytes, model: Model, column: pa.Array) -> np.ndarray:
+    scorer = _scorer(key, model)
     return np.concatenate([np.empty(0), *(scorer.scores(part) for _, part in text_slices(column))])
 
 
@@ -395,11 +401,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), _digest(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(key, shared.value, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -409,10 +415,10 @@ def keep(docs: DataFrame, model: Model, threshold: float, text_col: str = "text"
     without a shuffle; rows count as in ``score``."""
     spark = docs.sparkSession
     prepare(spark)
-    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, key, at = spark.sparkContext.broadcast(model), _digest(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < threshold, pa.bool_()))
+            yield batch.filter(pa.array(_scores(key, shared.value, batch.column(at)) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

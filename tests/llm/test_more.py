@@ -190,3 +190,13 @@ def test_score_tables(spark):
     assert toxicity.keep(docs, model, 2.0).columns == docs.columns and toxicity.keep(docs, model, 2.0).count() == 4
     empty = toxicity.fit(docs.filter("doc_id > 9"), labels)
     assert toxicity.score(docs, empty).count() == 4
+
+
+def test_models_are_told_apart(spark):
+    """Workers keep a scorer between tasks; models that differ in their
+    calibration only must not share it."""
+    docs = spark.createDataFrame([(k, prose(5)) for k in range(40)], "doc_id long, text string").repartition(8)
+    for offset in (-2.0, 2.0, -1.0):
+        model = toxicity.Model.fresh()
+        model.scale = np.array([0.0, 0.0, offset])
+        assert {round(r.score, 6) for r in toxicity.score(docs, model).collect()} == {round(1 / (1 + np.exp(-offset)), 6)}

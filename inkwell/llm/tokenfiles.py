@@ -1,8 +1,9 @@
 """Token ids of documents in Arrow files of equal-length sequences.
 
 A data file is in Arrow's IPC file format: record batches of a fixed number of
-sequences, each a row of two fixed-size lists, ``ids`` (unsigned 32-bit) and
-``mask`` (1 for an id, 0 for padding). As all but the last batch have the same
+sequences, each a row of two fixed-size lists, ``ids`` (unsigned, of 16 bits
+where the vocabulary has no more, else of 32) and ``mask`` (bits: true for an
+id, false for padding). As all but the last batch have the same
 size, sequence i is row ``i % batch`` of batch ``i // batch``, and a memory map
 of the file gives it without copying. Beside each data file lies one with the
 documents' places in it. Documents follow one another without gaps, over the
@@ -16,10 +17,12 @@ tasks are done: what a lost or repeated task leaves behind is never read.
 from __future__ import annotations
 
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -35,34 +38,45 @@ from .common import prepare
 #: Ids of a sequence, sequences of a record batch.
 LENGTH, BATCH = 2048, 128
 #: Bytes of text that are cut into words at once; words whose ids a task remembers.
-PIECE, KNOWN = 1 << 20, 1 << 18
+PIECE, KNOWN = 1 << 20, 1 << 19
 MANIFEST = "part int, file string, n_ids long, n_docs long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-class Words:
-    """Ids of whole texts by a tokenizer that never looks across ASCII white
-    space, such as one that drops it: each word is encoded once by the library
-    and remembered. ``ids`` takes UTF-8 and gives little-endian 32-bit ids."""
+class Words(dict):
+    """Ids of words, as packed little-endian integers, by a tokenizer that never
+    looks across ASCII white space, such as one that drops it: each word is
+    encoded by the library when it is first asked for. Once ``known`` words are
+    there, only those asked for again stay."""
 
     def __init__(self, path: str, known: int = KNOWN):
         from tokenizers import Tokenizer
 
-        self.encode, self.known, self.ids_of = Tokenizer.from_file(path).encode_batch, known, {}
+        self.library, self.known, self.older = Tokenizer.from_file(path), known, {}
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
+        if len(self) >= self.known:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self._piece, pieces(text)))
+        """Ids of a whole UTF-8 text."""
+        return b"".join([b"".join(map(self.__getitem__, part.split())) for part in pieces(text)])
 
-    def _piece(self, text: bytes) -> bytes:
-        words, ids_of = text.split(), self.ids_of
-        new = list({w for w in words if w not in ids_of})
-        if new:
-            if len(ids_of) + len(new) > self.known:
-                ids_of.clear()
-                new = list(set(words))
-            found = self.encode([w.decode() for w in new], add_special_tokens=False)
-            ids_of.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        return b"".join(map(ids_of.__getitem__, words))
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    """The words that a worker knows, kept from task to task."""
+    return Words(path)
 
 
 def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
@@ -84,19 +98,22 @@ def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
 class Writer:
     """One data file and its index. Holds at most one batch of sequences."""
 
-    def __init__(self, where: str, name: str, length: int, batch: int, about: dict):
+    def __init__(self, where: str, name: str, length: int, batch: int, kind: np.dtype, about: dict):
+        if length % 8:
+            raise ValueError("a sequence's mask has whole bytes")
         self.system, folder = fs.FileSystem.from_uri(where)
-        self.length, self.batch, self.n_ids, self.n_docs, self.held = length, batch, 0, 0, bytearray()
+        self.length, self.batch, self.kind, self.n_ids, self.n_docs, self.held = length, batch, kind, 0, 0, bytearray()
         meta = {"inkwell": json.dumps({**about, "length": length, "batch": batch})}
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))], metadata=meta)
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))], metadata=meta)
         self.system.create_dir(folder, recursive=True)
         self.files = [self.system.open_output_stream(f"{folder}/{name}{end}") for end in (".arrow", ".docs.arrow")]
         self.data, self.index = (pa.ipc.new_file(f, s) for f, s in zip(self.files, (self.schema, INDEX), strict=True))
 
     def write(self, doc_ids: pa.Array, ids: Iterator[bytes]) -> None:
-        sizes, full = [], self.length * self.batch * 4
+        sizes, width = [], self.kind.itemsize
+        full = self.length * self.batch * width
         for x in ids:
-            sizes.append(len(x) // 4)
+            sizes.append(len(x) // width)
             for at in range(0, len(x), full):
                 self.held += x[at : at + full]
                 if len(self.held) >= full:
@@ -106,10 +123,10 @@ class Writer:
         self.n_ids, self.n_docs = int(ends[-1]), self.n_docs + len(sizes)
 
     def _flush(self, size: int) -> None:
-        ids = np.frombuffer(bytes(self.held[:size]), "<u4")
+        ids = np.frombuffer(bytes(self.held[:size]), self.kind)
         del self.held[:size]
         rows = -(-len(ids) // self.length)
-        mask = np.ones(len(ids), np.uint8)
+        mask = np.ones(len(ids), bool)
         if rows * self.length > len(ids):
             ids, mask = (np.concatenate([x, np.zeros(rows * self.length - len(x), x.dtype)]) for x in (ids, mask))
         self.data.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
@@ -137,7 +154,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, length: int =
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
-    about, ending = {"end": end, "tokenizer": tokenizer.rpartition("/")[2]}, np.array([end], "<u4").tobytes()
+    about = {"end": end, "tokenizer": tokenizer.rpartition("/")[2]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, words, part = None, None, TaskContext.get().partitionId()
@@ -145,8 +162,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, length: int =
             if not rows.num_rows:
                 continue
             if writer is None:
-                words, name = Words(tokenizer), f"part-{part:06d}-{uuid.uuid4().hex}"
-                writer = Writer(folder, name, length, batch, about)
+                words = words_of(tokenizer)
+                ending = words.pack([end])
+                name = f"part-{part:06d}-{uuid.uuid4().hex}"
+                writer = Writer(folder, name, length, batch, np.dtype(f"<{words.code}"), about)
             writer.write(rows.column(0), (words.ids(t) + ending for t in _utf8(rows.column(1))))
         if writer is not None:
             writer.close()
@@ -193,15 +212,11 @@ class SequenceFile:
         about = json.loads(self.reader.schema.metadata[b"inkwell"])
         self.length, self.batch, self.end = about["length"], about["batch"], about["end"]
 
-    def batch_values(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of batch ``i``, one after another."""
-        found = self.reader.get_batch(i)
-        return tuple(found.column(k).flatten().to_numpy() for k in (0, 1))
-
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask = self.batch_values(i // self.batch)
-        at = slice(i % self.batch * self.length, (i % self.batch + 1) * self.length)
-        return ids[at], mask[at]
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of a sequence."""
+        found, at = self.reader.get_batch(i // self.batch), i % self.batch * self.length
+        ids, mask = (found.column(k).flatten().slice(at, self.length) for k in (0, 1))
+        return ids.to_numpy(), mask
 
     def documents(self) -> Iterator[pa.RecordBatch]:
         """``doc_id, start, n_tokens``, places counted within the file."""
@@ -219,7 +234,7 @@ class SequenceFile:
                 views = []
                 for b in range(start // size, (start + n - 1) // size + 1 if n else 0):
                     if b != at:
-                        at, ids = b, self.batch_values(b)[0]
+                        at, ids = b, self.reader.get_batch(b).column(0).flatten().to_numpy()
                     views.append(ids[max(start - b * size, 0) : start + n - b * size])
                 out.append(views)
             yield docs, out
@@ -247,7 +262,7 @@ def crc32(ids: list[np.ndarray]) -> tuple[int]:
     """Unsigned CRC-32 of ids as little-endian 32-bit integers."""
     crc = 0
     for x in ids:
-        crc = zlib.crc32(memoryview(x).cast("B"), crc)
+        crc = zlib.crc32(x.astype("<u4", copy=False), crc)
     return (crc,)
 
 
@@ -262,11 +277,11 @@ def sequences(spark: SparkSession, folder: str) -> DataFrame:
             for b in range(file.reader.num_record_batches):
                 found = file.reader.get_batch(b)
                 number = pa.array(np.arange(found.num_rows, dtype=np.int64) + files[i].first_sequence + b * file.batch)
-                ids, mask = (pa.ListArray.from_arrays(np.arange(found.num_rows + 1, dtype=np.int32) * file.length, found.column(k).flatten().cast(t)) for k, t in ((0, pa.int64()), (1, pa.int8())))
+                ids, mask = (pa.ListArray.from_arrays(np.arange(found.num_rows + 1, dtype=np.int32) * file.length, found.column(k).flatten().cast(t)) for k, t in ((0, pa.int64()), (1, pa.bool_())))
                 yield pa.RecordBatch.from_arrays([number, ids, mask], ["sequence", "ids", "mask"])
 
     places = spark.range(0, len(files), 1, max(len(files), 1))
-    return places.mapInArrow(run, "sequence long, ids array<long>, mask array<tinyint>")
+    return places.mapInArrow(run, "sequence long, ids array<long>, mask array<boolean>")
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:

@@ -85,7 +85,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfiles.shared_folder(spark, "token-files")
-    tokenfiles.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORDS), WORDS_END)
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORDS), WORDS_END, folds=True)
     return tokenfiles.read(spark, folder, "ids_crc32 long", tokenfiles.crc32)
 
 

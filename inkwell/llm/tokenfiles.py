@@ -39,6 +39,8 @@ from .common import prepare
 LENGTH, BATCH = 2048, 128
 #: Bytes of text that are cut into words at once; words whose ids a task remembers.
 PIECE, KNOWN = 1 << 20, 1 << 19
+#: ASCII symbols that no contraction begins with.
+SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
 MANIFEST = "part int, file string, n_ids long, n_docs long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -47,18 +49,27 @@ class Words(dict):
     """Ids of words, as packed little-endian integers, by a tokenizer that never
     looks across ASCII white space, such as one that drops it: each word is
     encoded by the library when it is first asked for. Once ``known`` words are
-    there, only those asked for again stay."""
+    there, only those asked for again stay.
 
-    def __init__(self, path: str, known: int = KNOWN):
+    ``folds`` says that the tokenizer puts all to lower case and never merges a
+    letter with a symbol: ASCII letters with symbols at their end are then two
+    words. (Symbols but the apostrophe, which begins contractions; words that
+    may hold a special token stay whole.)"""
+
+    def __init__(self, path: str, folds: bool = False, known: int = KNOWN):
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.older = Tokenizer.from_file(path), known, {}
+        self.library, self.folds, self.known, self.older = Tokenizer.from_file(path), folds, known, {}
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
+            core = word.rstrip(SYMBOLS).lower() if self.folds and b"<|" not in word else word
+            if core != word and core[-1:].isalpha():
+                ids = self[core] + (self[word[len(core) :]] if len(word) > len(core) else b"")
+            else:
+                ids = self.pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
         if len(self) >= self.known:
             self.older = dict(self)
             self.clear()
@@ -74,9 +85,9 @@ class Words(dict):
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str) -> Words:
+def words_of(path: str, folds: bool) -> Words:
     """The words that a worker knows, kept from task to task."""
-    return Words(path)
+    return Words(path, folds)
 
 
 def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
@@ -138,7 +149,7 @@ class Writer:
             x.close()
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int, length: int = LENGTH, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int, length: int = LENGTH, batch: int = BATCH, folds: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes the whole texts of ``docs`` by the tokenizer file ``tokenizer``
     (no special tokens added, ``end`` after each document) and writes them to
     ``folder``, which all executors share, in ascending order of ``id_col``.
@@ -146,7 +157,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, length: int =
     A null text is empty and has its end id only; null ids come first; rows of one
     id are ordered by a hash of the text and the text, and each is a document.
     Rows are dealt by ranges of id and hash, so no id is gathered, and each task
-    streams its range into one file. An empty table gives an empty manifest.
+    streams its range into one file. ``folds`` is a property of the tokenizer, see
+    ``Words``. An empty table gives an empty manifest.
     Strings of special tokens within texts become those tokens, as the library
     does by default.
     """
@@ -162,7 +174,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, length: int =
             if not rows.num_rows:
                 continue
             if writer is None:
-                words = words_of(tokenizer)
+                words = words_of(tokenizer, folds)
                 ending = words.pack([end])
                 name = f"part-{part:06d}-{uuid.uuid4().hex}"
                 writer = Writer(folder, name, length, batch, np.dtype(f"<{words.code}"), about)

@@ -22,12 +22,13 @@ def library():
 
 
 def strings(n):
-    letters = ["a", "Σ", "ς", "é", "é", "́", "İ", "ß", "ﬁ", "你", "٣", "9", "'", "'S", "'ll", "-", "…", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", " ", "　", "🙂", "​", "<|endoftext|>", "Word", "\u0000"]
+    letters = ["a", "Σ", "ς", "é", "é", "́", "İ", "ß", "ﬁ", "你", "٣", "9", "'", "'S", "'ll", "-", "…", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", " ", "　", "🙂", "​", "<|endoftext|>", "Word", "\u0000", "A", "K.", "!?", "'T", "$", "\u0338"]
     return ["".join(RNG.choices(letters, k=RNG.randint(0, 40))) for _ in range(n)]
 
 
-def test_words_as_the_library(library):
-    words = tokenfiles.Words(PATH, known=50)
+@pytest.mark.parametrize("folds", [False, True])
+def test_words_as_the_library(library, folds):
+    words = tokenfiles.Words(PATH, folds, known=50)
     for text in strings(3000):
         assert np.frombuffer(words.ids(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -45,7 +46,7 @@ def test_round_trip(spark, tmp_path, library):
     folder = f"file://{tmp_path}/out"
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        tokenfiles.write(spark.createDataFrame(rows, DOCS), folder, PATH, 2, length=16, batch=4)
+        tokenfiles.write(spark.createDataFrame(rows, DOCS), folder, PATH, 2, length=16, batch=4, folds=True)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.read(spark, folder, "ids_crc32 long", tokenfiles.crc32).collect())

@@ -3,7 +3,10 @@ bit-parallel, for what higher-order functions would copy at every step."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -44,6 +47,20 @@ def char_distance(h: pd.Series, r: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(h, r, strict=True)], dtype="Int32")
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def running_offsets(lengths: pa.Array) -> pa.Array:
+    """WIN5: where each item of an array of lengths begins if one place lies
+    between neighbours; null stays null. Higher-order functions would copy the
+    array for every item."""
+    counts = pc.fill_null(lengths.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    step = pc.fill_null(lengths.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends, stops = np.cumsum(step), np.cumsum(counts)
+    before = np.concatenate([[0], ends])
+    starts = before[:-1] - np.repeat(before[stops - counts], counts)
+    offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32), mask=np.append(~lengths.is_valid().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32)))
+
+
 def spans_of(words: list[str], s: str) -> list[tuple[int, int]] | None:
     at, out = 0, []
     for w in words:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import running_offsets
+
 
 def letterbox(w: Column, h: Column, tw: int, th: int) -> dict[str, Column]:
     """GEO1: scale, new size (rounded half to even) and centring offsets."""
@@ -23,14 +25,10 @@ def moved(v: Column, scale: Column, offset: Column) -> Column:
 
 def words_with_boxes(lines: DataFrame, keys: list[str], char_px: int = 8, height: int = 12, pitch: int = 20) -> DataFrame:
     """WIN5, WIN6, JN4, ARR1: a box for every word of ``lines(keys, line,
-    words)``: widths by characters, words one blank apart, lines one pitch apart.
-    One pass over a line's words gives where each begins."""
-    begins = F.aggregate(
-        "words",
-        F.struct(F.array().cast("array<int>").alias("xs"), F.lit(0).alias("at")),
-        lambda a, w: F.struct(F.concat(a["xs"], F.array(a["at"])).alias("xs"), (a["at"] + char_px * (F.char_length(w) + 1)).alias("at")),
-        lambda a: a["xs"],
-    )
+    words)``: widths by characters, words one blank apart, lines one pitch apart."""
+    lengths = F.transform("words", F.char_length)
+    lines = lines.withColumn("_x0", running_offsets(lengths))
+    begins = F.transform("_x0", lambda x: x * char_px)
     rows = lines.select(*keys, "line", F.posexplode(F.arrays_zip(F.col("words").alias("word"), begins.alias("x0"))).alias("pos", "b"))
     return rows.select(
         *keys, "line", "pos", F.col("b.word").alias("word"), F.col("b.x0").alias("x0"), (F.col("line") * pitch).cast("int").alias("y0"),
@@ -54,6 +52,37 @@ def overlap(a: str, b: str) -> Column:
     return F.expr(f"{a}.x0 < {b}.x1 AND {a}.x1 > {b}.x0 AND {a}.y0 < {b}.y1 AND {a}.y1 > {b}.y0")
 
 
+def overlapping_boxes(boxes: DataFrame, keys: list[str], size: int = 256, crowd: int = 256, finer: int = 16) -> DataFrame:
+    """JN6: pairs of boxes, as aliases a and b, of one image (``keys``) that
+    share a pixel, each pair both ways and each box with itself.
+
+    Boxes meet in the square cells that they touch, and a pair counts in the cell
+    of the corner where its common pixels begin. A cell that more than ``crowd``
+    boxes touch is divided into ``finer`` by ``finer`` parts, so that boxes which
+    crowd one cell without overlapping are not paired. Empty boxes and those
+    with a null side are nowhere."""
+
+    def cells(df: DataFrame, low: Column, high: Column, name: str, side: Column) -> DataFrame:
+        return df.withColumn(name, F.explode(F.sequence(F.floor(low / side), F.floor((high - 1) / side))))
+
+    small = F.lit(size // finer)
+    rows = boxes.filter("x0 < x1 AND y0 < y1")
+    coarse = cells(cells(rows, F.col("x0"), F.col("x1"), "_cx", F.lit(size)), F.col("y0"), F.col("y1"), "_cy", F.lit(size))
+    place = [*keys, "_cx", "_cy"]
+    crowded = coarse.groupBy(*place).count().filter(F.col("count") > crowd).drop("count").withColumn("_fine", F.lit(True))
+    dealt = coarse.join(crowded, place, "left").withColumn("_fine", F.coalesce("_fine", F.lit(False)))
+    # Of a crowded cell a box goes to those parts that it touches.
+    side = F.when(F.col("_fine"), small).otherwise(F.lit(size))
+    for c, v in (("_cx", "x"), ("_cy", "y")):
+        low, high = F.greatest(F.col(f"{v}0"), F.col(c) * size), F.least(F.col(f"{v}1"), (F.col(c) + 1) * size)
+        dealt = cells(dealt, low, high, f"_{v}", side)
+    dealt = dealt.drop("_cx", "_cy")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "_fine", "_x", "_y")]
+    step = F.when(F.col("a._fine"), small).otherwise(F.lit(size))
+    first = [F.floor(F.greatest(F.col(f"a.{v}0"), F.col(f"b.{v}0")) / step) == F.col(f"a._{v}") for v in "xy"]
+    return dealt.alias("a").join(dealt.alias("b"), on).filter(overlap("a", "b") & first[0] & first[1])
+
+
 def centre_distance(a: str, b: str) -> Column:
     """GEO4."""
     return F.expr(f"sqrt(pow(({a}.x0 + {a}.x1) / 2.0 - ({b}.x0 + {b}.x1) / 2.0, 2) + pow(({a}.y0 + {a}.y1) / 2.0 - ({b}.y0 + {b}.y1) / 2.0, 2))")
@@ -151,27 +180,6 @@ def section_boundaries(words: DataFrame, key: str, is_header: Column, is_other:
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & same_row("a", "b"), "left_anti")
 
 
-def clipped(boxes: DataFrame, width: int, height: int, grow: int = 0) -> DataFrame:
-    """GEO3: boxes clamped to the image, empty ones dropped, grown by ``grow``
-    and clamped again: the same pixels as dilating the clamped boxes' mask."""
-    inside = boxes.withColumns(
-        {"x0": F.greatest(F.lit(0), "x0"), "y0": F.greatest(F.lit(0), "y0"), "x1": F.least(F.lit(width), "x1"), "y1": F.least(F.lit(height), "y1")}
-    ).filter("x0 < x1 AND y0 < y1")
-    return inside.withColumns(
-        {"x0": F.greatest(F.lit(0), F.col("x0") - grow), "y0": F.greatest(F.lit(0), F.col("y0") - grow), "x1": F.least(F.lit(width), F.col("x1") + grow), "y1": F.least(F.lit(height), F.col("y1") + grow)}
-    )
-
-
-def pixels(boxes: DataFrame, image: str, *keep: str) -> DataFrame:
-    """JN9: a row for every pixel of every box. Boxes are dealt by image before
-    they are spread out, so that what follows by image, pixel or box shuffles no
-    pixels."""
-    boxes = boxes.select(image, *keep, "x0", "y0", "x1", "y1").repartition(image)
-    return boxes.select(image, *keep, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1").select(
-        image, *keep, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x")
-    )
-
-
 def first_fit(boxes: np.ndarray, radius: float | None = None) -> np.ndarray:
     """Group of each of ``boxes(x0, y0, x1, y1)`` in order: the first group with
     no box that overlaps (or, with a radius, whose centre is within it)."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import boxes as B
+from ..operators import raster as R
 from ..registry import query
 
 LINES_SQL = """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, list_filter(regexp_split_to_array(l, '\\s+'), lambda x: x <> '') AS words
@@ -15,18 +16,25 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscrip
 BOXES_SQL = f"""SELECT doc_id, line, CAST(p - 1 AS INTEGER) AS pos, word, CAST(8 * before AS INTEGER) AS x0, line * 20 AS y0, CAST(8 * before + 8 * length(word) AS INTEGER) AS x1, line * 20 + 12 AS y1
 FROM (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
 FROM (SELECT doc_id, line, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM ({LINES_SQL})))"""
-#: A 64 x 64 picture of the boxes, an eighth of the size.
-SMALL_SQL = f"SELECT doc_id, line, pos, x0 // 8 AS x0, y0 // 8 AS y0, x1 // 8 AS x1, y1 // 8 + 1 AS y1 FROM ({BOXES_SQL})"
-SIDE = 64
+#: The picture of a document, an eighth of the size, as wide and high as its words.
+SMALL_SQL = f"""SELECT *, max(x1) OVER (PARTITION BY doc_id) AS wide, max(y1) OVER (PARTITION BY doc_id) AS high
+FROM (SELECT doc_id, line, pos, x0 // 8 AS x0, y0 // 8 AS y0, x1 // 8 AS x1, y1 // 8 + 1 AS y1 FROM ({BOXES_SQL}))"""
 
 
-def boxes(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    return B.words_with_boxes(lines.select("doc_id", "line", F.expr(r"filter(split(l, '\\s+'), x -> x <> '')").alias("words")), ["doc_id"])
+def boxes(t, *keep):
+    """Boxes of all words; ``keep`` are columns made from ``lines``, the number
+    of characters of each line as the boxes have it."""
+    plain = F.transform(F.split("text", "\n"), lambda l: F.char_length(F.array_join(F.filter(F.split(l, r"\s+"), lambda x: x != ""), " ")))
+    docs = t.documents.withColumn("lines", plain) if keep else t.documents
+    lines = docs.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    names = lines.columns[1 : 1 + len(keep)]
+    return B.words_with_boxes(lines.select("doc_id", *names, "line", F.expr(r"filter(split(l, '\\s+'), x -> x <> '')").alias("words")), ["doc_id", *names])
 
 
 def small(t):
-    return boxes(t).select("doc_id", "line", "pos", *[F.expr(f"cast({c} div 8 as int)").alias(c) for c in ("x0", "y0", "x1")], F.expr("cast(y1 div 8 + 1 as int)").alias("y1"))
+    """The size of a picture is known from its document, so no join brings it."""
+    size = F.array_max("lines").alias("wide"), F.expr("(20 * array_max(transform(lines, (n, i) -> if(n > 0, i, -1))) + 12) div 8 + 1").alias("high")
+    return boxes(t, *size).select("doc_id", "wide", "high", "line", "pos", *[F.expr(f"cast({c} div 8 as int)").alias(c) for c in ("x0", "y0", "x1")], F.expr("cast(y1 div 8 + 1 as int)").alias("y1"))
 
 
 @query(BOXES_SQL)
@@ -42,14 +50,27 @@ def box_overlap(t):
     return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.count("*").alias("n"))
 
 
-NEAR_SQL = f"""SELECT a.doc_id, a.line, a.pos, list_sort(list(c.line * 100000 + c.pos)) AS near FROM b a JOIN b c ON a.doc_id = c.doc_id AND c.line BETWEEN a.line - 3 AND a.line + 3 AND c.x0 < a.x1 + 120 AND a.x0 < c.x1 + 120
+CROSSING_SQL = f"""SELECT doc_id, line, pos, x0 + (doc_id * 7 + pos * 13) % 40 AS x0, x1 + (doc_id * 7 + pos * 13) % 40 AS x1, y0 + (doc_id + pos * 11) % 30 AS y0, y1 + (doc_id + pos * 11) % 30 AS y1 FROM ({BOXES_SQL})"""
+
+
+@query(f"""WITH b AS ({CROSSING_SQL}) SELECT a.doc_id, a.line, a.pos, count(*) AS n, count(*) FILTER (WHERE a.line <> c.line) AS n_lines FROM b a JOIN b c ON a.doc_id = c.doc_id AND c.line BETWEEN a.line - 2 AND a.line + 2
+AND a.x0 < c.x1 AND a.x1 > c.x0 AND a.y0 < c.y1 AND a.y1 > c.y0 GROUP BY ALL""")
+def boxes_crossing(t):
+    """JN6: overlaps in both directions, of boxes moved off their lines."""
+    right, down = F.expr("cast((doc_id * 7 + pos * 13) % 40 as int)"), F.expr("cast((doc_id + pos * 11) % 30 as int)")
+    moved = boxes(t).select("doc_id", "line", "pos", *[(F.col(c) + by).alias(c) for c, by in (("x0", right), ("x1", right), ("y0", down), ("y1", down))])
+    pairs = B.overlapping_boxes(moved, ["doc_id"])
+    return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.count("*").alias("n"), F.count_if(F.expr("a.line <> b.line")).alias("n_lines"))
+
+
+NEAR_SQL = f"""SELECT a.doc_id, a.line, a.pos, list_sort(list(CAST(c.line AS BIGINT) * 4294967296 + c.pos)) AS near FROM b a JOIN b c ON a.doc_id = c.doc_id AND c.line BETWEEN a.line - 3 AND a.line + 3 AND c.x0 < a.x1 + 120 AND a.x0 < c.x1 + 120
 AND sqrt(pow((a.x0 + a.x1) / 2 - (c.x0 + c.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (c.y0 + c.y1) / 2, 2)) <= 60 GROUP BY ALL"""
 
 
 @query(f"WITH b AS ({BOXES_SQL}) {NEAR_SQL}")
 def box_context(t):
     """GEO5."""
-    rows = boxes(t).drop("word").withColumn("id", F.expr("cast(line * 100000 + pos as bigint)"))
+    rows = boxes(t).drop("word").withColumn("id", F.expr("cast(line * 4294967296 + pos as bigint)"))
     return B.context_lists(rows, "doc_id", 60, "id", ("line", "pos"))
 
 
@@ -59,7 +80,7 @@ def context_union(t):
     word of a line)."""
     rows = boxes(t).drop("word")
     pairs = B.near_pairs(rows, "doc_id", 60, F.col("pos") % 4 == 0)
-    return pairs.groupBy("a.doc_id", "a.line").agg(F.sort_array(F.collect_set(F.expr("b.line * 100000 + b.pos"))).alias("context"))
+    return pairs.groupBy("a.doc_id", "a.line").agg(F.sort_array(F.collect_set(F.expr("b.line * 4294967296 + b.pos"))).alias("context"))
 
 
 @query(f"""WITH b AS ({BOXES_SQL}), tok AS (SELECT doc_id, line, unnest(range(0, (n + 3) // 4)) AS tok FROM (SELECT doc_id, line, max(x1) // 8 AS n FROM b GROUP BY ALL))
@@ -73,45 +94,51 @@ def token_spans(t):
     return pairs.groupBy("a.doc_id", "a.line", "a.pos").agg(F.min("b.tok").alias("first"), F.max("b.tok").alias("last"))
 
 
-MASK_SQL = f"""SELECT doc_id, pos, line, greatest(0, greatest(0, x0) - 1) AS x0, greatest(0, greatest(0, y0) - 1) AS y0, least(64, least(64, x1) + 1) AS x1, least(64, least(64, y1) + 1) AS y1 FROM ({SMALL_SQL}) WHERE greatest(0, x0) < least(64, x1) AND greatest(0, y0) < least(64, y1)"""
+MASK_SQL = f"""SELECT doc_id, pos, line, greatest(0, x0 - 1) AS x0, greatest(0, y0 - 1) AS y0, least(wide, x1 + 1) AS x1, least(high, y1 + 1) AS y1 FROM ({SMALL_SQL})"""
 PIXELS_SQL = f"SELECT doc_id, pos, line, x, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM ({MASK_SQL}))"
 
 
+def area():
+    return F.expr("cast(x1 - x0 as bigint) * (y1 - y0)")
+
+
 def mask(t):
-    """GEO3, JN9: the pixels of every box within the picture."""
-    return B.pixels(B.clipped(small(t), SIDE, SIDE, 1), "doc_id", "pos", "line")
+    """GEO3: the boxes of the text mask, scored by the word's place."""
+    return R.clipped(small(t), F.col("wide"), F.col("high"), 1).withColumn("score", (F.col("pos") + 1) / 8)
 
 
 def painted(t):
-    """AGG22: overlapping boxes take the greatest score."""
-    return mask(t).groupBy("doc_id", "x", "y").agg(F.max((F.col("pos") + 1) / 8).alias("s"))
+    """AGG22: runs of pixels; overlapping boxes take the greatest score."""
+    return R.painted(mask(t), ["doc_id"], "score")
 
 
 @query(f"SELECT doc_id, count(*) AS area FROM (SELECT DISTINCT doc_id, x, y FROM ({PIXELS_SQL})) GROUP BY ALL")
 def mask_area(t):
-    """A picture has a bounded number of pixels, so they are counted in a set."""
-    return mask(t).groupBy("doc_id").agg(F.size(F.collect_set(F.col("y") * SIDE + F.col("x"))).cast("bigint").alias("area"))
+    """GEO3, JN9."""
+    return painted(t).groupBy("doc_id").agg(F.sum(area()).alias("area"))
 
 
 @query(f"""SELECT doc_id, count(*) AS n, round(sum(s), 6) AS total, round(avg(0.01 + (0.06 - 0.01) * s) + 1e-9, 6) AS budget FROM (SELECT doc_id, x, y, max((pos + 1) / 8) AS s FROM ({PIXELS_SQL}) GROUP BY ALL) GROUP BY ALL""")
 def paint_max(t):
     """AGG22, MTH7: the painted scores; the budget in text (moved off rounding
     ties, which sums in another order would split)."""
-    b = S.budget(F.col("s"), F.lit(True), 0.01, 0.06, 0.02)
-    return painted(t).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("s"), 6).alias("total"), F.round(F.avg(b) + 1e-9, 6).alias("budget"))
+    b = S.budget(F.col("score"), F.lit(True), 0.01, 0.06, 0.02)
+    return painted(t).groupBy("doc_id").agg(
+        F.sum(area()).alias("n"), F.round(F.sum(F.col("score") * area()), 6).alias("total"), F.round(F.sum(b * area()) / F.sum(area()) + 1e-9, 6).alias("budget")
+    )
 
 
 @query(f"""WITH s AS (SELECT doc_id, x, y, max(least((pos + 1) / 8, 1)) AS s FROM ({PIXELS_SQL}) GROUP BY ALL), e AS (SELECT doc_id, true AS is_text, 0.01 + (0.06 - 0.01) * s AS e, 1 AS n FROM s
-UNION ALL SELECT doc_id, false, 0.02, 4096 - coalesce(n, 0) FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL) USING (doc_id))
+UNION ALL SELECT doc_id, false, 0.02, wide * high - n FROM (SELECT doc_id, max(wide) AS wide, max(high) AS high FROM ({SMALL_SQL}) GROUP BY doc_id) JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL) USING (doc_id))
 SELECT doc_id, is_text, CAST(sum(n) AS BIGINT) AS n, round(min(e), 6) AS low, round(sum(e * n) / sum(n) + 1e-9, 6) AS mean, round(max(e), 6) AS high FROM e WHERE n > 0 GROUP BY ALL""")
 def budget_map(t):
     """MTH7, AGG28: the budget in text and in the background, which is one value
     and so one row with the number of its pixels."""
-    text = painted(t).select("doc_id", F.lit(True).alias("is_text"), F.least("s", F.lit(1.0)).alias("s"), F.lit(1).cast("bigint").alias("n"))
-    covered = text.groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("c"))
-    rest = t.documents.select("doc_id").join(covered, F.col("doc_id") == F.col("d"), "left")
-    ground = rest.select("doc_id", F.lit(False).alias("is_text"), F.lit(0.0).alias("s"), (SIDE * SIDE - F.coalesce("c", F.lit(0))).alias("n")).filter("n > 0")
-    e = text.unionByName(ground).withColumn("e", S.budget(F.col("s"), F.col("is_text"), 0.01, 0.06, 0.02))
+    runs = R.painted(mask(t), ["doc_id", "wide", "high"], "score")
+    text = runs.select("doc_id", "wide", "high", F.lit(True).alias("is_text"), F.least("score", F.lit(1.0)).alias("s"), area().alias("n"))
+    whole = F.first(F.col("wide").cast("long") * F.col("high"))
+    ground = text.groupBy("doc_id").agg((whole - F.sum("n")).alias("n")).filter("n > 0").select("doc_id", F.lit(False).alias("is_text"), F.lit(0.0).alias("s"), "n")
+    e = text.drop("wide", "high").unionByName(ground).withColumn("e", S.budget(F.col("s"), F.col("is_text"), 0.01, 0.06, 0.02))
     return e.groupBy("doc_id", "is_text").agg(
         F.sum("n").alias("n"), F.round(F.min("e"), 6).alias("low"), F.round(F.sum(F.col("e") * F.col("n")) / F.sum("n") + 1e-9, 6).alias("mean"), F.round(F.max("e"), 6).alias("high")
     )
@@ -120,21 +147,23 @@ def budget_map(t):
 @query(f"""WITH p AS ({PIXELS_SQL}), s AS (SELECT doc_id, x, y, max((pos + 1) / 8) AS s FROM p GROUP BY ALL) SELECT p.doc_id, p.line, p.pos, round(avg(s.s) + 1e-9, 6) AS mean FROM p JOIN s USING (doc_id, x, y) GROUP BY ALL""")
 def region_mean(t):
     """AGG25: of the painted picture, over each box."""
-    top = F.max((F.col("pos") + 1) / 8).over(S.over("doc_id", "x", "y"))
-    return mask(t).withColumn("s", top).groupBy("doc_id", "line", "pos").agg(F.round(F.avg("s") + 1e-9, 6).alias("mean"))
+    rows, box = mask(t), ["doc_id", *R.SIDES]
+    sums = R.region_sums(rows, ["doc_id"], "score")
+    return rows.join(sums, box).select("doc_id", "line", "pos", F.round(F.col("total") / F.col("area") + 1e-9, 6).alias("mean"))
 
 
-CAPS_SQL = f"""SELECT doc_id, line, pos, CASE WHEN (doc_id + line) % 4 = 0 OR pos % 9 = 0 THEN upper(word) ELSE word END AS word FROM ({BOXES_SQL}) WHERE NOT contains(word, 'ß')"""
+#: Of the letters of the tables only this one has a capital of two letters.
+UPPER = "upper(replace({}, 'ß', 'ss'))"
+CAPS_SQL = f"""SELECT doc_id, line, pos, CASE WHEN (doc_id + line) % 4 = 0 OR pos % 9 = 0 THEN {UPPER.format('word')} ELSE word END AS word FROM ({BOXES_SQL})"""
 
 
-@query(f"""WITH w AS (SELECT *, trim(regexp_replace(trim(word), '[:：.\\-_#]+$', '')) AS core FROM ({CAPS_SQL})), o AS (SELECT DISTINCT doc_id, line FROM w WHERE core <> '' AND NOT (upper(core) = core AND lower(core) <> core))
-SELECT doc_id, line, pos, core FROM w WHERE length(core) >= 2 AND regexp_full_match(core, '\\p{{L}}+') AND upper(core) = core AND lower(core) <> core AND NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = w.doc_id AND o.line = w.line)""")
+@query(f"""WITH w AS (SELECT *, trim(regexp_replace(trim(word), '[:：.\\-_#]+$', '')) AS core FROM ({CAPS_SQL})), o AS (SELECT DISTINCT doc_id, line FROM w WHERE core <> '' AND NOT ({UPPER.format('core')} = core AND lower(core) <> core))
+SELECT doc_id, line, pos, core FROM w WHERE length(core) >= 2 AND regexp_full_match(core, '\\p{{L}}+') AND {UPPER.format('core')} = core AND lower(core) <> core AND NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = w.doc_id AND o.line = w.line)""")
 def section_headers(t):
     """STR18, WIN2: words in capitals on rows with nothing else; lines of some
-    rows are put to capitals. (The two engines differ in the capital of one
-    letter, whose words are left out.)"""
+    rows are put to capitals."""
     caps = (F.col("doc_id") + F.col("line")) % 4 == 0
-    words = boxes(t).filter(~F.contains("word", F.lit("ß"))).withColumn("word", F.when(caps | (F.col("pos") % 9 == 0), F.upper("word")).otherwise(F.col("word")))
+    words = boxes(t).withColumn("word", F.when(caps | (F.col("pos") % 9 == 0), F.upper("word")).otherwise(F.col("word")))
     words = words.withColumn("core", T.header_core(F.col("word")))
     found = B.section_boundaries(words, "doc_id", T.is_header_word(F.col("word")), (F.col("core") != "") & ~T.is_upper(F.col("core")))
     return found.select("doc_id", "line", "pos", "core")

@@ -37,7 +37,11 @@ def test_one_scan_of_cells(spark):
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["mask_area", "paint_max", "region_mean"])
-def test_pixels_stay(spark, name):
-    """Boxes are shuffled, once; their pixels are not."""
-    assert plan(spark, name).count("Exchange hashpartitioning") == 1
+@pytest.mark.parametrize(("name", "shuffles"), [("mask_area", 2), ("paint_max", 2), ("region_mean", 3)])
+def test_no_pixels(spark, name, shuffles):
+    """Boxes are shuffled by tile and what was painted by picture; rows are
+    spread out over tiles only, never over pixels."""
+    found = plan(spark, name)
+    assert found.count("Exchange hashpartitioning") == shuffles
+    spread = [x for x in found.splitlines() if "Generate explode(sequence(" in x]
+    assert len(spread) == 2 and all("FLOOR" in x.upper() or "/ 64" in x or "/ 512" in x for x in spread)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .plans import checks, content, geometry, importance, profile, results, scores, sequences, text  # noqa: F401
+from .plans import checks, content, geometry, importance, masks, profile, results, scores, sequences, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

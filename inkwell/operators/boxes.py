@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,31 +177,3 @@ def section_boundaries(words: DataFrame, key: str, is_header: Column, is_other:
     headers each height counts once, so a row of words is one row here."""
     a, b = words.filter(is_header).alias("a"), words.filter(is_other).select(key, "y0", "y1").distinct().alias("b")
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & same_row("a", "b"), "left_anti")
-
-
-def first_fit(boxes: np.ndarray, radius: float | None = None) -> np.ndarray:
-    """Group of each of ``boxes(x0, y0, x1, y1)`` in order: the first group with
-    no box that overlaps (or, with a radius, whose centre is within it)."""
-    centre = (boxes[:, :2] + boxes[:, 2:]) / 2
-    group = np.zeros(len(boxes), np.int64)
-    for i, (x0, y0, x1, y1) in enumerate(boxes):
-        o = boxes[:i]
-        clash = (x0 < o[:, 2]) & (x1 > o[:, 0]) & (y0 < o[:, 3]) & (y1 > o[:, 1])
-        if radius is not None:
-            clash |= ((centre[:i] - centre[i]) ** 2).sum(1) <= radius * radius
-        taken = np.unique(group[:i][clash])
-        free = np.flatnonzero(taken != np.arange(len(taken)))
-        group[i] = free[0] if len(free) else len(taken)
-    return group
-
-
-def greedy_groups(boxes: DataFrame, key: str, radius: float | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """WIN15, WIN16: ``first_fit`` groups of each image's boxes in ``order``. One
-    image's boxes are bounded, so each image is one call."""
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        return rows[[key, *order]].assign(group_id=first_fit(rows[["x0", "y0", "x1", "y1"]].to_numpy(float), radius))
-
-    kinds = dict(boxes.dtypes)
-    return boxes.groupBy(key).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in (key, *order)) + ", group_id long")

@@ -3,15 +3,14 @@ sorted as one, unless it is streamed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 
 def running(rows: DataFrame, keys: list[str], order: list[str], bucket: Column, **sums: Column) -> DataFrame:
     """WIN1, WIN3: running sums within ``keys`` by ``order``, in columns named by
@@ -27,28 +26,41 @@ def running(rows: DataFrame, keys: list[str], order: list[str], bucket: Column,
     return rows.withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for n, c in sums.items()}).drop("_bucket", *[f"_{n}" for n in sums])
 
 
-def anchored_groups(rows: DataFrame, key: str, at: str, then: str, gap: timedelta) -> DataFrame:
-    """WIN4: ``key, at, then, gid``: by ``at`` and ``then`` within each key, a new
-    group begins where a row lies more than ``gap`` after the first row of its
-    group. Keys are streamed in order, so none is held."""
-    sorted_ = rows.select(key, at, then).repartition(key).sortWithinPartitions(key, at, then)
-    limit = np.timedelta64(int(gap.total_seconds() * 1_000_000), "us")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, anchor, gid = None, None, 0
-        for batch in batches:
-            keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            out = np.empty(len(keys), np.int32)
-            for i, (k, t) in enumerate(zip(keys, times, strict=True)):
-                if i == 0 and own is None and gid == 0 or k != own:
-                    own, anchor, gid = k, t, 1
-                elif t - anchor > limit:
-                    anchor, gid = t, gid + 1
-                out[i] = gid
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "gid"])
+def anchored_groups(rows: DataFrame, key: str, at: str, then: str, gap: timedelta, days: int = 64) -> DataFrame:
+    """WIN4: ``key, at, then, gid``: by ``at`` within each key, a new group begins
+    where a row lies more than ``gap`` after the first row of its group; groups
+    are numbered from 1. Null keys are one key; rows with a null ``at`` have a
+    null gid.
 
-    kinds = dict(sorted_.dtypes)
-    return sorted_.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (key, at, then)) + ", gid int")
+    No key is worked on as one. Of each time the next one and the next beyond the
+    gap are found in stretches of ``days``. Where these two are the same a group
+    begins, whatever lies before. Between such places groups follow from each
+    other, so jumps to the next group are doubled: joins by key and time, as
+    often as the longest such chain has binary digits."""
+    own = rows.select(key, at, then).withColumn("_k", F.struct(key))
+    times = checkpointed(own.filter(F.col(at).isNotNull()).select("_k", F.col(at).alias("_at")).distinct())
+    stretch = F.expr(f"unix_date(to_date(_at)) div {int(days)}")
+    beyond = times.select("_k", (F.col("_at") + F.lit(gap)).alias("_at"), F.col("_at").alias("_of"))
+    points = times.withColumn("_of", F.lit(None).cast(dict(times.dtypes)["_at"])).unionByName(beyond).withColumn("_s", stretch)
+    time = F.when(F.col("_of").isNull(), F.col("_at"))
+    first = points.groupBy("_k", "_s").agg(F.min(time).alias("_low"))
+    after = Window.partitionBy("_k").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("_later", F.min("_low").over(after)).drop("_low")
+    # From the end on, a time beyond the gap of another before the same time itself.
+    inside = Window.partitionBy("_k", "_s").orderBy(F.col("_at").desc(), F.col("_of").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    found = points.join(first, ["_k", "_s"]).withColumn("_next", F.coalesce(F.last(time, ignorenulls=True).over(inside), "_later"))
+    place = F.coalesce("_of", "_at").alias("_at")
+    jumps = checkpointed(found.groupBy("_k", place).agg(F.max(F.when(F.col("_of").isNull(), F.col("_next"))).alias("_next"), F.max(F.when(F.col("_of").isNotNull(), F.col("_next"))).alias("_jump")))
+    sure = jumps.filter("_jump = _next").select("_k", F.col("_jump").alias("_at"))
+    begins = checkpointed(sure.unionByName(times.groupBy("_k").agg(F.min("_at").alias("_at"))))
+    steps = jumps.filter("_jump <> _next").select("_k", "_at", "_jump")
+    steps = checkpointed(steps.join(begins.withColumnRenamed("_at", "_jump"), ["_k", "_jump"], "left_anti"))
+    while not steps.isEmpty():
+        begins = checkpointed(begins.unionByName(begins.join(steps, ["_k", "_at"]).select("_k", F.col("_jump").alias("_at"))).distinct())
+        steps = checkpointed(steps.join(steps.select("_k", F.col("_at").alias("_jump"), F.col("_jump").alias("_far")), ["_k", "_jump"]).select("_k", "_at", F.col("_far").alias("_jump")))
+    marked = times.join(begins.distinct().withColumn("_begin", F.lit(1)), ["_k", "_at"], "left")
+    numbered = running(marked, ["_k"], ["_at"], stretch, gid=F.coalesce("_begin", F.lit(0))).select("_k", F.col("_at").alias("_t"), F.col("gid").cast("int").alias("gid"))
+    return own.join(numbered, (own._k == numbered._k) & (F.col(at) == F.col("_t")), "left").select(key, at, then, "gid")
 
 
 def until(rows: DataFrame, keys: list[str], order: list[str], good: Column, wanted: int, retries: int) -> DataFrame:

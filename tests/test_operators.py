@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import arrow, content as C, scores as S, text as T
-from inkwell.operators import boxes as B, importance as I, ordered as O
+from inkwell.operators import boxes as B, importance as I, masks as M, ordered as O
 from inkwell.plans import content as plan
 from inkwell.sources import files, sinks
 
@@ -59,21 +59,40 @@ def plain_first_fit(boxes, radius):
     return out
 
 
-@pytest.mark.parametrize("radius", [None, 15.0])
-def test_greedy_groups(spark, radius):
+@pytest.mark.parametrize(("radius", "strip"), [(None, "0"), (15, "0"), (15, "pos div 7"), (None, "pos div 25")])
+def test_first_fit(spark, radius, strip):
+    """The same groups whatever the strips, one of them with all boxes in a heap."""
     rng = random.Random(3)
     rows = []
     for image in range(6):
         for pos in range(rng.choice([0, 1, 5, 60])):
             x, y = rng.randint(0, 80), rng.randint(0, 60)
             rows.append((image, pos, x, y, x + rng.randint(1, 30), y + rng.randint(1, 12)))
+    rows += [(9, pos, 5 + pos % 3, 5, 20, 9) for pos in range(70)]
     df = spark.createDataFrame(rows, "image long, pos int, x0 int, y0 int, x1 int, y1 int")
-    got = {(r.image, r.pos): r.group_id for r in B.greedy_groups(df, "image", radius).collect()}
+    found = M.first_fit(df, M.conflicts(df, "image", "pos", radius), "image", "pos", F.expr(strip))
+    got = {(r.image, r.pos): r.group_id for r in found.collect()}
+    assert len(got) == len(rows) and M.first_fit(df.limit(0), M.conflicts(df.limit(0), "image", "pos", radius), "image", "pos", F.expr(strip)).count() == 0
     for image in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == image]
         assert [got[image, r[1]] for r in own] == plain_first_fit([r[2:] for r in own], radius)
 
 
+def test_masked_passes(spark):
+    """What is hidden and whose score it gives, against plain Python."""
+    rng = random.Random(5)
+    rows = [(k % 2, k, x := rng.randint(0, 300), y := rng.randint(0, 60), x + rng.randint(1, 40), y + 12) for k in range(60)]
+    df = spark.createDataFrame(rows, "image long, pos int, x0 int, y0 int, x1 int, y1 int")
+    groups = M.first_fit(df, M.conflicts(df, "image", "pos", 40), "image", "pos", F.lit(0))
+    own = {r.pos: r.group_id for r in groups.collect()}
+    hidden = {tuple(r) for r in M.hidden(df, groups, "image", "pos", 40).select("image", "group_id", "pos").collect()}
+    centre = {r[1]: ((r[2] + r[4]) / 2, (r[3] + r[5]) / 2) for r in rows}
+    assert hidden == {(a[0], own[a[1]], b[1]) for a in rows for b in rows if a[0] == b[0] and math.dist(centre[a[1]], centre[b[1]]) <= 40}
+    passes = df.select("image", "pos", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("group_id")).withColumn("lp", F.col("pos") * 100 + F.col("group_id")).filter("pos <> 7")
+    got = {r.pos: r.lp for r in M.scattered(groups, passes, "image", "pos").collect()}
+    assert got == {k: k * 100 + g for k, g in own.items() if k != 7}
+
+
 def test_near_and_overlap(spark):
     rng = random.Random(4)
     rows = [(k % 2, k, x := rng.randint(0, 300), y := rng.randint(0, 200), x + rng.randint(1, 200), y + rng.randint(1, 30)) for k in range(120)]
@@ -124,6 +143,18 @@ def test_anchored(spark):
             assert got[k] == gid
 
 
+def test_anchored_hot_key(spark):
+    """One user with most rows, in chains of some 400 groups; no Python worker,
+    and no window or join by the key alone but over what stands for stretches."""
+    start = datetime(2024, 1, 1)
+    rows = [(1, start + timedelta(minutes=7 * k), k) for k in range(6000)] + [(2, start + timedelta(minutes=7 * k), 6000 + k) for k in range(50)] + [(1, None, 9000)]
+    df = spark.createDataFrame(rows, "u long, ts timestamp_ntz, k long").repartition(4)
+    found = O.anchored_groups(df, "u", "ts", "k", timedelta(hours=2))
+    assert {r.k: r.gid for r in found.collect()} == {k: None if ts is None else k % 6000 // 18 + 1 for _, ts, k in rows}
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Python" not in plan and "InArrow" not in plan
+
+
 def test_headers(spark):
     rows = [(1, 0, "TOTAL:", 0), (1, 1, "DUE", 0), (1, 2, "Total", 20), (1, 3, "NOW", 20), (1, 4, "ALONE", 40), (1, 5, "A", 60), (1, 6, "CODE", 80), (1, 7, "123", 80), (2, 0, "--", 0), (2, 1, "HEAD", 4)]
     df = spark.createDataFrame([(*r[:3], r[3], r[3] + 12) for r in rows], "image long, pos int, word string, y0 int, y1 int")

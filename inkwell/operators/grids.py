@@ -1,27 +1,69 @@
-"""MTH16, MTH17: image gradients and strokes on small grids, in numpy."""
+"""MTH16, MTH17: image gradients and strokes. A picture is a table of its rows of
+pixels, worked on in tiles that bring their neighbours' edges along, so it may
+have any size."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def sobel(grid: np.ndarray) -> np.ndarray:
-    """Edge magnitude, borders padded with zeros."""
-    p = np.pad(grid, 1)
-    n, m = grid.shape
+    """Edge magnitude within a border of one pixel; what is no pixel (NaN) is 0."""
+    p = np.nan_to_num(grid, nan=0.0)
+    n, m = grid.shape[0] - 2, grid.shape[1] - 2
     at = lambda i, j: p[i : i + n, j : j + m]
     gx = at(0, 2) + 2 * at(1, 2) + at(2, 2) - at(0, 0) - 2 * at(1, 0) - at(2, 0)
     gy = at(2, 0) + 2 * at(2, 1) + at(2, 2) - at(0, 0) - 2 * at(0, 1) - at(0, 2)
-    return np.sqrt(gx * gx + gy * gy + 1e-8)
+    return np.sqrt(gx * gx + gy * gy)
 
 
 def strokes(grid: np.ndarray, sharpness: float = 20.0, level: float = 0.7) -> np.ndarray:
-    """Soft darkness, then the greatest of each 3 x 3 neighbourhood."""
-    dark = 1 - 1 / (1 + np.exp(-sharpness * (grid - level)))
-    p = np.pad(dark, 1, constant_values=-np.inf)
-    n, m = grid.shape
-    return np.max([p[i : i + n, j : j + m] for i in range(3) for j in range(3)], axis=0)
+    """Soft darkness, then the greatest of each 3 x 3 neighbourhood, within a
+    border of one pixel; what is no pixel (NaN) counts for nothing."""
+    dark = np.nan_to_num(1 - 1 / (1 + np.exp(-sharpness * (grid - level))), nan=-np.inf)
+    n, m = grid.shape[0] - 2, grid.shape[1] - 2
+    return np.max([dark[i : i + n, j : j + m] for i in range(3) for j in range(3)], axis=0)
+
+
+def tiled(rows: DataFrame, image: str, y: str, layers: tuple[str, ...], height: int, width: int) -> DataFrame:
+    """``image, ty, tx, y, x, layers``: the pieces of rows ``image, y, layers`` (of
+    one layer all pixels of a row) that tiles of ``height`` by ``width`` need, one
+    pixel of their neighbours on each side included; ``x`` is where a piece
+    begins. A row goes to the tiles of the rows next to it."""
+    n = F.array_max(F.array(*[F.size(c) for c in layers]))
+    near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col(y) + d) / height)))
+    found = rows.withColumn("_n", n).filter("_n > 0").withColumn("ty", F.explode(near))
+    found = found.withColumn("tx", F.explode(F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {int(width)} as int)"))))
+    found = found.withColumn("x", F.greatest(F.col("tx") * width - 1, F.lit(0)))
+    piece = [F.slice(c, F.col("x") + 1, (F.col("tx") + 1) * width + 1 - F.col("x")).alias(c) for c in layers]
+    return found.select(image, "ty", "tx", F.col(y).cast("long").alias("y"), "x", *piece)
+
+
+def differences(rows: DataFrame, image: str, y: str, a: str, b: str, costs: dict[str, Callable[[np.ndarray], np.ndarray]], height: int = 256, width: int = 256) -> DataFrame:
+    """``image, n`` and, by the names of ``costs``, the mean of ``abs(f(a) - f(b))``
+    over the pixels of each picture, whose rows are ``image, y, a, b``: arrays of
+    equal length in each row, ``y`` distinct within a picture. Rows that don't
+    exist, null ones and null pixels are no pixels. A task holds one tile at a
+    time, whatever the picture's size."""
+    kind = dict(rows.dtypes)[image]
+    names = list(costs)
 
+    def cost(table: pa.Table) -> pa.Table:
+        ty, tx = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
+        grids = np.full((2, height + 2, width + 2), np.nan)
+        for r in table.select(["y", "x", "_a", "_b"]).to_pylist():
+            line, at = r["y"] - ty * height + 1, r["x"] - tx * width + 1
+            for grid, values in zip(grids, (r["_a"], r["_b"]), strict=True):
+                grid[line, at : at + len(values)] = np.array(values, float)
+        inside = ~np.isnan(grids[:, 1:-1, 1:-1]).any(0)
+        sums = [float(np.abs(f(grids[0])[inside] - f(grids[1])[inside]).sum()) for f in costs.values()]
+        return pa.table([table.column(image).slice(0, 1), pa.array([int(inside.sum())]), *([x] for x in sums)], names=[image, "n", *names])
 
-def difference(f, a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.abs(f(a) - f(b)).mean())
+    pieces = tiled(rows.select(image, y, F.col(a).cast("array<double>").alias("_a"), F.col(b).cast("array<double>").alias("_b")), image, y, ("_a", "_b"), height, width)
+    tiles = pieces.groupBy(image, "ty", "tx").applyInArrow(cost, f"`{image}` {kind}, n long, " + ", ".join(f"{c} double" for c in names))
+    return tiles.groupBy(image).agg(F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in names]).filter("n > 0")

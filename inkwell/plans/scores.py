@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import grids as G
 from ..operators import ordered as O
 from ..registry import query
 
@@ -147,21 +148,34 @@ def clamp_projection(t):
     return vectors(t).select("vec_id", F.round(F.aggregate(S.project_l2(F.col("v"), 0.5), F.lit(0.0), lambda a, x: a + x * x), 6).alias("size2"))
 
 
-@query()
-def edge_stroke_cost(t):
-    """MTH16, MTH17: each vector as an 8 x 8 grid against itself turned over."""
-    import numpy as np
+TURNED_SQL = f"SELECT vec_id AS image, CAST(i // 8 AS BIGINT) AS y, CAST(i % 8 AS BIGINT) AS x, v[i + 1] AS a, v[(7 - i // 8) * 8 + i % 8 + 1] AS b FROM (SELECT vec_id, v, unnest(range(0, 64)) AS i FROM ({EXP_SQL}) WHERE len(v) = 64)"
+STACKED_SQL = f"SELECT vec_id // 100 AS image, vec_id % 100 AS y, CAST(i - 1 AS BIGINT) AS x, v[i] AS a, 0.9 * v[i] + 0.05 AS b FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM ({EXP_SQL}))"
+#: Each pixel goes to its nine neighbours.
+STENCIL_SQL = """WITH p AS ({0}), d AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)), s AS (
+SELECT image, y + dy AS y, x + dx AS x, sum(-dx * (2 - abs(dy)) * a) AS gxa, sum(-dy * (2 - abs(dx)) * a) AS gya, sum(-dx * (2 - abs(dy)) * b) AS gxb, sum(-dy * (2 - abs(dx)) * b) AS gyb,
+max(1 - 1 / (1 + exp(-20 * (a - 0.7)))) AS sa, max(1 - 1 / (1 + exp(-20 * (b - 0.7)))) AS sb FROM p, d GROUP BY ALL)
+SELECT image AS {1}, round(avg(abs(sqrt(gxa * gxa + gya * gya) - sqrt(gxb * gxb + gyb * gyb))) + 1e-9, 6) AS edge, round(avg(abs(sa - sb)) + 1e-9, 6) AS stroke FROM s JOIN p USING (image, y, x) GROUP BY ALL"""
+
 
-    from ..operators import grids
+def stencil_costs(rows, height, width):
+    found = G.differences(rows, "image", "y", "a", "b", {"edge": G.sobel, "stroke": G.strokes}, height, width)
+    return found.select("image", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("edge", "stroke")])
 
-    def cost(batches):
-        for part in batches:
-            g = [np.array(v).reshape(8, 8) for v in part["v"]]
-            part["edge"] = [round(grids.difference(grids.sobel, x, x[::-1]), 6) for x in g]
-            part["stroke"] = [round(grids.difference(grids.strokes, x, x[::-1]), 6) for x in g]
-            yield part[["vec_id", "edge", "stroke"]]
 
-    return vectors(t).filter(F.size("v") == 64).select("vec_id", "v").mapInPandas(cost, "vec_id long, edge double, stroke double")
+@query(STENCIL_SQL.format(TURNED_SQL, "vec_id"))
+def edge_stroke_cost(t):
+    """MTH16, MTH17: each vector as an 8 x 8 picture against itself turned over."""
+    rows = vectors(t).filter(F.size("v") == 64).select(F.col("vec_id").alias("image"), "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"))
+    rows = rows.select("image", "y", F.slice("v", F.col("y") * 8 + 1, F.lit(8)).alias("a"), F.slice("v", (7 - F.col("y")) * 8 + 1, F.lit(8)).alias("b"))
+    return stencil_costs(rows, 8, 8).withColumnRenamed("image", "vec_id")
+
+
+@query(STENCIL_SQL.format(STACKED_SQL, "image"))
+def picture_cost(t):
+    """MTH16, MTH17: a hundred vectors as the rows of a picture, in tiles, against
+    the picture with less contrast."""
+    rows = vectors(t).select(F.expr("vec_id div 100").alias("image"), (F.col("vec_id") % 100).alias("y"), F.col("v").alias("a"), F.transform("v", lambda x: 0.9 * x + 0.05).alias("b"))
+    return stencil_costs(rows, 32, 24)
 
 
 @query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0.6 * l_discount * 10 + 0.4 * l_tax * 10 AS s FROM lineitem), p AS (SELECT l_orderkey, quantile_cont(s, 0.99) AS p99 FROM n GROUP BY ALL)

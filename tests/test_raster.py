@@ -1,5 +1,6 @@
 """Runs against pixels."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import boxes as box_ops
-from inkwell.operators import raster
+from inkwell.operators import grids, raster
 
 RNG = random.Random(3)
 BOXES = "image long, pos int, x0 int, y0 int, x1 int, y1 int, s double, tx string"
@@ -87,3 +88,33 @@ def test_crowded_cells_are_divided(spark):
     crowd = spark.range(60_000).selectExpr("1L AS image", "id AS pos", "cast(id % 64 * 4 as int) AS x0", "cast(id div 64 * 4 as int) AS y0", "cast(id % 64 * 4 + 3 as int) AS x1", "cast(id div 64 * 4 + 3 as int) AS y1")
     pairs = box_ops.overlapping_boxes(crowd, ["image"])
     assert pairs.count() == 60_000
+
+
+def plain_costs(a, b):
+    def at(p, y, x, none):
+        return p[y][x] if 0 <= y < len(p) and 0 <= x < len(p[0]) else none
+
+    def sobel(p, y, x):
+        k = [(dy, dx, at(p, y + dy, x + dx, 0.0)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        return math.hypot(sum(dx * (2 - abs(dy)) * v for dy, dx, v in k), sum(dy * (2 - abs(dx)) * v for dy, dx, v in k))
+
+    def stroke(p, y, x):
+        near = [at(p, y + dy, x + dx, None) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        return max(1 - 1 / (1 + math.exp(-20 * (v - 0.7))) for v in near if v is not None)
+
+    cells = [(y, x) for y in range(len(a)) for x in range(len(a[0]))]
+    return [sum(abs(f(a, *c) - f(b, *c)) for c in cells) / len(cells) for f in (sobel, stroke)]
+
+
+@pytest.mark.parametrize("tile", [(256, 256), (4, 5), (1, 1), (7, 64)])
+def test_stencils(spark, tile):
+    """The same costs whatever the tiles."""
+    rows, want = [], {}
+    for image, (h, w) in enumerate([(1, 1), (9, 13), (20, 6), (2, 64)]):
+        a, b = ([[RNG.random() for _ in range(w)] for _ in range(h)] for _ in "ab")
+        rows += [(image, y, a[y], b[y], "z") for y in range(h)]
+        want[image] = [h * w, *plain_costs(a, b)]
+    rows += [(7, 0, None, None, "z"), (8, 0, [], [], "z")]
+    df = spark.createDataFrame(rows, "image long, y int, a array<double>, b array<double>, x string")
+    got = {r.image: [r.n, r.edge, r.stroke] for r in grids.differences(df, "image", "y", "a", "b", {"edge": grids.sobel, "stroke": grids.strokes}, *tile).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)

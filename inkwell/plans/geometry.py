@@ -26,7 +26,8 @@ def boxes(t, *keep):
     """Boxes of all words; ``keep`` are columns made from ``lines``, the number
     of characters of each line as the boxes have it."""
     plain = F.transform(F.split("text", "\n"), lambda l: F.char_length(F.array_join(F.filter(F.split(l, r"\s+"), lambda x: x != ""), " ")))
-    docs = t.documents.withColumn("lines", plain) if keep else t.documents
+    docs = t.spread("documents").select("doc_id", "text")
+    docs = docs.withColumn("lines", plain) if keep else docs
     lines = docs.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("line", "l"))
     names = lines.columns[1 : 1 + len(keep)]
     return B.words_with_boxes(lines.select("doc_id", *names, "line", F.expr(r"filter(split(l, '\\s+'), x -> x <> '')").alias("words")), ["doc_id", *names])

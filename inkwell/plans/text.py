@@ -11,7 +11,9 @@ from ..registry import query
 def pairs(t):
     """Each turn as the reference of the next one: a stand-in for transcripts."""
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", F.col("text").alias("r"), nxt.alias("h")).filter("h IS NOT NULL")
+    # The window's own shuffle, but with a number of partitions that stays: turns are few bytes and much work.
+    turns = t.conversations.select("conv_id", "turn", "text").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    return turns.select("conv_id", "turn", F.col("text").alias("r"), nxt.alias("h")).filter("h IS NOT NULL")
 
 
 # The edit distance of SQL counts bytes: letters that need two are first put to
@@ -112,7 +114,7 @@ LABELS = ", ".join(f"'{w}'" for w in T.LABEL_WORDS)
 SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE regexp_matches(w, '[:：#-]$') OR lower(regexp_replace(w, '[:：]+$', '')) IN ({LABELS})) AS n_labels FROM w GROUP BY doc_id""")
 def label_words(t):
     """One row is one document, so nothing is shuffled."""
-    rows = t.documents.select("doc_id", T.words(F.col("text")).alias("w"))
+    rows = t.spread("documents").select("doc_id", T.words(F.col("text")).alias("w"))
     return rows.filter(F.size("w") > 0).select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.size(F.filter("w", T.is_label)).cast("bigint").alias("n_labels"))
 
 

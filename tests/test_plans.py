@@ -18,7 +18,18 @@ def plan(spark, name):
 
 @pytest.mark.parametrize("name", ["label_words", "slug_lines", "label_value_ratio", "entropy_topk", "clamp_projection", "target_position", "shape_cost", "word_boxes", "forward_search", "key_title", "layout_spec", "gen_text"])
 def test_no_shuffle(spark, name):
-    assert "Exchange" not in plan(spark, name)
+    """Where files have splits enough."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert "Exchange" not in plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_small_files_are_dealt_out(spark):
+    assert plan(spark, "label_words").count("Exchange RoundRobinPartitioning") == 1
 
 
 @pytest.mark.parametrize(("name", "columns"), [("mask_area", "doc_id:bigint,text:string"), ("running_page_counter", "o_orderkey:bigint,o_orderdate:timestamp_ntz,o_orderpriority:string"), ("first_match", "conv_id:bigint,turn:bigint,role:string,text:string")])

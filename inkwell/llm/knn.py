@@ -1,10 +1,13 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
-Queries are grouped by their nearest pivot. What a vector x can score with the
-queries of a cell lies within radius * |x| of what it scores with the pivot, by
-Cauchy and Schwarz; so the k-th greatest of the least scores, a summary of all
-vectors, bounds from below what the k best of every query of the cell reach. Neighbouring cells make up teams, and a vector goes, once, to each team with a
-cell whose bound it can meet; each team is solved locally, in blocks of vectors.
+Queries and data alike are grouped by their nearest pivot. A summary of each
+group (its rows, the greatest distance to its pivot, the distances of the few
+rows next to it) bounds what any query of one group scores with any row of
+another, by Cauchy and Schwarz: from below, so that the k-th greatest of these
+bounds is what the k best of every query of a group reach at least, and from
+above, so that data groups that can't reach it are not sent there. Of the others
+a row is sent if its own distance to its pivot allows it. Each group of queries is
+solved locally, in blocks of rows. No bound takes a product of a query and a row.
 (In distances: with one more component, sqrt(M - |x|^2), the greatest products
 are the nearest neighbours, and the bounds are those of the balls around the
 pivots.)
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Pivots at most; there are as many as queries up to that number.
+#: Pivots at most; there are as many as the root of the number of rows.
 PIVOTS = 1024
 #: Queries of one team and vectors of one block at most (on average, by hash);
 #: blocks of fewer rows are not made for the sake of more tasks.
@@ -76,30 +79,39 @@ def scores_of(asked: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-class Cells:
-    """Pivots with the greatest distance of their queries, and what bounds them."""
-
-    def __init__(self, pivots: np.ndarray, radius: np.ndarray):
-        self.pivots, self.radius = pivots, radius
-        self.size = np.sqrt((pivots * pivots).sum(1))
-
-    def range(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest score of each row with any query of each cell."""
-        norm = np.sqrt((x * x).sum(1))[:, None]
-        middle = x @ self.pivots.T
-        spread = norm * self.radius + SLACK * (1 + norm * (self.size + self.radius))
-        return middle - spread, middle + spread
-
-
-def _best(ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the k greatest values of different ids."""
-    order = np.argsort(-values, axis=1, kind="stable")
-    ids, values = (np.take_along_axis(a, order, 1) for a in (ids, values))
-    order = np.argsort(ids, axis=1, kind="stable")
-    ids, values = (np.take_along_axis(a, order, 1) for a in (ids, values))
-    values[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
-    order = np.argsort(-values, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(values, order, 1)
+class Groups:
+    """Bounds between groups of queries (rows) and of data (columns), from the
+    pivots, the queries' greatest distances to them (minus infinity where a group
+    has none) and the data's summary: greatest distances and, in ``near``, the
+    distances of those next to the pivot, infinite where there are no more.
+
+    ``bar`` is what the k best of each query reach at least; one of the k + 1 bounds
+    may be the query's own."""
+
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray, wide: np.ndarray, near: np.ndarray, k: int):
+        with np.errstate(all="ignore"):
+            size = np.sqrt((pivots * pivots).sum(1))
+            slack = 1 + SLACK
+            self.middle, self.grow = pivots @ pivots.T, (size + radius) * slack
+            self.reach = radius[:, None] * size[None, :] * slack + SLACK * (1 + np.outer(size, size))
+            self.bar = np.full(len(pivots), -np.inf)
+            for q in np.flatnonzero(radius >= 0):
+                low = (self.middle[q] - self.reach[q])[:, None] - self.grow[q] * near
+                low = np.sort(np.nan_to_num(low, nan=-np.inf), axis=None)
+                self.bar[q] = low[-k - 1] if low.size > k else -np.inf
+            # Scores that are held at an end of the long range tie there.
+            self.bar = np.where(self.bar > -0.99 * LONGEST, np.minimum(self.bar, 0.99 * LONGEST), -np.inf)
+            self.asked = np.flatnonzero(radius >= 0)
+            # Groups of data that are needed at all, by queries' group.
+            self.open = self.needed(np.arange(len(pivots)), wide) & (wide >= 0)[:, None]
+
+    def needed(self, cell: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Whether rows of data at distance ``far`` from the pivots ``cell`` can be
+        among the best of a query of each group that has any."""
+        with np.errstate(all="ignore"):
+            q = self.asked
+            high = (self.middle[q][:, cell] + self.reach[q][:, cell] + self.grow[q][:, None] * far * (1 + SLACK)).T
+            return ~(high < self.bar[q])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -113,8 +125,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     of a long is held at its end, where it ties. Vectors of another length than
     most take no part with the rest: lengths are solved apart. Fewer rows than k
     give all of them; an empty table gives none. Other columns are not read.
-    Pivots are a sample of the queries by hash, and only the pace depends on
-    them. What is broadcast or gathered has a size set by PIVOTS and k.
+    Pivots are a sample of all rows by hash, and only the pace depends on them.
+    What is broadcast or gathered has a size set by PIVOTS and k.
     """
     rows = vectors.filter("vec_id IS NOT NULL").withColumn("asks", F.coalesce(is_query, F.lit(False)))
     rows = checkpointed(rows.select("vec_id", "v", "asks", F.size("v").alias("_n")))
@@ -124,63 +136,74 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
 
 
-def _top_k(rows: DataFrame, k: int) -> DataFrame:
-    spark = rows.sparkSession
-    share = spark.sparkContext.broadcast
-    queries = rows.filter("asks").select("vec_id", "v").distinct().withColumn("mark", F.xxhash64("v"))
+def _grouped(rows: DataFrame, k: int) -> tuple[DataFrame, Groups, np.ndarray, np.ndarray]:
+    """``vec_id, v, asks, mixed, cell, far`` of all rows, the bounds of their groups,
+    and the rows of data and queries in each."""
+    share = rows.sparkSession.sparkContext.broadcast
     mixed = F.xxhash64("vec_id", "v")
-    n_queries = rows.filter("asks").count()
-    likely = F.pmod(mixed, F.lit(1 << 30)) <= F.lit(int(min(1, 4 * PIVOTS / n_queries) * (1 << 30)))
-    askers = rows.filter("asks").select("v", "vec_id")
-    drawn = askers.filter(likely).orderBy(mixed).limit(PIVOTS).collect() or askers.limit(1).collect()
+    n = rows.count()
+    wanted = min(PIVOTS, max(1, int(n**0.5)))
+    likely = F.pmod(mixed, F.lit(1 << 30)) <= F.lit(int(min(1, 4 * wanted / n) * (1 << 30)))
+    drawn = rows.filter(likely).select("v", "vec_id").orderBy(mixed).limit(wanted).collect() or rows.select("v").limit(1).collect()
     pivots = np.unique(np.array([r[0] for r in drawn], float), axis=0)
-    at_pivots = share(Cells(pivots, np.zeros(len(pivots))))
+    with np.errstate(all="ignore"):
+        at = share((pivots, (pivots * pivots).sum(1)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, size = at_pivots.value.pivots, at_pivots.value.size
+        p, size = at.value
         for batch in _blocks(batches):
             x = _matrix(batch.column(1))
-            cell = ((size * size)[None, :] - 2 * (x @ p.T)).argmin(1)
-            far = np.sqrt(((x - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["vec_id", "v", "mark", "cell", "far"])
-
-    asking = checkpointed(queries.mapInArrow(assign, "vec_id long, v array<double>, mark long, cell int, far double"))
-    radius, asked = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
-    for cell, far, n in asking.groupBy("cell").agg(F.max("far"), F.count("*")).collect():
-        radius[cell], asked[cell] = far, n
-    used = np.flatnonzero(asked)
-    cells = share(Cells(pivots[used], radius[used] * (1 + SLACK)))
-    number = {int(c): i for i, c in enumerate(used)}
-
-    # Summary: of every cell the k + 1 greatest least scores of different ids, so
-    # that k of them are no query's own.
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(cells.value.pivots)
-        ids, values = np.zeros((n, 0), np.int64), np.zeros((n, 0))
+            with np.errstate(all="ignore"):
+                cell = (size[None, :] - 2 * (x @ p.T)).argmin(1)
+                far = np.nan_to_num(np.sqrt(((x - p[cell]) ** 2).sum(1)), nan=np.inf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["vec_id", "v", "asks", "mixed", "cell", "far"])
+
+    placed = rows.select("vec_id", "v", "asks", mixed.alias("mixed"))
+    placed = checkpointed(placed.mapInArrow(assign, "vec_id long, v array<double>, asks boolean, mixed long, cell int, far double"))
+    radius, wide, near = np.full(len(pivots), -np.inf), np.full(len(pivots), -np.inf), np.full((len(pivots), k + 1), np.inf)
+    asked, held = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+    sums = placed.groupBy("cell").agg(F.count("*"), F.max("far"), F.count_if("asks"), F.max(F.when(F.col("asks"), F.col("far"))))
+    for cell, n_rows, far, n_asked, far_asked in sums.collect():
+        held[cell], wide[cell], asked[cell] = n_rows, far, n_asked
+        radius[cell] = -np.inf if far_asked is None else far_asked
+    # An id counts once, wherever its rows lie, as they may all be a query's own.
+    # The nearest of a group are found in parts first, so no group is sorted as one.
+    once = placed.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("m")).select("m.cell", "m.far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
+    for keys in (("cell", "part"), ("cell",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("far"))
+        once = once.withColumn("place", place).filter(F.col("place") <= k + 1)
+    for cell, far, place in once.select("cell", "far", "place").collect():
+        near[cell, place - 1] = far
+    return placed, Groups(pivots, radius, wide, near, k), held, asked
+
+
+def replicas(vectors: DataFrame, is_query: Column, k: int = 20) -> tuple[float, float]:
+    """How much the bounds spare: the share of (row, group of queries) pairs that
+    is needed, by whole groups and by rows, of ``vectors`` of one length."""
+    rows = vectors.filter("vec_id IS NOT NULL").withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    placed, groups, held, _ = _grouped(rows.select("vec_id", "v", "asks"), k)
+    bounds = rows.sparkSession.sparkContext.broadcast(groups)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
-            low, _ = cells.value.range(_matrix(batch.column(1)))
-            own, low = batch.column(0).to_numpy(), low.T
-            if len(np.unique(own)) == len(own) and len(own) > 2 * k + 2:
-                top = np.argpartition(-low, k, axis=1)[:, : k + 1]
-                new, low = own[top], np.take_along_axis(low, top, 1)
-            else:
-                new = np.broadcast_to(own, low.shape)
-            ids, values = _best(np.concatenate([ids, new], 1), np.concatenate([values, low], 1), k + 1)
-        good = values > -np.inf
-        cell = np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], values.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]) for a in (cell, ids, values)], ["cell", "vec_id", "low"])
-
-    data = rows.select("vec_id", "v", mixed.alias("mixed"))
-    lows = data.mapInArrow(summarise, "cell int, vec_id long, low double").groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
-    lows = lows.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("low"), asc=False), 1, k + 1).alias("low")).filter(F.size("low") > k)
-    reach = np.full(len(used), -np.inf)
-    for cell, low in lows.select("cell", F.element_at("low", k + 1)).collect():
-        reach[cell] = low
-    # scores that are held at an end of the long range tie there
-    reach = share(np.where(reach > -0.99 * LONGEST, np.minimum(reach, 0.99 * LONGEST), -np.inf))
-
-    # Cells next to each other, seen from the first, make up a team.
-    away = np.argsort(((pivots[used] - pivots[used[0]]) ** 2).sum(1), kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array([int(bounds.value.needed(batch.column(0).to_numpy(), batch.column(1).to_numpy()).sum())])], ["n"])
+
+    pairs = held.sum() * len(groups.asked)
+    return float((held[:, None] * groups.open).sum() / pairs), placed.select("cell", "far").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] / pairs
+
+
+def _top_k(rows: DataFrame, k: int) -> DataFrame:
+    spark = rows.sparkSession
+    placed, groups, held, asked = _grouped(rows, k)
+    asking = placed.filter("asks").select("vec_id", "v", F.xxhash64("v").alias("mark"), "cell").distinct()
+    bounds = spark.sparkContext.broadcast(groups)
+    used = groups.asked
+    number = np.full(len(held), -1)
+    number[used] = np.arange(len(used))
+
+    # Groups of queries next to each other, seen from the first, make up a team, to
+    # which a row goes once; a team with very many queries is divided.
+    away = np.argsort(-groups.middle[used[0]][used] * 2 + np.diag(groups.middle)[used], kind="stable")
     team_of, load, splits = np.zeros(len(used), np.int64), 0, []
     for c in away:
         n = int(asked[used[c]])
@@ -191,62 +214,61 @@ def _top_k(rows: DataFrame, k: int) -> DataFrame:
         team_of[c] = len(splits) - 1
     starts = np.searchsorted(team_of[away], np.arange(len(splits)))
     splits = np.array(splits)
-
-    def needed(x: np.ndarray) -> np.ndarray:
-        """Which teams need which rows."""
-        return np.logical_or.reduceat((cells.value.range(x)[1] >= reach.value)[:, away], starts, axis=1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(splits), np.int64)
-        for batch in _blocks(batches):
-            total += needed(_matrix(batch.column(1))).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["team", "n"])
-
-    sent = np.zeros(len(splits), np.int64)
-    for team, n in data.mapInArrow(count, "team int, n long").groupBy("team").agg(F.sum("n")).collect():
-        sent[team] = n
+    sent = (held[:, None] * np.logical_or.reduceat(groups.open[:, away], starts, axis=1)).sum(0)
     spread = int(spark.conf.get("spark.sql.shuffle.partitions")) // int(splits.sum())
     blocks = np.maximum(np.maximum(1, -(-sent // BLOCK_ROWS)), np.minimum(spread, sent // LEAST_BLOCK))
     first = np.r_[0, np.cumsum(splits * blocks)]
 
     def send_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
-            row, team = np.nonzero(needed(_matrix(batch.column(1))))
+            needed = bounds.value.needed(batch.column(3).to_numpy(), batch.column(4).to_numpy())
+            row, team = np.nonzero(np.logical_or.reduceat(needed[:, away], starts, axis=1))
             chunk = first[team] + batch.column(2).to_numpy()[row] % blocks[team]
             for g in range(int(splits[team].max(initial=0))):
                 at = splits[team] > g
                 take = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([pa.array((chunk + g * blocks[team])[at]), batch.column(0).take(take), batch.column(1).take(take)], ["chunk", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array((chunk + g * blocks[team])[at]), *(batch.column(i).take(take) for i in (0, 1, 3, 4))], ["chunk", "vec_id", "v", "cell", "far"])
 
     def send_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
-            team = team_of[[number[c] for c in batch.column(3).to_pylist()]]
+            team = team_of[number[batch.column(3).to_numpy()]]
             begin, n = first[team] + batch.column(2).to_numpy() % splits[team] * blocks[team], blocks[team]
             chunk = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
             take = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), *(batch.column(i).take(take) for i in (0, 1, 2))], ["chunk", "vec_id", "v", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), *(batch.column(i).take(take) for i in (0, 1, 2, 3))], ["chunk", "vec_id", "v", "mark", "cell"])
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "mark": [], "vec_id": [], "score": []}).astype("int64")]
         if len(left) and len(right):
             right = right.sort_values("vec_id", kind="stable")
             x, ids = np.stack(right["v"].to_numpy()).astype(np.float64), right["vec_id"].to_numpy()
-            for i in range(0, len(left), QUERIES_AT_ONCE):
-                part = left.iloc[i : i + QUERIES_AT_ONCE]
-                asked, marks = part["vec_id"].to_numpy(), part["mark"].to_numpy()
-                scores = scores_of(np.stack(part["v"].to_numpy()).astype(np.float64), x)
-                scores[asked[:, None] == ids[None, :]] = -LONGEST - 1  # which no score is
-                take = min(k, len(ids))
-                # everything at least as good as the k-th, so that ties are seen
-                floor = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
-                for q, (row, low) in enumerate(zip(scores, floor, strict=True)):
-                    at = np.flatnonzero((row >= low) & (row > -LONGEST - 1))
-                    at = at[np.argsort(-row[at], kind="stable")][:k]
-                    out.append(pd.DataFrame({"query_id": asked[q], "mark": marks[q], "vec_id": ids[at], "score": row[at]}))
+            group = number[left["cell"].to_numpy()]
+            needed = bounds.value.needed(right["cell"].to_numpy(), right["far"].to_numpy())
+            # Groups that need most rows take all of them together, others their own.
+            most = needed.mean(0) > 0.5
+            for own in [np.flatnonzero(most), *([c] for c in np.unique(group) if not most[c])]:
+                mine = left[np.isin(group, own)]
+                rows = slice(None) if len(own) != 1 else needed[:, own[0]]
+                out += solved(mine, x[rows], ids[rows])
         return pd.concat(out)
 
+    def solved(asking: pd.DataFrame, x: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(asking) if len(ids) else 0, QUERIES_AT_ONCE):
+            part = asking.iloc[i : i + QUERIES_AT_ONCE]
+            asked, marks = part["vec_id"].to_numpy(), part["mark"].to_numpy()
+            scores = scores_of(np.stack(part["v"].to_numpy()).astype(np.float64), x)
+            scores[asked[:, None] == ids[None, :]] = -LONGEST - 1  # which no score is
+            take = min(k, len(ids))
+            # everything at least as good as the k-th, so that ties are seen
+            floor = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
+            for q, (row, low) in enumerate(zip(scores, floor, strict=True)):
+                at = np.flatnonzero((row >= low) & (row > -LONGEST - 1))
+                at = at[np.argsort(-row[at], kind="stable")][:k]
+                yield pd.DataFrame({"query_id": asked[q], "mark": marks[q], "vec_id": ids[at], "score": row[at]})
+
     schema = "chunk long, vec_id long, v array<double>"
-    keyed = asking.select("vec_id", "v", "mark", "cell").mapInArrow(send_queries, f"{schema}, mark long").groupBy("chunk")
-    found = keyed.cogroup(data.mapInArrow(send_data, schema).groupBy("chunk")).applyInPandas(solve, "query_id long, mark long, vec_id long, score long")
+    keyed = asking.mapInArrow(send_queries, f"{schema}, mark long, cell int").groupBy("chunk")
+    data = placed.select("vec_id", "v", "mixed", "cell", "far").mapInArrow(send_data, f"{schema}, cell int, far double")
+    found = keyed.cogroup(data.groupBy("chunk")).applyInPandas(solve, "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

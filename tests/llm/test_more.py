@@ -49,6 +49,20 @@ def test_topk(spark, monkeypatch, shape):
     assert got == brute_top(rows, lambda i: i % every == 0, 20)
 
 
+def test_topk_replicas(spark):
+    """Pivots don't depend on the number of queries, and what is clustered in
+    directions goes to few groups of queries."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 4000, (12, 16))
+    rows = [(i, np.floor(centres[i % 12] + rng.normal(0, 30, 16)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    for every in (20, 500):
+        whole, own = knn.replicas(df, F.col("vec_id") % every == 0)
+        assert own <= whole < 0.3
+    got = sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 300 == 0).collect()))
+    assert got == brute_top(rows, lambda i: i % 300 == 0, 20)
+
+
 def test_topk_tables(spark):
     rows = [(1, [0.5, 1.0], "x"), (1, [0.5, 1.0], "x"), (2, [3e38, 1e12], "y"), (3, None, "z"), (4, [float("inf"), 1.0], "z"), (20, [1.0, -1.0], "q"), (20, [1.0, -1.0], "q"), (5, [], "e"), (40, [1.0], "d"), (None, [1.0, 1.0], "n")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string")

@@ -80,6 +80,37 @@ def forward_spans(words: pd.Series, s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else [{"start": a, "stop": b} for a, b in x] for x in found], dtype=object)
 
 
+def proportional(n: int, tokens: int) -> list[tuple[int, int]]:
+    """WIN14: so many spans in even shares of the tokens, none empty."""
+    return [(i * tokens // n, max(i * tokens // n + 1, (i + 1) * tokens // n)) for i in range(n)]
+
+
+def aligned(words: list[str], text: str, starts: np.ndarray, stops: np.ndarray, n: int) -> list[tuple[int, int]]:
+    found = spans_of(words[:n], text)
+    if found is None or len(found) < n:
+        return proportional(n, len(starts))
+    if not found:
+        return []
+    begin, end = np.array(found).T
+    low, high = np.searchsorted(stops, begin, "right"), np.searchsorted(starts, end, "left")
+    return [(int(a), int(b)) if b > a else (0, 1) for a, b in zip(low, high, strict=True)]
+
+
+@F.arrow_udf(SPANS)
+def aligned_spans(words: pa.Array, text: pa.Array, starts: pa.Array, stops: pa.Array, n: pa.Array) -> pa.Array:
+    """STR29, WIN13, JN8, WIN14: the tokens, ``[start, stop)``, of each of ``n``
+    words. Words beyond ``n`` are cut off; each word is searched for from the end
+    of the one before, and takes the tokens whose characters it shares (the first
+    token, if there is none). Where there are fewer words than ``n`` or one isn't
+    found, the tokens are shared out evenly. ``starts`` and ``stops`` are the
+    tokens' characters in order; anything null gives null."""
+    out = []
+    for w, t, a, b, k in zip(*(c.to_pylist() for c in (words, text, starts, stops, n)), strict=True):
+        whole = None not in (w, t, a, b, k)
+        out.append([{"start": x, "stop": y} for x, y in aligned(w, t, np.array(a, np.int64), np.array(b, np.int64), k)] if whole else None)
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+
+
 def lines_of(words: list[str], width: int) -> list[str]:
     lines: list[list[str]] = []
     room = -1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrow import char_distance, forward_spans, token_distance, wrapped  # noqa: F401
+from .arrow import aligned_spans, char_distance, forward_spans, token_distance, wrapped  # noqa: F401
 
 # Words that label a field, and characters that are easily taken
 # for one another.

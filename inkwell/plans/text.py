@@ -50,7 +50,18 @@ def cer_raw(t):
     return pairs(t).select("conv_id", "turn", F.round(T.raw_cer(F.col("h"), F.col("r")), 6).alias("raw"))
 
 
-@query()
+def words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({NORM_SQL.format(x)}, '\\s+'), lambda x: x <> '')"
+
+
+#: Edit distance of lists h and r: each word of h makes the next row of the table.
+TOKENS_SQL = """list_reduce(list_prepend(range(0, len(r) + 1), list_transform(h, lambda x: [CAST(hash(x) >> 1 AS BIGINT)])), lambda prev, x:
+list_reduce(list_prepend([prev[1] + 1], list_transform(range(1, len(r) + 1), lambda j: [j])), lambda acc, j:
+list_append(acc, least(prev[j[1] + 1] + 1, acc[-1] + 1, prev[j[1]] + CASE WHEN CAST(hash(r[j[1]]) >> 1 AS BIGINT) = x[1] THEN 0 ELSE 1 END))))[-1]"""
+WER_SQL = f"CASE WHEN len(r) > 0 THEN {TOKENS_SQL} / len(r) WHEN len(h) > 0 THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT conv_id, turn, round({WER_SQL}, 6) AS rate FROM (SELECT conv_id, turn, {words_sql('h')} AS h, {words_sql('r')} AS r FROM ({PAIRS_SQL}) WHERE h IS NOT NULL)")
 def wer_pairs(t):
     return pairs(t).select("conv_id", "turn", F.round(T.wer(F.col("h"), F.col("r")), 6).alias("rate"))
 
@@ -89,7 +100,11 @@ def exact_match(t):
     return rows.select("conv_id", "turn", T.exact_match(F.col("text"), F.col("nxt")).alias("same"), T.normalise(F.col("text")).alias("norm"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT conv_id, turn, text, left(text, greatest(length(text) - 2, 0)) AS clean FROM conversations), a AS (SELECT *, translate(clean, 'ae', 'ea') AS adv FROM c),
+w AS (SELECT conv_id, turn, kind, round({WER_SQL}, 6) AS wer FROM (SELECT conv_id, turn, k.kind, {words_sql('k.reading')} AS h, {words_sql('text')} AS r FROM a, LATERAL (VALUES ('clean', clean), ('adv', adv)) k(kind, reading))),
+m AS (SELECT conv_id, turn, round({cer_sql('clean', 'text')}, 6) AS cer_clean, round({cer_sql('adv', 'text')}, 6) AS cer_adv, {NORM_SQL.format('adv')} = {NORM_SQL.format('text')} AS exact_adv, round(greatest(0, 1 - {cer_sql('adv', 'text')}), 6) AS accuracy FROM a)
+SELECT m.*, x.wer AS wer_clean, y.wer AS wer_adv, round(cer_adv - cer_clean, 6) AS cer_delta, round(y.wer - x.wer, 6) AS wer_delta FROM m
+JOIN w x ON x.conv_id = m.conv_id AND x.turn = m.turn AND x.kind = 'clean' JOIN w y ON y.conv_id = m.conv_id AND y.turn = m.turn AND y.kind = 'adv'""")
 def metrics_delta(t):
     """STR6: clean and perturbed readings of each turn; the clean one lacks the
     end, the perturbed one reads a for e and e for a besides."""
@@ -125,14 +140,29 @@ def slug_lines(t):
     return rows.select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.size(F.filter("l", T.is_slug_line)).cast("bigint").alias("n_slug"))
 
 
-@query("""SELECT conv_id, turn, trim(text) AS answer, trim(text) AS said, trim(text) AS thought FROM conversations""")
+#: What stands before and after a turn's text, by its number, for three kinds of clean-up.
+SAID = {
+    "answer": [("  Assistant \nTranscribe exactly all visible text. Output only the text, nothing else. ", ""), ("", ""), ("ASSISTANT", "  "), ("transcribe exactly all visible text. output only the text, nothing else\n", "")],
+    "said": [('The text in the image reads: "', '"'), ("''", "'"), ("the image shows: ", ""), ("The text says ", ' ""')],
+    "thought": [("<think>a\nb</think>", ""), ("", "<think></think>"), (" <think>x</think> ", "<think>y"), ("", "")],
+}
+RAW_CASES = {n: "CASE turn % 4 " + " ".join(f"WHEN {i} THEN '" + a.replace("'", "''") + "' || text || '" + b.replace("'", "''") + "'" for i, (a, b) in enumerate(x)) + " END" for n, x in SAID.items()}
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, trim({RAW_CASES['answer']}) AS a, trim({RAW_CASES['said']}) AS s, {RAW_CASES['thought']} AS h FROM conversations), b AS (
+SELECT *, trim(regexp_replace(s, '^the (text (in the image )?(reads|is|says)|image (shows|contains|displays|reads))[\\s:"'']*', '', 'i')) AS s1 FROM s)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(a, '^\\s*assistant\\s*', '', 'i'), '^Transcribe exactly all visible text\\. Output only the text, nothing else\\.?\\s*', '', 'i')) AS answer,
+trim(regexp_replace(trim(regexp_replace(s1, '^"+|"+$', '', 'g')), '^''+|''+$', '', 'g')) AS said, trim(regexp_replace(h, '<think>.*?</think>', '', 'gs')) AS thought FROM b""")
 def clean_prediction(t):
-    said = lambda before, after="": F.concat(F.lit(before), "text", F.lit(after))
-    prompt = "  Assistant \nTranscribe exactly all visible text. Output only the text, nothing else. "
-    return t.conversations.select(
-        "conv_id", "turn", T.clean_prediction(said(prompt)).alias("answer"), T.strip_preamble(said('The text in the image reads: "', '"')).alias("said"),
-        T.strip_thoughts(said("<think>a\nb</think>")).alias("thought"),
-    )
+    """STR9, STR10, STR11: what models put around their answers, taken off."""
+
+    def said(kind):
+        raw = F.lit(None).cast("string")
+        for i, (before, after) in enumerate(SAID[kind]):
+            raw = F.when(F.col("turn") % 4 == i, F.concat(F.lit(before), "text", F.lit(after))).otherwise(raw)
+        return raw
+
+    return t.conversations.select("conv_id", "turn", T.clean_prediction(said("answer")).alias("answer"), T.strip_preamble(said("said")).alias("said"), T.strip_thoughts(said("thought")).alias("thought"))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, replace(replace(lower(url), ' ', ''), '''', '') AS slug FROM pages""")
@@ -154,10 +184,33 @@ def json_scan(t):
     return rows.filter("k IS NOT NULL AND k > 50")
 
 
-@query("""SELECT doc_id, len(string_split(text, chr(10))) AS n_parts, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_tokens FROM documents""")
+@query("""WITH d AS (SELECT doc_id, replace(text, chr(10), CASE doc_id % 3 WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) ELSE '  ' || chr(10) || chr(10) || '  ' || chr(10) || chr(10) || chr(10) END) AS text FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p, text FROM d), f AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE [text] END AS p FROM p)
+SELECT doc_id, len(p) AS n_parts, list_max(list_transform(p, lambda x: length(x))) AS longest, p[-1] AS last FROM f""")
 def paragraphs(t):
-    spaced = T.paragraphs(F.concat(F.lit("x\n\n"), F.replace("text", F.lit("\n"), F.lit("x\n\nx"))))
-    return t.documents.select("doc_id", (F.size(spaced) - 1).cast("long").alias("n_parts"), F.size(T.words(F.col("text"))).cast("long").alias("n_tokens"))
+    """STR22: texts whose lines are set apart by blank lines, by none, or by blank
+    lines with parts of blanks between them."""
+    gap = F.expr("CASE doc_id % 3 WHEN 0 THEN '\\n\\n' WHEN 1 THEN '\\n' ELSE '  \\n\\n  \\n\\n\\n' END")
+    parts = t.documents.select("doc_id", T.paragraphs(F.replace("text", F.lit("\n"), gap)).alias("p"))
+    return parts.select("doc_id", F.size("p").cast("long").alias("n_parts"), F.array_max(F.transform("p", F.char_length)).cast("long").alias("longest"), F.element_at("p", -1).alias("last"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations), s AS (SELECT conv_id, turn, w, array_to_string(w, ' ') AS text, CAST(len(w) + turn % 3 - 1 AS BIGINT) AS n FROM w),
+p AS (SELECT *, unnest(range(0, n)) AS i, (length(text) + 3) // 4 AS tokens FROM s WHERE n > 0), c AS (SELECT *, length(array_to_string(w[:i], ' ')) + CASE WHEN i > 0 THEN 1 ELSE 0 END AS off FROM p)
+SELECT conv_id, turn, CAST(i AS INTEGER) AS pos, CAST(CASE WHEN n > len(w) OR conv_id % 7 = 0 THEN i * tokens // n ELSE off // 4 END AS INTEGER) AS first,
+CAST(CASE WHEN n > len(w) OR conv_id % 7 = 0 THEN greatest(i * tokens // n + 1, (i + 1) * tokens // n) ELSE (off + length(w[i + 1]) - 1) // 4 + 1 END AS INTEGER) AS stop FROM c""")
+def token_alignment(t):
+    """STR29, WIN13, JN8, WIN14 chained: tokens are pieces of four characters; a
+    turn has a box too few, as many as words, or one too many, and in every
+    seventh conversation the first word isn't what is read."""
+    rows = t.conversations.select("conv_id", "turn", T.words(F.col("text")).alias("w")).withColumn("text", F.array_join("w", " "))
+    read = F.when(F.col("conv_id") % 7 == 0, F.transform("w", lambda x: F.concat(x, F.lit("\u00a7")))).otherwise(F.col("w"))
+    starts = F.expr("if(length(text) > 0, sequence(0, cast((length(text) - 1) div 4 * 4 as int), 4), array())").cast("array<int>")
+    rows = rows.withColumns({"a": starts, "n": (F.size("w") + F.col("turn") % 3 - 1).cast("int"), "read": read})
+    rows = rows.withColumn("b", F.transform("a", lambda x: F.least(x + 4, F.char_length("text"))))
+    spans = T.aligned_spans("read", "text", "a", "b", F.greatest("n", F.lit(0)))
+    found = rows.select("conv_id", "turn", F.posexplode(spans).alias("pos", "s"))
+    return found.select("conv_id", "turn", "pos", F.col("s.start").alias("first"), F.col("s.stop").alias("stop"))
 
 
 @query("""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n, CASE WHEN regexp_matches(text, '\\S') THEN length(regexp_replace(text, '\\s+$', '')) END AS last FROM documents""")
@@ -168,7 +221,9 @@ def forward_search(t):
     return rows.select("doc_id", F.size("s").cast("bigint").alias("n"), F.try_element_at("s", F.lit(-1))["stop"].cast("bigint").alias("last"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(w, lambda x: list_transform(range(0, (length(x) + 39) // 40), lambda i: substr(x, CAST(i * 40 + 1 AS BIGINT), 40)))) AS p FROM w)
+SELECT doc_id, unnest(string_split(list_reduce(p, lambda a, x: a || CASE WHEN length(string_split(right(a, 41), chr(10))[-1]) + 1 + length(x) <= 40 THEN ' ' ELSE chr(10) END || x), chr(10))) AS line FROM p WHERE len(p) > 0""")
 def word_wrap(t):
     return t.documents.select("doc_id", F.explode(T.wrapped(T.words(F.col("text")), 40)).alias("line"))
 

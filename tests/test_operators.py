@@ -232,3 +232,32 @@ def test_scans(spark, tmp_path):
     assert sorted(x["k"] for a in arrays for x in a) == list(range(50)) and all(len({x["render_mode"] for x in a}) == 1 for a in arrays)
     sinks.write_lines_and_array(rows, str(tmp_path / "one"))
     assert sorted(x["k"] for p in (tmp_path / "one/labels.json").glob("part-*") for x in json.loads(p.read_text())) == list(range(50))
+
+
+def plain_alignment(words, text, offsets, n):
+    """Word by word over all tokens."""
+    words, spans, at = words[:n], [], 0
+    for w in words:
+        k = text.find(w, at)
+        if k < 0:
+            break
+        at = k + len(w)
+        own = [i for i, (a, b) in enumerate(offsets) if b > k and a < at]
+        spans.append((own[0], own[-1] + 1) if own else (0, 1))
+    if len(spans) < n:
+        return [(int(i * len(offsets) / n), max(int(i * len(offsets) / n) + 1, int((i + 1) * len(offsets) / n))) for i in range(n)]
+    return spans
+
+
+def test_alignment():
+    rng = random.Random(9)
+    for _ in range(300):
+        words = ["".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 12))]
+        text = rng.choice([" ", "  ", "\n"]).join(words)
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, rng.randint(0, 8))))
+        offsets = [(a + rng.randint(0, 1) * (b - a > 1), b) for a, b in zip(cuts, cuts[1:])]
+        if rng.random() < 0.3 and words:
+            words = [*words[:-1], words[-1] + "?"]
+        n = max(0, len(words) + rng.randint(-2, 2))
+        starts, stops = (np.array(x, np.int64) for x in (list(zip(*offsets)) or [[], []]))
+        assert arrow.aligned(words, text, starts, stops, n) == plain_alignment(words, text, offsets, n)

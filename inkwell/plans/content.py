@@ -10,15 +10,37 @@ from ..functions import text as T
 from ..registry import query
 
 
+def draw(seed: int, key: str, slot: str, n: int):
+    """SMP4: a whole number below ``n`` from the first eight digits of an MD5 of
+    seed, key and slot: the same for the same key, in whatever order rows come
+    and on whatever engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(slot)))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
+
 def pick(seed: int, key: str, slot: str, values: list):
-    """SMP1-4: one of the values by a hash of seed, key and slot: the same for
-    the same key, in whatever order rows come."""
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(slot)), F.lit(len(values)))
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    """SMP1-3: one of the values."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (draw(seed, key, slot, len(values)) + 1).cast("int"))
 
 
 def number(seed: int, key: str, slot: str, low: int, high: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(slot)), F.lit(high - low + 1)) + low
+    return draw(seed, key, slot, high - low + 1) + low
+
+
+def draw_sql(seed, key, slot, n):
+    return f"(CAST('0x' || left(md5('{seed}:' || CAST({key} AS VARCHAR) || ':{slot}'), 8) AS BIGINT) % {n})"
+
+
+def list_sql(values):
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+def pick_sql(seed, key, slot, values):
+    return f"{list_sql(values)}[{draw_sql(seed, key, slot, len(values))} + 1]"
+
+
+def number_sql(seed, key, slot, low, high):
+    return f"({draw_sql(seed, key, slot, high - low + 1)} + {low})"
 
 
 def orders_with_lines(t):
@@ -133,14 +155,27 @@ def page_fragments(t):
 
 # Patterns by category: %w a word, %c a code, %d a digit, %n a number of four digits.
 PATTERNS = {
-    "short_structured": ["%c%n", "%c-%n", "%c %n", "%d%d%d-%n", "%c%d%d-%c%n", "#%n", "Room %d%d%d", "Gate %c%d", "Seat %d%dA", "Bay %c-%d", "Lot %n", "Unit %d%d/%n", "Ref. %c%n", "No. %n-%d", "Pin %n", "Row %d, %c"],
-    "name_entity": ["%w %w", "Dr. %w %w", "%w & %w Ltd", "%w %c. %w", "%w Street %d%d", "%w Holdings", "Prof. %w %w", "%w and Sons", "Mt. %w", "The %w Hotel"],
+    "short_structured": [
+        "%c%n", "%c-%n", "%c %n", "%d%d%d-%n", "%c%d%d-%c%n", "#%n", "Room %d%d%d", "Gate %c%d", "Seat %d%dA", "Bay %c-%d", "Lot %n", "Unit %d%d/%n", "Ref. %c%n", "No. %n-%d", "Pin %n", "Row %d, %c",
+        "%d%d:%d%d", "%d.%d%d EUR", "%n kWh", "%d%d%", "Exit %d%c", "Locker %n", "v%d.%d.%d", "%c/%n/%d", "Shelf %c%d", "Tray %n", "%n-%n", "Page %d%d", "Zone %c", "Level %d", "Dock %d%d", "Key %c%c%n", "%d%d.%d%d.20%d%d",
+        "Tank %d: %n l", "Line %c%d%d", "(%d%d) %n", "Desk %n", "Slot %c%n", "Box %d of %d", "%n %c",
+    ],
+    "name_entity": [
+        "%w %w", "Dr. %w %w", "%w & %w Ltd", "%w %c. %w", "%w Street %d%d", "%w Holdings", "Prof. %w %w", "%w and Sons", "Mt. %w", "The %w Hotel",
+        "%w Valley", "%w Road %n", "Port %w", "%w Brothers Inc.", "Lake %w", "St. %w College", "%w-%w Partners", "Cafe %w", "Captain %w", "%w Museum of %w",
+    ],
     "natural_phrase": ["Please return the %w by noon.", "The %w is closed on %w days.", "Keep the %w dry.", "Mind the %w.", "Open the %w slowly.", "No %w beyond this point.", "Ask for the %w at the desk.", "All %w must be signed."],
-    "semi_structured": ["Invoice %c-%n", "Invoice %n: %w", "Room %d%d / %n", "Order %n (%w)", "Ref %c %n, %w", "Ticket %c%n for %w", "Total: %n.%d%d", "Due: 20%d%d-0%d-1%d", "Tel. %n %n", "Status: %w/%c", "Batch %c, item %d%d", "Case %n, page %d"],
+    "semi_structured": [
+        "Invoice %c-%n", "Invoice %n: %w", "Room %d%d / %n", "Order %n (%w)", "Ref %c %n, %w", "Ticket %c%n for %w", "Total: %n.%d%d", "Due: 20%d%d-0%d-1%d", "Tel. %n %n", "Status: %w/%c", "Batch %c, item %d%d", "Case %n, page %d",
+        "Sent to %w, %d%d items", "Meter %n: %d%d.%d", "%w: %n of %n", "Train %c%d at 1%d:%d%d", "From %w to %w", "Code %c (%w)", "Batch %n by %w", "Weight %d%d.%d kg", "Stock: %n %w", "Flight %c%n, gate %d%d", "Paid %n.%d%d by %w",
+        "Version %d.%d (%w)", "Shift %d, %w", "Deposit %n, rate %d.%d", "Size %d%d x %d%d", "Part %c-%d%d, %w", "Valid to 1%d/20%d%d", "Account %n: %w", "Plan %w, tier %d", "Seat %d%d%c, %w", "Lab %c: %d.%d%d", "Row %d, col %d: %n",
+        "Dose %d%d mg, %w", "Area %n m2", "Call %n, ask for %w",
+    ],
 }
 WORDS = ["Harbour", "Lantern", "Meadow", "Quartz", "Rowan", "Saffron", "Timber", "Willow", "Ember", "Cobalt"]
 CODES = ["AX", "QR", "ZT", "LM", "PK"]
 KEYS = ["Name", "ID", "Date", "Ref", "Status", "Code", "Order", "Ticket"]  # Fixed value: keys of a key and value layout.
+MOST_MARKS = 6
 
 
 def composed(seed: int, key: str, slot: str, category: str):
@@ -149,14 +184,36 @@ def composed(seed: int, key: str, slot: str, category: str):
     marks = {"%w": lambda i: pick(seed, key, f"{slot}/w{i}", WORDS), "%c": lambda i: pick(seed, key, f"{slot}/c{i}", CODES), "%d": lambda i: number(seed, key, f"{slot}/d{i}", 0, 9).cast("string"), "%n": lambda i: F.lpad(number(seed, key, f"{slot}/n{i}", 1, 9999).cast("string"), 4, "0")}
     for mark, fill in marks.items():
         pieces = F.split(shown, mark)
-        shown = F.array_join(F.flatten(F.zip_with(pieces, F.concat(F.array(F.lit("")), F.array(*[fill(i) for i in range(5)])), lambda p, f: F.when(p.isNotNull(), F.array(f, p)).otherwise(F.array().cast("array<string>")))), "")
+        shown = F.array_join(F.flatten(F.zip_with(pieces, F.concat(F.array(F.lit("")), F.array(*[fill(i) for i in range(MOST_MARKS)])), lambda p, f: F.when(p.isNotNull(), F.array(f, p)).otherwise(F.array().cast("array<string>")))), "")
+    return shown
+
+
+def composed_sql(seed, key, slot, category):
+    """The marks filled one after another, the first that is left each time."""
+    shown = pick_sql(seed, key, f"{slot}/{category}", PATTERNS[category])
+    fills = {"%w": lambda i: pick_sql(seed, key, f"{slot}/w{i}", WORDS), "%c": lambda i: pick_sql(seed, key, f"{slot}/c{i}", CODES), "%d": lambda i: f"CAST({number_sql(seed, key, f'{slot}/d{i}', 0, 9)} AS VARCHAR)", "%n": lambda i: f"printf('%04d', {number_sql(seed, key, f'{slot}/n{i}', 1, 9999)})"}
+    for mark, fill in fills.items():
+        for i in range(max(p.count(mark) for p in PATTERNS[category])):
+            shown = f"regexp_replace({shown}, '{mark}', {fill(i)})"
     return shown
 
 
+def kinds_sql(seed, key, kind, slot, kinds):
+    return f"CASE {kind} " + " ".join(f"WHEN '{c}' THEN {composed_sql(seed, key, slot, c)}" for c in kinds) + " END"
+
+
+PLAIN_KINDS, VALUE_KINDS = ["natural_phrase", "semi_structured", "short_structured"], ["name_entity", "short_structured", "semi_structured"]
+GEN_SQL = f"""WITH d AS (SELECT c_custkey, [{", ".join(pick_sql(7, "c_custkey", f"kind{i}", PLAIN_KINDS) for i in range(3))}][:{number_sql(7, "c_custkey", "lines", 2, 3)}] AS drawn,
+list_transform(list_sort([{", ".join(f"md5('7:' || CAST(c_custkey AS VARCHAR) || ':{k}') || '{k}'" for k in KEYS)}]), lambda x: x[33:]) AS keys FROM customer),
+l AS (SELECT c_custkey, drawn, list_filter([{", ".join(kinds_sql(7, "c_custkey", f"drawn[{i + 1}]", f"line{i}", PLAIN_KINDS) for i in range(3))}], lambda x: x IS NOT NULL) AS lines,
+[{", ".join(f"keys[{i + 1}] || ': ' || " + kinds_sql(7, "c_custkey", pick_sql(7, "c_custkey", f"value{i}", VALUE_KINDS), f"kv{i}", VALUE_KINDS) for i in range(3))}][:{number_sql(7, "c_custkey", "pairs", 2, 3)}] AS pairs FROM d)
+SELECT c_custkey, {", ".join(f'{composed_sql(7, "c_custkey", "one", c)} AS {c}' for c in PATTERNS)}, lines, coalesce(list_filter(drawn, lambda k: len(list_filter(drawn, lambda x: x = k)) > 1)[1], drawn[1]) AS dominant, pairs, regexp_matches(array_to_string(lines, ''), '[O0I1l]') AS ambiguous FROM l"""
+
+
 def plain_lines(seed: int, key: str):
     """STR25, AGG24: two or three lines of drawn categories, and the one that
     most of them have (the first drawn, if all differ)."""
-    kinds = ["natural_phrase", "semi_structured", "short_structured"]
+    kinds = PLAIN_KINDS
     drawn = F.slice(F.array(*[pick(seed, key, f"kind{i}", kinds) for i in range(3)]), F.lit(1), number(seed, key, "lines", 2, 3).cast("int"))
     line = lambda k, i: F.coalesce(*[F.when(k == c, composed(seed, key, f"line{i}", c)) for c in kinds])
     lines = F.filter(F.array(*[line(F.try_element_at(drawn, F.lit(i + 1)), i) for i in range(3)]), lambda x: x.isNotNull())
@@ -166,14 +223,14 @@ def plain_lines(seed: int, key: str):
 
 def key_value_lines(seed: int, key: str):
     """STR25: two or three different keys, each with a value of a drawn category."""
-    kinds = ["name_entity", "short_structured", "semi_structured"]
-    shuffled = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.col(key), F.lit(k)).alias("h"), F.lit(k).alias("k")) for k in KEYS]))
+    kinds = VALUE_KINDS
+    shuffled = F.array_sort(F.array(*[F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(k))).alias("h"), F.lit(k).alias("k")) for k in KEYS]))
     value = lambda i: F.coalesce(*[F.when(pick(seed, key, f"value{i}", kinds) == c, composed(seed, key, f"kv{i}", c)) for c in kinds])
     lines = F.array(*[F.concat(shuffled[i]["k"], F.lit(": "), value(i)) for i in range(3)])
     return F.slice(lines, F.lit(1), number(seed, key, "pairs", 2, 3).cast("int"))
 
 
-@query()
+@query(GEN_SQL)
 def gen_text(t):
     """STR24, STR25: seeded texts of every category, and texts of several lines."""
     k = "c_custkey"
@@ -183,7 +240,12 @@ def gen_text(t):
     return rows.withColumn("ambiguous", T.is_ambiguous(F.array_join("lines", "")))
 
 
-@query()
+def _n(seed, slot, low, high):
+    return number_sql(seed, "c_custkey", slot, low, high)
+
+
+@query(f"""SELECT c_custkey, printf('%03d-%03d  %04d %04d %02d', {_n(3, "bank", 10, 799)}, {_n(3, "branch", 0, 999)}, {_n(3, "a", 1000, 9999)}, {_n(3, "b", 1000, 9999)}, {_n(3, "c", 10, 99)}) AS account,
+'****' || CAST({_n(3, "m", 1000, 9999)} AS VARCHAR) AS masked, {pick_sql(3, "c_custkey", "style", ["P", "MR", "PT", "HC"])} || '-' || CAST({_n(3, "p", 100000, 9999999)} AS VARCHAR) AS patient FROM customer""")
 def gen_ids(t):
     """STR26: identifiers by hash."""
     # The forms of account and patient numbers.
@@ -193,7 +255,12 @@ def gen_ids(t):
     return t.customer.select(k, account.alias("account"), F.concat(F.lit("****"), number(3, k, "m", 1000, 9999).cast("string")).alias("masked"), patient.alias("patient"))
 
 
-@query()
+def _p(seed, slot, values):
+    return pick_sql(seed, "c_custkey", slot, values)
+
+
+@query(f"""SELECT c_custkey, CASE WHEN {_n(5, "layout", 0, 99)} < 60 THEN 'single_line' WHEN {_n(5, "layout", 0, 99)} < 80 THEN 'multi_line' ELSE 'key_value' END AS layout, {_p(5, "category", list(PATTERNS))} AS category, {_p(5, "family", ["sans", "serif", "mono"])} AS family,
+{_p(5, "size", [18, 26, 36])} AS size, {_n(5, "bold", 0, 99)} < 35 AS bold, {_p(5, "palette", list(range(7)))} AS palette, CASE WHEN {_n(5, "ground", 0, 2)} < 2 THEN 'plain' ELSE 'noisy' END AS background, {_p(5, "width", [1280, 1366, 1440, 1920])} AS width, {_p(5, "height", [720, 768, 900, 1080])} AS height FROM customer""")
 def layout_mix(t):
     """SMP1, SMP3, SMP4: sampled specifications of a sample's look."""
     k = "c_custkey"
@@ -215,7 +282,16 @@ GREY, LABEL_GREY = (15, 35), (90, 130)
 GOOD, BAD = ((25, 50), (120, 160), (60, 100)), ((160, 210), (30, 60), (20, 50))
 
 
-@query()
+def _colour_sql(name, ranges):
+    return "[" + ", ".join(f"CAST({_n(9, f'{name}{i}', *r)} AS INTEGER)" for i, r in enumerate(ranges)) + f"] AS {name}"
+
+
+def _grey_sql(name, r):
+    return "[" + ", ".join([f"CAST({_n(9, name, *r)} AS INTEGER)"] * 3) + f"] AS {name}"
+
+
+@query(f"""SELECT c_custkey, {", ".join(f"CAST({_p(9, n, v)} AS DOUBLE) AS {n}" if n == "line_spacing" else f"{_p(9, n, v)} AS {n}" for n, v in LAYOUT.items())},
+{_grey_sql("text_color", GREY)}, {_grey_sql("label_color", LABEL_GREY)}, {_colour_sql("good_color", GOOD)}, {_colour_sql("bad_color", BAD)} FROM customer""")
 def layout_spec(t):
     """SMP2: ten uniform choices and colours within ranges, by category and key."""
     k = "c_custkey"
@@ -233,16 +309,13 @@ def font_of(paths: Column, family: Column, bold: Column, seed: int, key: str) ->
     some = F.when(bold & (F.size(heavy) > 0), heavy).otherwise(own)
     for name in ("sans", "serif", "mono"):
         some = F.when(F.size(some) > 0, some).otherwise(F.coalesce(F.try_element_at(paths, F.lit(name)), some))
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit("font")), F.greatest(F.size(some), F.lit(1)))
+    at = draw(seed, key, "font", 1 << 32) % F.greatest(F.size(some), F.lit(1))
     return F.coalesce(F.try_element_at(some, (at + 1).cast("int")), F.lit("default"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_nationkey < 9 THEN 'a/Sans-Bold.ttf' ELSE 'sans' END WHEN 1 THEN 'a/Serif.ttf' WHEN 2 THEN 'sans' ELSE 'sans' END AS font FROM customer""")
+@query(f"""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 AND c_nationkey < 9 THEN 'a/Sans-Bold.ttf' WHEN c_custkey % 4 = 1 THEN 'a/Serif.ttf' ELSE ['a/Sans.ttf', 'a/Sans-Bold.ttf'][{draw_sql(3, "c_custkey", "font", 1 << 32)} % 2 + 1] END AS font FROM customer""")
 def font_pick(t):
-    """SMP5; where two files would do, their family is shown."""
+    """SMP5: families with a bold file and without one, and two that have none."""
     paths = F.create_map(F.lit("sans"), F.array(F.lit("a/Sans.ttf"), F.lit("a/Sans-Bold.ttf")), F.lit("serif"), F.array(F.lit("a/Serif.ttf")))
     family = F.element_at(F.array(*map(F.lit, ("sans", "serif", "mono", "script"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    bold = F.col("c_nationkey") < 9
-    font = font_of(paths, family, bold, 3, "c_custkey")
-    either = F.startswith(font, F.lit("a/Sans")) & ~(bold & (family == "sans"))
-    return t.customer.select("c_custkey", F.when(either, "sans").otherwise(font).alias("font"))
+    return t.customer.select("c_custkey", font_of(paths, family, F.col("c_nationkey") < 9, 3, "c_custkey").alias("font"))

@@ -42,11 +42,9 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, segment_r
     So that no row or task holds a whole long conversation, its rendering is cut
     between turns: at multiples of ``segment_turns`` turn numbers, counted from
     its first turn, and a segment of more than ``segment_rows`` rows (one turn
-    number may have any number of rows) into parts. Nothing is left out and the
-    concatenation has every turn. Order is by turn, then role, then text; where
-    a segment is cut into parts, the rows of one turn number go by a hash of
-    role and text first, and those repeated very often last. Repeated rows are
-    turns each. A null role is the participant ``unknown``, a null text is empty,
+    number may have any number of rows) into parts of that many. Nothing is left
+    out and the concatenation has every turn. Order is by turn, then role, then
+    text, in parts as in whole segments. Repeated rows are turns each. A null role is the participant ``unknown``, a null text is empty,
     a null turn counts as number 0; rows with a null conv_id form one
     conversation. A conversation with a system turn only
     gives no row; neither does an empty table; other columns are not read.
@@ -57,20 +55,20 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, segment_r
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    casts = rows.groupBy(F.col("conv_id").alias("_c")).agg(
-        F.min("turn").alias("_first"), F.array_sort(F.collect_set(F.when(~F.col("role").isin(*SCENE), F.col("role")))).alias("_cast")
-    )
-    placed = rows.join(casts, rows.conv_id.eqNullSafe(casts._c)).withColumn("segment", F.expr(f"(turn - _first) div {int(segment_turns)}"))
-    placed = placed.select("conv_id", "segment", "turn", "role", "text", "_cast")
-    segments = _gathered(placed.withColumns({"part": F.lit(0), "times": F.lit(1)}))
+    begins = rows.groupBy(F.col("conv_id").alias("_c")).agg(F.min("turn").alias("_first"))
+    casts = rows.filter(~F.col("role").isin(*SCENE)).select(F.col("conv_id").alias("_c"), F.col("role").alias("assistant")).distinct()
+    segment = F.expr(f"(turn - _first) div {int(segment_turns)}")
+    placed = rows.join(begins, rows.conv_id.eqNullSafe(begins._c)).withColumn("segment", segment).select("conv_id", "segment", "turn", "role", "text")
+    segments = _gathered(placed.withColumns({"part": F.lit(0).cast("long"), "times": F.lit(1)}))
     sizes = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
-    sizes = sizes.join(casts, sizes.conv_id.eqNullSafe(casts._c)).groupBy("conv_id", F.expr(f"(turn - _first) div {int(segment_turns)}").alias("segment"))
+    sizes = sizes.join(begins, sizes.conv_id.eqNullSafe(begins._c)).groupBy("conv_id", segment.alias("segment"))
     large = checkpointed(sizes.agg(F.sum("n").alias("n")).filter(F.col("n") > segment_rows).select(F.col("conv_id").alias("_l"), F.col("segment").alias("_s")))
     if not large.isEmpty():
         here = placed.conv_id.eqNullSafe(large._l) & (placed.segment == large._s)
-        few = placed.join(large, here, "left_anti").withColumns({"part": F.lit(0), "times": F.lit(1)})
+        few = placed.join(large, here, "left_anti").withColumns({"part": F.lit(0).cast("long"), "times": F.lit(1)})
         segments = _gathered(few.unionByName(_parts(placed.join(large, here, "left_semi"), segment_rows)))
-    one = segments.select("conv_id", "segment", "part", "turns", F.explode("_cast").alias("assistant"))
+    # Participants meet whole segments, not turns.
+    one = segments.join(casts, segments.conv_id.eqNullSafe(casts._c)).select("conv_id", "segment", F.col("part").cast("int").alias("part"), "turns", "assistant")
     role = "case when t.role = assistant then 'assistant' when t.role in ({}) then t.role else concat('user name=', t.name) end".format(
         ", ".join(f"'{x}'" for x in SCENE)
     )
@@ -95,29 +93,23 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, segment_r
 def _gathered(rows: DataFrame) -> DataFrame:
     """One row per conversation, segment and part, its turns in order."""
     turn = F.struct("turn", "role", F.col("text").alias("plain"), escaped(F.col("text")).alias("text"), escaped(F.col("role")).alias("name"), "times")
-    found = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.first("_cast").alias("_cast"))
+    found = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return found.withColumn("turns", F.expr("flatten(transform(turns, t -> array_repeat(t, t.times)))"))
 
 
 def _parts(rows: DataFrame, segment_rows: int) -> DataFrame:
-    """``rows`` of large segments with the part that each belongs to. Equal rows
-    are counted before they are dealt out, and a count above ``segment_rows`` is
-    divided, so that no part is larger however the rows repeat."""
-    counted = rows.groupBy("conv_id", "segment", "turn", "role", "text").agg(F.count("*").alias("n"), F.first("_cast").alias("_cast"))
-    many = F.col("n") > segment_rows // 16
-    light = F.sum(F.when(many, 0).otherwise(F.col("n")))
-    per_turn = counted.groupBy(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), F.col("turn").alias("_t")).agg(F.ceil(2 * light / segment_rows).alias("_ranges"))
-    here = counted.conv_id.eqNullSafe(per_turn._c) & (counted.segment == per_turn._s) & (counted.turn == per_turn._t)
-    spread = F.pmod(F.xxhash64("role", "text"), F.greatest(F.col("_ranges"), F.lit(1)))
-    dealt = counted.join(per_turn, here).select(
-        *counted.columns,
-        F.explode(F.expr(f"sequence(0, cast((n - 1) div {int(segment_rows)} as int))")).alias("chunk"),
-        F.when(many, F.struct(F.lit(1).alias("k"), F.xxhash64("role", "text").alias("h"))).otherwise(F.struct(F.lit(0).alias("k"), spread.alias("h"))).alias("range"),
-    )
-    dealt = dealt.withColumn("range", F.struct("turn", "range", F.when(many, F.struct("role", "text")).alias("own"), "chunk"))
-    dealt = dealt.withColumn("times", F.least(F.lit(segment_rows), F.col("n") - F.col("chunk") * segment_rows).cast("int"))
-    order = Window.partitionBy("_c", "_s").orderBy("_r")
-    names = dealt.select(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), F.col("range").alias("_r")).distinct()
-    names = names.withColumn("part", F.row_number().over(order) - 1)
-    here = dealt.conv_id.eqNullSafe(names._c) & (dealt.segment == names._s) & (dealt["range"] == names._r)
-    return dealt.join(names, here).select("conv_id", "segment", "turn", "role", "text", "_cast", "part", "times")
+    """``rows`` of large segments with the part that each belongs to: the number of
+    rows before it in the segment's order, divided by ``segment_rows``. Equal rows
+    are counted first, and go to as many parts as they fill; the rows before come
+    from sums over ranges of the order (cut by the texts' first characters), so
+    no segment is worked on as one."""
+    counted = rows.groupBy("conv_id", "segment", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("_k", F.struct("conv_id", "segment"))
+    dealt = checkpointed(counted.repartitionByRange("_k", "turn", "role", F.left("text", F.lit(64))).withColumn("_r", F.spark_partition_id()))
+    earlier = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_k", "_r").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_k", "_r").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(ranges, ["_k", "_r"]).withColumn("_stop", F.col("_before") + F.sum("n").over(inside)).withColumn("_start", F.col("_stop") - F.col("n"))
+    size = int(segment_rows)
+    found = placed.withColumn("part", F.explode(F.expr(f"sequence(_start div {size}, (_stop - 1) div {size})")))
+    times = F.least("_stop", (F.col("part") + 1) * size) - F.greatest("_start", F.col("part") * size)
+    return found.select("conv_id", "segment", "turn", "role", "text", "part", times.cast("int").alias("times"))

@@ -32,11 +32,27 @@ def labels(spark: SparkSession, folder: str, suffix: str = "", more: str | None
     a missing file raise, blank lines are skipped; both forms of word boxes give
     ``box``. ``equal`` are filters by column (FIL1: an empty one is off, a list
     means any of its values, null never equals), ``cap`` keeps the first rows by
-    ``ord`` after them (TOP1)."""
+    ``ord`` after them (TOP1); then only as many of the first files are read as
+    hold that many rows."""
     name = f"labels_{suffix}.jsonl" if suffix else "labels.jsonl"
+    places = [f"{place}/{name}" for place in ([folder, more] if more else [folder])]
+    if not cap:
+        return _labels(spark, [[p] for p in places], equal)
+    files = [(k, f) for k, p in enumerate(places) for f in sorted(spark.read.text(p).inputFiles())]
+    take = 1
+    while True:
+        rows = _labels(spark, [[f for k, f in files[:take] if k == n] for n in range(len(places))], equal)
+        if take >= len(files) or rows.limit(cap).count() == cap:
+            return rows.orderBy("ord").limit(cap)
+        take *= 4
+
+
+def _labels(spark: SparkSession, folders: list[list[str]], equal: dict) -> DataFrame:
     parts = []
-    for k, place in enumerate([folder, more] if more else [folder]):
-        rows = spark.read.schema(LABELS).option("mode", "FAILFAST").json(f"{place}/{name}")
+    for k, paths in enumerate(folders):
+        if not paths:
+            continue
+        rows = spark.read.schema(LABELS).option("mode", "FAILFAST").json(paths)
         order = F.struct(F.lit(k).alias("folder"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
         parts.append(rows.withColumn("ord", order))
     rows = reduce(DataFrame.unionByName, parts)
@@ -47,7 +63,7 @@ def labels(spark: SparkSession, folder: str, suffix: str = "", more: str | None
     for column, value in equal.items():
         if value:
             rows = rows.filter(F.col(column).isin(value) if isinstance(value, list) else F.col(column) == value)
-    return rows.orderBy("ord").limit(cap) if cap else rows
+    return rows
 
 
 def flat_words(rows: DataFrame) -> DataFrame:

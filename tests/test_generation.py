@@ -1,12 +1,14 @@
 """The generator as a data source and the collection of its answers as a stream."""
 
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import models
+from inkwell.sources import files
 from inkwell.sources.generation import Asked, GenerationReader, GenerationSource, PrunedReader
 from inkwell.streaming import generation as G
 
@@ -120,3 +122,81 @@ def test_advanced():
     assert G.advanced((0, 0, 0), [[], [], ["a"], [], [], [], ["b"]], 5, 100, 3) == ((1, 6, 3), ["a"])
     assert G.advanced((4, 1, 0), [["a", "b"], ["c"]], 5, 100, 3) == ((5, 2, 0), ["a"])
     assert G.advanced((0, 0, 0), [["a"]] * 9, 50, 4, 3) == ((4, 4, 0), ["a"] * 4)
+
+
+def counted():
+    """A class of its own, which goes to workers as a value."""
+
+    class Counted(models.EchoReader):
+        """Tells a file what is done with it."""
+
+        path = None
+
+        def tell(self, what):
+            with open(self.path, "a") as f:
+                f.write(f"{what} {os.getpid()}\n")
+
+        def __init__(self, path):
+            self.path = path
+            self.tell("load")
+
+        def transcribe(self, images):
+            if "bad" in images:
+                raise ValueError("unreadable")
+            return super().transcribe(images)
+
+        def rest(self):
+            self.tell("rest")
+
+        def wake(self):
+            self.tell("wake")
+
+        def close(self):
+            self.tell("close")
+
+    return Counted
+
+
+def test_pool(tmp_path):
+    """Loaded once, put to rest between tasks, closed on eviction and failure."""
+    Counted = counted()
+    made = {n: (lambda n=n: Counted(str(tmp_path / n))) for n in "ab"}
+    said = lambda n: [x.split()[0] for x in (tmp_path / n).read_text().splitlines()]
+    pool = models.Pool(1)
+    for _ in range(3):
+        with pool.lent("a", made["a"]):
+            pass
+    assert said("a") == ["load", "rest", "wake", "rest", "wake", "rest"]
+    with pool.lent("b", made["b"]):
+        pass
+    assert said("a")[-1] == "close" and list(pool.idle) == ["b"]
+    with pytest.raises(OSError), pool.lent("b", made["b"]):
+        raise OSError
+    assert said("b") == ["load", "rest", "wake", "close"] and not pool.idle
+
+
+def test_pool_in_tasks(spark, tmp_path, monkeypatch):
+    path, Counted = str(tmp_path / "log"), counted()
+    monkeypatch.setitem(models.REGISTRY, "counted", lambda: Counted(path))
+    rows = spark.range(40).selectExpr("cast(id AS string) AS image_id", "'hello' AS image").repartition(20)
+    assert models.transcribe(rows, "counted").count() == models.transcribe(rows, "counted").filter("transcript = 'he11o'").count() == 40
+    told = [x.split() for x in (tmp_path / "log").read_text().splitlines()]
+    loads = [pid for what, pid in told if what == "load"]
+    assert len(loads) == len(set(loads)) < 20 and sum(what == "rest" for what, _ in told) >= 20
+    bad = spark.range(1).selectExpr("'1' AS image_id", "'bad' AS image")
+    with pytest.raises(Exception, match="unreadable"):
+        models.transcribe(bad, "counted").collect()
+    assert "close" in (tmp_path / "log").read_text()
+
+
+def test_cap_reads_first_files(spark, tmp_path):
+    """Files beyond those that hold the first rows are not read."""
+    folder = tmp_path / "labels.jsonl"
+    folder.mkdir()
+    for k in range(6):
+        rows = [json.dumps({"image_id": f"{k}-{i}", "split": "train" if i % 2 else "test"}) for i in range(4)]
+        (folder / f"{k}.json").write_text("\n".join(rows) if k < 5 else "{broken")
+    got = files.labels(spark, str(tmp_path), cap=3, split="train")
+    assert [r.image_id for r in got.collect()] == ["0-1", "0-3", "1-1"] and {f.rsplit("/")[-1] for f in got.inputFiles()} == {f"{k}.json" for k in range(4)}
+    got = files.labels(spark, str(tmp_path), cap=2)
+    assert [r.image_id for r in got.collect()] == ["0-0", "0-1"] and len(got.inputFiles()) == 1

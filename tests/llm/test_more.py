@@ -162,6 +162,8 @@ def test_chat_long(spark):
         if conv == 1:
             said = "".join(f"<|{'assistant' if r[2] == own else 'user name=' + r[2]}|>\n{r[3]}<|end|>\n" for r in rows if r[0] == 1)
             assert text == said
+    at = sorted((r for r in rows if r[0] is None), key=lambda r: r[2:])
+    assert whole(got)[None, "a"][0] == "".join(f"<|{'assistant' if r[2] == 'a' else 'user name=b'}|>\n{r[3]}<|end|>\n" for r in at)
     assert whole(got)[2, "a"][0].startswith("<|user name=b|>\nfirst<|end|>\n")
     assert chat.perspectives(df.filter("turn > 9999")).count() == 0
 

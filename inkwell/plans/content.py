@@ -157,7 +157,7 @@ def page_fragments(t):
 PATTERNS = {
     "short_structured": [
         "%c%n", "%c-%n", "%c %n", "%d%d%d-%n", "%c%d%d-%c%n", "#%n", "Room %d%d%d", "Gate %c%d", "Seat %d%dA", "Bay %c-%d", "Lot %n", "Unit %d%d/%n", "Ref. %c%n", "No. %n-%d", "Pin %n", "Row %d, %c",
-        "%d%d:%d%d", "%d.%d%d EUR", "%n kWh", "%d%d%", "Exit %d%c", "Locker %n", "v%d.%d.%d", "%c/%n/%d", "Shelf %c%d", "Tray %n", "%n-%n", "Page %d%d", "Zone %c", "Level %d", "Dock %d%d", "Key %c%c%n", "%d%d.%d%d.20%d%d",
+        "%d%d:%d%d", "%d.%d%d EUR", "%n kWh", "%d%d pct", "Exit %d%c", "Locker %n", "v%d.%d.%d", "%c/%n/%d", "Shelf %c%d", "Tray %n", "%n-%n", "Page %d%d", "Zone %c", "Level %d", "Dock %d%d", "Key %c%c%n", "%d%d.%d%d.20%d%d",
         "Tank %d: %n l", "Line %c%d%d", "(%d%d) %n", "Desk %n", "Slot %c%n", "Box %d of %d", "%n %c",
     ],
     "name_entity": [

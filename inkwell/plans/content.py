@@ -175,7 +175,6 @@ PATTERNS = {
 WORDS = ["Harbour", "Lantern", "Meadow", "Quartz", "Rowan", "Saffron", "Timber", "Willow", "Ember", "Cobalt"]
 CODES = ["AX", "QR", "ZT", "LM", "PK"]
 KEYS = ["Name", "ID", "Date", "Ref", "Status", "Code", "Order", "Ticket"]  # Fixed value: keys of a key and value layout.
-MOST_MARKS = 6
 
 
 def composed(seed: int, key: str, slot: str, category: str):
@@ -183,8 +182,11 @@ def composed(seed: int, key: str, slot: str, category: str):
     shown = pick(seed, key, f"{slot}/{category}", PATTERNS[category])
     marks = {"%w": lambda i: pick(seed, key, f"{slot}/w{i}", WORDS), "%c": lambda i: pick(seed, key, f"{slot}/c{i}", CODES), "%d": lambda i: number(seed, key, f"{slot}/d{i}", 0, 9).cast("string"), "%n": lambda i: F.lpad(number(seed, key, f"{slot}/n{i}", 1, 9999).cast("string"), 4, "0")}
     for mark, fill in marks.items():
+        most = max(p.count(mark) for p in PATTERNS[category])
+        if not most:
+            continue
         pieces = F.split(shown, mark)
-        shown = F.array_join(F.flatten(F.zip_with(pieces, F.concat(F.array(F.lit("")), F.array(*[fill(i) for i in range(MOST_MARKS)])), lambda p, f: F.when(p.isNotNull(), F.array(f, p)).otherwise(F.array().cast("array<string>")))), "")
+        shown = F.array_join(F.flatten(F.zip_with(pieces, F.concat(F.array(F.lit("")), F.array(*[fill(i) for i in range(most)])), lambda p, f: F.when(p.isNotNull(), F.array(f, p)).otherwise(F.array().cast("array<string>")))), "")
     return shown
 
 

@@ -13,7 +13,7 @@ from ..registry import query
 WEIGHTS = {"m1": 0.6, "m2": 0.4}
 LOW, HIGH = 0.0157, 0.0627
 
-WORDS_SQL = """SELECT conv_id * 1000 + turn AS image, CAST(i - 1 AS INTEGER) AS pos, length(w[i]) AS n FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i
+WORDS_SQL = """SELECT conv_id * 4294967296 + turn AS image, CAST(i - 1 AS INTEGER) AS pos, length(w[i]) AS n FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i
 FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations))"""
 ROWS_SQL = f"""SELECT image, pos, n, m.model, m.k, CAST(m.a AS DOUBLE) AS a FROM ({WORDS_SQL}), (VALUES ('m1', 1, 0.6), ('m2', 2, 0.4)) m(model, k, a)"""
 
@@ -21,7 +21,7 @@ ROWS_SQL = f"""SELECT image, pos, n, m.model, m.k, CAST(m.a AS DOUBLE) AS a FROM
 def scored(t):
     """A row for each word and model: ``n`` its length, ``k`` the model's number."""
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("image"), F.posexplode(words).alias("pos", "w")).select("image", "pos", F.char_length("w").alias("n"))
+    rows = t.conversations.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("image"), F.posexplode(words).alias("pos", "w")).select("image", "pos", F.char_length("w").alias("n"))
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for k, m in enumerate(WEIGHTS, 1)])
     return rows.select("image", "pos", "n", F.inline(models))
 

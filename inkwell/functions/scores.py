@@ -156,6 +156,11 @@ def project_l2(v: Column, radius: float) -> Column:
     return bound(share, lambda k: F.transform(v, lambda x: x * k))
 
 
+def log(x: Column) -> Column:
+    """MTH11: the natural logarithm, minus infinity of 0, where Spark's is null."""
+    return F.when(x == 0, float("-inf")).otherwise(F.ln(x))
+
+
 def visual_kl(before: Column, after: Column) -> Column:
     """MTH9."""
     return F.greatest(F.lit(0.0), before - after)

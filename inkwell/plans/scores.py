@@ -67,7 +67,7 @@ def top_k_values(t):
 SELECT event_id, round(-lp, 6) AS surprise, round(greatest(0, prev - lp), 6) AS kl, round(coalesce(greatest(0, exp(greatest(prev, -500)) - exp(greatest(lp, -500))), 0), 6) AS dropped FROM l WHERE prev IS NOT NULL""")
 def kl_confdrop_surprise(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t.events.select("event_id", F.ln(F.col("value") / 500).alias("lp"), F.ln(F.lag("value").over(w) / 500).alias("prev")).filter("prev IS NOT NULL")
+    rows = t.events.select("event_id", S.log(F.col("value") / 500).alias("lp"), S.log(F.lag("value").over(w) / 500).alias("prev")).filter("prev IS NOT NULL")
     return rows.select(
         "event_id", F.round(-F.col("lp"), 6).alias("surprise"), F.round(S.visual_kl(F.col("prev"), F.col("lp")), 6).alias("kl"), F.round(S.confidence_drop(F.col("prev"), F.col("lp")), 6).alias("dropped")
     )

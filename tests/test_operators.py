@@ -261,3 +261,11 @@ def test_alignment():
         n = max(0, len(words) + rng.randint(-2, 2))
         starts, stops = (np.array(x, np.int64) for x in (list(zip(*offsets)) or [[], []]))
         assert arrow.aligned(words, text, starts, stops, n) == plain_alignment(words, text, offsets, n)
+
+
+def test_log_of_zero(spark):
+    """Minus infinity, as in SQL, not null: the row stays."""
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 0.0), (0.0, 0.0), (None, 1.0)], "a double, b double")
+    kl = df.select(S.log(F.col("a")).alias("x"), S.visual_kl(S.log(F.col("a")), S.log(F.col("b"))).alias("kl")).collect()
+    assert [r.x for r in kl] == [-math.inf, 0.0, -math.inf, None]
+    assert kl[0].kl == 0 and kl[1].kl == math.inf and math.isnan(kl[2].kl)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
 from . import boxes as B
 from .lineage import checkpointed
 
@@ -85,3 +86,9 @@ def scattered(groups: DataFrame, passes: DataFrame, image: str, index: str) -> D
     pass of its own group. A word that the model gives no score in that pass has
     no row."""
     return passes.join(groups, [image, index, "group_id"])
+
+
+def scattered_arrays(groups: str, passes: Column) -> Column:
+    """The same of a picture in one row: of ``passes``, by group the scores of all
+    words, each word's in the pass of its own group."""
+    return S.bound(passes, lambda p: F.transform(groups, lambda g, at: F.get(F.get(p, g), at)))

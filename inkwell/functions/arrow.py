@@ -3,8 +3,9 @@ bit-parallel, for what higher-order functions would copy at every step."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -33,18 +34,23 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
-@F.pandas_udf(IntegerType())
-def token_distance(h: pd.Series, r: pd.Series) -> pd.Series:
+def rows_of(*columns: pa.Array) -> Iterator[tuple]:
+    """Row by row, so that no more than one row's items are Python objects."""
+    return zip(*((x.as_py() for x in c) for c in columns), strict=True)
+
+
+@F.arrow_udf(IntegerType())
+def token_distance(h: pa.Array, r: pa.Array) -> pa.Array:
     """Edit distance of two arrays of words; null where either is null."""
-    return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(h, r, strict=True)], dtype="Int32")
+    return pa.array((None if x is None or y is None else edit_distance(x, y) for x, y in rows_of(h, r)), pa.int32())
 
 
-@F.pandas_udf(IntegerType())
-def char_distance(h: pd.Series, r: pd.Series) -> pd.Series:
+@F.arrow_udf(IntegerType())
+def char_distance(h: pa.Array, r: pa.Array) -> pa.Array:
     """Edit distance of two strings by characters; null where either is null. A
     whole column of cells is one step, so long texts cost a tenth of what cell by
     cell does."""
-    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(h, r, strict=True)], dtype="Int32")
+    return pa.array((None if x is None or y is None else edit_distance(x, y) for x, y in rows_of(h, r)), pa.int32())
 
 
 @F.arrow_udf(ArrayType(IntegerType()))
@@ -72,12 +78,23 @@ def spans_of(words: list[str], s: str) -> list[tuple[int, int]] | None:
     return out
 
 
-@F.pandas_udf(SPANS)
-def forward_spans(words: pd.Series, s: pd.Series) -> pd.Series:
+def span_lists(found: Iterator[list[tuple[int, int]] | None]) -> pa.Array:
+    """Lists of ``SPANS``, null for None, as numbers row by row."""
+    counts, parts, null = [0], [np.empty((0, 2), np.int32)], []
+    for spans in found:
+        null.append(spans is None)
+        parts.append(np.array(spans or [], np.int32).reshape(-1, 2))
+        counts.append(len(parts[-1]))
+    start, stop = np.concatenate(parts).T
+    offsets = pa.array(np.cumsum(counts).astype(np.int32), mask=np.append(null, False).astype(bool))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], names=["start", "stop"]))
+
+
+@F.arrow_udf(SPANS)
+def forward_spans(words: pa.Array, s: pa.Array) -> pa.Array:
     """WIN13: where each word lies in the string, each searched for from the end
     of the one before; null if one is not found."""
-    found = ((None if x is None or y is None else spans_of(x, y)) for x, y in zip(words, s, strict=True))
-    return pd.Series([None if x is None else [{"start": a, "stop": b} for a, b in x] for x in found], dtype=object)
+    return span_lists(None if x is None or y is None else spans_of(x, y) for x, y in rows_of(words, s))
 
 
 def proportional(n: int, tokens: int) -> list[tuple[int, int]]:
@@ -104,11 +121,7 @@ def aligned_spans(words: pa.Array, text: pa.Array, starts: pa.Array, stops: pa.A
     token, if there is none). Where there are fewer words than ``n`` or one isn't
     found, the tokens are shared out evenly. ``starts`` and ``stops`` are the
     tokens' characters in order; anything null gives null."""
-    out = []
-    for w, t, a, b, k in zip(*(c.to_pylist() for c in (words, text, starts, stops, n)), strict=True):
-        whole = None not in (w, t, a, b, k)
-        out.append([{"start": x, "stop": y} for x, y in aligned(w, t, np.array(a, np.int64), np.array(b, np.int64), k)] if whole else None)
-    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+    return span_lists(None if None in (w, t, a, b, k) else aligned(w, t, np.array(a, np.int64), np.array(b, np.int64), k) for w, t, a, b, k in rows_of(words, text, starts, stops, n))
 
 
 def lines_of(words: list[str], width: int) -> list[str]:
@@ -129,8 +142,10 @@ def wrapped(words, width: int):
     """STR20: lines of at most ``width`` characters, filled greedily; a longer
     word stands alone, cut into pieces of that width."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def fill(words: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else lines_of(x, width) for x in words], dtype=object)
+    @F.arrow_udf(ArrayType(StringType()))
+    def fill(words: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        found = [pa.array([None if x is None else lines_of(x, width)], kind) for (x,) in rows_of(words)]
+        return pa.concat_arrays(found) if found else pa.array([], kind)
 
     return fill(words)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import small_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self._folder = spark, folder
+        small_batches(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

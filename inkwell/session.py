@@ -12,3 +12,14 @@ def session(name: str = "inkwell", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+#: Spark's default of rows in an Arrow batch, and what whole texts need: Spark's
+#: writer and reader and Python hold a batch at a time.
+ARROW_ROWS, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Any other number than the default is the user's own and stays."""
+    if spark.conf.get(ARROW_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))

@@ -269,3 +269,22 @@ def test_log_of_zero(spark):
     kl = df.select(S.log(F.col("a")).alias("x"), S.visual_kl(S.log(F.col("a")), S.log(F.col("b"))).alias("kl")).collect()
     assert [r.x for r in kl] == [-math.inf, 0.0, -math.inf, None]
     assert kl[0].kl == 0 and kl[1].kl == math.inf and math.isnan(kl[2].kl)
+
+
+def test_spans_are_numbers(spark):
+    """Results of whole texts are Arrow lists, not an object for each word, and
+    batches of texts are small unless the session says otherwise."""
+    from inkwell.registry import Tables
+
+    found = arrow.span_lists(iter([[(0, 2), (3, 4)], None, [], [(5, 9)]]))
+    assert found.to_pylist() == [[{"start": 0, "stop": 2}, {"start": 3, "stop": 4}], None, [], [{"start": 5, "stop": 9}]]
+    assert arrow.span_lists(iter([])).to_pylist() == []
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        for own, then in (("10000", "512"), ("77", "77")):
+            spark.conf.set(rows, own)
+            Tables(spark, "")
+            assert spark.conf.get(rows) == then
+    finally:
+        spark.conf.set(rows, before)

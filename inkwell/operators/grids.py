@@ -4,19 +4,24 @@ have any size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pixels of tiles that are worked on together.
+AT_ONCE = 1 << 18
+
 
 def sobel(grid: np.ndarray) -> np.ndarray:
-    """Edge magnitude within a border of one pixel; what is no pixel (NaN) is 0."""
+    """Edge magnitude within a border of one pixel; what is no pixel (NaN) is 0.
+    The last two axes are a grid's."""
     p = np.nan_to_num(grid, nan=0.0)
-    n, m = grid.shape[0] - 2, grid.shape[1] - 2
-    at = lambda i, j: p[i : i + n, j : j + m]
+    n, m = grid.shape[-2] - 2, grid.shape[-1] - 2
+    at = lambda i, j: p[..., i : i + n, j : j + m]
     gx = at(0, 2) + 2 * at(1, 2) + at(2, 2) - at(0, 0) - 2 * at(1, 0) - at(2, 0)
     gy = at(2, 0) + 2 * at(2, 1) + at(2, 2) - at(0, 0) - 2 * at(0, 1) - at(0, 2)
     return np.sqrt(gx * gx + gy * gy)
@@ -24,10 +29,11 @@ def sobel(grid: np.ndarray) -> np.ndarray:
 
 def strokes(grid: np.ndarray, sharpness: float = 20.0, level: float = 0.7) -> np.ndarray:
     """Soft darkness, then the greatest of each 3 x 3 neighbourhood, within a
-    border of one pixel; what is no pixel (NaN) counts for nothing."""
+    border of one pixel; what is no pixel (NaN) counts for nothing. The last two
+    axes are a grid's."""
     dark = np.nan_to_num(1 - 1 / (1 + np.exp(-sharpness * (grid - level))), nan=-np.inf)
-    n, m = grid.shape[0] - 2, grid.shape[1] - 2
-    return np.max([dark[i : i + n, j : j + m] for i in range(3) for j in range(3)], axis=0)
+    n, m = grid.shape[-2] - 2, grid.shape[-1] - 2
+    return np.max([dark[..., i : i + n, j : j + m] for i in range(3) for j in range(3)], axis=0)
 
 
 def tiled(rows: DataFrame, image: str, y: str, layers: tuple[str, ...], height: int, width: int) -> DataFrame:
@@ -48,22 +54,52 @@ def differences(rows: DataFrame, image: str, y: str, a: str, b: str, costs: dict
     """``image, n`` and, by the names of ``costs``, the mean of ``abs(f(a) - f(b))``
     over the pixels of each picture, whose rows are ``image, y, a, b``: arrays of
     equal length in each row, ``y`` distinct within a picture. Rows that don't
-    exist, null ones and null pixels are no pixels. A task holds one tile at a
-    time, whatever the picture's size."""
+    exist, null ones and null pixels are no pixels. Tiles come sorted, so a task
+    holds a batch of their rows and the grids of about ``AT_ONCE`` pixels, or of
+    one tile, whatever the number and size of pictures."""
     kind = dict(rows.dtypes)[image]
-    names = list(costs)
-
-    def cost(table: pa.Table) -> pa.Table:
-        ty, tx = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
-        grids = np.full((2, height + 2, width + 2), np.nan)
-        for r in table.select(["y", "x", "_a", "_b"]).to_pylist():
-            line, at = r["y"] - ty * height + 1, r["x"] - tx * width + 1
-            for grid, values in zip(grids, (r["_a"], r["_b"]), strict=True):
-                grid[line, at : at + len(values)] = np.array(values, float)
-        inside = ~np.isnan(grids[:, 1:-1, 1:-1]).any(0)
-        sums = [float(np.abs(f(grids[0])[inside] - f(grids[1])[inside]).sum()) for f in costs.values()]
-        return pa.table([table.column(image).slice(0, 1), pa.array([int(inside.sum())]), *([x] for x in sums)], names=[image, "n", *names])
+    names, place = list(costs), [image, "ty", "tx"]
+
+    def cost(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of whole tiles."""
+        starts = _starts(t, place)
+        tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+        y, x, ty, tx = (t.column(c).to_numpy() for c in ("y", "x", "ty", "tx"))
+        line, at = y - ty * height + 1, x - tx * width + 1
+        some = max(1, AT_ONCE // ((height + 2) * (width + 2)))
+        for i in range(0, len(starts), some):
+            begin, stop = starts[i], starts[i + some] if i + some < len(starts) else len(t)
+            grids = np.full((2, min(some, len(starts) - i), height + 2, width + 2), np.nan)
+            for grid, c in zip(grids, ("_a", "_b"), strict=True):
+                values = t.column(c).slice(begin, stop - begin).combine_chunks()
+                counts = pc.fill_null(pc.list_value_length(values), 0).to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(begin, stop), counts)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                grid[tile[row] - i, line[row], at[row] + inside] = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+            pixels = ~np.isnan(grids[..., 1:-1, 1:-1]).any(0)
+            with np.errstate(invalid="ignore"):
+                sums = [np.where(pixels, np.abs(f(grids[0]) - f(grids[1])), 0.0).sum((1, 2)) for f in costs.values()]
+            own = t.column(image).take(pa.array(starts[i : i + some])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([own, pa.array(pixels.sum((1, 2)).astype(np.int64)), *map(pa.array, sums)], names=[image, "n", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            left = pa.concat_tables([left, now]).combine_chunks() if left is not None else now
+            if len(left) and (last := int(_starts(left, place)[-1])):
+                yield from cost(left.slice(0, last))
+                left = left.slice(last)
+        if left is not None and len(left):
+            yield from cost(left)
 
     pieces = tiled(rows.select(image, y, F.col(a).cast("array<double>").alias("_a"), F.col(b).cast("array<double>").alias("_b")), image, y, ("_a", "_b"), height, width)
-    tiles = pieces.groupBy(image, "ty", "tx").applyInArrow(cost, f"`{image}` {kind}, n long, " + ", ".join(f"{c} double" for c in names))
+    tiles = pieces.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, f"`{image}` {kind}, n long, " + ", ".join(f"{c} double" for c in names))
     return tiles.groupBy(image).agg(F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in names]).filter("n > 0")
+
+
+def _starts(t: pa.Table, place: list[str]) -> np.ndarray:
+    """Where another tile begins in sorted rows."""
+    codes = [t.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in place]
+    codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy(zero_copy_only=False) for c in codes]
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in codes], axis=0))) if len(t) else np.empty(0, np.int64)

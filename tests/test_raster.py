@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,23 @@ def test_stencils(spark, tile):
     df = spark.createDataFrame(rows, "image long, y int, a array<double>, b array<double>, x string")
     got = {r.image: [r.n, r.edge, r.stroke] for r in grids.differences(df, "image", "y", "a", "b", {"edge": grids.sobel, "stroke": grids.strokes}, *tile).collect()}
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_tiles_go_in_batches(spark):
+    """Many small pictures with tiles that batches cut, without a call for each."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    rows = [(k if k else None, y, [float((k * 7 + y * 3 + x) % 5) / 4 for x in range(4)], [float((k + y + x) % 3) / 2 for x in range(4)]) for k in range(40) for y in range(4)]
+    df = spark.createDataFrame(rows, "image long, y long, a array<double>, b array<double>")
+    want = {}
+    for k in range(40):
+        a, b = (np.pad(np.array([r[c] for r in rows[4 * k : 4 * k + 4]]), 1, constant_values=np.nan) for c in (2, 3))
+        want[k or None] = [16, *(float(np.abs(f(a) - f(b)).mean()) for f in (grids.sobel, grids.strokes))]
+    spark.conf.set(batch, "3")
+    try:
+        found = grids.differences(df, "image", "y", "a", "b", {"edge": grids.sobel, "stroke": grids.strokes}, 4, 4)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r.image: [r.n, r.edge, r.stroke] for r in found.collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)

@@ -32,6 +32,11 @@ def test_small_files_are_dealt_out(spark):
     assert plan(spark, "label_words").count("Exchange RoundRobinPartitioning") == 1
 
 
+def test_few_customers_are_dealt_out(spark):
+    """A text is much work for a row of a small file."""
+    assert plan(spark, "gen_text").count("Exchange RoundRobinPartitioning") == 1
+
+
 @pytest.mark.parametrize(("name", "columns"), [("mask_area", "doc_id:bigint,text:string"), ("running_page_counter", "o_orderkey:bigint,o_orderdate:timestamp_ntz,o_orderpriority:string"), ("first_match", "conv_id:bigint,turn:bigint,role:string,text:string")])
 def test_columns(spark, name, columns):
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, name))) == {columns}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content as C
 from ..functions import text as T
-from ..registry import query
+from ..registry import dealt, query
 
 
 def draw(seed: int, key: str, slot: str, n: int):
@@ -238,7 +238,7 @@ def gen_text(t):
     k = "c_custkey"
     lines, most = plain_lines(7, k)
     one = [composed(7, k, "one", c).alias(c) for c in PATTERNS]
-    rows = t.spread("customer").select(k, *one, lines.alias("lines"), most.alias("dominant"), key_value_lines(7, k).alias("pairs"))
+    rows = dealt(t.customer).select(k, *one, lines.alias("lines"), most.alias("dominant"), key_value_lines(7, k).alias("pairs"))
     return rows.withColumn("ambiguous", T.is_ambiguous(F.array_join("lines", "")))
 
 

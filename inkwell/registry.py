@@ -25,11 +25,15 @@ class Tables:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table whose rows are much work: where its files have fewer splits than
-        the session has cores, the rows are dealt out first; else nothing is
-        shuffled."""
-        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+        """A table whose rows are much work, dealt out."""
+        return dealt(getattr(self, name))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Where a table's files have fewer splits than the session has cores, its
+    rows are dealt out first; else nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def query(sql: str | None = None):

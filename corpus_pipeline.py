@@ -23,6 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash by multi-index hashing, as ``op5_simhash``, and MinHash for links
+    beyond its radius; links of both are verified on the whole sets."""
     return simhash.keep_one(docs)
 
 

@@ -215,8 +215,8 @@ def _without_hot_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(hot, "key", "left").select(F.explode(keys).alias("key"), "fp", "rep")
 
 
-def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` for ``fps(doc_id, fp)``.
+def print_classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, component_id`` for every distinct fingerprint of ``fps(doc_id, fp)``.
 
     Equal fingerprints are pre-aggregated to their smallest doc_id, so copies
     never meet in a pair. Every distinct fingerprint is put under each 32-bit
@@ -228,18 +228,20 @@ def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("two segments with one-bit balls cover 3 differing bits at most")
-    fps = checkpointed(fps)
     reps = checkpointed(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     keyed = _without_hot_keys(reps.mapInArrow(_probe, "key long, fp long, rep long"))
     edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_match(radius), "u long, v long")
     with batch_rows(fps.sparkSession, 65_536):  # rows of three numbers
         edges = checkpointed(edges)
     found = connected_components(edges)
-    classes = (
-        reps.join(found, reps.rep == found.node, "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
-    return fps.join(classes, "fp", "left").select(
+    return reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+
+
+def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, fp, component_id`` for ``fps(doc_id, fp)``, by ``print_classes``;
+    a row with a null id has a null component."""
+    fps = checkpointed(fps)
+    return fps.join(print_classes(fps, radius), "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
@@ -294,17 +296,18 @@ def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
 
 
 def _signatures(width: int):
-    """``doc_id, fp, size, keys`` of every row: a digest of its shingle set, the
-    set's size and its band keys."""
+    """``doc_id, fp, size, print, keys`` of every row: a digest of its shingle set,
+    the set's size, the text's SimHash and the set's band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
             fps = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             sizes = [len(x) for x in sets]
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             keys = [band_keys(x).view(np.int64) for x in sets]
-            arrays = [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "size", "keys"])
+            arrays = [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "size", "print", "keys"])
 
     return run
 
@@ -393,8 +396,11 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     shingles have a Jaccard similarity of ``similarity`` or more; ``fp`` is a
     digest of the set.
 
-    Candidates come from MinHash over those sets, in 32 bands of 8 minima. What
-    shares a band is a group, in which links are searched for on the whole sets;
+    Candidates come from SimHash fingerprints by multi-index hashing, as those of
+    ``near_duplicates`` (links of at most RADIUS bits), and, as a similarity of 0.8
+    may spoil more bits than any index of segments can enumerate, from MinHash over
+    the sets, in 32 bands of 8 minima. What shares a class of fingerprints or a
+    band is a group, in which links are searched for on the whole sets;
     groups with the same members are one, and a group of more than TASK_SHINGLES
     is worked on in blocks by many tasks. Texts of equal sets are one document, as
     are rows of one id, which links if any of its texts does. Null and empty
@@ -403,11 +409,17 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpointed(texts.mapInArrow(_signatures(width), "doc_id long, fp binary, size int, keys array<long>"))
+    signed = checkpointed(texts.mapInArrow(_signatures(width), "doc_id long, fp binary, size int, print long, keys array<long>"))
     fps = signed.select("doc_id", "fp")
-    # equal sets have equal sizes and keys
-    reps = checkpointed(signed.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    keyed = reps.select(F.explode("keys").alias("key"), "rep", "fp", "size")
+    # equal sets have equal sizes and keys, but not equal fingerprints, which count repeats
+    reps = checkpointed(
+        signed.filter("doc_id IS NOT NULL").groupBy("fp")
+        .agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.collect_set("print").alias("prints"))
+    )
+    prints = reps.select(F.explode("prints").alias("print"), "rep", "fp", "size")
+    classes = print_classes(prints.select(F.col("rep").alias("doc_id"), F.col("print").alias("fp"))).select(F.col("fp").alias("print"), "component_id")
+    near = prints.join(classes, "print").select(F.xxhash64(F.lit("simhash"), "component_id").alias("key"), "rep", "fp", "size").distinct()
+    keyed = reps.select(F.explode("keys").alias("key"), "rep", "fp", "size").unionByName(checkpointed(near))
     groups = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp", "rep")).alias("h"), F.min("rep").alias("low"), F.sum("size").alias("shingles")
     )

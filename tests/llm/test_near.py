@@ -91,3 +91,22 @@ def test_edges(spark):
     assert simhash.keep_one(only, got).count() == 5 and simhash.keep_one(only, got).columns == ["doc_id"]
     assert simhash.keep_one(df.filter("doc_id > 99")).count() == 0
     assert {r.component_id for r in simhash.near_duplicates(df).collect()} >= {1, 5, 7, 9, None}
+
+
+def test_simhash_candidates(spark):
+    """A link that no band of minima has and the fingerprints have."""
+    rng = random.Random(12)
+    while True:
+        line = prose(40, rng)
+        tail = [f"t{rng.random()}" for _ in range(100)]
+        other = [f"x{k}" if k % 40 == 5 else w for k, w in enumerate(tail)]
+        a, b = ("\n".join([line] * 40 + [" ".join(t)]) for t in (tail, other))
+        x, y = simhash.shingle_set(a, 5), simhash.shingle_set(b, 5)
+        both = len(np.intersect1d(x, y))
+        if both < 0.8 * (len(x) + len(y) - both) or (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 3:
+            continue
+        if not (simhash.band_keys(x) == simhash.band_keys(y)).any():
+            break
+    df = spark.createDataFrame([(1, a), (2, b), (3, prose(200, rng))], "doc_id long, text string")
+    assert classes(simhash.similar_components(df)) == {1: 1, 2: 1, 3: 3}
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scores as S
 from .arrow import aligned_spans, char_distance, forward_spans, token_distance, wrapped  # noqa: F401
 
 # Words that label a field, and characters that are easily taken
@@ -149,6 +150,13 @@ def is_header_word(word: Column) -> Column:
     return (F.char_length(core) >= 2) & core.rlike(r"^\p{L}+$") & is_upper(core)
 
 
+def headers_of_line(words: Column) -> Column:
+    """STR18: the words of one line, or null where one of them is neither in
+    capitals nor without a core, so that none is a header."""
+    other = lambda w: S.bound(header_core(w), lambda core: (core != "") & ~is_upper(core))
+    return S.bound(words, lambda ws: F.when(~F.exists(ws, other), ws))
+
+
 def key_title(key: Column) -> Column:
     """STR19: underscores to blanks, words capitalised."""
     return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))

@@ -61,3 +61,8 @@ def test_no_pixels(spark, name, shuffles):
     assert found.count("Exchange hashpartitioning") == shuffles
     spread = [x for x in found.splitlines() if "Generate explode(sequence(" in x]
     assert len(spread) == 2 and all("FLOOR" in x.upper() or "/ 64" in x or "/ 512" in x for x in spread)
+
+
+def test_headers_where_their_row_is(spark):
+    found = plan(spark, "section_headers")
+    assert "Join" not in found and "Exchange hashpartitioning" not in found and "Python" not in found

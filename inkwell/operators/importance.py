@@ -1,7 +1,9 @@
 """CMP1-6: importance of words, from scores that models give. A word's box carries
 its value, so pictures stay rows of words; what is not text scores 0 everywhere,
 so 0 is part of every picture's range. Each function takes and returns rows keyed
-by ``image, pos``."""
+by ``image, pos``. Where a picture is made from one row, its words' scores are
+arrays of that row and nothing is shuffled: ``array_*`` take and return such arrays
+of doubles, in the words' order."""
 
 from __future__ import annotations
 
@@ -31,6 +33,48 @@ def ensemble(rows: DataFrame, score: str, weights: dict[str, float], exclude: tu
     return rows.groupBy(*WORD).agg(F.sum(alpha * F.col(score)).alias(score))
 
 
+def array_within(x: Column) -> Column:
+    """``within`` of the words of one picture."""
+
+    def scaled(v: Column) -> Column:
+        ends = F.array(F.least(F.array_min(v), F.lit(0.0)), F.greatest(F.array_max(v), F.lit(0.0)))
+
+        def one(y: Column, e: Column) -> Column:
+            low, wide = F.get(e, F.lit(0)), F.get(e, F.lit(1)) - F.get(e, F.lit(0))
+            return F.when(wide < 1e-9, 0.0).otherwise((y - low) / F.greatest(wide, F.lit(1e-9)))
+
+        return S.bound(ends, lambda e: F.transform(v, lambda y: one(y, e)))
+
+    return S.bound(x, scaled)
+
+
+def array_p99(x: Column) -> Column:
+    """AGG20: the 99th percentile of the words of one picture, interpolated."""
+
+    def found(v: Column) -> Column:
+        at = (F.size(v) - 1) * F.lit(0.99)
+        low, high = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return S.bound(F.array_sort(x), found)
+
+
+def array_salience(norm: Column, low: float, high: float) -> Column:
+    """CMP1 of mixed norms."""
+
+    def raw(v: Column) -> Column:
+        budget = lambda x, p: S.budget(S.clip_p99(x, p), F.lit(True), low, high, 0.0)
+        return S.bound(array_p99(v), lambda p: F.transform(v, lambda x: S.unscaled(budget(x, p), low, high)))
+
+    return array_within(S.bound(norm, raw))
+
+
+def array_importance(entropy: Column, kl: Column, sal: Column, floor: float = 0.15) -> Column:
+    """CMP6."""
+    both = array_within(F.zip_with(array_within(entropy), array_within(kl), lambda e, k: e * k))
+    return array_within(F.zip_with(both, sal, lambda r, s: F.greatest(r, floor * s)))
+
+
 def span_sum(lp: Column, start: Column, stop: Column) -> Column:
     """AGG23: sum over a span of tokens; 0 for a span that begins past the end."""
     return F.aggregate(_span(lp, start, stop), F.lit(0.0), lambda a, x: a + x)
@@ -76,18 +120,23 @@ def masked_change(before: DataFrame, masked: DataFrame, change, name: str, weigh
     return ensemble(own, name, weights)
 
 
+def token_entropy(top: Column) -> Column:
+    """CMP5: the mean over a word's tokens of the entropy of each one's greatest
+    log probabilities; 0 for null."""
+    def one(top: Column) -> Column:
+        return -F.aggregate(top, F.lit(0.0), lambda a, x: a + x * F.exp(x)) / F.ln(F.greatest(F.size(top), F.lit(2)))
+
+    mean = F.aggregate(F.transform(top, one), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(top), F.lit(1))
+    return F.coalesce(F.when(F.size(top) > 0, mean), F.lit(0.0))
+
+
 def blank_entropy(rows: DataFrame, weights: dict[str, float], exclude: tuple[str, ...] = ()) -> DataFrame:
     """CMP5: ``entropy`` of rows ``image, pos, model, top`` with ``top`` an array,
     for each token of the word, of the greatest log probabilities (null where a
     model gives none, which counts as 0): the mean over tokens, put to the
     picture's range for each model, then mixed."""
-    def one(top: Column) -> Column:
-        return -F.aggregate(top, F.lit(0.0), lambda a, x: a + x * F.exp(x)) / F.ln(F.greatest(F.size(top), F.lit(2)))
-
-    each = F.transform("top", one)
-    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("top"), F.lit(1))
     own = rows.filter(~F.col("model").isin(*exclude)) if exclude else rows
-    own = own.withColumn("raw", F.coalesce(F.when(F.size("top") > 0, mean), F.lit(0.0)))
+    own = own.withColumn("raw", token_entropy(F.col("top")))
     scaled = own.select(*WORD, "model", within(F.col("raw"), "image", "model").alias("entropy"))
     return ensemble(scaled, "entropy", weights, exclude)
 

@@ -79,3 +79,10 @@ def test_pictures_where_their_row_is(spark, name, monkeypatch):
 def test_headers_where_their_row_is(spark):
     found = plan(spark, "section_headers")
     assert "Join" not in found and "Exchange hashpartitioning" not in found and "Python" not in found
+
+
+@pytest.mark.parametrize("name", ["importance_pipeline", "blank_entropy", "salience_map", "masked_scores"])
+def test_scores_where_their_picture_is(spark, name):
+    found = plan(spark, name)
+    assert "Window" not in found and "Join" not in found and "Exchange hashpartitioning" not in found
+    assert found.count("Scan parquet") == 1

@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 #: the last are found by their whole text. The target is a recall of 0.9 at the
 #: least similarity for items of 40 characters or more (the tests hold to it).
 TIERS = ((96, 26), (40, 14), (16, 10))
+#: Steps, at most the least of a tier's, after which walks of no item end.
+EARLY = (6, 10)
 #: Draws of moves and positions, and the share of the steps that is sampled.
 WALKS, SHARE = 3, 0.7
 #: Repetitions that must agree, by the number of words of the item: as many as
@@ -71,23 +73,41 @@ class Walk:
         weights = rng.integers(1, 1 << 62, (steps, 256)).astype(np.uint64) | np.uint64(1)
         taken = rng.random(steps) < SHARE
         taken[0] = True
-        self.moves = rng.integers(0, 2, (steps, 256)).astype(np.int32)
+        self.moves = rng.integers(0, 2, (steps, 256)).astype(np.intp)
         self.weights = [w if t else None for w, t in zip(weights, taken, strict=True)]
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, steps: set[int]) -> dict[int, np.ndarray]:
-        """Hash of the walk from every start after each number of ``steps``."""
-        at, out = starts.astype(np.int32), {}
-        total = np.zeros(len(at), np.uint64)
+    def hashes(self, data: np.ndarray, starts: np.ndarray, steps: set[int], sieves: dict[int, Sieve] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """After each number of ``steps`` the numbers of the starts and the hashes
+        of their walks. What a sieve of that many steps does not hold goes no
+        further: walks that agree have agreed at every earlier step."""
+        at, out = starts.astype(np.intp), {}
+        rows, total = np.arange(len(at)), np.zeros(len(at), np.uint64)
         for t in range(max(steps)):
-            c = data.take(at, mode="clip")
+            c = data.take(at, mode="clip").astype(np.intp)
             if self.weights[t] is not None:
-                total += self.weights[t].take(c, mode="clip")
-            at += self.moves[t].take(c, mode="clip")
+                total += self.weights[t].take(c)
+            at += self.moves[t].take(c)
+            if sieves and t + 1 in sieves:
+                held = sieves[t + 1].holds(total)
+                at, rows, total = at[held], rows[held], total[held]
             if t + 1 in steps:
-                out[t + 1] = total.copy()
+                out[t + 1] = rows, total.copy()
         return out
 
 
+class Sieve:
+    """A set of hashes as bits: what it does not hold is not among them."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(16, (8 * len(hashes)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.bits = np.zeros(1 << bits, bool)
+        self.bits[(hashes >> np.uint64(20)) & self.mask] = True
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.bits.take(((hashes >> np.uint64(20)) & self.mask).view(np.int64)))
+
+
 def edit_within(item: str, text: str, limit: int, anchored: bool = False) -> tuple[int, int] | None:
     """Least edit distance of ``item`` to any part of ``text`` and the end of
     that part, the first such, or None if over ``limit`` (bit-parallel, exact).
@@ -126,7 +146,7 @@ class Index:
                 self.tiny.add_word(f" {x} ", [*self.tiny.get(f" {x} ", []), k])
         if len(self.tiny):
             self.tiny.make_automaton()
-        self.tables = []
+        self.tables, early = [], [{t: [] for t in EARLY} for _ in self.walks]
         longest = TIERS[0][1]
         for low, high in zip(TIERS, [(1 << 40, 0), *TIERS], strict=False):
             some = [k for k, (_, x) in enumerate(self.items) if low[0] <= len(x) < high[0]]
@@ -140,25 +160,28 @@ class Index:
             self.agree[some] = [next(a for n, a in AGREE if w >= n) for w in words]
             rows = np.stack([np.array(some)[own], starts - begins[own]], 1)
             for r, walk in enumerate(self.walks):
-                found = walk.hashes(data, starts, {low[1]})[low[1]]
+                upto = walk.hashes(data, starts, {low[1], *EARLY})
+                found = upto[low[1]][1]
                 order = np.argsort(found, kind="stable")
-                bits = max(16, (8 * len(found)).bit_length())
-                sieve = np.zeros(1 << bits, bool)
-                sieve[(found >> np.uint64(20)) & np.uint64((1 << bits) - 1)] = True
-                self.tables.append((r, low[1], found[order], rows[order], sieve, np.uint64((1 << bits) - 1)))
+                self.tables.append((r, low[1], found[order], rows[order], Sieve(found)))
+                for t in EARLY:
+                    early[r][t].append(upto[t][1])
+        self.early = [{t: Sieve(np.concatenate(x)) for t, x in own.items()} for own in early] if self.tables else []
         self.steps = {t[1] for t in self.tables}
         # masks of the blocks of every item, over symbols folded to 5 bits
         counts = np.array([-(-len(x) // BLOCK) for _, x in self.items], np.int64)
         self.first = np.r_[0, np.cumsum(counts)]
         self.block_at, self.block_size = (np.zeros(self.first[-1], np.int64) for _ in range(2))
-        self.masks = np.zeros((self.first[-1], 32), np.uint64)
+        self.masks = np.zeros((self.first[-1], 32), np.uint64)  # ends at the highest bit
         for k, (_, x) in enumerate(self.items):
             data, n = symbols(x)[0] & 31, counts[k]
             edges = np.arange(n + 1) * len(x) // n
             for j in range(n):
                 b, part = self.first[k] + j, data[edges[j] : edges[j + 1]]
                 self.block_at[b], self.block_size[b] = edges[j], len(part)
-                np.bitwise_or.at(self.masks[b], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+                spare = BLOCK - len(part)
+                self.masks[b] = np.uint64((1 << spare) - 1)
+                np.bitwise_or.at(self.masks[b], part, np.uint64(1) << np.arange(spare, BLOCK, dtype=np.uint64))
 
     def matches(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Walks that agree: where in ``data``, which item's, and how far from
@@ -166,14 +189,14 @@ class Index:
         hits, rows = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
         for i in range(0, len(starts) if self.tables else 0, STARTS_AT_ONCE):
             part = starts[i : i + STARTS_AT_ONCE]
-            hashed = [walk.hashes(data, part, self.steps) for walk in self.walks]
-            for r, steps, hashes, own, sieve, mask in self.tables:
-                h = hashed[r][steps]
-                hit = np.flatnonzero(sieve.take((h >> np.uint64(20)) & mask))
+            hashed = [walk.hashes(data, part, self.steps, sieves) for walk, sieves in zip(self.walks, self.early, strict=True)]
+            for r, steps, hashes, own, sieve in self.tables:
+                start, h = hashed[r][steps]
+                hit = sieve.holds(h)
                 low, high = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
                 n = high - low
                 which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                hits.append(np.repeat(part[hit], n))
+                hits.append(np.repeat(part[start[hit]], n))
                 rows.append(own[which])
         rows = np.concatenate(rows)
         return np.concatenate(hits), rows[:, 0], rows[:, 1]
@@ -221,32 +244,46 @@ class Index:
         low = np.maximum(begin[row], (rows[:, 2] * half - limit)[row] + self.block_at[block])
         high = np.minimum(end[row], low + self.block_size[block] + (2 * half + 2 * limit)[row] + 1)
         order = np.argsort(high - low, kind="stable")
-        for i in range(0, len(order), 16_384):
-            at = order[i : i + 16_384]
+        for i in range(0, len(order), 8192):
+            at = order[i : i + 8192]
             ok = self._block_distance(folded, low[at], high[at], block[at]) <= share[at]
             out[row[at[ok]]] = True
         return out
 
     def _block_distance(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Least edit distance of each block to any part of its stretch of data,
-        all blocks in step, each in one word."""
-        one = np.uint64(1)
-        flat, base = self.masks.reshape(-1), block * 32
-        last = (self.block_size[block] - 1).astype(np.uint64)
-        pv, mv = np.full(len(low), ~np.uint64(0)), np.zeros(len(low), np.uint64)
-        score = self.block_size[block].copy()
-        best = score.copy()
-        for t in range(int((high - low).max(initial=0))):
-            at = low + t
-            eq = flat.take(base + data.take(at, mode="clip"))
-            eq[at >= high] = 0  # past the end nothing matches, which adds nothing
+        shorter stretches first, all blocks in step, each in one word. A block ends
+        at the highest bit; the bits before it match anything at no cost."""
+        flat, base, size = self.masks.reshape(-1), block * 32, self.block_size[block]
+        ends = np.cumsum(np.bincount(np.maximum(high - low, 0)))  # of how many the stretch ends by then
+        pv = ~np.uint64(0) << (BLOCK - size).astype(np.uint64)
+        mv = np.zeros(len(low), np.uint64)
+        score, best, at = size.copy(), size.copy(), low.copy()
+        left, one, sign, done = best, np.uint64(1), np.int64(63), 0
+        for end in ends[:-1]:
+            if end > done:
+                base, pv, mv, score, left, at = (x[end - done :] for x in (base, pv, mv, score, left, at))
+                done = end
+            eq = flat.take(base + data.take(at, mode="clip"), mode="clip")
+            at += 1
             xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            score += ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
-            ph, mh = ph << one, mh << one
-            pv, mv = mh | ~(xv | ph), ph & xv
-            np.minimum(best, score, out=best)
+            xh = eq & pv
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            ph = xh | pv
+            np.invert(ph, out=ph)
+            ph |= mv
+            mh = pv & xh
+            score -= ph.view(np.int64) >> sign
+            score += mh.view(np.int64) >> sign
+            ph <<= one
+            mh <<= one
+            mv = ph & xv
+            np.bitwise_or(xv, ph, out=xv)
+            np.invert(xv, out=xv)
+            pv = mh | xv
+            np.minimum(left, score, out=left)
         return best
 
     def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:

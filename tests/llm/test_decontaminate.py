@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from inkwell.llm import decontaminate as D
@@ -84,3 +85,32 @@ def test_edges(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [4, 5, 6]
     assert D.find_leaks(df.filter("doc_id < 0"), benchmark).count() == 0
     assert D.drop_leaks(df, benchmark.filter("item_id < 0")).count() == len(docs)
+
+
+def test_walks_of_no_item_end_early():
+    """And those that agree with an item's are the same as without sieves."""
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(k, text(rng.choice([5, 12, 40]))) for k in range(40)]
+    index = D.Index(items)
+    data, starts = D.symbols(" ".join([text(4000), items[3][1], text(500), items[9][1][5:]]) + "\0" * 30)
+    assert {t[1] for t in index.tables} == {26, 14, 10}
+    walked = index.walks[0].hashes(data, starts, index.steps, index.early[0])
+    assert len(walked[26][0]) < len(starts) / 2
+    found = [x.tolist() for x in index.matches(data, starts)]
+    index.early = [None for _ in index.walks]
+    assert [x.tolist() for x in index.matches(data, starts)] == found and found[0]
+
+
+def test_block_distances():
+    rng = random.Random(32)
+    make = lambda n: "".join(rng.choices("abcd ", k=n)).strip() or "a"
+    items = [(k, D.normalise(make(rng.randint(17, 64)))) for k in range(60)]
+    index = D.Index(items)
+    text = make(3000)
+    low = np.array([rng.randrange(2900) for _ in items])
+    size = np.array(sorted(rng.choice([-3, 0, 1, 40, 90]) for _ in items))
+    got = index._block_distance(D.symbols(text)[0] & 31, low, low + size, np.arange(len(items)))
+    want = [D.edit_within(x, text[a : a + max(n, 0)], len(x))[0] for (_, x), a, n in zip(items, low, size, strict=True)]
+    assert got.tolist() == want
